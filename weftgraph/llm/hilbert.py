@@ -2,44 +2,48 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
-def curve_index(df: DataFrame, axes: list[str], bits: int, name: str) -> DataFrame:
-    """Add the Hilbert index of the integer columns ``axes`` (each below ``2**bits``), by Skilling's
-    transform: undo the excess rotations from the top bit down, Gray-encode, interleave the bits."""
-    x = [f"__x{i}" for i in range(len(axes))]
-    df = df.select("*", *[F.col(a).cast("long").alias(b) for a, b in zip(axes, x)], F.lit(0).cast("long").alias("__t"))
-
-    def put(frame: DataFrame, **new: Column) -> DataFrame:
-        return frame.select(*[new.get(c, F.col(c)).alias(c) if c in new else F.col(c) for c in frame.columns])
-
+def curve_index(point: tuple[int, ...], bits: int) -> int:
+    """Hilbert index of a grid point (each coordinate below ``2**bits``), by Skilling's transform:
+    undo the excess rotations from the top bit down, Gray-encode, interleave the bits."""
+    x = list(point)
     for b in range(bits - 1, 0, -1):
-        q, p = 1 << b, F.lit((1 << b) - 1)
-        for i, c in enumerate(x):
-            on = F.col(c).bitwiseAND(F.lit(q)) != 0
-            df = put(df, __t=F.col(x[0]).bitwiseXOR(F.col(c)).bitwiseAND(p))
-            flipped = F.when(on, F.col(x[0]).bitwiseXOR(p)).otherwise(F.col(x[0]).bitwiseXOR(F.col("__t")))
-            new = {x[0]: flipped}
-            if i:
-                new[c] = F.when(on, F.col(c)).otherwise(F.col(c).bitwiseXOR(F.col("__t")))
-            df = put(df, **new)
-    for a, b in zip(x[:-1], x[1:]):
-        df = put(df, **{b: F.col(b).bitwiseXOR(F.col(a))})
-    turn = F.lit(0).cast("long")
+        q, p = 1 << b, (1 << b) - 1
+        for i in range(len(x)):
+            if x[i] & q:
+                x[0] ^= p
+            else:
+                t = (x[0] ^ x[i]) & p
+                x[0] ^= t
+                x[i] ^= t
+    for i in range(1, len(x)):
+        x[i] ^= x[i - 1]
+    t = 0
     for b in range(bits - 1, 0, -1):
-        turn = turn.bitwiseXOR(F.when(F.col(x[-1]).bitwiseAND(F.lit(1 << b)) != 0, F.lit((1 << b) - 1)).otherwise(F.lit(0)).cast("long"))
-    df = put(df, __t=turn)
-    df = put(df, **{c: F.col(c).bitwiseXOR(F.col("__t")) for c in x})
-    index, place = F.lit(0).cast("long"), bits * len(x)
+        if x[-1] >> b & 1:
+            t ^= (1 << b) - 1
+    index = 0
     for b in range(bits - 1, -1, -1):
-        for c in x:
-            place -= 1
-            index = index.bitwiseOR(F.shiftleft(F.shiftright(F.col(c), b).bitwiseAND(F.lit(1)), place))
-    return df.withColumn(name, index).drop(*x, "__t")
+        for v in x:
+            index = index << 1 | (v ^ t) >> b & 1
+    return index
+
+
+def curve_column(axes: list[str], bits: int) -> Column:
+    """The index as a lookup in the constant array of all grid points, which the parameters bound."""
+    points = product(range(1 << bits), repeat=len(axes))
+    table = ",".join(str(curve_index(p, bits)) for p in points)
+    code = "0"
+    for a in axes:
+        code = f"({code}) * {1 << bits} + {a}"
+    return F.expr(f"cast(element_at(array({table}), cast({code} as int) + 1) as bigint)")
 
 
 def _position(df: DataFrame, column: str) -> Column:
@@ -84,11 +88,13 @@ def hilbert_shards(
     axes = []
     for i in range(len(dims)):
         borders = sorted(set(cuts[i] or []))
-        axis = F.size(F.filter(F.array(*[F.lit(float(b)) for b in borders]), lambda b, i=i: b < F.col(f"__d{i}"))) if borders else F.lit(0)
+        axis = F.expr(f"size(filter(array({', '.join(f'{b!r}D' for b in map(float, borders))}), b -> b < __d{i}))") if borders else F.lit(0)
         axes.append(f"__a{i}")
         rows = rows.withColumn(f"__a{i}", axis.cast("int"))
     rows = rows.drop(*[f"__d{i}" for i in range(len(dims))]).withColumn("__h", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 << 31)))
-    cells = curve_index(rows.groupBy(*axes).agg(F.count("*").alias("__n")), axes, bits, "curve").withColumn("__parts", F.ceil(F.col("__n") / bucket_rows))
+    if bits * len(dims) > 15:
+        raise ValueError("the grid may have 32,768 cells at most")
+    cells = rows.groupBy(*axes).agg(F.count("*").alias("__n")).withColumn("curve", curve_column(axes, bits)).withColumn("__parts", F.ceil(F.col("__n") / bucket_rows))
     placed = rows.join(cells.drop("__n"), axes).withColumn("__part", F.shiftright(F.col("__h") * F.col("__parts"), 31))
     buckets = placed.groupBy("curve", "__part").agg(F.count("*").alias("__n"))
     order = W.orderBy("curve", "__part")
