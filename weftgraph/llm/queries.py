@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_contamination
 from .hilbert import hilbert_shards
+from .language_id import held_out, identify, learn_profiles
 from .ngram_join import near_duplicates
+from .packing import harmonic_pack
 from .substring_dedup import remove_repeats
 from .url_filter import filter_urls
 
@@ -86,3 +89,40 @@ FROM p
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four rules over the urls of all pages."""
     return filter_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+def packing_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_harmonic_packing")
+def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens. Tested by an exact round trip."""
+    packed = harmonic_pack(table(spark, sf_dir, "documents"), packing_vocabulary(), capacity=2048, end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query(
+    "op8_benchmark_decontamination",
+    r"""
+WITH t AS (SELECT 0 AS item, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT item, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM t),
+s AS (SELECT DISTINCT item, id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT item, id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM w WHERE len(w) > 0) q),
+q AS (SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n_item FROM s WHERE item = 1)
+SELECT s.id AS doc_id, item_id, n_item, count(*) AS n_shared FROM s JOIN q USING (s) WHERE s.item = 0 GROUP BY s.id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
+""",
+)
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item against all documents: five words, 75 % of the item's shingles."""
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=5, percent=75)
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of 300 n-grams from three folds of four, all documents classified. Tested by held-out accuracy."""
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    found = identify(docs, learn_profiles(docs.where(~out), depth=300), depth=300)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
