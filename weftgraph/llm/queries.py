@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .decontaminate import find_contamination
 from .hilbert import hilbert_shards
 from .language_id import held_out, identify, learn_profiles
+from .media import media_columns
 from .ngram_join import near_duplicates
 from .packing import harmonic_pack
+from .quality import classify_quality
 from .substring_dedup import remove_repeats
 from .toxicity import learn, score_toxicity
 from .url_filter import filter_urls
@@ -135,3 +137,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
     scorer = learn(docs, table(spark, sf_dir, "labels").where(~out), sample_rows=20_000)
     return score_toxicity(docs, scorer).select("doc_id", out.alias("held_out"), "score", "predicted", "clauses")
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted text: all documents labelled of quality 1. All documents are scored."""
+    found = classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "n_bytes", "perplexity", "z", F.col("accept").cast("int").alias("predicted"))
+
+
+@query("op9_media_columns")
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as grey pictures in tar shards, read back. Tested by an exact round trip."""
+    found = media_columns(table(spark, sf_dir, "documents"))
+    feature = F.format_string("png %dx%dx%d distinct=%d mean=%.3f", "width", "height", "bits", "distinct_bytes", F.col("mean_milli") / 1000)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "digest", "shard", "offset", "length")
