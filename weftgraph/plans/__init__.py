@@ -3,6 +3,6 @@
 
 def load_catalog():
     """The catalog with every module of plans registered."""
-    from . import catalog
+    from . import basic, catalog
 
     return catalog
