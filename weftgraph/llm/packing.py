@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import sys
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +16,30 @@ from pyspark.sql import functions as F
 
 from .units import NO_ID, prepared
 
+#: Whether this machine lays out unsigned 32-bit numbers as the result asks.
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Words that a worker keeps the ids of.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: ASCII signs that stand behind words; the tokenizer cuts between a letter or digit and these.
+SIGNS = b".,;:!?*$%&#|()[]{}<>=+-/@^~`_\""
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
+def _byte_signs() -> dict[int, str]:
+    """The usual stand-in character of each byte in byte-level vocabularies: visible Latin-1
+    characters stand for themselves, the others for 256 and on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_SIGNS = _byte_signs()
+
+
 class WordEncoder:
-    """Token ids of texts by a tokenizer that drops white space: ids of a text are those of its
-    words one after the other, so each distinct word is encoded once."""
+    """Token ids of texts by a tokenizer that drops white space and cuts letters, digits and signs
+    apart: ids of a text are those of its words one after the other, and ids of a word those of its
+    stem and of the signs behind it. So each distinct stem is encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -29,18 +48,57 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.ids: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
+        #: A normalised lower-case word of letters is one unit of the merges, so it needs no cutting.
+        self.merges = self.tokenizer.model if self._letters_are_units() else None
+
+    def _letters_are_units(self) -> bool:
+        self.merges = self.tokenizer.model
+        tried = ["a", "word", "ununterbrochen", "\u00e9t\u00e9", "\u03b1\u03b2\u03b3", "\u4e2d\u6587"]
+        return all(self._unit(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in tried)
+
+    def _unit(self, word: str) -> list[int]:
+        return [t.id for t in self.merges.tokenize(word if word.isascii() else "".join(map(BYTE_SIGNS.__getitem__, word.encode())))]
+
+    def _raw(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word: by the merges alone where it is one unit, else by the whole tokenizer."""
+        found: dict[bytes, list[int]] = {}
+        if self.merges is not None:
+            for w in words:
+                s = w.decode()
+                if s.isalpha() and (s.isascii() or (s == s.lower() and unicodedata.is_normalized("NFC", s))):
+                    found[w] = self._unit(s)
+        rest = [w for w in words if w not in found]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
+            found[w] = e.ids
+        return [array("I", found[w]).tobytes() if LITTLE else np.array(found[w], "<u4").tobytes() for w in words]
+
+    def _learn(self, words: set[bytes]) -> None:
+        cut = {}
+        for w in words:
+            stem = w.rstrip(SIGNS)
+            if stem and stem != w and (stem[-1:].isalnum() if stem[-1] < 128 else stem.decode()[-1].isalpha()):
+                cut[w] = stem, w[len(stem) :]
+            else:
+                cut[w] = w, b""
+        parts = self.parts
+        new = list({p for pair in cut.values() for p in pair if p not in parts})
+        parts.update(zip(new, self._raw(new)))
+        self.ids.update({w: parts[stem] + parts[tail] for w, (stem, tail) in cut.items()})
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
         split = [t.lower().split() for t in texts]
-        known = self.ids
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHE_WORDS and known:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        every = set().union(*split)
+        new = every.difference(self.ids)
+        if new:
+            if len(self.ids) + len(new) > CACHE_WORDS:
+                self.ids.clear()
+                self.parts = {b"": b""}
+                new = every
+            self._learn(new)
+        known = self.ids.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
 
 def encoder(path: str) -> WordEncoder:
