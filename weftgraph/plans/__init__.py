@@ -3,6 +3,6 @@
 
 def load_catalog():
     """The catalog with every module of plans registered."""
-    from . import basic, catalog, graphs, models
+    from . import basic, catalog, graphs, models, streams
 
     return catalog
