@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,7 +233,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     def second_pass(key: tuple[pa.Scalar, ...], unit: pa.Table, side: pa.Table) -> pa.Table:
         is_told = side.column("shard").is_valid()
         told = side.filter(is_told)
-        shingles, sizes, doc, tags = representatives(load(unit), side.filter(pa.compute.invert(is_told)))
+        shingles, sizes, doc, tags = representatives(load(unit), side.filter(pc.invert(is_told)))
         high = sketch.estimated_repeats(shingles, told, 1, bits, shards)
         rows: tuple[list, ...] = ([], [], [], [], [], [])
         ends = np.cumsum(sizes)

@@ -50,10 +50,11 @@ def _borders(gram: np.ndarray, shards: int) -> np.ndarray:
 def _discounts(seen: DataFrame) -> DataFrame:
     """One row with the three discounts of modified Kneser-Ney, from counts of counts."""
     n = seen.agg(*[F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    raw = [1 - 2 * y * F.col("n2") / F.col("n1"), 2 - 3 * y * F.col("n3") / F.col("n2"), 3 - 4 * y * F.col("n4") / F.col("n3")]
+    share = lambda a, b: F.try_divide(F.col(a), F.col(b))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+    raw = [1 - 2 * y * share("n2", "n1"), 2 - 3 * y * share("n3", "n2"), 3 - 4 * y * share("n4", "n3")]
     spare = (0.5, 1.0, 1.5)
-    safe = [F.when(F.col(f"n{k}") * F.col(f"n{k + 1}") > 0, F.least(F.greatest(r, F.lit(0.05)), F.lit(float(k)))).otherwise(F.lit(s)) for k, (r, s) in enumerate(zip(raw, spare), 1)]
+    safe = [F.when(F.col(f"n{k}") * F.col(f"n{k + 1}") > 0, F.least(F.greatest(F.coalesce(r, F.lit(s)), F.lit(0.05)), F.lit(float(k)))).otherwise(F.lit(s)) for k, (r, s) in enumerate(zip(raw, spare), 1)]
     return F.broadcast(n.select(*[x.alias(f"d{k}") for k, x in enumerate(safe, 1)], F.lit(1).alias("one")))
 
 
@@ -181,7 +182,7 @@ def classify_quality(
     every = F.broadcast(good.agg((F.sum("nats") / F.sum("n_bytes")).alias("all_mean")).withColumn("one", F.lit(1)))
     own = stats.where(F.col("docs") >= least_trusted).select("lang", "mean")
     scored = rows.join(own, "lang", "left").withColumn("one", F.lit(1)).join(every, "one", "left")
-    scored = scored.withColumn("z", (F.col("nats") - F.col("n_bytes") * F.coalesce("mean", "all_mean")) / F.sqrt(F.col("n_bytes").cast("double")))
+    scored = scored.withColumn("z", F.try_divide(F.col("nats") - F.col("n_bytes") * F.coalesce("mean", "all_mean"), F.sqrt(F.col("n_bytes").cast("double"))))
     scored = scored.withColumn("class", F.when(F.col("mean").isNotNull(), F.col("lang")).otherwise(F.lit("*")))
     limits = scored.where("trusted and n_bytes > 0").select(F.explode(F.array(F.lit("*"), F.when(F.col("class") != "*", F.col("class")))).alias("class"), "z").where("class is not null")
     limits = limits.groupBy("class").agg(F.percentile_approx("z", [low, high], 20_000).alias("q"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def deal(docs: DataFrame, units: int) -> DataFrame:
                 continue
             table = pa.Table.from_batches([batch])
             unit = batch.column("unit").to_numpy(zero_copy_only=False)
-            lengths = np.fromiter((len(x) for x in _binary(batch.column("text"))), np.int64, batch.num_rows)
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             order = np.argsort(unit, kind="stable")
             ranked, sizes = unit[order], np.cumsum(lengths[order] + 64)
             cut = np.flatnonzero((np.diff(ranked) != 0) | (np.diff(sizes // BLOCK_BYTES) != 0)) + 1
@@ -64,12 +65,6 @@ def deal(docs: DataFrame, units: int) -> DataFrame:
     return docs.withColumn("unit", unit_of(F.col("doc_id"), units)).mapInArrow(pack, "unit int, blob binary")
 
 
-def _binary(column):
-    """Lengths only: an array of memory views would cost more than this."""
-    column = column.cast(pa.binary()) if pa.types.is_string(column.type) else column.cast(pa.large_binary())
-    return (b"" if x is None else memoryview(x.as_buffer()) for x in column)
-
-
 def _dump(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -103,6 +98,8 @@ def raw_text(column) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     wide = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
     buffers = wide.buffers()
     offsets = np.frombuffer(buffers[1], np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
