@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .memory import tidy
 from .ngram_join import shingle_sets
 from .units import NO_ID, prepared, text_chunks
 
@@ -117,6 +118,7 @@ def find_contamination(
         index = ItemIndex(np.arange(len(ids)), rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), n, functions)
         shared = spark.sparkContext.broadcast((ids, index))
 
+        @tidy
         def search(batches, shared=shared):
             ids, index = shared.value
             for batch in batches:

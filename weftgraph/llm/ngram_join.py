@@ -12,6 +12,7 @@ from ..operators.components import connected_components
 from ..storage import materialize
 from . import kernels as K
 from . import sketch
+from .memory import tidy
 from .units import NO_ID, deal, load, prepared, text_bytes, text_chunks, unit_count, unit_of
 
 SEGMENT = "frag int, doc long, tag long, size int, have int, tokens binary"
@@ -95,6 +96,7 @@ def _hub_links(segments: DataFrame, seeds: tuple[int, ...], percent: int) -> Dat
     of highest priority; a record counts the tokens it shares with each of its hubs. Those counts
     never exceed the overlap, so what reaches the threshold is a link; one row for each incidence at most."""
 
+    @tidy
     def star(piece: pa.Table) -> pa.Table:
         part = _Fragment(piece)
         if not len(part.rec):
@@ -133,6 +135,7 @@ def _top(part: _Fragment, priority: np.ndarray) -> np.ndarray:
 def _all_links(segments: DataFrame, percent: int) -> DataFrame:
     """All links between records of different components: full partial overlaps, summed over fragments."""
 
+    @tidy
     def count(piece: pa.Table) -> pa.Table:
         part = _Fragment(piece)
         if not len(part.rec):
@@ -201,6 +204,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     bits, shards, fragments = sketch.bits_for(total), max(1, units // 2), max(1, -(-total // (128 << 20)))
     source = prepared(docs, id_col, text_col)
 
+    @tidy
     def measure(batches):
         for batch in batches:
             shingles, sizes = shingle_sets(batch.column("text"), n)
@@ -226,10 +230,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
                 keep[i] = True
         return shingles[np.repeat(keep, sizes)], sizes[keep], doc[keep], tags[keep]
 
+    @tidy
     def first_pass(key: tuple[pa.Scalar, ...], unit: pa.Table, side: pa.Table) -> pa.Table:
         shingles, sizes, _, _ = representatives(load(unit), side)
         return sketch.send(key[0].as_py(), shingles, np.repeat(np.arange(len(sizes)), sizes), 1, bits, shards)
 
+    @tidy
     def second_pass(key: tuple[pa.Scalar, ...], unit: pa.Table, side: pa.Table) -> pa.Table:
         is_told = side.column("shard").is_valid()
         told = side.filter(is_told)
@@ -259,6 +265,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     links = links.unionByName(more)
     components = materialize(connected_components(links), "components")
 
+    @tidy
     def crossing(piece: pa.Table) -> pa.Table:
         part = _Fragment(piece)
         return pa.table([pa.array(part.doc), pa.array(part.tag), pa.array(part.size.astype(np.int32)), pa.array(np.bincount(part.rec, minlength=len(part.doc)).astype(np.int32))], ["doc", "tag", "size", "cross"])

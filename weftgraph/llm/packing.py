@@ -14,12 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .units import NO_ID, prepared
 
 #: Whether this machine lays out unsigned 32-bit numbers as the result asks.
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-#: Words that a worker keeps the ids of.
-CACHE_WORDS = 1_000_000
+#: Words, and stems and runs of signs, that a worker keeps the ids of.
+CACHE_WORDS, CACHE_PARTS = 300_000, 400_000
 #: ASCII signs that stand behind words; the tokenizer cuts between a letter or digit and these.
 SIGNS = b".,;:!?*$%&#|()[]{}<>=+-/@^~`_\""
 _ENCODERS: dict[str, "WordEncoder"] = {}
@@ -77,7 +78,7 @@ class WordEncoder:
         cut = {}
         for w in words:
             stem = w.rstrip(SIGNS)
-            if stem and stem != w and (stem[-1:].isalnum() if stem[-1] < 128 else stem.decode()[-1].isalpha()):
+            if stem and stem != w and (stem[-1:].isalnum() if stem[-1] < 128 else stem.decode().lower()[-1].isalpha()):
                 cut[w] = stem, w[len(stem) :]
             else:
                 cut[w] = w, b""
@@ -94,8 +95,9 @@ class WordEncoder:
         if new:
             if len(self.ids) + len(new) > CACHE_WORDS:
                 self.ids.clear()
-                self.parts = {b"": b""}
                 new = every
+            if len(self.parts) > CACHE_PARTS:
+                self.parts = {b"": b""}
             self._learn(new)
         known = self.ids.__getitem__
         return [b"".join(map(known, words)) for words in split]
@@ -178,6 +180,7 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, en
     often as they occur. Empty table: no rows. Memory: one batch of texts.
     """
 
+    @tidy
     def pack(batches):
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], "<u4").tobytes()

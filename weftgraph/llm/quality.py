@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from . import kernels as K
+from .memory import tidy
 from .units import NO_ID, deal, load, prepared, raw_text, text_bytes, unit_count, unit_of
 
 #: Order of the model: a byte given the three before it. Texts begin after three line feeds.
@@ -108,6 +109,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("long").alias("doc")).where("doc is not null")
     good = good.select(unit_of(F.col("doc"), units).alias("unit"), "doc", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("answer"))
 
+    @tidy
     def ask(key: tuple[pa.Scalar, ...], unit: pa.Table, side: pa.Table) -> pa.Table:
         table = load(unit)
         trusted = np.isin(table.column("doc_id").to_numpy(), side.column("doc").to_numpy())
@@ -126,18 +128,21 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                     store.append(value)
         return pa.table([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["shard", "unit", "grams", "counts"])
 
+    @tidy
     def add(piece: pa.Table) -> pa.Table:
         grams = [K.unpack_sorted(x).astype(np.int64) for x in piece.column("grams").to_pylist()]
         counts = [np.diff(K.unpack_sorted(x).astype(np.int64), prepend=0) for x in piece.column("counts").to_pylist()]
         gram, count = _summed(grams, counts)
         return pa.table([pa.array(gram), pa.array(count)], ["g", "c"])
 
+    @tidy
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, model: pa.Table) -> pa.Table:
         order = np.argsort(model.column("g").to_numpy())
         known, nats = model.column("g").to_numpy()[order], -np.log(model.column("p").to_numpy()[order])
         out = [nats[np.searchsorted(known, K.unpack_sorted(x).astype(np.int64))].astype(np.float32).tobytes() for x in asked.column("grams").to_pylist()]
         return pa.table([asked.column("unit"), asked.column("shard"), pa.array(out, pa.binary())], ["unit", "shard", "answer"])
 
+    @tidy
     def total_up(key: tuple[pa.Scalar, ...], unit: pa.Table, side: pa.Table) -> pa.Table:
         if not unit.num_rows:  # labels of documents that are not there
             return pa.schema([("doc", pa.int64()), ("lang", pa.string()), ("mark", pa.int64()), ("n_bytes", pa.int64()), ("nats", pa.float64()), ("trusted", pa.bool_())]).empty_table()

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
+from .memory import tidy
 
 SENT = "shard int, unit int, cells binary, many binary"
 TOLD = "unit int, shard int, mask binary"
@@ -60,6 +61,7 @@ def send(unit: int, items: np.ndarray, owner: np.ndarray, depth: int, bits: int,
 def merge(pieces: DataFrame) -> DataFrame:
     """Add the counters of all units, range by range; to each unit a bit for each of its cells."""
 
+    @tidy
     def add(piece: pa.Table) -> pa.Table:
         cells = [K.unpack_sorted(x) for x in piece.column("cells").to_pylist()]
         many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)).astype(bool) for x, c in zip(piece.column("many").to_pylist(), cells)]

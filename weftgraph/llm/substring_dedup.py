@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import sketch
+from .memory import tidy
 from .units import NO_ID, deal, load, prepared, raw_text, split_at, text_bytes, unit_count, windows
 
 EXACT = "shard int, unit int, hi binary, lo binary, owner binary, owners binary"
@@ -60,11 +61,13 @@ def remove_repeats(
     source = prepared(docs, id_col, text_col, carry)
     dealt = deal(source, units)
 
+    @tidy
     def first_pass(key: tuple[pa.Scalar, ...], unit: pa.Table) -> pa.Table:
         table = load(unit)
         (hashes,), counts, _ = windows(table.column("text"), n)
         return sketch.send(key[0].as_py(), hashes, np.repeat(table.column("doc_id").to_numpy(), counts), depth, bits, shards)
 
+    @tidy
     def second_pass(key: tuple[pa.Scalar, ...], unit: pa.Table, told: pa.Table) -> pa.Table:
         _, _, _, _, hi, lo, smallest = _grouped(load(unit), told, n, depth, bits, shards)
         borders = split_at(hi, shards, 64)
@@ -77,6 +80,7 @@ def remove_repeats(
                     store.append(value)
         return pa.table([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int32(), *[pa.binary()] * 4))], ["shard", "unit", "hi", "lo", "owner", "owners"])
 
+    @tidy
     def compare(piece: pa.Table) -> pa.Table:
         hi = [K.unpack_sorted(x) for x in piece.column("hi").to_pylist()]
         sizes = [len(x) for x in hi]
@@ -97,6 +101,7 @@ def remove_repeats(
 
     carried = [f"carry_{i}" for i in range(len(carry))]
 
+    @tidy
     def third_pass(key: tuple[pa.Scalar, ...], unit: pa.Table, both: pa.Table) -> pa.Table:
         table = load(unit)
         exact = both.column("exact").to_numpy(zero_copy_only=False).astype(bool)

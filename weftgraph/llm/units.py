@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .memory import tidy
 
 #: Stands for a null doc_id inside the operators: larger than any id, so never "a smaller one".
 NO_ID = 2**63 - 1
@@ -47,6 +48,7 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
 def deal(docs: DataFrame, units: int) -> DataFrame:
     """Rows ``(unit, blob)``: the columns of ``docs``, cut into compressed blocks of each unit."""
 
+    @tidy
     def pack(batches):
         for batch in batches:
             if not batch.num_rows:
