@@ -80,14 +80,15 @@ def _interpolated(asked: DataFrame, seen: DataFrame, lower: DataFrame | None, bi
 def kneser_ney(types: DataFrame) -> DataFrame:
     """Rows ``g, p`` from rows ``g, c``: 4-grams of bytes with their counts in trusted text (0 for
     those only asked about). Lower orders count distinct left neighbours. Each order's counts,
-    contexts and lower-order values meet by joins on their n-grams, so the tables are sharded like any others."""
+    contexts and lower-order values meet by joins on their n-grams, so the tables are sharded like any
+    others. Each order's tables are written, which keeps the plans small."""
     seen, asked, p = {4: types.where("c > 0")}, {4: types.select("g")}, None
     for n in (3, 2, 1):
         mask = F.lit((1 << 8 * n) - 1)
-        seen[n] = seen[n + 1].groupBy(F.col("g").bitwiseAND(mask).alias("g")).agg(F.count("*").alias("c"))
-        asked[n] = asked[n + 1].select(F.col("g").bitwiseAND(mask).alias("g")).distinct()
+        seen[n] = materialize(seen[n + 1].groupBy(F.col("g").bitwiseAND(mask).alias("g")).agg(F.count("*").alias("c")), "seen")
+        asked[n] = materialize(asked[n + 1].select(F.col("g").bitwiseAND(mask).alias("g")).distinct(), "types")
     for n in (1, 2, 3, 4):
-        p = _interpolated(asked[n], seen[n], p, 8 * (n - 1))
+        p = materialize(_interpolated(asked[n], seen[n], p, 8 * (n - 1)), "model")
     return p
 
 
@@ -96,8 +97,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     probability of its text under the model of all trusted text (``quality`` 1), in a written table.
     ``mark`` tells texts of one id apart.
 
-    Texts are dealt once. Each unit sends its distinct 4-grams, with their counts in its trusted
-    documents, to the shards of the n-gram space; there counts are summed and joined to the model,
+    Texts are dealt twice. Each unit writes its distinct 4-grams, with their counts in its trusted
+    documents, for the shards of the n-gram space; there counts are summed and joined to the model,
     and the answers go back to the units that asked.
     """
     total = text_bytes(docs, text_col)
@@ -161,8 +162,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 size[first : first + len(part)] += np.bincount(doc, weights=count).astype(np.int64)
         return pa.table([table.column("doc_id"), table.column("carry_0"), table.column("carry_1"), pa.array(size), pa.array(sums), pa.array(trusted)], ["doc", "lang", "mark", "n_bytes", "nats", "trusted"])
 
-    asked = dealt.groupBy("unit").cogroup(good.groupBy("unit")).applyInArrow(ask, "shard int, unit int, grams binary, counts binary")
-    model = kneser_ney(asked.groupBy("shard").applyInArrow(add, "g long, c long"))
+    asked = materialize(dealt.groupBy("unit").cogroup(good.groupBy("unit")).applyInArrow(ask, "shard int, unit int, grams binary, counts binary"), "asked")
+    model = kneser_ney(materialize(asked.groupBy("shard").applyInArrow(add, "g long, c long"), "types"))
     model = model.withColumn("shard", F.expr(f"cast((g * {shards}) div 4294967296 as int)"))
     told = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, "unit int, shard int, answer binary")
     side = good.unionByName(told.select("unit", F.lit(None).cast("long").alias("doc"), "shard", "answer"))
