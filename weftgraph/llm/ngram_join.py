@@ -159,7 +159,9 @@ def _all_links(segments: DataFrame, percent: int) -> DataFrame:
             b = np.flatnonzero(seen)
             b = b[(rank[b] > rank[a]) & (100 * np.minimum(part.size[b], part.size[a]) >= percent * np.maximum(part.size[b], part.size[a]))]
             if len(b):
-                out.append(part.links(np.full(len(b), a), b, seen[b], 0, percent))
+                # ranks differ between fragments: the ends of a pair stand by (doc, tag), the same in all
+                ahead = (part.doc[b] > part.doc[a]) | ((part.doc[b] == part.doc[a]) & (part.tag[b] > part.tag[a]))
+                out.append(part.links(np.where(ahead, a, b), np.where(ahead, b, a), seen[b], 0, percent))
         return pa.concat_tables(out) if out else _no_links()
 
     return _summed(segments.groupBy("frag").applyInArrow(count, LINK), percent)
@@ -177,7 +179,7 @@ def _in_components(segments: DataFrame, components: DataFrame | None) -> DataFra
     return segments.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int | None = None, fragments: int | None = None) -> DataFrame:
     """Rows ``doc_id, n_shingles, component_id`` for each document: the size of its set of distinct
     n-word shingles (A-Z lower-cased) and the smallest id reachable over links. Two documents link
     when ``100 * |intersection| >= percent * |union|``.
@@ -201,7 +203,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     spark = docs.sparkSession
     total = text_bytes(docs, text_col)
     units = unit_count(total, unit_bytes)
-    bits, shards, fragments = sketch.bits_for(total), max(1, units // 2), max(1, -(-total // (128 << 20)))
+    bits, shards, fragments = sketch.bits_for(total), max(1, units // 2), fragments or max(1, -(-total // (128 << 20)))
     source = prepared(docs, id_col, text_col)
 
     @tidy
