@@ -16,7 +16,7 @@ from .units import NO_ID, prepared, text_chunks
 BLOCK_BYTES = 16 << 20
 #: Shingles of the smallest half-block.
 GRAIN = 16
-SCHEMA = "doc_id long, item_id long, n_item long, n_shared long"
+SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, mark long"
 
 
 class ItemIndex:
@@ -92,7 +92,7 @@ def candidates(index: ItemIndex, grams: np.ndarray, counts: np.ndarray) -> np.nd
 
 
 def find_contamination(
-    docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 75, functions: int = 64, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 75, functions: int = 64, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, marked: bool = False
 ) -> DataFrame:
     """Rows ``doc_id, item_id, n_item, n_shared``: each document that has ``percent`` % of an item's
     distinct n-word shingles (A-Z lower-cased) in its whole text, with both counts.
@@ -105,12 +105,14 @@ def find_contamination(
 
     Items or documents without words match nothing; texts shorter than ``n`` words are one shingle.
     Null ids are returned as null. Repeated rows give repeated pairs. Empty tables: no rows.
+    ``marked`` adds ``mark``, a hash of the text that tells rows of one id, or of none, apart.
     """
     spark = docs.sparkSession
     items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     total = int(items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     blocks = max(1, -(-total // block_bytes))
     source, out = prepared(docs, id_col, text_col), None
+    source = source.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))) if marked else F.lit(None).cast("long"))
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = part.toArrow()
@@ -122,8 +124,8 @@ def find_contamination(
         def search(batches, shared=shared):
             ids, index = shared.value
             for batch in batches:
-                found: tuple[list, ...] = ([], [], [], [])
-                doc_ids = batch.column("doc_id").to_pylist()
+                found: tuple[list, ...] = ([], [], [], [], [])
+                doc_ids, marks = batch.column("doc_id").to_pylist(), batch.column("mark")
                 for base, chunk in text_chunks(batch.column("text"), lower=True) if len(index.ids) else ():
                     hashes = chunk.hashes()
                     inside, counts = K.window_starts(chunk.first, n)
@@ -136,10 +138,11 @@ def find_contamination(
                             own = K.ngrams(hashes[chunk.first[i] : chunk.first[i + 1]], int(lengths[i]))
                         common = index.shared(own)
                         for k in np.flatnonzero((common > 0) & (100 * common >= percent * index.sizes)).tolist():
-                            for store, value in zip(found, (doc_ids[base + i], ids[index.ids[k]], int(index.sizes[k]), int(common[k]))):
+                            for store, value in zip(found, (doc_ids[base + i], ids[index.ids[k]], int(index.sizes[k]), int(common[k]), marks[base + i].as_py())):
                                 store.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["doc_id", "item_id", "n_item", "n_shared"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["doc_id", "item_id", "n_item", "n_shared", "mark"])
 
         pairs = source.mapInArrow(search, SCHEMA)
         out = pairs if out is None else out.unionByName(pairs)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    out = out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return out if marked else out.drop("mark")

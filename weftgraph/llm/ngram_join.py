@@ -170,13 +170,22 @@ def _all_links(segments: DataFrame, percent: int) -> DataFrame:
 def _summed(partial: DataFrame, percent: int) -> DataFrame:
     """Sum the partial overlaps of each pair; pairs that reach the threshold."""
     total = partial.groupBy("a", "atag", "asize", "b", "btag", "bsize", "k").agg(F.sum("partial").alias("overlap"))
-    return total.where(_reaches(F.col("overlap"), F.col("asize"), F.col("bsize"), percent)).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return total.where(_reaches(F.col("overlap"), F.col("asize"), F.col("bsize"), percent)).select(F.col("a").alias("src"), "atag", F.col("b").alias("dst"), "btag").distinct()
+
+
+def _node(doc: str, tag: str):
+    """A record as a node: rows that share an id, or have none, are one node only if their shingle sets are equal."""
+    return F.xxhash64(doc, tag)
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    return connected_components(links.select(_node("src", "atag").alias("src"), _node("dst", "btag").alias("dst")))
 
 
 def _in_components(segments: DataFrame, components: DataFrame | None) -> DataFrame:
     if components is None:
-        return segments.withColumn("comp", F.col("doc"))
-    return segments.join(components.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+        return segments.withColumn("comp", _node("doc", "tag"))
+    return segments.withColumn("node", _node("doc", "tag")).join(components, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component", "node")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int | None = None, fragments: int | None = None) -> DataFrame:
@@ -198,8 +207,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     that share three quarters of their shingles with other components and yet have not joined them.
 
     Null or word-less text: size 0, linked with nothing. Null id: taken as larger than any, returned
-    as null. Rows of one id count as one document where links are followed. Empty table: no rows.
+    as null. Rows that share an id, or have none, are documents of their own where links are followed,
+    unless their shingle sets are equal. Empty table: no rows.
     """
+    return representatives_of_rows(docs, n, percent, id_col, text_col, unit_bytes, fragments).drop("mark", "first")
+
+
+def representatives_of_rows(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int | None = None, fragments: int | None = None) -> DataFrame:
+    """``near_duplicates`` with ``mark``, a hash of the text that tells rows of one id apart, and
+    ``first``: whether the row's (id, mark) is the smallest of its component."""
     spark = docs.sparkSession
     total = text_bytes(docs, text_col)
     units = unit_count(total, unit_bytes)
@@ -211,10 +227,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
         for batch in batches:
             shingles, sizes = shingle_sets(batch.column("text"), n)
             c1, c2 = _digests(shingles, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(c1), pa.array(c2)], ["doc", "n", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(sizes), pa.array(c1), pa.array(c2)], ["doc", "mark", "n", "c1", "c2"])
 
-    measured = materialize(source.mapInArrow(measure, "doc long, n long, c1 long, c2 long"), "sets")
-    classes = measured.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc").alias("rep"))
+    marked = source.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    measured = materialize(marked.mapInArrow(measure, "doc long, mark long, n long, c1 long, c2 long"), "sets")
+    classes = measured.where("n > 0").groupBy("n", "c1", "c2").agg(F.min(F.struct("doc", "mark")).alias("least")).select("n", "c1", "c2", F.col("least.doc").alias("rep"), "least")
     chosen = classes.select(unit_of(F.col("rep"), units).alias("unit"), F.col("rep").alias("doc"), "c1", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("mask"))
     dealt = deal(source, units)
 
@@ -262,10 +279,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     segments = materialize(dealt.groupBy("unit").cogroup(side.groupBy("unit")).applyInArrow(second_pass, SEGMENT), "segments")
 
     links = materialize(_hub_links(_in_components(segments, None), tuple(range(8)), percent), "links")
-    components = materialize(connected_components(links), "components")
+    components = materialize(_joined(links), "components")
     more = materialize(_hub_links(_in_components(segments, components), tuple(range(8, 24)), percent), "links")
     links = links.unionByName(more)
-    components = materialize(connected_components(links), "components")
+    components = materialize(_joined(links), "components")
 
     @tidy
     def crossing(piece: pa.Table) -> pa.Table:
@@ -275,10 +292,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     placed = _in_components(segments, components)
     open_docs = placed.groupBy("frag").applyInArrow(crossing, "doc long, tag long, size int, cross int").groupBy("doc", "tag", "size").agg(F.sum("cross").alias("cross")).where(f"100 * cross >= {percent} * size")
     rest = materialize(_all_links(placed.join(open_docs.select("doc", "tag"), ["doc", "tag"], "left_semi"), percent), "links")
-    components = materialize(connected_components(links.unionByName(rest)), "components")
-    named = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("n", "c1", "c2", F.coalesce("component", "rep").alias("component"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    components = materialize(_joined(links.unionByName(rest)), "components")
+    nodes = classes.withColumn("node", _node("rep", "c1"))
+    linked = components.join(nodes.select("node", "least"), "node")
+    heads = materialize(linked.join(linked.groupBy("component").agg(F.min("least").alias("head")), "component").select("node", "head"), "heads")
+    named = nodes.join(heads, "node", "left").select("n", "c1", "c2", F.coalesce("head", "least").alias("head"))
+    real = lambda c: F.when(c != NO_ID, c)
     return (
-        measured.join(named, ["n", "c1", "c2"], "left").withColumn("component", F.coalesce("component", "doc"))
-        .select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+        measured.join(named, ["n", "c1", "c2"], "left").withColumn("head", F.coalesce("head", F.struct("doc", "mark")))
+        .select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.col("head.doc")).alias("component_id"), "mark", (F.col("head") == F.struct("doc", "mark")).alias("first"))
     )
