@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,25 +20,32 @@ def both_ways(pairs: DataFrame, *keys: str) -> DataFrame:
     return pairs.select(*keys, F.col("u").alias("a"), F.col("v").alias("b")).unionByName(pairs.select(*keys, F.col("v").alias("a"), F.col("u").alias("b")))
 
 
-def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> DataFrame:
+#: Levels after which the reached nodes are written anew, so that plans stay small.
+BFS_CUT = 16
+
+
+def bfs(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``node_id, depth, parent``: undirected breadth-first search from ``sources.node_id``; the parent
-    is the smallest neighbour one step nearer. Each depth's frontier is one join; reached nodes are a written table."""
+    is the smallest neighbour one step nearer. Each depth's frontier is one join; reached nodes are a written table.
+    Goes on until a depth reaches no new node."""
     both = materialize(both_ways(canonical(edges)), "bfs-edges")
     seen = materialize(sources.select("node_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent")), "bfs")
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         found = both.join(frontier.select(F.col("node_id").alias("a")), "a").groupBy(F.col("b").alias("node_id")).agg(F.lit(depth).cast("long").alias("depth"), F.min("a").alias("parent"))
         frontier = materialize(found.join(seen, "node_id", "left_anti"), "bfs")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % BFS_CUT == 0:
+            seen = materialize(seen, "bfs")
     return seen
 
 
-def spanning_forest(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def spanning_forest(edges: DataFrame) -> DataFrame:
     """``u, v``: tree edges of each component, by breadth-first search from its smallest node."""
     roots = connected_components(edges).where("node = component").select(F.col("node").alias("node_id"))
-    return bfs(edges, roots, max_depth).where("parent is not null").select(F.least("node_id", "parent").alias("u"), F.greatest("node_id", "parent").alias("v"))
+    return bfs(edges, roots).where("parent is not null").select(F.least("node_id", "parent").alias("u"), F.greatest("node_id", "parent").alias("v"))
 
 
 def bfs_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
