@@ -68,7 +68,7 @@ def component_sizes(spark, d):
 @query("bfs_relabel")
 def bfs_relabel(spark, d):
     g = test_graph(spark, d)
-    return B.relabeled(sparse(spark, d), B.bfs_order(sparse(spark, d), g.nodes))
+    return B.relabeled(g.edges, B.bfs_order(g.edges, g.nodes))
 
 
 @query("minmax_train", with_graph("SELECT node_id, dim, round((v - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 5) AS v FROM x JOIN (SELECT dim, min(v) AS lo, max(v) AS hi FROM x JOIN roles USING (node_id) WHERE role = 'train' GROUP BY dim) q USING (dim)", ROLES))

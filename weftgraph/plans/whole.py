@@ -1,0 +1,93 @@
+"""Queries of ``basic``, ``graphs`` and ``extras`` whose SQL covers a part of the rows, over all of them. Tested against brute force."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..model import table, test_graph
+from ..operators import distances as D
+from ..operators import edges as E
+from ..operators import metrics as M
+from ..operators import propagate as P
+from ..operators import structure as S
+from ..operators import trees as T
+from .catalog import query
+from .graphs import degree_vectors
+
+
+def links(spark, d):
+    return test_graph(spark, d).edges.where("src <> dst")
+
+
+@query("components_whole")
+def components(spark, d):
+    return S.connected_components(links(spark, d))
+
+
+@query("component_sizes_whole")
+def component_sizes(spark, d):
+    return S.connected_components(links(spark, d)).groupBy("component").agg(F.count("*").alias("n"))
+
+
+@query("largest_component_whole")
+def largest_component(spark, d):
+    return S.largest_component(links(spark, d))
+
+
+@query("bfs_depth_whole")
+def bfs_depth(spark, d):
+    e = links(spark, d)
+    root = S.both_ways(E.canonical(e)).groupBy(F.col("a").alias("node_id")).count().orderBy(F.desc("count"), "node_id").limit(1).select("node_id")
+    return S.bfs(e, root).select("node_id", "depth")
+
+
+@query("spanning_forest_size_whole")
+def forest_size(spark, d):
+    return S.spanning_forest(links(spark, d)).agg(F.count("*").alias("tree_edges"))
+
+
+@query("orbits4_whole")
+def orbits4(spark, d):
+    return S.orbits4(E.canonical(test_graph(spark, d).edges))
+
+
+@query("edge_distances_whole")
+def edge_distances(spark, d):
+    g = test_graph(spark, d)
+    rows = E.with_ends(g.edges, g.nodes, "feature")
+    return rows.select("src", "dst", F.round(V.l1_distance("src_feature", "dst_feature"), 5).alias("l1"), F.round(F.sqrt(V.squared_l2_distance("src_feature", "dst_feature")), 5).alias("l2"))
+
+
+def epochs(spark, d, name):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("epoch"), F.col("p_retailprice").cast("double").alias(name))
+
+
+@query("early_stop_trace_whole")
+def early_stop(spark, d):
+    return M.early_stop(epochs(spark, d, "score"), 3)
+
+
+@query("window_stop_trace_whole")
+def window_stop(spark, d):
+    return M.window_stop(epochs(spark, d, "loss"), 3)
+
+
+@query("cnf_export_whole")
+def cnf(spark, d):
+    return T.cnf_clauses(table(spark, d, "lineitem").select((F.col("l_partkey") % 97).alias("clause_id"), (F.col("l_suppkey") % 60).alias("literal_id")), 30)
+
+
+@query("emd_degree_whole")
+def emd_degree(spark, d):
+    """Each pair of graphs of the collection, once."""
+    v = degree_vectors(spark, d)
+    a, b = v.select(F.col("graph_id").alias("ga"), F.col("h").alias("a")), v.select(F.col("graph_id").alias("gb"), F.col("h").alias("b"))
+    return a.join(b, F.col("ga") < F.col("gb")).select("ga", "gb", F.round(D.emd("a", "b"), 6).alias("emd"))
+
+
+@query("activations_whole")
+def activations(spark, d):
+    x = P.long_form(test_graph(spark, d).nodes)
+    made = {"sigmoid": V.sigmoid("v"), "relu": V.relu("v"), "leaky": V.leaky_relu("v"), "elu": V.elu("v"), "swish": V.swish("v"), "gelu": V.gelu("v"), "clamped": V.log_variance(F.col("v") * 100)}
+    return x.select("node_id", "dim", *[F.round(c, 6).alias(n) for n, c in made.items()])
