@@ -159,10 +159,30 @@ def test_hilbert(docs, none):
     assert sorted((r.doc_id or -1, r["size"], r.text_crc32) for r in rows) == want
     assert [r.curve for r in sorted(rows, key=lambda r: (r.shard, r.slot))] == sorted(r.curve for r in rows)
     assert hilbert_shards(none, 8).count() == 0
+    assert hilbert_shards(docs.limit(0), 8, dims=("source",)).count() == 0
     placed = hilbert_shards(docs, 4, dims=("n_chars",))
     assert shard_ranges(placed.join(docs.select("doc_id", "n_chars").distinct(), "doc_id"), ["n_chars"]).count() == 4
 
 
+def test_string_borders(spark):
+    """Strings that share a long prefix still lie apart, by their whole order and their weights."""
+    rng = random.Random(8)
+    values = [f"https://www.example.org/a/long/path/{rng.randint(0, 300):05d}" for _ in range(2000)] + ["https://hot"] * 1000 + [None] * 50
+    rows = spark.createDataFrame([(i, "t", v) for i, v in enumerate(values)], "doc_id long, text string, source string")
+    known = sorted(v for v in values if v is not None)
+    steps = 16
+    cross, seen = [], 0
+    for v, group in itertools.groupby(known):
+        n = len(list(group))
+        if (seen + n) * steps // len(known) > seen * steps // len(known):
+            cross.append(v)
+        seen += n
+    assert hilbert.string_borders(rows, "source", steps) == cross[: steps - 1] and len(cross) > 8
+    cells = {r.cell for r in hilbert_shards(rows, 8, dims=("source",)).collect()}
+    assert len(cells) > 8
+    assert hilbert.string_borders(rows.where("source is null"), "source", steps) == []
+
+
 def test_url_filter(spark):
     urls = ["http://a.example.NET/en/x?q#f", "https://example.net/EN/", "http://net", "http://net/", "http://xnet/", "http://b.org/fr/", "http://org/fr", "http://c.example.com/de/1", "example.com/de/", None, "", "http://a.net?x=/", "x://EXAMPLE.com/de/#a", "http:///en/", "http://a://example.net/en/", "http://.net/", "http://a.b.c.d.example.net/en/", "http://a.net\n/x", "http://h/\n?y"] * 2
     pages = spark.createDataFrame([(i, u, "p") for i, u in enumerate(urls)] + [(0, urls[0], "p")], "page_id long, url string, path string")
@@ -227,8 +247,24 @@ def test_word_encoder():
     for _ in range(400):
         t = "".join(rng.choice(signs) for _ in range(rng.randint(0, 25)))
         assert np.frombuffer(own.encode([t.encode()])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
-    for n in range(0, 2048):
-        assert sum(packing.reciprocal_lengths(n, 2048)) == n
+
+
+def test_whole_documents_stay_whole():
+    """Documents that fit a sequence are cut as a last resort only, sequences are full, and each id is in one piece."""
+    rng = random.Random(11)
+    packer, sizes = packing.Packer(2048, 0), {}
+    for doc in range(4000):
+        sizes[doc] = rng.choice([1, rng.randint(1, 60), rng.randint(50, 900), rng.randint(600, 2048), 2048, rng.randint(2049, 20_000) if doc % 10 == 0 else 300])
+        packer.add(doc, np.arange(sizes[doc], dtype="<u4").tobytes())
+    packer.finish()
+    pieces, bins = defaultdict(list), defaultdict(int)
+    for doc, start, length, ids, total, sequence, offset in packer.closed:
+        assert offset == bins[sequence] and total == sizes[doc] and length == len(ids) // 4
+        pieces[doc].append((start, ids))
+        bins[sequence] += length
+    assert all(b"".join(x for _, x in sorted(pieces[d])) == np.arange(n, dtype="<u4").tobytes() for d, n in sizes.items())
+    assert all(n == 2048 or n & (n - 1) == 0 for n in bins.values()) and sum(n < 2048 for n in bins.values()) <= 11
+    assert sum(len(pieces[d]) > 1 for d, n in sizes.items() if n <= 2048) < 0.01 * len(sizes)
 
 
 def test_decontamination(spark, docs, none):

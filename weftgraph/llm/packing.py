@@ -5,17 +5,17 @@ from __future__ import annotations
 import os
 import sys
 import unicodedata
-import zlib
 from array import array
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .memory import tidy
-from .units import NO_ID, prepared
+from .units import plain_columns
 
 #: Whether this machine lays out unsigned 32-bit numbers as the result asks.
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
@@ -109,37 +109,117 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def reciprocal_lengths(length: int, capacity: int) -> list[int]:
-    """Cut a length below the capacity into pieces of a k-th of the capacity each, largest first."""
-    out = []
-    while length:
-        piece = capacity // -(-capacity // length)
-        out.append(piece)
-        length -= piece
-    return out
-
-
 class Packer:
-    """Bins of one worker. A class holds pieces of one length, a k-th of the capacity; its bins
-    close at their fixed count of pieces. ``finish`` joins what open bins hold into full bins; the
-    rest goes to bins whose length is a power of two, which need no padding."""
+    """Bins of one worker, as harmonic packing fills them. A document of length r belongs to class
+    ``k = capacity // r`` and a bin of that class closes at its fixed count of k whole documents. What
+    room it has left takes, in this order, whole documents of the smallest classes (above
+    ``CLASSES``), longest first; then the next stretch of a document longer than a sequence, which has
+    to be cut anyway. A bin for which there is neither waits. Only when ``WAITING`` bins wait, or at
+    the end, are documents cut that would have fitted whole. Sequences are full but for the last
+    ones, which have a power of two as their length."""
+
+    #: Greatest count of documents that a bin is closed at; bins that may wait; capacities of long documents held back.
+    CLASSES, WAITING, RESERVE = 24, 256, 64
 
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.next_id = capacity, first_id
         self.open: dict[int, list[tuple]] = {}
+        self.waiting: list[tuple[int, int, list[tuple]]] = []
+        self.small: list[tuple[int, int, tuple]] = []
+        self.reserve: deque[tuple] = deque()
+        self.held = self.loose = self.serial = 0
         self.closed: list[tuple] = []
 
     def add(self, doc: int, ids: bytes) -> None:
-        total, start = len(ids) // 4, 0
-        while total - start >= self.capacity:
-            self._close([(doc, start, ids[4 * start : 4 * (start + self.capacity)], total)])
-            start += self.capacity
-        for length in reciprocal_lengths(total - start, self.capacity):
-            pieces = self.open.setdefault(length, [])
-            pieces.append((doc, start, ids[4 * start : 4 * (start + length)], total))
-            start += length
-            if len(pieces) == self.capacity // length:
-                self._close(self.open.pop(length))
+        total = len(ids) // 4
+        piece = (doc, 0, ids, total)
+        if total <= self.capacity:
+            self._place(piece)
+        else:
+            self._hold(piece)
+            while self.held > self.RESERVE * self.capacity:
+                self._shed()
+        if self.reserve and self.waiting:
+            self._serve()
+
+    def _hold(self, piece: tuple) -> None:
+        self.reserve.append(piece)
+        self.held += len(piece[2]) // 4
+
+    def _shed(self) -> None:
+        """A whole sequence of the oldest long document, or its last part as a document of its own."""
+        doc, start, ids, total = self.reserve.popleft()
+        length = len(ids) // 4
+        take = min(length, self.capacity)
+        self.held -= take
+        if take < length:
+            self.reserve.appendleft((doc, start + take, ids[4 * take :], total))
+        if take == self.capacity:
+            self._close([(doc, start, ids[: 4 * take], total)])
+        else:
+            self._place((doc, start, ids, total))
+
+    def _place(self, piece: tuple) -> None:
+        length = len(piece[2]) // 4
+        k = self.capacity // length
+        self.serial += 1
+        if k > self.CLASSES:
+            insort(self.small, (length, self.serial, piece))
+            self.loose += length
+            if self.loose > 8 * self.capacity:
+                self._settle([])
+            return
+        pieces = self.open.setdefault(k, [])
+        pieces.append(piece)
+        if len(pieces) == k:
+            self._settle(self.open.pop(k))
+
+    def _room(self, pieces: list[tuple]) -> int:
+        return self.capacity - sum(len(p[2]) // 4 for p in pieces)
+
+    def _settle(self, pieces: list[tuple]) -> None:
+        """Fill a bin's room and close it, or let it wait."""
+        room = self._room(pieces)
+        while room:
+            at = bisect_right(self.small, (room, 1 << 62)) - 1
+            if at < 0:
+                break
+            length, _, piece = self.small.pop(at)
+            self.loose -= length
+            pieces.append(piece)
+            room -= length
+        while room and self.reserve:
+            room -= self._cut(pieces, room)
+        if not room:
+            self._close(pieces)
+            return
+        self.serial += 1
+        insort(self.waiting, (room, self.serial, pieces))
+        if len(self.waiting) > self.WAITING:
+            for piece in self.waiting.pop()[2]:
+                self._hold(piece)
+            self._serve()
+
+    def _cut(self, pieces: list[tuple], room: int) -> int:
+        """Move up to ``room`` ids of the first held document into a bin; how many they were."""
+        doc, start, ids, total = self.reserve.popleft()
+        take = min(room, len(ids) // 4)
+        pieces.append((doc, start, ids[: 4 * take], total))
+        if 4 * take < len(ids):
+            self.reserve.appendleft((doc, start + take, ids[4 * take :], total))
+        self.held -= take
+        return take
+
+    def _serve(self) -> None:
+        """Fill waiting bins, least room first, from the held documents."""
+        while self.reserve and self.waiting:
+            room, _, pieces = self.waiting[0]
+            if self.held < room:
+                break
+            self.waiting.pop(0)
+            while room:
+                room -= self._cut(pieces, room)
+            self._close(pieces)
 
     def _close(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -149,35 +229,61 @@ class Packer:
         self.next_id += 1
 
     def finish(self) -> None:
-        rest = [p for length in sorted(self.open, reverse=True) for p in self.open[length]]
-        self.open = {}
-        left = sum(len(p[2]) // 4 for p in rest)
-        room, bin_pieces = 0, []
-        for doc, start, ids, total in rest:
-            while ids:
-                if not room:
-                    room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-                take = min(room, len(ids) // 4)
-                bin_pieces.append((doc, start, ids[: 4 * take], total))
-                ids, start, room, left = ids[4 * take :], start + take, room - take, left - take
-                if not room:
-                    self._close(bin_pieces)
-                    bin_pieces = []
+        """All that is still open: whole documents into the bins they fit best, longest first; then
+        the emptiest bins are taken apart to fill up the others."""
+        while self.reserve:
+            if len(self.reserve[0][2]) // 4 >= self.capacity:
+                self._shed()
+            else:
+                piece = self.reserve.popleft()
+                self.open.setdefault(0, []).append(piece)
+        rest = [p for pieces in self.open.values() for p in pieces] + [p for _, _, p in self.small]
+        bins = [(room, k, pieces) for k, (room, _, pieces) in enumerate(self.waiting)]
+        self.open, self.waiting, self.small, self.held, self.loose = {}, [], [], 0, 0
+        for piece in sorted(rest, key=lambda p: -len(p[2])):
+            length = len(piece[2]) // 4
+            at = bisect_left(bins, (length, -1))
+            room, k, pieces = bins.pop(at) if at < len(bins) else (self.capacity, self.serial, [])
+            self.serial += 1
+            pieces.append(piece)
+            insort(bins, (room - length, k, pieces))
+        while bins and not bins[0][0]:
+            self._close(bins.pop(0)[2])
+        while bins:
+            if not self.reserve:
+                for piece in sorted(bins.pop()[2], key=lambda p: -len(p[2])):
+                    self._hold(piece)
+                continue
+            room, k, pieces = bins.pop(0)
+            while room and self.reserve:
+                room -= self._cut(pieces, room)
+            if room:
+                insort(bins, (room, k, pieces))
+                if len(bins) == 1:
+                    for piece in bins.pop()[2]:
+                        self._hold(piece)
+            else:
+                self._close(pieces)
+        while self.reserve:
+            room, pieces = self.capacity if self.held >= self.capacity else 1 << (self.held.bit_length() - 1), []
+            while room:
+                room -= self._cut(pieces, room)
+            self._close(pieces)
 
 
 def harmonic_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``, one for each piece of a
     document; ``ids`` holds its little-endian unsigned 32-bit ids.
 
-    A document is its token ids and ``end_id``. Whole capacities are sequences of their own; what is
-    left is cut into pieces whose lengths are k-ths of the capacity (the largest that fits, again
-    and again: two or three pieces mostly). Class k fills a bin with its fixed count of pieces, so
-    bins of every class are full but for less than one piece's length, and no bin waits for a
-    search. Workers pack their own partitions without knowing of others; a sequence id is the
-    partition's number and a running one. A worker holds at most one open bin for each class.
+    A document is its token ids and ``end_id``. Documents are classed by the reciprocal of the capacity
+    they fit, and class k closes a bin at its fixed count of k documents (see ``Packer``), so no bin
+    waits for a search. Workers pack their own partitions without knowing of others; a sequence id is
+    the partition's number and a running one. Documents longer than a sequence are cut to fill the
+    bins' rooms; others stay whole as long as there is any.
 
     Null text: empty, so just ``end_id``. Null id: returned as null. Repeated rows are packed as
-    often as they occur. Empty table: no rows. Memory: one batch of texts.
+    often as they occur. Empty table: no rows. Columns other than the two read are ignored, whatever
+    their names. Memory: one batch of texts, and the open and waiting bins (some 400 capacities).
     """
 
     @tidy
@@ -200,9 +306,4 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, en
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    out = prepared(docs, id_col, text_col).mapInArrow(pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
-
-
-def ids_crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
+    return plain_columns(docs, id_col, text_col).mapInArrow(pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

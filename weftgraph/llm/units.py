@@ -45,6 +45,11 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     )
 
 
+def plain_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``text`` under those names, nulls as they are: for operators that compare no ids."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def deal(docs: DataFrame, units: int) -> DataFrame:
     """Rows ``(unit, blob)``: the columns of ``docs``, cut into compressed blocks of each unit."""
 
