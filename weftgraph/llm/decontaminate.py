@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .memory import tidy
 from .ngram_join import shingle_sets
-from .units import NO_ID, prepared, text_chunks
+from .units import plain_columns, text_chunks
 
 #: UTF-8 bytes of benchmark text that tasks get at once; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 16 << 20
@@ -111,7 +111,7 @@ def find_contamination(
     items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     total = int(items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     blocks = max(1, -(-total // block_bytes))
-    source, out = prepared(docs, id_col, text_col), None
+    source, out = plain_columns(docs, id_col, text_col), None
     source = source.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))) if marked else F.lit(None).cast("long"))
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
@@ -144,5 +144,4 @@ def find_contamination(
 
         pairs = source.mapInArrow(search, SCHEMA)
         out = pairs if out is None else out.unionByName(pairs)
-    out = out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
     return out if marked else out.drop("mark")

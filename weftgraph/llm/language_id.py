@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .units import NO_ID, prepared
+from .units import plain_columns
 
 _LETTERS: list[np.ndarray] = []
 SPACE = 32
@@ -145,5 +145,4 @@ def identify(docs: DataFrame, profiles: DataFrame, depth: int = 300, max_languag
                 scores.append(1 - float(total[best]) / (depth * len(top)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    out = prepared(docs, id_col, text_col).mapInArrow(classify, "doc_id long, lang_pred string, score double")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return plain_columns(docs, id_col, text_col).mapInArrow(classify, "doc_id long, lang_pred string, score double")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import folder_for, materialize
-from .units import NO_ID, prepared
+from .units import plain_columns
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -124,7 +124,7 @@ def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         if shard is not None:
             shard.close()
 
-    return materialize(prepared(docs, id_col, text_col).mapInArrow(write, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "media-rows")
+    return materialize(plain_columns(docs, id_col, text_col).mapInArrow(write, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "media-rows")
 
 
 def _ranges(located: DataFrame, read, schema: str) -> DataFrame:
@@ -181,4 +181,4 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc
     rows = store_media(docs, folder or folder_for(docs.sparkSession, "media"), id_col, text_col)
     where = locations(rows)
     facts = where.join(read_headers(where), "digest").join(read_contents(where), "digest")
-    return rows.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_bytes", "digest").join(facts, "digest")
+    return rows.select("doc_id", "n_bytes", "digest").join(facts, "digest")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import NO_ID, prepared
+from .units import plain_columns
 
 #: Closed word classes of the four languages. Insults are learned, not listed.
 TARGETS = "you your yours he she him her they them this that these those du dein deine ihr euch er sie diese dieser tu toi ton ta vous votre il elle ils elles ce cette tú usted ustedes vosotros él ella ellos ellas este esta".split()
@@ -144,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, lexicon
     )
     chosen = {r.doc_id: r.y for r in ids.collect()}
     wanted = spark.sparkContext.broadcast(chosen)
-    rows = prepared(docs, id_col, text_col).where("text is not null")
+    rows = plain_columns(docs, id_col, text_col).where("text is not null")
 
     def of(batch):
         y = wanted.value
@@ -217,5 +217,4 @@ def score_toxicity(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text
                 ["doc_id", "score", "predicted", "clauses"],
             )
 
-    out = prepared(docs, id_col, text_col).mapInArrow(judge, "doc_id long, score double, predicted int, clauses int")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return plain_columns(docs, id_col, text_col).mapInArrow(judge, "doc_id long, score double, predicted int, clauses int")
