@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import hilbert, kernels, media, packing
+from weftgraph.llm import hilbert, kernels, media, packing, toxicity
 from weftgraph.llm.decontaminate import find_contamination
 from weftgraph.llm.hilbert import hilbert_shards, shard_ranges
 from weftgraph.llm.language_id import identify, learn_profiles
@@ -21,7 +21,7 @@ from weftgraph.llm.packing import harmonic_pack
 from weftgraph.llm.quality import classify_quality
 from weftgraph.llm.queries import URL_RULES, packing_vocabulary
 from weftgraph.llm.substring_dedup import remove_repeats
-from weftgraph.llm.toxicity import AIMED, DENIED, INSULT, NEGATION, OTHER, REPORT, REPORTED, TARGET, grammar, learn, score_toxicity
+from weftgraph.llm.toxicity import learn, score_toxicity
 from weftgraph.llm.url_filter import filter_urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, unit int, n_words long, shard int, doc string, score string"
@@ -375,12 +375,54 @@ def test_kneser_ney(spark):
     assert all(got[int.from_bytes(g, "big")] == pytest.approx(p(g)) for g in asked)
 
 
+def marks_by_hand(words, patterns, reach=3):
+    """What the grammar should write, by looking back from each word of a clause: (kind, status, weight)."""
+    out = []
+    used = set()
+    for i, w in enumerate(words):
+        ends = [s for p, s in patterns.items() if i + 1 >= len(p) and tuple(words[i + 1 - len(p) : i + 1]) == p]
+        out.append([toxicity.INSULT, max(ends)] if ends else None)
+    cls = [None if m else toxicity.CLASSES.get(w, 0) for w, m in zip(words, out)]
+    state, left = None, 0
+    for i, c in enumerate(cls):  # the latest word of intent or lone verb, and how long it still reaches
+        if c == toxicity.INTENT:
+            state, left = "intent", reach + 1
+        elif c == toxicity.VERB and state == "intent":
+            out[i], state = [toxicity.THREAT, 1.0], None
+        elif c == toxicity.VERB:
+            state, left = "verb", reach + 1
+        elif c == toxicity.TARGET and state == "verb":
+            out[i], state = [toxicity.THREAT, 0.5], None
+            used.add(i)
+        left -= 1
+        if left <= 0:
+            state = None
+    for i, m in enumerate(out):
+        if not m:
+            continue
+        back = range(max(0, i - reach), i)
+        if any(cls[j] == toxicity.NEGATION for j in back):
+            m[0], m[1] = m[0] + toxicity.DENIED, m[1] * 0.25
+        elif any(cls[j] == toxicity.REPORT for j in range(i)):
+            m[0], m[1] = m[0] + toxicity.REPORTED, m[1] * 0.5
+        elif any(cls[j] == toxicity.TARGET and j not in used for j in back):
+            m[0], m[1] = m[0] + toxicity.AIMED, m[1] * 1.5
+    return [(m[0], pytest.approx(m[1])) if m else None for m in out]
+
+
 def test_grammar():
-    m = grammar()
-    out = lambda *s: [x for x, _ in m.run(list(s))]
-    assert out(OTHER, INSULT)[-1] == INSULT and out(TARGET, OTHER, INSULT)[-1] == AIMED
-    assert out(NEGATION, INSULT)[-1] == DENIED and out(NEGATION, OTHER, OTHER, OTHER, INSULT)[-1] == INSULT
-    assert out(REPORT, OTHER, OTHER, OTHER, OTHER, INSULT)[-1] == REPORTED
+    """The composed machine against a look back from each word."""
+    patterns = {("rotter",): 1.2, ("foul", "beast"): 2.0, ("beast", "of", "the"): 0.7}
+    machine, rng = toxicity.grammar(patterns), random.Random(12)
+    vocab = ["rotter", "foul", "beast", "of", "the", "you", "not", "said", "i", "kill", "killing", "tree", "walks", "schlagen", "him", "will"]
+    for _ in range(3000):
+        words = [rng.choice(vocab) for _ in range(rng.randint(1, 14))]
+        got = [(s, w) if s >= toxicity.INSULT else None for s, w in machine.run(words)]
+        assert got == marks_by_hand(words, patterns), words
+    scorer = toxicity.Scorer(patterns, np.zeros(toxicity.FEATURES + 1))
+    far = " ".join(["said"] + ["tree"] * 500 + ["rotter"])
+    assert scorer.features(far)[0] == pytest.approx(np.log1p(0.6)) and len(scorer.clauses("x " * 9000 + "rotter")[0][0]) == 9001
+    assert [len(c) for c in scorer.clauses("a rotter. b c! the foul beast; tree\nrotter rotter")[0]] == [2, 3, 2]
 
 
 def test_toxicity(spark, none):
@@ -390,16 +432,20 @@ def test_toxicity(spark, none):
         w = prose(rng, "en", 60).split()
         y = int(i % 5 == 0)
         for _ in range(3 * y):
-            w.insert(rng.randrange(len(w)), rng.choice(["scoundrel", "rotter"]))
+            w.insert(rng.randrange(len(w)), rng.choice(["scoundrel", "rotter", "blighted oaf"]))
+        if not y and i % 4 == 0:  # both words are harmless apart
+            w.insert(rng.randrange(2, 25), "blighted")
+            w.insert(rng.randrange(30, 60), "oaf")
         rows.append((i, " ".join(w)))
         labels.append((i, y))
     rows += [(1000, None), (1001, ""), (None, "you rotter, you scoundrel rotter"), (7, rows[7][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     lab = spark.createDataFrame(labels, "doc_id long, toxic int")
     scorer = learn(docs, lab.where("doc_id % 3 <> 0"))
-    assert set(scorer.insults) == {"scoundrel", "rotter"}
+    assert set(scorer.patterns) >= {("scoundrel",), ("rotter",), ("blighted", "oaf")} and not {("blighted",), ("oaf",)} & set(scorer.patterns)
+    assert set(learn(docs, lab.where("doc_id % 3 <> 0"), block_terms=7).patterns) == set(scorer.patterns)
     got = {r.doc_id: r for r in score_toxicity(docs, scorer).collect()}
-    assert all(got[i].predicted == y for i, y in labels) and not got[1000].predicted and 0 <= got[1001].score < 0.5 and got[None].score > got[1001].score
+    assert sum(got[i].predicted == y for i, y in labels) >= 0.97 * len(labels) and not got[1000].predicted and 0 <= got[1001].score < 0.5 and got[None].score > got[1001].score
     assert score_toxicity(none, scorer).count() == 0
     assert {r.predicted for r in score_toxicity(docs, learn(docs, lab.limit(0))).collect()} == {0}
 

@@ -11,105 +11,171 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .units import plain_columns
 
 #: Closed word classes of the four languages. Insults are learned, not listed.
 TARGETS = "you your yours he she him her they them this that these those du dein deine ihr euch er sie diese dieser tu toi ton ta vous votre il elle ils elles ce cette tú usted ustedes vosotros él ella ellos ellas este esta".split()
 NEGATIONS = "not no never neither nor without isn aren wasn nicht kein keine keinen nie niemals ohne ne pas jamais aucun sans nunca jamás ni sin tampoco".split()
 REPORTS = "said says say saying wrote writes quoted quotes claimed claims called reported according sagte sagt schrieb schreibt zitierte behauptete laut dit disait écrit écrivait cité selon prétend dijo dice escribió citó según afirmó".split()
-THREATS = "kill hurt destroy beat stab shoot murder punch töten schlagen umbringen vernichten tuer frapper détruire assassiner matar golpear destruir asesinar".split()
+INTENTS = "i we will shall gonna going want ich wir werde werden möchte je nous vais allons veux nosotros voy vamos quiero".split()
+#: Stems of verbs of violence, the endings they take in their language, and irregular forms.
+VIOLENCE = {
+    "kill hurt destroy stab murder punch": " s es ed ing",
+    "töt schlag vernicht erschieß": "en e st est t et te ten",
+    "tu frapp assassin": "er e es ent ez ons é ée erai erons",
+    "mat golpe asesin": "ar o as a an amos aré aremos ado",
+}
+IRREGULAR = "stabbed stabbing beat beats beating shoot shoots shooting shot umbringen détruire détruirai destruir destruiré".split()
+FORMS = frozenset(IRREGULAR) | {stem + end for stems, ends in VIOLENCE.items() for stem in stems.split() for end in ends.split(" ")}
 WORD = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 BORDERS = frozenset(".!?;:\n")
-#: Symbols of the grammar's input.
-OTHER, TARGET, NEGATION, REPORT, THREAT, INSULT = range(6)
-#: What a clause's automaton has seen of each cue: insults or threats stand plain, at a target, denied or reported.
-FEATURES = 5
+#: Classes of words that the small transducers read, and the marks they write. A mark's status is added to its kind.
+OTHER, TARGET, NEGATION, REPORT, INTENT, VERB = range(6)
+INSULT, THREAT = 10, 20
+PLAIN, DENIED, REPORTED, AIMED = range(4)
+CLASSES = dict.fromkeys(FORMS, VERB) | dict.fromkeys(INTENTS, INTENT) | dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT)
+#: What a text is scored by; see ``Scorer.features``.
+FEATURES = 6
 
 
 class Transducer:
-    """A deterministic weighted transducer: ``arcs[state][symbol] = (next state, output symbol, weight)``."""
+    """A deterministic transducer whose weights multiply. ``arcs(state, symbol)`` gives the next state,
+    the symbol written and the weight; each arc is worked out when first taken, and kept."""
 
-    def __init__(self, arcs: dict[int, dict[int, tuple[int, int, float]]]):
-        self.arcs = arcs
+    def __init__(self, start, arcs):
+        self.start, self.arcs, self.taken = start, arcs, {}
+
+    def step(self, state, symbol):
+        found = self.taken.get((state, symbol))
+        if found is None:
+            found = self.taken[state, symbol] = self.arcs(state, symbol)
+        return found
 
     def compose(self, other: "Transducer") -> "Transducer":
-        """Feed this one's output to ``other``; weights add. States reachable from (0, 0) only."""
-        names, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
-        while todo:
-            a, b = todo.pop()
-            own = arcs[names[a, b]] = {}
-            for symbol, (a2, middle, w1) in self.arcs[a].items():
-                b2, out, w2 = other.arcs[b][middle]
-                if (a2, b2) not in names:
-                    names[a2, b2] = len(names)
-                    todo.append((a2, b2))
-                own[symbol] = (names[a2, b2], out, w1 + w2)
-        return Transducer(arcs)
-
-    def run(self, symbols: list[int]) -> list[tuple[int, float]]:
-        state, out = 0, []
+        """Feed what this one writes to ``other``."""
+
+        def both(state, symbol):
+            a, middle, first = self.step(state[0], symbol)
+            b, out, second = other.step(state[1], middle)
+            return (a, b), out, first * second
+
+        return Transducer((self.start, other.start), both)
+
+    def run(self, symbols) -> list[tuple[int, float]]:
+        state, out = self.start, []
         for s in symbols:
-            state, symbol, weight = self.arcs[state][s]
+            state, symbol, weight = self.step(state, s)
             out.append((symbol, weight))
         return out
 
 
-#: Output symbols added by the transducers below: cues that are denied, reported or aimed.
-DENIED, REPORTED, AIMED = 6, 7, 8
+def insults(patterns: dict[tuple[str, ...], float]) -> Transducer:
+    """Reads words; writes INSULT with the pattern's strength where a sequence of words that is a pattern
+    ends (the strongest, if several end there), else the word's class."""
+    heads = {p[:k] for p in patterns for k in range(1, len(p) + 1)}
+
+    def arc(state, word):
+        tail = (*state, word)
+        strength = max((patterns[tail[k:]] for k in range(len(tail)) if tail[k:] in patterns), default=None)
+        kept = next((tail[k:] for k in range(len(tail)) if tail[k:] in heads), ())
+        return (kept, CLASSES.get(word, OTHER), 1.0) if strength is None else (kept, INSULT, strength)
+
+    return Transducer((), arc)
+
+
+def threats(reach: int, meant: float = 1.0, bare: float = 0.5) -> Transducer:
+    """Writes THREAT at a verb of violence up to ``reach`` words after a word of intent, and at a target up
+    to ``reach`` words after such a verb that stands without one."""
+
+    def arc(state, s):
+        kind, left = state
+        if s == INTENT:
+            return (INTENT, reach), s, 1.0
+        if s == VERB:
+            return ((OTHER, 0), THREAT, meant) if kind == INTENT else ((VERB, reach), s, 1.0)
+        if s == TARGET and kind == VERB:
+            return (OTHER, 0), THREAT, bare
+        return ((kind, left - 1) if left > 1 else (OTHER, 0)), s, 1.0
+
+    return Transducer((OTHER, 0), arc)
+
+
+def near(cue: int, status: int, factor: float, reach: int) -> Transducer:
+    """Gives a plain mark up to ``reach`` words after a ``cue`` the status, and its weight the factor."""
+
+    def arc(left, s):
+        if s == cue:
+            return reach, s, 1.0
+        marked = left > 0 and s in (INSULT, THREAT)
+        return max(left - 1, 0), s + status if marked else s, factor if marked else 1.0
+
+    return Transducer(0, arc)
+
+
+def reported(factor: float) -> Transducer:
+    """A verb of reporting marks all that follows in its clause."""
+
+    def arc(seen, s):
+        marked = seen and s in (INSULT, THREAT)
+        return seen or s == REPORT, s + REPORTED if marked else s, factor if marked else 1.0
+
+    return Transducer(False, arc)
 
 
-def grammar(reach: int = 3, denied: float = -0.75, reported: float = -0.5, aimed: float = 0.5) -> Transducer:
-    """Negation, then reported speech, then target, composed. A negation denies cues in its next
-    ``reach`` words; a verb of reporting marks the cues in the rest of its clause; a cue within
-    ``reach`` words after a target is aimed at it."""
-    symbols = range(9)
-    same = lambda s, state: (state, s, 0.0)
-    negation = {k: {s: (reach, s, 0.0) if s == NEGATION else ((max(k - 1, 0), DENIED, denied) if k and s in (INSULT, THREAT) else same(s, max(k - 1, 0))) for s in symbols} for k in range(reach + 1)}
-    report = {k: {s: (1, s, 0.0) if s == REPORT else ((k, REPORTED, reported) if k and s in (INSULT, THREAT) else same(s, k)) for s in symbols} for k in (0, 1)}
-    target = {k: {s: (reach, s, 0.0) if s == TARGET else ((max(k - 1, 0), AIMED, aimed) if k and s in (INSULT, THREAT) else same(s, max(k - 1, 0))) for s in symbols} for k in range(reach + 1)}
-    return Transducer(negation).compose(Transducer(report)).compose(Transducer(target))
+def grammar(patterns: dict[tuple[str, ...], float], reach: int = 3) -> Transducer:
+    """Insult, threat, negation, reported speech and target, composed; it reads the words of one clause."""
+    return insults(patterns).compose(threats(reach)).compose(near(NEGATION, DENIED, 0.25, reach)).compose(reported(0.5)).compose(near(TARGET, AIMED, 1.5, reach))
 
 
 class Scorer:
     """Counts of matched clauses of a text, and their logistic score."""
 
-    def __init__(self, insults: dict[str, float], weights: np.ndarray | None = None):
-        self.insults, self.weights, self.machine = insults, weights, grammar()
-        self.symbol = {w: OTHER for w in ()} | {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS} | {w: REPORT for w in REPORTS} | {w: THREAT for w in THREATS} | {w: INSULT for w in insults}
-        self.cues = frozenset(insults) | frozenset(THREATS)
+    def __init__(self, patterns: dict[tuple[str, ...], float], weights: np.ndarray):
+        self.patterns, self.weights = patterns, weights
+        self.cues = FORMS | {p[-1] for p in patterns}
+        self.machine = None
 
-    def features(self, text: str) -> np.ndarray:
-        """Log of 1 + summed clause strength; log of 1 + matched clauses; the same per word, scaled;
-        1 + distinct insults, logged; whether anything matched."""
-        out = np.zeros(FEATURES)
+    def __getstate__(self):
+        return {**self.__dict__, "machine": None}  # arcs hold functions; each worker builds its own
+
+    def clauses(self, text: str):
+        """The words of each clause that holds a cue, and the number of words of the text."""
         tokens = WORD.findall(text.lower())
-        if self.cues.isdisjoint(tokens):
-            return out
-        strength, clauses, begin = 0.0, 0, 0
-        found = set()
-        marks = [i for i, t in enumerate(tokens) if t in self.cues]
-        at = 0
-        while at < len(marks):
-            begin = marks[at]
-            while begin and tokens[begin - 1] not in BORDERS and marks[at] - begin < 200:
-                begin -= 1
-            end = marks[at] + 1
-            while end < len(tokens) and tokens[end] not in BORDERS and end - marks[at] < 200:
-                end += 1
-            clause = tokens[begin:end]
-            score = 0.0
-            for token, (symbol, weight) in zip(clause, self.machine.run([self.symbol.get(t, OTHER) for t in clause])):
-                if symbol in (INSULT, THREAT, DENIED, REPORTED, AIMED):
-                    score += max(self.insults.get(token, 0.5) * (1 + weight), 0.0)
-                    if symbol not in (DENIED, REPORTED):
-                        found.add(token)
-            if score > 0:
-                strength += score
-                clauses += 1
-            while at < len(marks) and marks[at] < end:
-                at += 1
-        out[:] = math.log1p(strength), math.log1p(clauses), math.log1p(1000 * strength / (len(tokens) + 20)), math.log1p(len(found)), float(clauses > 0)
-        return out
+        found, end = [], 0
+        if not self.cues.isdisjoint(tokens):
+            for at in [i for i, t in enumerate(tokens) if t in self.cues]:
+                if at < end:
+                    continue
+                begin = at
+                while begin and tokens[begin - 1] not in BORDERS:
+                    begin -= 1
+                end = at + 1
+                while end < len(tokens) and tokens[end] not in BORDERS:
+                    end += 1
+                found.append(tokens[begin:end])
+        return found, len(tokens)
+
+    def features(self, text: str) -> np.ndarray:
+        """Logs of 1 + the summed weight of insults, of threats, of all marks in 1,000 words, the number of
+        matched clauses, and the different words marked plain or aimed; and whether anything matched."""
+        if self.machine is None:
+            self.machine = grammar(self.patterns)
+        clauses, size = self.clauses(text)
+        if not clauses:
+            return np.zeros(FEATURES)
+        sums, matched, words = {INSULT: 0.0, THREAT: 0.0}, 0, set()
+        for clause in clauses:
+            hit = False
+            for word, (symbol, weight) in zip(clause, self.machine.run(clause)):
+                if symbol >= INSULT:
+                    hit = True
+                    sums[symbol // 10 * 10] += weight
+                    if symbol % 10 in (PLAIN, AIMED):
+                        words.add(word)
+            matched += hit
+        total = sums[INSULT] + sums[THREAT]
+        return np.array([math.log1p(sums[INSULT]), math.log1p(sums[THREAT]), math.log1p(1000 * total / (size + 20)), math.log1p(matched), math.log1p(len(words)), float(matched > 0)])
 
     def score(self, features: np.ndarray) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.weights[0] + features @ self.weights[1:])))))
@@ -130,90 +196,98 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) ->
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, lexicon: int = 500, lift: float = 8.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
-    """Fit the insult lexicon and the clause weights on at most ``sample_rows`` labelled documents,
-    those of the smallest hashed ids. A word is an insult if its share among toxic documents is
-    ``lift`` times that among others and the difference cannot well be chance (log-likelihood ratio
-    over 15); the ``lexicon`` strongest are kept. Sample ids, candidates and features are bounded by
-    these parameters; texts stay with the tasks. Without labels of both kinds the score is 0 for all.
+def terms(text: str, words: int) -> set[str]:
+    """The runs of up to ``words`` words inside clauses, joined by spaces."""
+    tokens = WORD.findall(text.lower())
+    out = {t for t in tokens if t not in BORDERS}
+    for n in range(2, words + 1):
+        out.update(" ".join(run) for run in zip(*(tokens[k:] for k in range(n))) if BORDERS.isdisjoint(run))
+    return out
+
+
+def _counted(sample: DataFrame, label: int, words: int, only: frozenset[str] | None = None) -> DataFrame:
+    """``term, n``: in how many texts of the label each term occurs."""
+
+    def count(batches):
+        seen, size = Counter(), 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                seen.update(terms(text, words) if only is None else only.intersection(terms(text, words)))
+                size += len(text)
+                if size > 1 << 20:
+                    yield rows(seen)
+                    seen, size = Counter(), 0
+        yield rows(seen)
+
+    def rows(seen):
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+
+    return sample.where(F.col("y") == label).select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, words: int = 2, lift: float = 8.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", block_terms: int = 500_000) -> Scorer:
+    """Fit the insult patterns and the weights on at most ``sample_rows`` labelled documents, those of the
+    smallest hashed ids (of rows that share an id the least text), which are written once.
+
+    A run of up to ``words`` words is a pattern if its share among toxic documents is ``lift`` times that
+    among others and the difference cannot well be chance (log-likelihood ratio over 15), and no
+    shorter pattern is part of it. All that qualify are kept. Terms of toxic texts are counted in the
+    others in blocks of ``block_terms``, so what a task holds is bounded.
+
+    Without labels of both kinds nothing is matched and each score is 0.
     """
-    spark = docs.sparkSession
     ids = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
         .groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    chosen = {r.doc_id: r.y for r in ids.collect()}
-    wanted = spark.sparkContext.broadcast(chosen)
-    rows = plain_columns(docs, id_col, text_col).where("text is not null")
-
-    def of(batch):
-        y = wanted.value
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            if i in y:
-                yield t, y[i]
-
-    def toxic_words(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for text, y in of(batch):
-                if y:
-                    seen.update({t for t in WORD.findall(text.lower()) if 3 <= len(t) <= 40})
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    positives = sum(chosen.values())
-    negatives = len(chosen) - positives
-    if not positives or not negatives:
-        return Scorer({}, np.array([-30.0, 0, 0, 0, 0, 0]))
-    least = max(2, positives // 400)
-    common = rows.mapInArrow(toxic_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(40 * lexicon)
-    candidates = {r.word: r.n for r in common.collect()}
-    tried = spark.sparkContext.broadcast(frozenset(candidates))
-
-    def other_words(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for text, y in of(batch):
-                if not y:
-                    seen.update(tried.value.intersection(WORD.findall(text.lower())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    clean = {r.word: r.n for r in rows.mapInArrow(other_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    ranked = []
-    for word, a in candidates.items():
-        b = clean.get(word, 0)
-        p, q, all_share = a / positives, (b + 0.5) / (negatives + 1), (a + b) / len(chosen)
-        ratio = 2 * sum(k * math.log(k / (n * s)) for k, n, s in ((a, positives, all_share), (b, negatives, all_share), (positives - a, positives, 1 - all_share), (negatives - b, negatives, 1 - all_share)) if k > 0 and n * s > 0)
-        if p >= lift * q and ratio > 15:
-            ranked.append((ratio, word, math.log(p / q)))
-    insults = {w: s / math.log(lift) for _, w, s in sorted(ranked, reverse=True)[:lexicon]}
-    scorer = spark.sparkContext.broadcast(Scorer(insults))
+    sample = plain_columns(docs, id_col, text_col).where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = materialize(sample, "labelled")
+    size = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    toxic, clean = size.get(1, 0), size.get(0, 0)
+    if not toxic or not clean:
+        return Scorer({}, np.array([-30.0] + [0.0] * FEATURES))
+    common = materialize(_counted(sample, 1, words).where(F.col("n") >= max(2, toxic // 400)), "terms")
+    blocks = max(1, -(-common.count() // block_terms))
+    strength: dict[tuple[str, ...], float] = {}
+    for block in range(blocks):
+        part = common.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block)
+        counts = {r.term: r.n for r in part.collect()}
+        for r in _counted(sample, 0, words, frozenset(counts)).unionByName(part.select("term", F.lit(0).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("n")).collect():
+            a, b = counts[r.term], r.n
+            p, q, share = a / toxic, (b + 0.5) / (clean + 1), (a + b) / (toxic + clean)
+            ratio = 2 * sum(k * math.log(k / (n * s)) for k, n, s in ((a, toxic, share), (b, clean, share), (toxic - a, toxic, 1 - share), (clean - b, clean, 1 - share)) if k > 0 and n * s > 0)
+            if p >= lift * q and ratio > 15:
+                strength[tuple(r.term.split(" "))] = math.log(p / q) / math.log(lift)
+    patterns = {p: s for p, s in strength.items() if not any(p[i:j] in strength for i in range(len(p)) for j in range(i + 1, len(p) + 1) if j - i < len(p))}
+    plain = Scorer(patterns, np.zeros(FEATURES + 1))
 
     def measure(batches):
         for batch in batches:
-            found = [[*scorer.value.features(t).tolist(), float(y)] for t, y in of(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64()))], ["x"])
+            x = [plain.features(t).tolist() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
-    table = np.array([r.x for r in rows.mapInArrow(measure, "x array<double>").collect()])
-    weights = _fit(table[:, :FEATURES], table[:, FEATURES]) if len(table) and 0 < table[:, FEATURES].sum() < len(table) else np.array([-30.0, 0, 0, 0, 0, 0])
-    return Scorer(insults, weights)
+    measured = sample.select("y", "text").mapInArrow(measure, "y int, x array<double>").collect()
+    return Scorer(patterns, _fit(np.array([r.x for r in measured]), np.array([r.y for r in measured], float)))
 
 
 def score_toxicity(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``doc_id, score, predicted, clauses`` for each document, from its whole text: the share
     to which its matched clauses speak for toxicity, 1 where that is a half or more, and the number
-    of clauses. One scan, no shuffle.
+    of clauses. A clause reaches from border to border, however long. One scan, no shuffle.
 
     Null or empty text: the score of a text without a match. Null id: returned as null. Repeated
-    rows are scored each. Empty table: no rows.
+    rows are scored each, and alike. Empty table: no rows. Columns other than the two read are
+    ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def judge(batches):
+        own = shared.value
         for batch in batches:
-            x = [shared.value.features(t or "") for t in batch.column("text").to_pylist()]
-            scores = [shared.value.score(f) for f in x]
+            x = [own.features(t or "") for t in batch.column("text").to_pylist()]
+            scores = [own.score(f) for f in x]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([round(math.expm1(f[1])) for f in x], pa.int32())],
+                [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([round(math.expm1(f[3])) for f in x], pa.int32())],
                 ["doc_id", "score", "predicted", "clauses"],
             )
 
