@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import folder_for, materialize
+from .joins import spread_join
 from .units import plain_columns
 
 WIDTH = 64
@@ -23,6 +24,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 #: Digests a task remembers, and bytes after which it opens another shard.
 REMEMBERED, SHARD_BYTES = 200_000, 1 << 30
+#: Stored bytes that one task reads back.
+READ_BYTES = 32 << 20
 
 
 def payload_of(text: bytes) -> bytes:
@@ -61,6 +64,17 @@ def from_png(media: bytes) -> bytes:
     return np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, width + 1)[:, 1:].tobytes()
 
 
+def remove_orphans(folder: str, rows: DataFrame) -> None:
+    """Delete shards of ``folder`` that no row names: those of attempts that failed or came second."""
+    from pyarrow import fs
+
+    named = {r.shard.rpartition("/")[2] for r in rows.select("shard").distinct().collect()}
+    store, path = _open(folder)
+    for found in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if found.base_name.endswith(".tar") and found.base_name not in named:
+            store.delete_file(found.path)
+
+
 def _open(uri: str):
     from pyarrow import fs
 
@@ -94,11 +108,14 @@ class _Shard:
 def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write each text's payload as a member ``<sha256 of the payload>.png`` of a tar shard under
     ``folder`` (shared by all executors) and return rows ``doc_id, n_bytes, digest, shard, offset,
-    length``. Each task writes shards of its own and each content once, as long as it remembers it;
-    a repeated attempt writes new shards, and rows name the shards of the attempt they come from.
+    length``. Each task writes shards of its own and each content once, as long as it remembers it
+    (the last ``REMEMBERED`` contents); texts are not shuffled, so a content that several tasks meet
+    has a member for each of them, of which ``locations`` names one. A repeated attempt writes new
+    shards; rows name the shards of the attempt they come from, and the others are deleted.
     The returned rows are a written table, so the shards are written once.
 
-    Null text: an empty payload, 64 bytes 0. Null id: null. Empty table: no shards.
+    Null text: an empty payload, 64 bytes 0. Null id: null. Repeated rows: a row each. Texts of any
+    length. Empty table: no shards. Columns other than the two read are ignored, whatever their names.
     """
 
     def write(batches):
@@ -124,11 +141,14 @@ def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         if shard is not None:
             shard.close()
 
-    return materialize(plain_columns(docs, id_col, text_col).mapInArrow(write, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "media-rows")
+    rows = materialize(plain_columns(docs, id_col, text_col).mapInArrow(write, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "media-rows")
+    remove_orphans(folder, rows)
+    return rows
 
 
 def _ranges(located: DataFrame, read, schema: str) -> DataFrame:
-    """Apply ``read(file, offset, length)`` to each row ``digest, shard, offset, length``, shard by shard in order of offset."""
+    """Apply ``read(file, offset, length)`` to each row ``digest, shard, offset, length``, in order of offset
+    inside stretches of ``READ_BYTES`` of a shard, about one stretch a task."""
 
     def each(batches):
         name, source = None, None
@@ -147,7 +167,9 @@ def _ranges(located: DataFrame, read, schema: str) -> DataFrame:
 
     names = ["digest", *[x.split()[0] for x in schema.split(", ")]]
     kinds = pa.schema([pa.field(n, pa.string() if t == "string" else pa.int32() if t == "int" else pa.int64()) for n, t in zip(names, ["string", *[x.split()[1] for x in schema.split(", ")]])])
-    return located.select("digest", "shard", "offset", "length").repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(each, f"digest string, {schema}")
+    tasks = 1 + int(located.agg(F.sum("length")).first()[0] or 0) // READ_BYTES
+    dealt = located.select("digest", "shard", "offset", "length").repartition(tasks, "shard", F.expr(f"offset div {READ_BYTES}"))
+    return dealt.sortWithinPartitions("shard", "offset").mapInArrow(each, f"digest string, {schema}")
 
 
 def locations(rows: DataFrame) -> DataFrame:
@@ -177,8 +199,8 @@ def read_contents(located: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``doc_id, n_bytes, digest, shard, offset, length`` of ``store_media`` with the columns of
     ``read_headers`` and ``read_contents``. Each content is read once and joined to its documents by
-    digest; adaptive joins split a digest that many documents share. Equal texts get equal values."""
+    digest, without moving the rows of a digest that many documents share. Equal texts get equal values."""
     rows = store_media(docs, folder or folder_for(docs.sparkSession, "media"), id_col, text_col)
-    where = locations(rows)
-    facts = where.join(read_headers(where), "digest").join(read_contents(where), "digest")
-    return rows.select("doc_id", "n_bytes", "digest").join(facts, "digest")
+    where = materialize(locations(rows), "media-places")
+    facts = materialize(where.join(read_headers(where), "digest").join(read_contents(where), "digest"), "media-facts")
+    return spread_join(rows.select("doc_id", "n_bytes", "digest"), facts, ["digest"])
