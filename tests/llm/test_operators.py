@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import hilbert, kernels, media, packing, toxicity
+from weftgraph.llm import exchange, hilbert, kernels, media, packing, toxicity
 from weftgraph.llm.decontaminate import find_contamination
 from weftgraph.llm.hilbert import hilbert_shards, shard_ranges
 from weftgraph.llm.language_id import identify, learn_profiles
@@ -104,12 +104,37 @@ def test_substring_dedup(docs, none):
             if least[tuple(w[j : j + 13])] < i:
                 gone[j : j + 13] = [True] * 13
         want.append((i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()))
-    found = remove_repeats(docs, 13, unit_bytes=30_000).select("doc_id", "n_words", "n_removed", "kept_text")
-    got = [(BIG if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found.collect()]
-    assert sorted(got) == sorted(want) and sum(x[2] for x in want) > 100
+    for options in ({"unit_bytes": 30_000}, {"unit_bytes": 3_000, "fan": 3}):  # the second through parts of ranges
+        found = remove_repeats(docs, 13, **options).select("doc_id", "n_words", "n_removed", "kept_text")
+        got = [(BIG if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found.collect()]
+        assert sorted(got) == sorted(want) and sum(x[2] for x in want) > 100
     assert remove_repeats(none).count() == 0
 
 
+def test_greatest_id(spark):
+    """The greatest id is an id like any other, and not a null."""
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(BIG, text, "en"), (None, text + " x", "en"), (3, "other words", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(3, 1)], "doc_id long, quality int")
+    for found in (remove_repeats(docs), near_duplicates(docs), classify_quality(docs, labels)):
+        assert sorted(r.doc_id or 0 for r in found.collect()) == [0, 3, BIG]
+    assert [r.component_id for r in near_duplicates(docs).where(f"doc_id = {BIG}").collect()] == [BIG]
+
+
+def test_exchange():
+    rng = np.random.default_rng(3)
+    for values in (rng.integers(0, 2, 50).astype(bool), rng.integers(0, 9, 50), rng.integers(0, 400, 900), rng.integers(0, 2**62, 70_000), rng.random(9).astype(np.float32), np.zeros(0, np.int64)):
+        assert (exchange.unpack(exchange.pack(values), len(values)) == values).all()
+    ranges = exchange.Ranges(100, 40, fan=7)
+    keys = np.sort(rng.integers(0, 2**40, 5000).astype(np.uint64))
+    fine = [int(k) * ranges.shards * ranges.parts >> 40 for k in keys]
+    at = ranges.borders(keys)
+    for shard, (a, b) in enumerate(zip(at[:-1], at[1:])):
+        assert all(f // ranges.parts == shard for f in fine[a:b])
+        inner = ranges.borders(keys[a:b], shard)
+        assert all(f % ranges.parts == j for j, (x, y) in enumerate(zip(inner[:-1], inner[1:])) for f in fine[a + x : a + y])
+
+
 def test_substring_carry(docs):
     out = remove_repeats(docs, 13, carry=("text", "source", "lang"))
     assert out.columns == ["doc_id", "text", "source", "lang", "n_words", "n_removed", "kept_text", "removed"]
@@ -140,7 +165,8 @@ def test_jaccard_join(docs, none):
             parent[max(x, y)] = min(x, y)
     want = sorted((i, len(s), find(i)) for i, s in rows)
     back = lambda v: BIG if v is None else v
-    assert sorted((back(r.doc_id), r.n_shingles, back(r.component_id)) for r in near_duplicates(docs, unit_bytes=30_000).collect()) == want
+    for options in ({"unit_bytes": 30_000}, {"unit_bytes": 3_000, "fan": 3}):
+        assert sorted((back(r.doc_id), r.n_shingles, back(r.component_id)) for r in near_duplicates(docs, **options).collect()) == want
     assert len({c for _, _, c in want}) < len(set(i for i, _, _ in want)) - 5
     assert near_duplicates(none).count() == 0
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import materialize
+from . import exchange, sketch
 from . import kernels as K
-from . import sketch
+from .joins import spread_join
 from .memory import tidy
-from .units import NO_ID, deal, load, prepared, text_bytes, text_chunks, unit_count, unit_of
+from .units import deal, load, prepared, text_bytes, text_chunks, unit_count, unit_of
 
 SEGMENT = "frag int, doc long, tag long, size int, have int, tokens binary"
 LINK = "a long, atag long, asize int, b long, btag long, bsize int, k int, partial int"
@@ -188,7 +189,7 @@ def _in_components(segments: DataFrame, components: DataFrame | None) -> DataFra
     return segments.withColumn("node", _node("doc", "tag")).join(components, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component", "node")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int | None = None, fragments: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int | None = None, fragments: int | None = None, fan: int = exchange.FAN) -> DataFrame:
     """Rows ``doc_id, n_shingles, component_id`` for each document: the size of its set of distinct
     n-word shingles (A-Z lower-cased) and the smallest id reachable over links. Two documents link
     when ``100 * |intersection| >= percent * |union|``.
@@ -206,20 +207,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     connected are not listed, as they change no result. The exact step is quadratic only in documents
     that share three quarters of their shingles with other components and yet have not joined them.
 
-    Null or word-less text: size 0, linked with nothing. Null id: taken as larger than any, returned
+    Null or word-less text: size 0, linked with nothing. Null id: after the greatest id, returned
     as null. Rows that share an id, or have none, are documents of their own where links are followed,
-    unless their shingle sets are equal. Empty table: no rows.
+    unless their shingle sets are equal. Repeated rows get the same class each. Texts of any length are
+    read whole. Empty table: no rows. Columns other than the two read are ignored, whatever their names.
     """
-    return representatives_of_rows(docs, n, percent, id_col, text_col, unit_bytes, fragments).drop("mark", "first")
+    return representatives_of_rows(docs, n, percent, id_col, text_col, unit_bytes, fragments, fan).drop("mark", "first")
 
 
-def representatives_of_rows(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int | None = None, fragments: int | None = None) -> DataFrame:
+def representatives_of_rows(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int | None = None, fragments: int | None = None, fan: int = exchange.FAN) -> DataFrame:
     """``near_duplicates`` with ``mark``, a hash of the text that tells rows of one id apart, and
     ``first``: whether the row's (id, mark) is the smallest of its component."""
     spark = docs.sparkSession
     total = text_bytes(docs, text_col)
     units = unit_count(total, unit_bytes)
-    bits, shards, fragments = sketch.bits_for(total), max(1, units // 2), fragments or max(1, -(-total // (128 << 20)))
+    ranges, fragments = exchange.Ranges(units, sketch.bits_for(total), fan), fragments or max(1, -(-total // (128 << 20)))
     source = prepared(docs, id_col, text_col)
 
     @tidy
@@ -227,12 +229,13 @@ def representatives_of_rows(docs: DataFrame, n: int = 5, percent: int = 75, id_c
         for batch in batches:
             shingles, sizes = shingle_sets(batch.column("text"), n)
             c1, c2 = _digests(shingles, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(sizes), pa.array(c1), pa.array(c2)], ["doc", "mark", "n", "c1", "c2"])
+            columns = [batch.column("doc_id"), batch.column("null_id"), batch.column("mark"), pa.array(sizes), pa.array(c1), pa.array(c2)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "null_id", "mark", "n", "c1", "c2"])
 
     marked = source.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    measured = materialize(marked.mapInArrow(measure, "doc long, mark long, n long, c1 long, c2 long"), "sets")
-    classes = measured.where("n > 0").groupBy("n", "c1", "c2").agg(F.min(F.struct("doc", "mark")).alias("least")).select("n", "c1", "c2", F.col("least.doc").alias("rep"), "least")
-    chosen = classes.select(unit_of(F.col("rep"), units).alias("unit"), F.col("rep").alias("doc"), "c1", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("mask"))
+    measured = materialize(marked.mapInArrow(measure, "doc long, null_id boolean, mark long, n long, c1 long, c2 long"), "sets")
+    classes = measured.where("n > 0").groupBy("n", "c1", "c2").agg(F.min(F.struct("doc", "null_id", "mark")).alias("least")).select("n", "c1", "c2", F.col("least.doc").alias("rep"), "least")
+    chosen = classes.select(unit_of(F.col("rep"), units).alias("unit"), F.col("rep").alias("doc"), "c1", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("answer"))
     dealt = deal(source, units)
 
     def representatives(table: pa.Table, side: pa.Table):
@@ -252,14 +255,14 @@ def representatives_of_rows(docs: DataFrame, n: int = 5, percent: int = 75, id_c
     @tidy
     def first_pass(key: tuple[pa.Scalar, ...], unit: pa.Table, side: pa.Table) -> pa.Table:
         shingles, sizes, _, _ = representatives(load(unit), side)
-        return sketch.send(key[0].as_py(), shingles, np.repeat(np.arange(len(sizes)), sizes), 1, bits, shards)
+        return sketch.send(key[0].as_py(), shingles, np.repeat(np.arange(len(sizes)), sizes), 1, ranges)
 
     @tidy
     def second_pass(key: tuple[pa.Scalar, ...], unit: pa.Table, side: pa.Table) -> pa.Table:
         is_told = side.column("shard").is_valid()
         told = side.filter(is_told)
         shingles, sizes, doc, tags = representatives(load(unit), side.filter(pc.invert(is_told)))
-        high = sketch.estimated_repeats(shingles, told, 1, bits, shards)
+        high = sketch.estimated_repeats(shingles, told, 1, ranges)
         rows: tuple[list, ...] = ([], [], [], [], [], [])
         ends = np.cumsum(sizes)
         for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
@@ -274,8 +277,8 @@ def representatives_of_rows(docs: DataFrame, n: int = 5, percent: int = 75, id_c
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         return pa.table([pa.array(x, t) for x, t in zip(rows, kinds)], ["frag", "doc", "tag", "size", "have", "tokens"])
 
-    told = sketch.merge(dealt.groupBy("unit").cogroup(chosen.groupBy("unit")).applyInArrow(first_pass, sketch.SENT))
-    side = chosen.unionByName(told.select("unit", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("c1"), "shard", "mask"))
+    told = sketch.merge(dealt.groupBy("unit").cogroup(chosen.groupBy("unit")).applyInArrow(first_pass, exchange.SENT), ranges)
+    side = chosen.unionByName(told.select("unit", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("c1"), "shard", "answer"))
     segments = materialize(dealt.groupBy("unit").cogroup(side.groupBy("unit")).applyInArrow(second_pass, SEGMENT), "segments")
 
     links = materialize(_hub_links(_in_components(segments, None), tuple(range(8)), percent), "links")
@@ -297,8 +300,10 @@ def representatives_of_rows(docs: DataFrame, n: int = 5, percent: int = 75, id_c
     linked = components.join(nodes.select("node", "least"), "node")
     heads = materialize(linked.join(linked.groupBy("component").agg(F.min("least").alias("head")), "component").select("node", "head"), "heads")
     named = nodes.join(heads, "node", "left").select("n", "c1", "c2", F.coalesce("head", "least").alias("head"))
-    real = lambda c: F.when(c != NO_ID, c)
-    return (
-        measured.join(named, ["n", "c1", "c2"], "left").withColumn("head", F.coalesce("head", F.struct("doc", "mark")))
-        .select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.col("head.doc")).alias("component_id"), "mark", (F.col("head") == F.struct("doc", "mark")).alias("first"))
+    own = F.struct("doc", "null_id", "mark")
+    alone = measured.where("n = 0").withColumn("head", own)
+    joined = spread_join(measured.where("n > 0"), materialize(named, "named"), ["n", "c1", "c2"])
+    real = lambda c, null: F.when(~null, c)
+    return joined.unionByName(alone).select(
+        real(F.col("doc"), F.col("null_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.col("head.doc"), F.col("head.null_id")).alias("component_id"), "mark", (F.col("head") == own).alias("first")
     )

@@ -1,9 +1,10 @@
 """A Count-min sketch too wide for one machine: sparse partition sketches, merged by ranges of cells.
 
 Each unit counts its items into ``depth`` rows of ``2**bits`` saturating counters (1, or 2 and more)
-and keeps only the cells it touched, delta-coded. A range of cells of all units meets in one task,
-which adds the counters and tells each unit which of its own cells reached 2. Counters of different
-items may fall together, so counts are overestimated and never too low: no repeated item is lost.
+and keeps only the cells it touched, delta-coded. A range of cells of all units meets in one task
+(``exchange``), which adds the counters and tells each unit which of its own cells reached 2. Counters
+of different items may fall together, so counts are overestimated and never too low: no repeated
+item is lost.
 """
 
 from __future__ import annotations
@@ -12,11 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import exchange
 from . import kernels as K
-from .memory import tidy
-
-SENT = "shard int, unit int, cells binary, many binary"
-TOLD = "unit int, shard int, mask binary"
 
 
 def bits_for(total_bytes: int) -> int:
@@ -44,34 +42,24 @@ def _counted(items: np.ndarray, owner: np.ndarray, row: int, bits: int) -> tuple
     return cells[at], np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)
 
 
-def send(unit: int, items: np.ndarray, owner: np.ndarray, depth: int, bits: int, shards: int) -> pa.Table:
-    """The unit's sketch, in pieces for each shard of each row."""
-    rows = ([], [], [], [])
+def send(unit: int, items: np.ndarray, owner: np.ndarray, depth: int, ranges: exchange.Ranges) -> pa.Table:
+    """The unit's sketch, in pieces for each range of each row."""
+    rows = []
     for row in range(depth):
-        cells, many = _counted(items, owner, row, bits)
-        borders = np.concatenate(([0], np.searchsorted(cells, np.array([-(-(k << bits) // shards) for k in range(1, shards)], K.U64)), [len(cells)])).astype(np.int64)
-        for k in range(shards):
-            a, b = borders[k], borders[k + 1]
-            if a < b:
-                for store, value in zip(rows, (row * shards + k, unit, K.pack_sorted(cells[a:b]), np.packbits(many[a:b]).tobytes())):
-                    store.append(value)
-    return pa.table([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["shard", "unit", "cells", "many"])
+        cells, many = _counted(items, owner, row, ranges.bits)
+        rows += exchange.send(unit, cells, [many], ranges, row)
+    return exchange.sent(rows)
 
 
-def merge(pieces: DataFrame) -> DataFrame:
+def merge(pieces: DataFrame, ranges: exchange.Ranges) -> DataFrame:
     """Add the counters of all units, range by range; to each unit a bit for each of its cells."""
 
-    @tidy
-    def add(piece: pa.Table) -> pa.Table:
-        cells = [K.unpack_sorted(x) for x in piece.column("cells").to_pylist()]
-        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)).astype(bool) for x, c in zip(piece.column("many").to_pylist(), cells)]
-        every = np.sort(np.concatenate(cells))
+    def high(cells: np.ndarray, extra: list[np.ndarray]) -> np.ndarray:
+        every = np.sort(cells)
         twice = every[1:][every[1:] == every[:-1]]
-        high = np.unique(np.concatenate([twice, *(c[m] for c, m in zip(cells, many))]))
-        masks = [np.packbits(_member(c, high)).tobytes() for c in cells]
-        return pa.table([piece.column("unit"), piece.column("shard"), pa.array(masks, pa.binary())], ["unit", "shard", "mask"])
+        return _member(cells, np.unique(np.concatenate([twice, cells[extra[0]]])))
 
-    return pieces.groupBy("shard").applyInArrow(add, TOLD)
+    return exchange.ask(pieces, ranges, high)
 
 
 def _member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -82,20 +70,14 @@ def _member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == values
 
 
-def estimated_repeats(items: np.ndarray, told: pa.Table, depth: int, bits: int, shards: int) -> np.ndarray:
+def estimated_repeats(items: np.ndarray, told: pa.Table, depth: int, ranges: exchange.Ranges) -> np.ndarray:
     """Which of the unit's items (the same as were sent) all rows estimate at 2 or more."""
     found = np.ones(len(items), bool)
     if not len(items):
         return found
-    masks = dict(zip(told.column("shard").to_pylist(), told.column("mask").to_pylist()))
     for row in range(depth):
         open_items = np.flatnonzero(found)
-        cells = np.unique(row_cells(items, row, bits))
-        borders = np.concatenate(([0], np.searchsorted(cells, np.array([-(-(k << bits) // shards) for k in range(1, shards)], K.U64)), [len(cells)])).astype(np.int64)
-        high = np.zeros(len(cells), bool)
-        for k in range(shards):
-            a, b = int(borders[k]), int(borders[k + 1])
-            if a < b:
-                high[a:b] = np.unpackbits(np.frombuffer(masks[row * shards + k], np.uint8), count=b - a)
-        found[open_items] = _member(row_cells(items[open_items], row, bits), cells[high])
+        cells = np.unique(row_cells(items, row, ranges.bits))
+        high = exchange.told_values(told, cells, ranges, row, bool)
+        found[open_items] = _member(row_cells(items[open_items], row, ranges.bits), cells[high])
     return found

@@ -9,20 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange, sketch
 from . import kernels as K
-from . import sketch
 from .memory import tidy
-from .units import NO_ID, deal, load, prepared, raw_text, split_at, text_bytes, unit_count, windows
+from .units import deal, load, prepared, raw_text, text_bytes, unit_count, windows
 
-EXACT = "shard int, unit int, hi binary, lo binary, owner binary, owners binary"
-ANSWER = "unit int, shard int, mask binary"
 
-
-def _grouped(table: pa.Table, told: pa.Table, n: int, depth: int, bits: int, shards: int):
+def _grouped(table: pa.Table, told: pa.Table, n: int, depth: int, ranges: exchange.Ranges):
     """The unit's windows estimated repeated: their places, and their distinct digests (64 + 32 bits,
     ascending) with the smallest doc_id of this unit, and each window's digest number."""
     (first, second), counts, _ = windows(table.column("text"), n, families=(1, 2))
-    places = np.flatnonzero(sketch.estimated_repeats(first, told, depth, bits, shards))
+    places = np.flatnonzero(sketch.estimated_repeats(first, told, depth, ranges))
     hi, lo = first[places], (second[places] >> K.U64(32)).astype(np.uint32)
     doc = np.repeat(table.column("doc_id").to_numpy(), counts)[places]
     order = np.lexsort((lo, hi))
@@ -36,7 +33,7 @@ def _grouped(table: pa.Table, told: pa.Table, n: int, depth: int, bits: int, sha
 
 
 def remove_repeats(
-    docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), unit_bytes: int | None = None, depth: int = 2
+    docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), unit_bytes: int | None = None, depth: int = 2, fan: int = exchange.FAN
 ) -> DataFrame:
     """Rows ``doc_id, <carry>, n_words, n_removed, kept_text, removed`` for each document.
 
@@ -51,13 +48,14 @@ def remove_repeats(
     (3) Words are removed. Windows are told apart by 96-bit digests. A window in a third of all rows
     is one entry for each unit, so no task gathers a hot group.
 
-    Null text: no words, empty ``kept_text``. Null id: larger than any other, returned as null.
-    Rows that share an id do not remove from each other. Texts shorter than ``n`` words stay whole.
-    Repeats inside one document stay. Empty table: no rows. Other columns are ignored.
+    Null text: no words, empty ``kept_text``. Null id: as large as the greatest id, returned as null.
+    Rows that share an id do not remove from each other. Texts shorter than ``n`` words stay whole,
+    very long ones are read whole. Repeats inside one document stay. Empty table: no rows. Other
+    columns are ignored, whatever their names.
     """
     total = text_bytes(docs, text_col)
     units = unit_count(total, unit_bytes)
-    bits, shards = sketch.bits_for(total), max(1, units // 2)
+    cells, digests = exchange.Ranges(units, sketch.bits_for(total), fan), exchange.Ranges(units, 64, fan)
     source = prepared(docs, id_col, text_col, carry)
     dealt = deal(source, units)
 
@@ -65,39 +63,22 @@ def remove_repeats(
     def first_pass(key: tuple[pa.Scalar, ...], unit: pa.Table) -> pa.Table:
         table = load(unit)
         (hashes,), counts, _ = windows(table.column("text"), n)
-        return sketch.send(key[0].as_py(), hashes, np.repeat(table.column("doc_id").to_numpy(), counts), depth, bits, shards)
+        return sketch.send(key[0].as_py(), hashes, np.repeat(table.column("doc_id").to_numpy(), counts), depth, cells)
 
     @tidy
     def second_pass(key: tuple[pa.Scalar, ...], unit: pa.Table, told: pa.Table) -> pa.Table:
-        _, _, _, _, hi, lo, smallest = _grouped(load(unit), told, n, depth, bits, shards)
-        borders = split_at(hi, shards, 64)
-        rows = ([], [], [], [], [], [])
-        for k in range(shards):
-            a, b = int(borders[k]), int(borders[k + 1])
-            if a < b:
-                owners, owner = np.unique(smallest[a:b], return_inverse=True)
-                for store, value in zip(rows, (k, key[0].as_py(), K.pack_sorted(hi[a:b]), lo[a:b].tobytes(), owner.astype(np.uint32 if len(owners) > 65535 else np.uint16).tobytes(), owners.tobytes())):
-                    store.append(value)
-        return pa.table([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int32(), *[pa.binary()] * 4))], ["shard", "unit", "hi", "lo", "owner", "owners"])
+        _, _, _, _, hi, lo, smallest = _grouped(load(unit), told, n, depth, cells)
+        return exchange.sent(exchange.send(key[0].as_py(), hi, [lo, smallest], digests))
 
-    @tidy
-    def compare(piece: pa.Table) -> pa.Table:
-        hi = [K.unpack_sorted(x) for x in piece.column("hi").to_pylist()]
-        sizes = [len(x) for x in hi]
-        owner = []
-        for x, y, size in zip(piece.column("owner").to_pylist(), piece.column("owners").to_pylist(), sizes):
-            owner.append(np.frombuffer(y, np.int64)[np.frombuffer(x, np.uint16 if len(x) == 2 * size else np.uint32)])
-        hi, owner = np.concatenate(hi), np.concatenate(owner)
-        lo = np.concatenate([np.frombuffer(x, np.uint32) for x in piece.column("lo").to_pylist()])
+    def smaller_elsewhere(hi: np.ndarray, extra: list[np.ndarray]) -> np.ndarray:
+        lo, owner = extra
         order = np.lexsort((lo, hi))
         new = np.ones(len(order), bool)
         new[1:] = (hi[order[1:]] != hi[order[:-1]]) | (lo[order[1:]] != lo[order[:-1]])
         least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
         smaller = np.empty(len(order), bool)
         smaller[order] = least[np.cumsum(new) - 1] < owner[order]
-        ends = np.cumsum(sizes)
-        masks = [np.packbits(smaller[e - s : e]).tobytes() for s, e in zip(sizes, ends)]
-        return pa.table([piece.column("unit"), piece.column("shard"), pa.array(masks, pa.binary())], ["unit", "shard", "mask"])
+        return smaller
 
     carried = [f"carry_{i}" for i in range(len(carry))]
 
@@ -106,12 +87,8 @@ def remove_repeats(
         table = load(unit)
         exact = both.column("exact").to_numpy(zero_copy_only=False).astype(bool)
         told, answer = both.filter(pa.array(~exact)), both.filter(pa.array(exact))
-        counts, places, doc, number, hi, _, smallest = _grouped(table, told, n, depth, bits, shards)
-        borders = split_at(hi, shards, 64)
-        smaller = np.zeros(len(hi), bool)
-        for k, mask in zip(answer.column("shard").to_pylist(), answer.column("mask").to_pylist()):
-            a, b = int(borders[k]), int(borders[k + 1])
-            smaller[a:b] = np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a)
+        counts, places, doc, number, hi, _, smallest = _grouped(table, told, n, depth, cells)
+        smaller = exchange.told_values(answer, hi, digests, 0, bool)
         hit = places[(doc > smallest[number]) | smaller[number]] if len(places) else places
         ends = np.cumsum(counts)
         cut = np.searchsorted(hit, np.concatenate(([0], ends)))
@@ -135,14 +112,14 @@ def remove_repeats(
             n_removed.append(gone)
             kept.append(b" ".join(compress(words, ~gone_mask) if gone else words).decode())
             spans.append(stretches)
-        ids = table.column("doc_id").to_numpy()
         return pa.table(
-            [pa.array(ids, mask=ids == NO_ID), *[table.column(c) for c in carried], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])))],
+            [pa.array(table.column("doc_id").to_numpy(), mask=table.column("null_id").to_numpy()), *[table.column(c) for c in carried], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])))],
             ["doc_id", *carried, "n_words", "n_removed", "kept_text", "removed"],
         )
 
-    told = sketch.merge(dealt.groupBy("unit").applyInArrow(first_pass, sketch.SENT))
-    answer = dealt.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(second_pass, EXACT).groupBy("shard").applyInArrow(compare, ANSWER)
+    told = sketch.merge(dealt.groupBy("unit").applyInArrow(first_pass, exchange.SENT), cells)
+    exact = dealt.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(second_pass, exchange.SENT)
+    answer = exchange.ask(exact, digests, smaller_elsewhere)
     both = told.withColumn("exact", F.lit(False)).unionByName(answer.withColumn("exact", F.lit(True)))
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
     schema = ", ".join(["doc_id long", *[f"{c} {kinds[c]}" for c in carried], "n_words long, n_removed long, kept_text string, removed array<struct<first:int,words:int>>"])

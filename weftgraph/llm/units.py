@@ -3,7 +3,7 @@
 An operator that must look at a document more than once, with corpus-wide findings in between,
 deals the texts once (``deal``) and groups by ``unit`` in each pass. The exchange of the texts is
 then the same in each pass and Spark runs it once. What passes send each other are sorted arrays,
-not rows: a hot key takes one entry for each unit, never one for each row.
+not rows (``exchange``): a hot key takes one entry for each unit, never one for each row.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .memory import tidy
 
-#: Stands for a null doc_id inside the operators: larger than any id, so never "a smaller one".
+#: Place of a null doc_id in the order of ids: that of the greatest one. ``null_id`` tells it from a real one.
 NO_ID = 2**63 - 1
+#: Text of one unit.
+UNIT_BYTES = 8 << 20
 #: Raw bytes of one packed block at most, if it holds more than one document.
 BLOCK_BYTES = 4 << 20
 
@@ -29,9 +31,8 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def unit_count(total_bytes: int, unit_bytes: int | None = None) -> int:
-    """Units of 8 MB of text, of up to 64 MB where there are many."""
-    size = unit_bytes or min(64 << 20, max(8 << 20, total_bytes // 256))
-    return max(1, -(-total_bytes // size))
+    """Units of 8 MB of text, at every size."""
+    return max(1, -(-total_bytes // (unit_bytes or UNIT_BYTES)))
 
 
 def unit_of(doc_id: Column, units: int) -> Column:
@@ -39,9 +40,12 @@ def unit_of(doc_id: Column, units: int) -> Column:
 
 
 def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id`` (null: NO_ID) and ``text`` (null stays null) under those names, and the carried columns."""
+    """``doc_id`` (null: NO_ID), whether it was null, and ``text`` (null stays null) under those names, and
+    the carried columns."""
+    own = F.col(id_col).cast("long")
     return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
+        F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), own.isNull().alias("null_id"), F.col(text_col).cast("string").alias("text"),
+        *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)],
     )
 
 
@@ -83,7 +87,7 @@ def load(unit: pa.Table) -> pa.Table:
     """The documents of one unit, in an order that does not hang on how its blocks arrived."""
     parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in unit.column("blob").combine_chunks() if x.is_valid] if unit.num_rows else []
     if not parts:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+        return pa.table({"doc_id": pa.array([], pa.int64()), "null_id": pa.array([], pa.bool_()), "text": pa.array([], pa.string())})
     table = pa.concat_tables(parts)
     return table.take(pa.array(np.argsort(table.column("doc_id").to_numpy(), kind="stable")))
 
@@ -134,9 +138,3 @@ def windows(column, n: int, lower: bool = False, families: tuple[int, ...] = (1,
         counts.append(count)
         words.append(np.diff(chunk.first))
     return [np.concatenate(x) if x else np.zeros(0, K.U64) for x in out], np.concatenate(counts), np.concatenate(words)
-
-
-def split_at(values: np.ndarray, parts: int, bits: int) -> np.ndarray:
-    """Borders that cut ascending values below 2**bits into ``parts`` equal ranges."""
-    limits = np.array([-(-(k << bits) // parts) for k in range(1, parts)], dtype=K.U64)
-    return np.concatenate(([0], np.searchsorted(values, limits, side="left"), [len(values)])).astype(np.int64)
