@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import exchange, hilbert, kernels, media, packing, toxicity
+from weftgraph.llm import exchange, hilbert, kernels, media, packing, quality, toxicity
 from weftgraph.llm.decontaminate import find_contamination
 from weftgraph.llm.hilbert import hilbert_shards, shard_ranges
 from weftgraph.llm.language_id import identify, learn_profiles
@@ -363,44 +363,97 @@ def test_quality(spark, none):
     assert all(r.accept for r in classify_quality(docs.where("length(text) > 0"), lab.limit(0)).collect())
 
 
-def test_kneser_ney(spark):
-    """Against the textbook recursion on a short text."""
-    from weftgraph.llm.quality import kneser_ney
-
-    rng = random.Random(9)
-    data = bytes(rng.choice(b"aaab c") for _ in range(400))
-    padded = b"\n\n\n" + data
-    grams = [padded[i : i + 4] for i in range(len(data))]
-    count = {4: defaultdict(int)}
+def textbook(grams, order):
+    """Modified Kneser-Ney by its recursion: the probability of the last byte of an n-gram."""
+    count = {order: defaultdict(int)}
     for g in grams:
-        count[4][g] += 1
-    for n in (3, 2, 1):
+        count[order][g] += 1
+    for n in range(order - 1, 0, -1):
         count[n] = defaultdict(int)
         for g in count[n + 1]:
             count[n][g[1:]] += 1
+    contexts = {n: defaultdict(list) for n in count}
+    for n in count:
+        for g, c in count[n].items():
+            contexts[n][g[:-1]].append(c)
 
     def discounts(n):  # where counts of counts are missing, 1/2, 1 and 3/2
         c = [sum(v == k for v in count[n].values()) for k in (1, 2, 3, 4)]
         y = c[0] / (c[0] + 2 * c[1]) if c[0] + 2 * c[1] else 0
         return [0.0] + [min(max(k - (k + 1) * y * c[k] / c[k - 1], 0.05), k) if c[k - 1] * c[k] else s for k, s in ((1, 0.5), (2, 1.0), (3, 1.5))]
 
+    cut = {n: discounts(n) for n in count}
+
     def p(g):
         n = len(g)
         if not n:
             return 1 / 256
-        d = discounts(n)
-        here = [v for k, v in count[n].items() if k[:-1] == g[:-1]]
+        here = contexts[n].get(g[:-1])
         if not here:
             return p(g[1:])
-        c = count[n].get(g, 0)
+        c, d = count[n].get(g, 0), cut[n]
         return (c - d[min(c, 3)] + sum(d[min(v, 3)] for v in here) * p(g[1:])) / sum(here)
 
-    asked = sorted(set(grams) | {b"zzzz", b"aazz", b"zaab"})
-    rows = spark.createDataFrame([(int.from_bytes(g, "big"), count[4].get(g, 0)) for g in asked], "g long, c long")
-    got = {r.g: r.p for r in kneser_ney(rows).collect()}
+    return p, count[order]
+
+
+@pytest.mark.parametrize("order", [4, 6])
+def test_kneser_ney(spark, order):
+    """Against the textbook recursion on a short text."""
+    from weftgraph.llm.quality import kneser_ney
+
+    rng = random.Random(9)
+    data = bytes(rng.choice(b"aaab c") for _ in range(400))
+    padded = b"\n" * (order - 1) + data
+    grams = [padded[i : i + order] for i in range(len(data))]
+    p, count = textbook(grams, order)
+    asked = sorted(set(grams) | {b"zzzzzz"[:order], b"aazzzz"[:order], b"zaabaa"[:order]})
+    rows = spark.createDataFrame([(int.from_bytes(g, "big"), count.get(g, 0)) for g in asked], "g long, c long")
+    got = {r.g: r.p for r in kneser_ney(rows, order).collect()}
     assert all(got[int.from_bytes(g, "big")] == pytest.approx(p(g)) for g in asked)
 
 
+@pytest.mark.parametrize("options", [{"unit_bytes": 4_000}, {"unit_bytes": 300, "fan": 3}])
+def test_quality_by_hand(spark, options):
+    """Perplexities, means, quantiles and decisions against a computation of the whole."""
+    order, prior, rng = 3, 5.0, random.Random(14)
+    rows = [(i, "".join(rng.choice("abc d" if i % 9 else "xyz!d") for _ in range(rng.randint(1, 90))), rng.choice(["en", "en", "fr", None])) for i in range(150)]
+    rows += [(200, None, "en"), (201, "", "en"), (None, "abc", "en"), (5, rows[5][1], rows[5][2])]
+    labels = [(i, int(i % 9 > 0)) for i in range(100)] + [(None, 1), (999, 1)]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, lang string, z string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    held = {r.doc_id for r in docs.where(quality.held_back(F.col("doc_id"))).collect()}
+    good = {i for i, q in labels if q and i is not None}
+    grams = lambda t: [(b"\n" * (order - 1) + t)[k : k + order] for k in range(len(t))]
+    p, _ = textbook([g for i, t, _ in rows if i in good and i not in held for g in grams((t or "").encode())], order)
+    nats = [sum(-np.log(p(g)) for g in grams((t or "").encode())) for _, t, _ in rows]
+    size = [len((t or "").encode()) for _, t, _ in rows]
+    lang = [x or "und" for _, _, x in rows]
+    unseen = [i in good and i in held and n > 0 for (i, _, _), n in zip(rows, size)]
+    trusted = [i in good and n > 0 for (i, _, _), n in zip(rows, size)]
+    blend = lambda own, n, every: ((own or 0.0) * n + prior * every) / (n + prior)
+
+    def mean(mark):
+        n = sum(x for x, m in zip(size, mark) if m)
+        return sum(x for x, m in zip(nats, mark) if m) / n if n else None
+
+    def quantile(z, mark, q):
+        v = sorted(x for x, m in zip(z, mark) if m)
+        return v[max(1, -int(-q * len(v) // 1)) - 1] if v else None
+
+    of = lambda mark, x: [m and y == x for m, y in zip(mark, lang)]
+    z = [(a - n * blend(mean(of(unseen, x)), sum(of(unseen, x)), mean(unseen))) / n**0.5 if n else None for a, n, x in zip(nats, size, lang)]
+    want = []
+    for (i, _, _), n, a, x, v in zip(rows, size, nats, lang, z):
+        least = blend(quantile(z, of(trusted, x), 0.02), sum(of(trusted, x)), quantile(z, trusted, 0.02))
+        most = blend(quantile(z, of(unseen, x), 0.9), sum(of(unseen, x)), quantile(z, unseen, 0.9))
+        want.append((i or -1, n, round(float(np.exp(a / n)), 3) if n else None, round(v, 3) if n else None, bool(n and least - 1e-6 <= v <= most + 1e-6)))
+    found = classify_quality(docs, lab, low=0.02, high=0.9, prior=prior, order=order, **options).collect()
+    got = [(r.doc_id or -1, r.n_bytes, round(r.perplexity, 3) if r.n_bytes else None, round(r.z, 3) if r.n_bytes else None, r.accept) for r in found]
+    near = lambda x: [(a, b, pytest.approx(c, abs=2e-3) if c else c, pytest.approx(d, abs=2e-2) if d else d, e) for a, b, c, d, e in x]
+    assert sorted(got, key=repr) == near(sorted(want, key=repr))
+
+
 def marks_by_hand(words, patterns, reach=3):
     """What the grammar should write, by looking back from each word of a clause: (kind, status, weight)."""
     out = []

@@ -4,35 +4,42 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from . import exchange
 from . import kernels as K
+from .joins import spread_join
 from .memory import tidy
-from .units import NO_ID, deal, load, prepared, raw_text, text_bytes, unit_count, unit_of
+from .units import deal, load, prepared, raw_text, text_bytes, unit_count, unit_of
 
-#: Order of the model: a byte given the three before it. Texts begin after three line feeds.
-ORDER = 4
+#: Order of the model: a byte given the five before it. Texts begin after five line feeds.
+ORDER = 6
+#: Bytes of text whose n-grams are taken at once, whatever documents they belong to.
 PIECE_BYTES = 2 << 20
+#: One in ``FOLDS`` trusted documents is not counted, so that limits are set by text the model has not seen.
+FOLDS = 5
+#: What a document is to the model.
+UNKNOWN, COUNTED, HELD = range(3)
+TOTALS = "doc long, null_id boolean, lang string, mark long, n_bytes long, nats double, trusted int"
 
 
-def _document_grams(table: pa.Table):
-    """For pieces of the unit: (first document, document of each distinct 4-gram, the 4-grams, their counts)."""
+def byte_grams(table: pa.Table, order: int):
+    """For pieces of the unit's text: the document and the n-gram that ends there, of each byte."""
     data, offsets = raw_text(table.column("text"))
-    for a, b in K.chunks(np.diff(offsets), PIECE_BYTES):
-        own = data[offsets[a] : offsets[b]]
-        lengths = np.diff(offsets[a : b + 1])
-        doc = np.repeat(np.arange(b - a, dtype=np.int64), lengths)
-        place = np.arange(len(own)) + 3 * (doc + 1)
-        wide = np.full(len(own) + 3 * (b - a), 10, np.uint32)
-        wide[place] = own
-        key = (wide[place - 3] << 24 | wide[place - 2] << 16 | wide[place - 1] << 8 | wide[place]).astype(np.int64)
-        key |= doc << 32
-        key.sort()
-        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        counts = np.diff(np.concatenate((at, [len(key)])))
-        yield a, key[at] >> 32, key[at] & 0xFFFFFFFF, counts
+    for a in range(0, len(data), PIECE_BYTES):
+        b = min(a + PIECE_BYTES, len(data))
+        first, last = np.searchsorted(offsets, [a, b - 1], side="right") - 1
+        edges = np.clip(offsets[first : last + 2], a, b)
+        doc = np.repeat(np.arange(first, last + 1), np.diff(edges))
+        place = np.arange(a, b)
+        before = place - offsets[doc]
+        gram = data[a:b].astype(np.int64)
+        for j in range(1, order):
+            gram |= np.where(before >= j, data[np.maximum(place - j, 0)], 10).astype(np.int64) << (8 * j)
+        yield doc, gram
 
 
 def _summed(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,19 +51,24 @@ def _summed(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return gram[at], np.add.reduceat(count, at) if len(at) else count
 
 
-def _borders(gram: np.ndarray, shards: int) -> np.ndarray:
-    return np.concatenate(([0], np.searchsorted(gram, [-(-(k << 32) // shards) for k in range(1, shards)]), [len(gram)])).astype(np.int64)
+def unit_grams(table: pa.Table, counted: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unit's distinct n-grams, ascending, and how often each occurs in its counted documents."""
+    grams, counts = [], []
+    for doc, gram in byte_grams(table, order):
+        own, number = np.unique(gram, return_inverse=True)
+        grams.append(own)
+        counts.append(np.bincount(number[counted[doc]], minlength=len(own)))
+        if len(grams) > 4:
+            grams, counts = ([x] for x in _summed(grams, counts))
+    return _summed(grams, counts)
 
 
-def _discounts(seen: DataFrame) -> DataFrame:
-    """One row with the three discounts of modified Kneser-Ney, from counts of counts."""
-    n = seen.agg(*[F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    share = lambda a, b: F.try_divide(F.col(a), F.col(b))
-    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-    raw = [1 - 2 * y * share("n2", "n1"), 2 - 3 * y * share("n3", "n2"), 3 - 4 * y * share("n4", "n3")]
-    spare = (0.5, 1.0, 1.5)
-    safe = [F.when(F.col(f"n{k}") * F.col(f"n{k + 1}") > 0, F.least(F.greatest(F.coalesce(r, F.lit(s)), F.lit(0.05)), F.lit(float(k)))).otherwise(F.lit(s)) for k, (r, s) in enumerate(zip(raw, spare), 1)]
-    return F.broadcast(n.select(*[x.alias(f"d{k}") for k, x in enumerate(safe, 1)], F.lit(1).alias("one")))
+def _discounts(seen: DataFrame) -> list[float]:
+    """The three discounts of modified Kneser-Ney, from counts of counts."""
+    n = seen.agg(*[F.count(F.when(F.col("c") == k, 1)) for k in (1, 2, 3, 4)]).first()
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.0
+    # where counts of counts are missing: 1/2, 1 and 3/2
+    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), float(k)) if n[k - 1] * n[k] else spare for k, spare in ((1, 0.5), (2, 1.0), (3, 1.5))]
 
 
 def _contexts(seen: DataFrame) -> DataFrame:
@@ -66,137 +78,151 @@ def _contexts(seen: DataFrame) -> DataFrame:
 
 def _interpolated(asked: DataFrame, seen: DataFrame, lower: DataFrame | None, bits: int) -> DataFrame:
     """Rows ``g, p`` for each asked n-gram: its discounted count and its context's share of the lower order's p."""
-    rows = asked.join(seen, "g", "left").withColumn("h", F.shiftright("g", 8)).join(_contexts(seen), "h", "left").withColumn("one", F.lit(1)).join(_discounts(seen), "one", "left")
+    rows = asked.join(seen, "g", "left").withColumn("h", F.shiftright("g", 8)).join(_contexts(seen), "h", "left")
     below = F.lit(1 / 256)
     if lower is not None:
         rows = rows.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << bits) - 1))).join(lower.select(F.col("g").alias("s"), F.col("p").alias("below")), "s", "left")
         below = F.col("below")
+    d1, d2, d3 = _discounts(seen)
     c = F.coalesce(F.col("c"), F.lit(0))
-    cut = F.when(c == 0, 0.0).when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
-    freed = F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")
+    cut = F.when(c == 0, 0.0).when(c == 1, d1).when(c == 2, d2).otherwise(d3)
+    freed = d1 * F.col("m1") + d2 * F.col("m2") + d3 * F.col("m3")
     return rows.select("g", F.when(F.col("total") > 0, (c - cut + freed * below) / F.col("total")).otherwise(below).alias("p"))
 
 
-def kneser_ney(types: DataFrame) -> DataFrame:
-    """Rows ``g, p`` from rows ``g, c``: 4-grams of bytes with their counts in trusted text (0 for
+def kneser_ney(types: DataFrame, order: int = ORDER) -> DataFrame:
+    """Rows ``g, p`` from rows ``g, c``: n-grams of ``order`` bytes with their counts in trusted text (0 for
     those only asked about). Lower orders count distinct left neighbours. Each order's counts,
     contexts and lower-order values meet by joins on their n-grams, so the tables are sharded like any
     others. Each order's tables are written, which keeps the plans small."""
-    seen, asked, p = {4: types.where("c > 0")}, {4: types.select("g")}, None
-    for n in (3, 2, 1):
+    seen, asked, p = {order: types.where("c > 0")}, {order: types.select("g")}, None
+    for n in range(order - 1, 0, -1):
         mask = F.lit((1 << 8 * n) - 1)
         seen[n] = materialize(seen[n + 1].groupBy(F.col("g").bitwiseAND(mask).alias("g")).agg(F.count("*").alias("c")), "seen")
         asked[n] = materialize(asked[n + 1].select(F.col("g").bitwiseAND(mask).alias("g")).distinct(), "types")
-    for n in (1, 2, 3, 4):
+    for n in range(1, order + 1):
         p = materialize(_interpolated(asked[n], seen[n], p, 8 * (n - 1)), "model")
     return p
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", unit_bytes: int | None = None) -> DataFrame:
-    """Rows ``doc_id, lang, mark, n_bytes, nats, trusted`` for each document: the negative log
-    probability of its text under the model of all trusted text (``quality`` 1), in a written table.
-    ``mark`` tells texts of one id apart.
+def held_back(doc: Column) -> Column:
+    """Whether a trusted document is kept out of the counts, by a hash of its id."""
+    return F.pmod(F.xxhash64(F.lit("held"), doc), F.lit(FOLDS)) == 0
 
-    Texts are dealt twice. Each unit writes its distinct 4-grams, with their counts in its trusted
-    documents, for the shards of the n-gram space; there counts are summed and joined to the model,
-    and the answers go back to the units that asked.
+
+def perplexities(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", unit_bytes: int | None = None, order: int = ORDER, fan: int = exchange.FAN
+) -> DataFrame:
+    """Rows ``doc, null_id, lang, mark, n_bytes, nats, trusted`` for each document: the negative log
+    probability of its text under the model of all trusted text (``quality`` 1) but for the documents
+    ``held_back`` (``trusted`` is COUNTED, HELD or UNKNOWN), in a written table. ``mark`` tells texts of
+    one id apart.
+
+    Each unit sends its distinct n-grams, with their counts in its counted documents, to the tasks of
+    their ranges (``exchange``); there counts are summed and joined to the model, and the answers go
+    back. Texts are dealt twice, as the model lies between: keeping them would take as much space.
     """
-    total = text_bytes(docs, text_col)
-    units = unit_count(total, unit_bytes)
-    shards = max(1, units // 2)
+    units = unit_count(text_bytes(docs, text_col), unit_bytes)
+    ranges = exchange.Ranges(units, 8 * order, fan)
     source = prepared(docs.withColumn("__mark", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))), id_col, text_col, (lang_col, "__mark"))
     source = source.withColumn("carry_0", F.coalesce(F.col("carry_0").cast("string"), F.lit("und")))
     dealt = deal(source, units)
-    good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("long").alias("doc")).where("doc is not null")
-    good = good.select(unit_of(F.col("doc"), units).alias("unit"), "doc", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("answer"))
+    good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("long").alias("doc")).where("doc is not null").distinct()
+    good = good.select(unit_of(F.col("doc"), units).alias("unit"), "doc", held_back(F.col("doc")).alias("held"), F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("answer"))
+
+    def standing(table: pa.Table, side: pa.Table) -> np.ndarray:
+        ids, real = table.column("doc_id").to_numpy(), ~table.column("null_id").to_numpy()
+        held = side.column("held").to_numpy().astype(bool)
+        doc = side.column("doc").to_numpy()
+        return np.where(real & np.isin(ids, doc[held]), HELD, np.where(real & np.isin(ids, doc[~held]), COUNTED, UNKNOWN))
 
     @tidy
     def ask(key: tuple[pa.Scalar, ...], unit: pa.Table, side: pa.Table) -> pa.Table:
         table = load(unit)
-        trusted = np.isin(table.column("doc_id").to_numpy(), side.column("doc").to_numpy())
-        grams, counts = [], []
-        for first, doc, gram, count in _document_grams(table):
-            g, c = _summed([gram], [np.where(trusted[first + doc], count, 0)])
-            grams.append(g)
-            counts.append(c)
-        gram, count = _summed(grams, counts)
-        borders = _borders(gram, shards)
-        rows: tuple[list, ...] = ([], [], [], [])
-        for k in range(shards):
-            a, b = int(borders[k]), int(borders[k + 1])
-            if a < b:
-                for store, value in zip(rows, (k, key[0].as_py(), K.pack_sorted(gram[a:b].astype(K.U64)), K.pack_sorted(np.cumsum(count[a:b]).astype(K.U64)))):
-                    store.append(value)
-        return pa.table([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["shard", "unit", "grams", "counts"])
+        gram, count = unit_grams(table, standing(table, side) == COUNTED, order)
+        return exchange.sent(exchange.send(key[0].as_py(), gram.astype(K.U64), [count], ranges))
 
     @tidy
     def add(piece: pa.Table) -> pa.Table:
-        grams = [K.unpack_sorted(x).astype(np.int64) for x in piece.column("grams").to_pylist()]
-        counts = [np.diff(K.unpack_sorted(x).astype(np.int64), prepend=0) for x in piece.column("counts").to_pylist()]
-        gram, count = _summed(grams, counts)
+        keys, extra, _ = exchange.entries(piece)
+        gram, count = _summed([keys.astype(np.int64)], extra)
         return pa.table([pa.array(gram), pa.array(count)], ["g", "c"])
 
-    @tidy
-    def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, model: pa.Table) -> pa.Table:
-        order = np.argsort(model.column("g").to_numpy())
-        known, nats = model.column("g").to_numpy()[order], -np.log(model.column("p").to_numpy()[order])
-        out = [nats[np.searchsorted(known, K.unpack_sorted(x).astype(np.int64))].astype(np.float32).tobytes() for x in asked.column("grams").to_pylist()]
-        return pa.table([asked.column("unit"), asked.column("shard"), pa.array(out, pa.binary())], ["unit", "shard", "answer"])
+    def answer(keys: np.ndarray, extra: list[np.ndarray], model: pa.Table) -> np.ndarray:
+        by = np.argsort(model.column("g").to_numpy())
+        known, nats = model.column("g").to_numpy()[by], -np.log(model.column("p").to_numpy()[by])
+        return nats[np.searchsorted(known, keys.astype(np.int64))].astype(np.float32)
 
     @tidy
     def total_up(key: tuple[pa.Scalar, ...], unit: pa.Table, side: pa.Table) -> pa.Table:
+        names = ["doc", "null_id", "lang", "mark", "n_bytes", "nats", "trusted"]
         if not unit.num_rows:  # labels of documents that are not there
-            return pa.schema([("doc", pa.int64()), ("lang", pa.string()), ("mark", pa.int64()), ("n_bytes", pa.int64()), ("nats", pa.float64()), ("trusted", pa.bool_())]).empty_table()
+            kinds = (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int32())
+            return pa.table([pa.array([], t) for t in kinds], names)
         table = load(unit)
-        told = side.filter(side.column("shard").is_valid())
-        trusted = np.isin(table.column("doc_id").to_numpy(), side.column("doc").drop_null().to_numpy())
-        values = dict(zip(told.column("shard").to_pylist(), told.column("answer").to_pylist()))
-        nats = np.concatenate([np.frombuffer(values[k], np.float32) for k in sorted(values)] or [np.zeros(0, np.float32)]).astype(np.float64)
-        pieces = list(_document_grams(table))
-        known, _ = _summed([g for _, _, x, _ in pieces for g in [np.unique(x)]], [np.zeros(len(np.unique(x)), np.int64) for _, _, x, _ in pieces])
-        sums, size = np.zeros(table.num_rows), np.zeros(table.num_rows, np.int64)
-        for first, doc, gram, count in pieces:
-            if len(doc):
-                part = np.bincount(doc, weights=nats[np.searchsorted(known, gram)] * count)
-                sums[first : first + len(part)] += part
-                size[first : first + len(part)] += np.bincount(doc, weights=count).astype(np.int64)
-        return pa.table([table.column("doc_id"), table.column("carry_0"), table.column("carry_1"), pa.array(size), pa.array(sums), pa.array(trusted)], ["doc", "lang", "mark", "n_bytes", "nats", "trusted"])
-
-    asked = materialize(dealt.groupBy("unit").cogroup(good.groupBy("unit")).applyInArrow(ask, "shard int, unit int, grams binary, counts binary"), "asked")
-    model = kneser_ney(materialize(asked.groupBy("shard").applyInArrow(add, "g long, c long"), "types"))
-    model = model.withColumn("shard", F.expr(f"cast((g * {shards}) div 4294967296 as int)"))
-    told = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, "unit int, shard int, answer binary")
-    side = good.unionByName(told.select("unit", F.lit(None).cast("long").alias("doc"), "shard", "answer"))
-    return materialize(dealt.groupBy("unit").cogroup(side.groupBy("unit")).applyInArrow(total_up, "doc long, lang string, mark long, n_bytes long, nats double, trusted boolean"), "perplexities")
+        is_told = side.column("shard").is_valid()
+        trusted = standing(table, side.filter(pc.invert(is_told)))
+        known, _ = unit_grams(table, np.zeros(table.num_rows, bool), order)
+        nats = exchange.told_values(side.filter(is_told), known.astype(K.U64), ranges, 0, np.float32).astype(np.float64)
+        sums, sizes = np.zeros(table.num_rows), np.zeros(table.num_rows, np.int64)
+        for doc, gram in byte_grams(table, order):
+            own, number = np.unique(gram, return_inverse=True)
+            low = int(doc[0])
+            part = np.bincount(doc - low, weights=nats[np.searchsorted(known, own)][number])
+            sums[low : low + len(part)] += part
+            sizes[low : low + len(part)] += np.bincount(doc - low)
+        return pa.table([table.column("doc_id"), table.column("null_id"), table.column("carry_0"), table.column("carry_1"), pa.array(sizes), pa.array(sums), pa.array(trusted, pa.int32())], names)
+
+    asked = materialize(dealt.groupBy("unit").cogroup(good.groupBy("unit")).applyInArrow(ask, exchange.SENT), "asked")
+    if ranges.parts == 1:
+        types = asked.groupBy("shard").applyInArrow(add, "g long, c long")
+    else:
+        part = asked.withColumn("grp", F.expr(f"unit div {ranges.parts}")).groupBy("shard", "grp").applyInArrow(add, "g long, c long")
+        types = part.groupBy("g").agg(F.sum("c").alias("c"))
+    model = kneser_ney(materialize(types, "types"), order)
+    told = exchange.ask(asked, ranges, answer, model.select("g", "p", *ranges.place("g")))
+    side = good.unionByName(told.select("unit", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("boolean").alias("held"), "shard", "answer"))
+    return materialize(dealt.groupBy("unit").cogroup(side.groupBy("unit")).applyInArrow(total_up, TOTALS), "perplexities")
 
 
 def classify_quality(
-    docs: DataFrame, labels: DataFrame, low: float = 0.001, high: float = 0.998, least_trusted: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", unit_bytes: int | None = None
+    docs: DataFrame, labels: DataFrame, low: float = 0.001, high: float = 0.995, prior: float = 50.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", unit_bytes: int | None = None, order: int = ORDER, fan: int = exchange.FAN
 ) -> DataFrame:
     """Rows ``doc_id, lang, mark, n_bytes, perplexity, z, accept`` for each document.
 
-    ``z`` is how far the text's log perplexity per byte lies from its language's mean over trusted
-    text, times the square root of its bytes, so that short and long texts compare. A document is
-    accepted if ``z`` lies between the ``low`` and ``high`` quantiles of its language's trusted
-    documents (all of them; of all languages together where a language has fewer than
-    ``least_trusted``): too surprising is noise, far too predictable is repetition.
+    ``z`` is how far the text's log perplexity per byte lies from its language's mean over trusted text
+    the model has not seen, times the square root of its bytes, so that short and long texts compare. A
+    document is accepted if ``z`` is at most the ``high`` quantile of its language's unseen trusted
+    documents and at least the ``low`` quantile of all its trusted ones: too surprising is noise, far
+    too predictable is repetition. A language's mean and quantiles are weighted with those of all
+    languages as if these were ``prior`` documents more, so a language of few trusted texts is judged
+    by both, and one without by the latter.
 
     Null or empty text: perplexity and ``z`` null, not accepted. Null language: ``und``. Null id:
-    returned as null. No trusted text at all: everything with text is accepted. Empty table: no rows.
+    returned as null, never trusted. Repeated rows are judged each, and alike. Texts of any length
+    are read whole. No unseen trusted text: the seen ones stand in; no trusted text at all:
+    everything with text is accepted. Empty table: no rows. Columns other than those read are
+    ignored, whatever their names.
     """
-    rows = perplexities(docs, labels, id_col, text_col, lang_col, unit_bytes=unit_bytes)
-    good = rows.where("trusted and n_bytes > 0")
-    stats = good.groupBy("lang").agg((F.sum("nats") / F.sum("n_bytes")).alias("mean"), F.count("*").alias("docs"))
-    every = F.broadcast(good.agg((F.sum("nats") / F.sum("n_bytes")).alias("all_mean")).withColumn("one", F.lit(1)))
-    own = stats.where(F.col("docs") >= least_trusted).select("lang", "mean")
-    scored = rows.join(own, "lang", "left").withColumn("one", F.lit(1)).join(every, "one", "left")
-    scored = scored.withColumn("z", F.try_divide(F.col("nats") - F.col("n_bytes") * F.coalesce("mean", "all_mean"), F.sqrt(F.col("n_bytes").cast("double"))))
-    scored = scored.withColumn("class", F.when(F.col("mean").isNotNull(), F.col("lang")).otherwise(F.lit("*")))
-    limits = scored.where("trusted and n_bytes > 0").select(F.explode(F.array(F.lit("*"), F.when(F.col("class") != "*", F.col("class")))).alias("class"), "z").where("class is not null")
-    limits = limits.groupBy("class").agg(F.percentile_approx("z", [low, high], 20_000).alias("q"))
-    judged = scored.join(limits, "class", "left")
-    accept = (F.col("n_bytes") > 0) & (F.col("q").isNull() | F.col("z").between(F.col("q")[0], F.col("q")[1]))
-    return judged.select(
-        F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "lang", "mark", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(F.col("nats") / F.col("n_bytes"))).alias("perplexity"),
-        F.when(F.col("n_bytes") > 0, F.col("z")).alias("z"), F.coalesce(accept, F.lit(False)).alias("accept"),
+    rows = perplexities(docs, labels, id_col, text_col, lang_col, unit_bytes=unit_bytes, order=order, fan=fan)
+    seen = rows.where("n_bytes > 0").groupBy("trusted").count().collect()
+    judges = next((k for k in (HELD, COUNTED) if any(r.trusted == k for r in seen)), None)
+    unseen, trusted = (F.col("n_bytes") > 0) & (F.col("trusted") == judges), (F.col("n_bytes") > 0) & (F.col("trusted") != UNKNOWN)
+    over = lambda rows, what: F.sum(F.when(unseen, F.col(what)))
+    known = rows.agg((over(rows, "nats") / over(rows, "n_bytes")).alias("mean")).first().mean if judges else 0.0
+    weighed = lambda own, n, all_: (F.coalesce(F.col(own) * F.col(n), F.lit(0.0)) + prior * all_) / (F.col(n) + prior)
+    means = rows.groupBy("lang").agg((over(rows, "nats") / over(rows, "n_bytes")).alias("own"), F.count(F.when(unseen, 1)).alias("docs"))
+    scored = spread_join(rows, materialize(means.select("lang", weighed("own", "docs", known).alias("mean")), "means"), ["lang"])
+    scored = materialize(scored.withColumn("z", F.when(F.col("n_bytes") > 0, (F.col("nats") - F.col("n_bytes") * F.col("mean")) / F.sqrt(F.col("n_bytes").cast("double")))), "scored")
+    bounds = lambda: [F.percentile_approx(F.when(trusted, F.col("z")), low, 20_000).alias("a"), F.percentile_approx(F.when(unseen, F.col("z")), high, 20_000).alias("b")]
+    every = scored.agg(*bounds()).first() if judges else None
+    accept = F.col("n_bytes") > 0
+    if every is not None and every.b is not None:
+        limits = scored.groupBy("lang").agg(*bounds(), F.count(F.when(trusted, 1)).alias("na"), F.count(F.when(unseen, 1)).alias("nb"))
+        limits = materialize(limits.select("lang", weighed("a", "na", every.a).alias("least"), weighed("b", "nb", every.b).alias("most")), "limits")
+        scored = spread_join(scored, limits, ["lang"])
+        accept = accept & F.col("z").between(F.col("least"), F.col("most"))
+    return scored.select(
+        F.when(~F.col("null_id"), F.col("doc")).alias("doc_id"), "lang", "mark", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(F.col("nats") / F.col("n_bytes"))).alias("perplexity"),
+        "z", F.coalesce(accept, F.lit(False)).alias("accept"), (F.col("trusted") == HELD).alias("held_out"),
     )

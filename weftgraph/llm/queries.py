@@ -143,7 +143,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted text: all documents labelled of quality 1. All documents are scored."""
     found = classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "lang", "n_bytes", "perplexity", "z", F.col("accept").cast("int").alias("predicted"))
+    return found.select("doc_id", "lang", "n_bytes", "perplexity", "z", F.col("accept").cast("int").alias("predicted"), "held_out")
 
 
 @query("op9_media_columns")
