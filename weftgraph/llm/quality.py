@@ -8,15 +8,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import discard, materialize
 from . import exchange
 from . import kernels as K
 from .joins import spread_join
 from .memory import tidy
 from .units import deal, load, prepared, raw_text, text_bytes, unit_count, unit_of
 
-#: Order of the model: a byte given the five before it. Texts begin after five line feeds.
-ORDER = 6
+#: Order of the model: a byte given the four before it. Texts begin after four line feeds.
+ORDER = 5
 #: Bytes of text whose n-grams are taken at once, whatever documents they belong to.
 PIECE_BYTES = 2 << 20
 #: One in ``FOLDS`` trusted documents is not counted, so that limits are set by text the model has not seen.
@@ -42,6 +42,35 @@ def byte_grams(table: pa.Table, order: int):
         yield doc, gram
 
 
+def _shifts(bits: int) -> tuple[int, int, int]:
+    return bits // 3 + 2, bits // 2 + 1, bits // 4 + 1
+
+
+def scrambled(gram: np.ndarray, bits: int) -> np.ndarray:
+    """The n-grams as keys that fill their range evenly: three steps of shift and exclusive or, each of which can be undone."""
+    a, b, c = (K.U64(x) for x in _shifts(bits))
+    key, mask = gram.astype(K.U64), K.U64((1 << bits) - 1)
+    key = key ^ (key << a & mask)
+    key = key ^ key >> b
+    return key ^ (key << c & mask)
+
+
+def scrambled_column(gram: Column, bits: int) -> Column:
+    a, b, c = _shifts(bits)
+    key = gram.bitwiseXOR(F.shiftleft(gram, a).bitwiseAND(F.lit((1 << bits) - 1)))
+    key = key.bitwiseXOR(F.shiftright(key, b))
+    return key.bitwiseXOR(F.shiftleft(key, c).bitwiseAND(F.lit((1 << bits) - 1)))
+
+
+def unscrambled(key: np.ndarray, bits: int) -> np.ndarray:
+    mask, out = K.U64((1 << bits) - 1), key
+    for shift, left in zip(reversed(_shifts(bits)), (True, False, True)):
+        wanted, s = out, K.U64(shift)
+        for _ in range(-(-bits // shift)):
+            out = wanted ^ (out << s & mask if left else out >> s)
+    return out.astype(np.int64)
+
+
 def _summed(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     gram = np.concatenate(grams) if grams else np.zeros(0, np.int64)
     count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
@@ -101,7 +130,8 @@ def kneser_ney(types: DataFrame, order: int = ORDER) -> DataFrame:
         seen[n] = materialize(seen[n + 1].groupBy(F.col("g").bitwiseAND(mask).alias("g")).agg(F.count("*").alias("c")), "seen")
         asked[n] = materialize(asked[n + 1].select(F.col("g").bitwiseAND(mask).alias("g")).distinct(), "types")
     for n in range(1, order + 1):
-        p = materialize(_interpolated(asked[n], seen[n], p, 8 * (n - 1)), "model")
+        lower, p = p, materialize(_interpolated(asked[n], seen[n], p, 8 * (n - 1)), "model")
+        discard(lower, *((asked[n], seen[n]) if n < order else ()))
     return p
 
 
@@ -140,18 +170,20 @@ def perplexities(
     def ask(key: tuple[pa.Scalar, ...], unit: pa.Table, side: pa.Table) -> pa.Table:
         table = load(unit)
         gram, count = unit_grams(table, standing(table, side) == COUNTED, order)
-        return exchange.sent(exchange.send(key[0].as_py(), gram.astype(K.U64), [count], ranges))
+        keys = scrambled(gram, ranges.bits)
+        place = np.argsort(keys)
+        return exchange.sent(exchange.send(key[0].as_py(), keys[place], [count[place]], ranges))
 
     @tidy
     def add(piece: pa.Table) -> pa.Table:
         keys, extra, _ = exchange.entries(piece)
-        gram, count = _summed([keys.astype(np.int64)], extra)
+        gram, count = _summed([unscrambled(keys, ranges.bits)], extra)
         return pa.table([pa.array(gram), pa.array(count)], ["g", "c"])
 
     def answer(keys: np.ndarray, extra: list[np.ndarray], model: pa.Table) -> np.ndarray:
-        by = np.argsort(model.column("g").to_numpy())
-        known, nats = model.column("g").to_numpy()[by], -np.log(model.column("p").to_numpy()[by])
-        return nats[np.searchsorted(known, keys.astype(np.int64))].astype(np.float32)
+        known = scrambled(model.column("g").to_numpy(), ranges.bits)
+        by = np.argsort(known)
+        return -np.log(model.column("p").to_numpy()[by[np.searchsorted(known[by], keys)]]).astype(np.float32)
 
     @tidy
     def total_up(key: tuple[pa.Scalar, ...], unit: pa.Table, side: pa.Table) -> pa.Table:
@@ -163,7 +195,10 @@ def perplexities(
         is_told = side.column("shard").is_valid()
         trusted = standing(table, side.filter(pc.invert(is_told)))
         known, _ = unit_grams(table, np.zeros(table.num_rows, bool), order)
-        nats = exchange.told_values(side.filter(is_told), known.astype(K.U64), ranges, 0, np.float32).astype(np.float64)
+        keys = scrambled(known, ranges.bits)
+        place = np.argsort(keys)
+        nats = np.empty(len(keys))
+        nats[place] = exchange.told_values(side.filter(is_told), keys[place], ranges, 0, np.float32)
         sums, sizes = np.zeros(table.num_rows), np.zeros(table.num_rows, np.int64)
         for doc, gram in byte_grams(table, order):
             own, number = np.unique(gram, return_inverse=True)
@@ -179,10 +214,14 @@ def perplexities(
     else:
         part = asked.withColumn("grp", F.expr(f"unit div {ranges.parts}")).groupBy("shard", "grp").applyInArrow(add, "g long, c long")
         types = part.groupBy("g").agg(F.sum("c").alias("c"))
-    model = kneser_ney(materialize(types, "types"), order)
-    told = exchange.ask(asked, ranges, answer, model.select("g", "p", *ranges.place("g")))
+    types = materialize(types, "types")
+    model = kneser_ney(types, order)
+    placed = model.withColumn("k", scrambled_column(F.col("g"), ranges.bits))
+    told = exchange.ask(asked, ranges, answer, placed.select("g", "p", *ranges.place("k")))
     side = good.unionByName(told.select("unit", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("boolean").alias("held"), "shard", "answer"))
-    return materialize(dealt.groupBy("unit").cogroup(side.groupBy("unit")).applyInArrow(total_up, TOTALS), "perplexities")
+    out = materialize(dealt.groupBy("unit").cogroup(side.groupBy("unit")).applyInArrow(total_up, TOTALS), "perplexities")
+    discard(asked, types, model)
+    return out
 
 
 def classify_quality(
