@@ -1,13 +1,15 @@
 """Messages along edges: neighbour aggregation, spectral filters, attention.
 
-Vectors travel as one row for each edge and are summed per component, with partial sums before the
-shuffle; between hops they are gathered into arrays again, so the next join moves one row per edge.
+Vectors travel whole, one row for each edge, and are aggregated as vectors: a task sends one buffer
+for each target that it met, not one row for each component. What comes out is an array again.
 """
 
 from __future__ import annotations
 
 from math import comb
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,30 +27,48 @@ def gathered(rows: DataFrame, name: str = "feature") -> DataFrame:
     return rows.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias(name))
 
 
-def messages(edges: DataFrame, vectors: DataFrame, column: str = "feature", weight: str | None = None) -> DataFrame:
-    """``node_id (the target), dim, v``: a row for each edge and component, times the edge's weight."""
-    joined = edges.join(vectors.select(F.col("node_id").alias("src"), F.col(column).alias("__f")), "src")
-    rows = joined.select(F.col("dst").alias("node_id"), *([F.col(weight).alias("__w")] if weight else []), F.posexplode("__f").alias("dim", "v"))
-    value = F.col("v").cast("double")
-    return rows.select("node_id", F.col("dim").cast("long").alias("dim"), (value * F.col("__w") if weight else value).alias("v"))
+def as_vector(column: Column | str) -> Column:
+    return array_to_vector((F.col(column) if isinstance(column, str) else column).cast("array<double>"))
 
 
-def stable_std(x: Column) -> Column:
-    """sqrt(max(E[x^2] - E[x]^2, 0) + 1e-5)."""
-    return F.sqrt(F.greatest(F.avg(x * x) - F.avg(x) * F.avg(x), F.lit(0.0)) + 1e-5)
+def messages(edges: DataFrame, vectors: DataFrame, column: str = "feature", *keep: str) -> DataFrame:
+    """``node_id (the target), <keep>, __f`` for each edge: the source's array as a vector, made once for each source."""
+    sources = vectors.select(F.col("node_id").alias("src"), as_vector(column).alias("__f"))
+    return edges.join(sources, "src").select(F.col("dst").alias("node_id"), *keep, "__f")
 
 
-AGGREGATES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": stable_std}
+def stable_std(variance: Column, count: Column) -> Column:
+    """sqrt(max(E[x^2] - E[x]^2, 0) + 1e-5) of each component, from the sample variance."""
+    share = (count - 1).cast("double") / count
+    return F.transform(vector_to_array(variance), lambda v: F.sqrt(F.greatest(v * share, F.lit(0.0)) + 1e-5))
+
+
+def _stats(rows: DataFrame, names: list[str], *keys: str) -> DataFrame:
+    """``<keys>, <name> ..``: arrays of the aggregates among mean, sum, min, max and std."""
+    wanted = [("variance" if n == "std" else n) for n in names]
+    found = rows.groupBy(*keys).agg(Summarizer.metrics(*dict.fromkeys([*wanted, "count"])).summary(F.col("__f")).alias("__s"))
+    read = {n: stable_std(F.col("__s.variance"), F.col("__s.count")) if n == "std" else vector_to_array(F.col(f"__s.{n}")) for n in names}
+    return found.select(*keys, *[c.alias(n) for n, c in read.items()])
+
+
+def aggregated(edges: DataFrame, vectors: DataFrame, how: str = "mean", column: str = "feature", name: str = "feature") -> DataFrame:
+    """``node_id, <name>``: an aggregate over the sources of each node's incoming edges."""
+    return _stats(messages(edges, vectors, column), [how], "node_id").withColumnRenamed(how, name)
 
 
 def neighbour(edges: DataFrame, vectors: DataFrame, how: str = "mean", column: str = "feature") -> DataFrame:
-    """``node_id, dim, v``: an aggregate over the sources of each node's incoming edges."""
-    return messages(edges, vectors, column).groupBy("node_id", "dim").agg(AGGREGATES[how](F.col("v")).alias("v"))
+    """``aggregated`` as ``node_id, dim, v``."""
+    return long_form(aggregated(edges, vectors, how, column))
+
+
+def principal_arrays(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``node_id, mean, max, min, std`` in one pass."""
+    return _stats(messages(edges, vectors), ["mean", "max", "min", "std"], "node_id")
 
 
 def principal(edges: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``node_id, agg, dim, v``: mean, max, min and std in one pass."""
-    found = messages(edges, vectors).groupBy("node_id", "dim").agg(*[AGGREGATES[a](F.col("v")).alias(a) for a in ("mean", "max", "min", "std")])
+    """``principal_arrays`` as ``node_id, agg, dim, v``."""
+    found = principal_arrays(edges, vectors).select("node_id", F.posexplode(F.arrays_zip("mean", "max", "min", "std")).alias("dim", "z")).select("node_id", F.col("dim").cast("long").alias("dim"), "z.*")
     return found.select("node_id", "dim", F.expr("stack(4, 'mean', mean, 'max', max, 'min', min, 'std', std) as (agg, v)"))
 
 
@@ -65,9 +85,15 @@ def both_weights(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", (1 / F.sqrt((out * into).cast("double"))).alias("w"))
 
 
+def weighted_sum(weights: DataFrame, vectors: DataFrame, column: str = "feature", name: str = "feature") -> DataFrame:
+    """``node_id, <name>``: the sum over incoming edges ``src, dst, w`` (w above 0) of w times the source's vector."""
+    found = messages(weights, vectors, column, "w").groupBy("node_id").agg(Summarizer.sum(F.col("__f"), F.col("w")).alias("__s"))
+    return found.select("node_id", vector_to_array("__s").alias(name))
+
+
 def smoothed(weights: DataFrame, vectors: DataFrame, column: str = "feature") -> DataFrame:
     """``node_id, <array>``: the weighted sum over incoming edges, zeros for nodes without any."""
-    found = gathered(messages(weights, vectors, column, "w").groupBy("node_id", "dim").agg(F.sum("v").alias("v")), "__s")
+    found = weighted_sum(weights, vectors, column, "__s")
     return vectors.select("node_id", F.col(column).alias("__x")).join(found, "node_id", "left").select("node_id", F.coalesce("__s", F.transform("__x", lambda x: F.lit(0.0))).alias(column))
 
 
@@ -124,7 +150,7 @@ def hops(edges: DataFrame, nodes: DataFrame, k: int, how: str = "mean") -> list[
     """x, Ax, A^2 x ..: parameter-free propagation with the neighbour aggregate alone."""
     out = [nodes.select("node_id", "feature")]
     for _ in range(k):
-        out.append(gathered(neighbour(edges, out[-1], how)))
+        out.append(aggregated(edges, out[-1], how))
     return out
 
 
@@ -139,33 +165,54 @@ def stacked(terms: list[DataFrame], name: str = "hop") -> DataFrame:
 
 def gin_smooth(edges: DataFrame, nodes: DataFrame, eps: float = 0.0, how: str = "mean") -> DataFrame:
     """(1 + eps) x + aggregate."""
-    found = gathered(neighbour(edges, nodes, how), "__a")
+    found = aggregated(edges, nodes, how, name="__a")
     return nodes.join(found, "node_id").select("node_id", F.zip_with("feature", "__a", lambda x, a: (1 + eps) * x.cast("double") + a).alias("feature"))
 
 
-def attention(edges: DataFrame, nodes: DataFrame, sign: str | None = None) -> DataFrame:
-    """``node_id, dim, v``: messages weighted by the softmax of dot products over each target's edges."""
+def edge_scores(edges: DataFrame, nodes: DataFrame, *keep: str) -> DataFrame:
+    """``src, dst, <keep>, e``: exp(dot product of both ends, less the greatest of the target's edges)."""
     a, b = (nodes.select(F.col("node_id").alias(c), F.col("feature").alias(f"f_{c}")) for c in ("src", "dst"))
-    scored = edges.join(a, "src").join(b, "dst").withColumn("s", V.dot("f_src", "f_dst"))
-    here = W.partitionBy("dst")
-    weights = scored.withColumn("e", F.exp(F.col("s") - F.max("s").over(here))).withColumn("w", F.col("e") / F.sum("e").over(here) * (F.col(sign) if sign else F.lit(1)))
-    rows = weights.select(F.col("dst").alias("node_id"), "w", F.posexplode("f_src").alias("dim", "x"))
-    return rows.groupBy("node_id", F.col("dim").cast("long").alias("dim")).agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("v"))
+    scored = edges.join(a, "src").join(b, "dst").select("src", "dst", *keep, V.dot("f_src", "f_dst").alias("s"))
+    top = scored.groupBy("dst").agg(F.max("s").alias("top"))
+    return scored.join(top, "dst").select("src", "dst", *keep, F.exp(F.col("s") - F.col("top")).alias("e"))
+
+
+def attention_arrays(edges: DataFrame, nodes: DataFrame, sign: str | None = None) -> DataFrame:
+    """``node_id, feature``: messages weighted by the softmax of dot products over each target's edges,
+    times the edge's ``sign`` (1 or -1), if given. A softmax-weighted sum is a weighted mean."""
+    if not sign:
+        rows = messages(edge_scores(edges, nodes), nodes, "feature", "e")
+        return rows.groupBy("node_id").agg(Summarizer.mean(F.col("__f"), F.col("e")).alias("__m")).select("node_id", vector_to_array("__m").alias("feature"))
+    turned = nodes.select("node_id", "feature", F.lit(1).alias("__g")).unionByName(nodes.select("node_id", F.transform("feature", lambda x: -x).alias("feature"), F.lit(-1).alias("__g")))
+    sources = turned.select(F.col("node_id").alias("src"), F.col("__g").alias(sign), as_vector("feature").alias("__f"))
+    rows = edge_scores(edges, nodes, sign).join(sources, ["src", sign])
+    return rows.groupBy(F.col("dst").alias("node_id")).agg(Summarizer.mean(F.col("__f"), F.col("e")).alias("__m")).select("node_id", vector_to_array("__m").alias("feature"))
+
+
+def attention(edges: DataFrame, nodes: DataFrame, sign: str | None = None) -> DataFrame:
+    """``attention_arrays`` as ``node_id, dim, v``."""
+    return long_form(attention_arrays(edges, nodes, sign))
+
+
+def relation_arrays(typed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node_id, etype, mean``: neighbour means of each edge type."""
+    return _stats(messages(typed, nodes, "feature", "etype"), ["mean"], "node_id", "etype")
 
 
 def relation_mean(typed: DataFrame, nodes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Neighbour means of each edge type, averaged over the types a node has; or their weighted sum plus the node's own vector."""
-    joined = typed.join(nodes.select(F.col("node_id").alias("src"), "feature"), "src").select(F.col("dst").alias("node_id"), "etype", F.posexplode("feature").alias("dim", "v"))
-    per = joined.groupBy("node_id", "etype", F.col("dim").cast("long").alias("dim")).agg(F.avg(F.col("v").cast("double")).alias("v"))
+    """``node_id, dim, v``: neighbour means of each edge type, averaged over the types a node has; or their
+    weighted sum plus the node's own vector."""
+    per = relation_arrays(typed, nodes)
     if weights is None:
-        return per.groupBy("node_id", "dim").agg(F.avg("v").alias("v"))
-    scale = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(w))])
-    own = long_form(nodes)
-    return per.select("node_id", "dim", (F.col("v") * F.coalesce(scale[F.col("etype")], F.lit(0.0))).alias("v")).unionByName(own).groupBy("node_id", "dim").agg(F.sum("v").alias("v"))
+        return long_form(_stats(per.select("node_id", as_vector("mean").alias("__f")), ["mean"], "node_id"), "mean")
+    scale = F.coalesce(F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(w))])[F.col("etype")], F.lit(0.0))
+    parts = per.select("node_id", F.transform("mean", lambda x: x * scale).alias("f")).unionByName(nodes.select("node_id", F.col("feature").cast("array<double>").alias("f")))
+    return long_form(_stats(parts.select("node_id", as_vector("f").alias("__f")), ["sum"], "node_id"), "sum")
 
 
 def nonzero_mean(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Mean over sources whose vector is not all zeros; without one the divisor is 1."""
-    alive = nodes.withColumn("__a", F.exists("feature", lambda x: x != 0).cast("int"))
-    joined = edges.join(alive.select(F.col("node_id").alias("src"), "feature", "__a"), "src").select(F.col("dst").alias("node_id"), "__a", F.posexplode("feature").alias("dim", "v"))
-    return joined.groupBy("node_id", F.col("dim").cast("long").alias("dim")).agg((F.sum(F.col("v").cast("double")) / F.greatest(F.sum("__a"), F.lit(1))).alias("v"))
+    """``node_id, dim, v``: mean over sources whose vector is not all zeros; without one the divisor is 1."""
+    alive = nodes.select(F.col("node_id").alias("src"), F.exists("feature", lambda x: x != 0).cast("int").alias("__a"))
+    rows = messages(edges.join(alive, "src"), nodes, "feature", "__a")
+    found = rows.groupBy("node_id").agg(Summarizer.sum(F.col("__f")).alias("__s"), F.greatest(F.sum("__a"), F.lit(1)).alias("__n"))
+    return long_form(found.select("node_id", F.transform(vector_to_array("__s"), lambda x: x / F.col("__n")).alias("feature")))

@@ -23,7 +23,7 @@ def rounded(rows, *columns, digits=6):
 
 def scored(spark, d):
     g = test_graph(spark, d)
-    mean = P.gathered(P.neighbour(g.edges, g.nodes), "m")
+    mean = P.aggregated(g.edges, g.nodes, name="m")
     return g.nodes.join(mean, "node_id").select(F.col("node_id").alias("id"), "y", F.round(1 - V.dot("m", "feature"), 9).alias("p"))
 
 
@@ -311,7 +311,7 @@ def l2norm(spark, d):
 JOIN (SELECT dim, avg(v) AS mb, stddev_pop(v) AS sb FROM (SELECT dst, dim, avg(v) AS v FROM edges JOIN x ON x.node_id = src GROUP BY dst, dim) q GROUP BY dim) b USING (dim)"""))
 def fidelity(spark, d):
     g = test_graph(spark, d)
-    return rounded(S.fidelity(g.nodes, P.gathered(P.neighbour(g.edges, g.nodes))), "bias", "std_ratio")
+    return rounded(S.fidelity(g.nodes, P.aggregated(g.edges, g.nodes)), "bias", "std_ratio")
 
 
 @query("class_weight", with_graph("SELECT round((count(*) - sum(y)) / CAST(greatest(sum(y), 1) AS DOUBLE), 6) AS weight FROM nodes JOIN roles USING (node_id) WHERE role = 'train'", ROLES))
