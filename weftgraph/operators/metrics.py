@@ -1,7 +1,7 @@
 """Ranking and classification metrics, reports over trials, early stopping.
 
-Scores are collapsed to distinct values before any ordered window, so the window's single partition
-holds one row for each distinct score.
+Scores are collapsed to distinct values before they are ordered. Over all rows the running sums come
+from a sort over all tasks (``order``); inside groups from a window of each group.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .order import running_sums
+
 
 def _by_score(scored: DataFrame, keys: list[str]) -> DataFrame:
     return scored.groupBy(*keys, "p").agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
@@ -20,9 +22,14 @@ def rank_metrics(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     average precision over distinct thresholds; K is the number of positives, ties by id."""
     keys = list(keys)
     levels = _by_score(scored, keys)
-    down = W.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy(*keys)
-    run = levels.withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down)).withColumn("np", F.sum("pos").over(every)).withColumn("nn", F.sum(F.col("n") - F.col("pos")).over(every))
+    if keys:
+        down = W.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
+        run = levels.withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
+        every = W.partitionBy(*keys)
+        run = run.withColumn("np", F.sum("pos").over(every)).withColumn("nn", F.sum(F.col("n") - F.col("pos")).over(every))
+    else:
+        all_ = scored.agg(F.sum("y").cast("double").alias("np"), F.count("*").cast("double").alias("n")).first()
+        run = running_sums(levels, [F.desc("p")], tp=F.col("pos"), seen=F.col("n")).withColumn("np", F.lit(all_.np)).withColumn("nn", F.lit(all_.n - (all_.np or 0.0)))
     below = F.col("nn") - (F.col("seen") - F.col("tp"))
     curve = run.groupBy(*keys).agg(
         (F.sum(F.col("pos") * (below + 0.5 * (F.col("n") - F.col("pos")))) / (F.first("np") * F.first("nn"))).alias("auroc"), (F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.first("np")).alias("auprc"),

@@ -4,39 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.vectors import hashed
+from ..storage import materialize
 from .edges import canonical
+from .order import numbered, numbered_within
+
+
+def _roles(train: int, val: int, of: int):
+    r, n = F.col("r"), F.col("n")
+    return F.when(of * r <= train * n, "train").when(of * r <= (train + val) * n, "val").otherwise("test").alias("role")
 
 
 def random_split(nodes: DataFrame, seed: int, train: int = 4, val: int = 2, of: int = 10) -> DataFrame:
     """``node_id, role`` with shares ``train/of`` and ``val/of``, the rest test."""
-    order = W.orderBy(hashed(seed, "node_id"), "node_id")
-    ranked = nodes.select("node_id").withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy()))
-    return ranked.select("node_id", F.when(of * F.col("r") <= train * F.col("n"), "train").when(of * F.col("r") <= (train + val) * F.col("n"), "val").otherwise("test").alias("role"))
+    ranked = numbered(nodes.select("node_id"), hashed(seed, "node_id"), "node_id").withColumn("n", F.lit(nodes.count()))
+    return ranked.select("node_id", _roles(train, val, of))
 
 
 def stratified_split(nodes: DataFrame, seed: int, train: int = 4, val: int = 2, of: int = 10, label: str = "y") -> DataFrame:
     """As ``random_split`` inside each label: quotas are the rounded-down shares of the label's size."""
-    here = W.partitionBy(label)
-    ranked = nodes.select("node_id", label).withColumn("r", F.row_number().over(here.orderBy(hashed(seed, "node_id"), "node_id"))).withColumn("n", F.count("*").over(here))
-    return ranked.select("node_id", F.when(of * F.col("r") <= train * F.col("n"), "train").when(of * F.col("r") <= (train + val) * F.col("n"), "val").otherwise("test").alias("role"))
+    ranked = numbered_within(nodes.select("node_id", label), label, hashed(seed, "node_id"), "node_id")
+    return ranked.select("node_id", _roles(train, val, of))
 
 
 def few_label_split(nodes: DataFrame, seed: int, positives: int = 20, negatives: int = 80, label: str = "y") -> DataFrame:
     """``positives`` and ``negatives`` for training, as many for validation, the rest test."""
-    ranked = nodes.select("node_id", label).withColumn("r", F.row_number().over(W.partitionBy(label).orderBy(hashed(seed, "node_id"), "node_id")))
+    ranked = numbered_within(nodes.select("node_id", label), label, hashed(seed, "node_id"), "node_id")
     quota = F.when(F.col(label) == 1, positives).otherwise(negatives)
     return ranked.select("node_id", F.when(F.col("r") <= quota, "train").when(F.col("r") <= 2 * quota, "val").otherwise("test").alias("role"))
 
 
 def quota_split(nodes: DataFrame, seed: int, quotas: DataFrame) -> DataFrame:
     """Roles of the sizes in ``quotas(lo, hi, role)``: ranks above lo and up to hi."""
-    ranked = nodes.select("node_id").withColumn("r", F.row_number().over(W.orderBy(hashed(seed, "node_id"), "node_id")))
+    ranked = numbered(nodes.select("node_id"), hashed(seed, "node_id"), "node_id")
     return ranked.join(F.broadcast(quotas), (F.col("r") > F.col("lo")) & (F.col("r") <= F.col("hi"))).select("node_id", "role")
 
 
+def replicated_split(roles: DataFrame, copies: int = 10) -> DataFrame:
+    """``trial, node_id, role``: one given split as that of each trial."""
+    return roles.select(F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("trial"), "node_id", "role")
+
+
 def trials(split, nodes: DataFrame, seeds: list[int]) -> DataFrame:
     """``trial, node_id, role`` for each seed."""
     out = None
@@ -48,16 +57,24 @@ def trials(split, nodes: DataFrame, seeds: list[int]) -> DataFrame:
 
 def balanced(nodes: DataFrame, seed: int, label: str = "y") -> DataFrame:
     """As many nodes of each label as the rarest has."""
-    here = W.partitionBy(label)
-    counted = nodes.select("node_id", label).withColumn("r", F.row_number().over(here.orderBy(hashed(seed, "node_id"), "node_id")))
-    least = F.broadcast(nodes.groupBy(label).count().agg(F.min("count").alias("q")).withColumn("k", F.lit(1)))
-    return counted.withColumn("k", F.lit(1)).join(least, "k").where("r <= q").select("node_id", label)
+    counted = numbered_within(nodes.select("node_id", label), label, hashed(seed, "node_id"), "node_id")
+    least = nodes.groupBy(label).count().agg(F.min("count")).first()[0] or 0
+    return counted.where(F.col("r") <= least).select("node_id", label)
+
+
+def redrawn(nodes: DataFrame, seed: int, each: int, label: str = "y") -> DataFrame:
+    """``draw, node_id, <label>``: ``each`` draws with replacement from every label; a draw takes the node
+    whose place in the label's order is its hash modulo the label's size."""
+    ranked = numbered_within(nodes.select("node_id", label), label, "node_id")
+    draws = nodes.groupBy(label).agg(F.count("*").alias("__size")).select(label, "__size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(each - 1).cast("long"))).alias("draw"))
+    place = F.conv(F.substring(hashed(seed, label, "draw"), 1, 8), 16, 10).cast("long") % F.col("__size") + 1
+    return draws.withColumn("r", place).join(ranked, [label, "r"]).select("draw", "node_id", label)
 
 
 def permuted(nodes: DataFrame, seed: int) -> DataFrame:
     """``node_id, feature`` with the features dealt anew."""
-    a = nodes.select("node_id", F.row_number().over(W.orderBy("node_id")).alias("r"))
-    b = nodes.select("feature", F.row_number().over(W.orderBy(hashed(seed, "node_id"), "node_id")).alias("r"))
+    a = numbered(nodes.select("node_id"), "node_id")
+    b = numbered(nodes.select("node_id", "feature"), hashed(seed, "node_id"), "node_id").select("r", "feature")
     return a.join(b, "r").select("node_id", "feature")
 
 
@@ -67,22 +84,35 @@ def link_split(edges: DataFrame, forest: DataFrame, seed: int, test: tuple[int,
     ``val`` share validates."""
     pairs = canonical(edges)
     marked = pairs.join(forest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.lit(1).alias("tree")).distinct(), ["u", "v"], "left")
-    total = F.broadcast(pairs.agg(F.count("*").alias("e")).withColumn("k", F.lit(1)))
-    free = marked.where("tree is null").withColumn("r", F.row_number().over(W.orderBy(hashed(seed, "u", "v"), "u", "v")))
-    free = free.withColumn("k", F.lit(1)).join(total, "k")
-    a, b = F.expr(f"e * {test[0]} div {test[1]}"), F.expr(f"e * {test[0]} div {test[1]} + e * {val[0]} div {val[1]}")
+    total = pairs.count()
+    free = numbered(marked.where("tree is null").select("u", "v"), hashed(seed, "u", "v"), "u", "v")
+    a = total * test[0] // test[1]
+    b = a + total * val[0] // val[1]
     roles = free.select("u", "v", F.when(F.col("r") <= a, "test").when(F.col("r") <= b, "val").otherwise("train").alias("role"))
     return roles.unionByName(marked.where("tree = 1").select("u", "v", F.lit("train").alias("role"))).select(F.col("u").alias("src"), F.col("v").alias("dst"), "role")
 
 
 def random_negatives(edges: DataFrame, n_nodes: int, count: int, seed: int, spare: int = 2) -> DataFrame:
-    """``count`` pairs that are neither edges nor loops: hashed candidates, an exact anti join, the first by hash."""
-    spark = edges.sparkSession
+    """``count`` pairs that are neither edges nor loops: hashed candidates, an exact anti join, the first by
+    hash. Where too few candidates are free, twice as many are drawn; once they are as many as there
+    are pairs, all free pairs are ranked instead, and if those are too few it is an error."""
+    spark, taken = edges.sparkSession, edges.select("src", "dst").distinct()
     part = lambda h, a: F.conv(F.substring(h, a, 8), 16, 10).cast("long") % n_nodes
-    h = hashed(seed, "id")
-    pool = spark.range(count * spare + 100).select(part(h, 1).alias("src"), part(h, 9).alias("dst"), h.alias("h")).where("src <> dst")
-    pool = pool.groupBy("src", "dst").agg(F.min("h").alias("h")).join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-    return pool.orderBy("h", "src", "dst").limit(count).select("src", "dst")
+    drawn = count * spare + 100
+    while drawn < n_nodes * n_nodes:
+        h = hashed(seed, "id")
+        pool = spark.range(drawn).select(part(h, 1).alias("src"), part(h, 9).alias("dst"), h.alias("h")).where("src <> dst")
+        pool = pool.groupBy("src", "dst").agg(F.min("h").alias("h")).join(taken, ["src", "dst"], "left_anti")
+        found = materialize(pool.orderBy("h", "src", "dst").limit(count).select("src", "dst"), "negatives")
+        if found.count() == count:
+            return found
+        drawn *= 2
+    every = spark.range(n_nodes * n_nodes).select(F.expr(f"id div {n_nodes}").alias("src"), (F.col("id") % n_nodes).alias("dst")).where("src <> dst")
+    free = every.join(taken, ["src", "dst"], "left_anti")
+    found = materialize(free.orderBy(hashed(seed, "src", "dst"), "src", "dst").limit(count), "negatives")
+    if found.count() < count:
+        raise ValueError(f"only {found.count()} pairs are free, not {count}")
+    return found
 
 
 def hard_negatives(edges: DataFrame, seed: int) -> DataFrame:

@@ -8,11 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..storage import materialize
 from .components import connected_components
 from .edges import canonical
+from .order import numbered
 
 
 def both_ways(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -53,7 +53,8 @@ def bfs_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     deg = both_ways(canonical(edges)).groupBy(F.col("a").alias("node_id")).agg(F.count("*").alias("d"))
     root = deg.orderBy(F.desc("d"), "node_id").limit(1).select("node_id")
     found = nodes.select("node_id").join(bfs(edges, root), "node_id", "left")
-    return found.select("node_id", (F.row_number().over(W.orderBy(F.col("depth").asc_nulls_last(), F.col("parent").asc_nulls_first(), "node_id")) - 1).cast("long").alias("place"))
+    placed = numbered(found, F.col("depth").asc_nulls_last(), F.col("parent").asc_nulls_first(), F.col("node_id"))
+    return placed.select("node_id", (F.col("r") - 1).alias("place"))
 
 
 def relabeled(edges: DataFrame, order: DataFrame) -> DataFrame:
@@ -101,6 +102,19 @@ def clustering(pairs: DataFrame, *keys: str) -> DataFrame:
     return node_triangles(pairs, *keys).select(*keys, "node_id", F.when(d < 2, 0.0).otherwise(2 * F.col("tri") / (d * (d - 1))).alias("cc"))
 
 
+def four_cycles(both: DataFrame, deg: DataFrame) -> DataFrame:
+    """``a, c4``: 4-cycles through each node, of neighbours ``a, b`` and degrees ``a, d``. A cycle is found at
+    its node of highest (degree, id): paths from there over a lower node to another lower one. So no
+    hub's neighbours are paired, and paths stay below edges times the square root of edges."""
+    near = both.join(deg.select("a", F.struct(F.col("d"), F.col("a").alias("id")).alias("ra")), "a").join(deg.select(F.col("a").alias("b"), F.struct(F.col("d"), F.col("a").alias("id")).alias("rb")), "b")
+    up = near.where("rb > ra").select(F.col("a").alias("mid"), F.col("b").alias("top"), F.col("rb").alias("rt"))
+    path = up.join(near.select(F.col("a").alias("mid"), F.col("b").alias("end"), F.col("rb").alias("re")), "mid").where("re < rt").select("top", "mid", "end")
+    both_ends = path.groupBy("top", "end").agg(F.count("*").alias("m")).where("m > 1")
+    ends = both_ends.select(F.explode(F.array("top", "end")).alias("a"), F.expr("m * (m - 1) div 2").alias("n"))
+    middles = path.join(both_ends, ["top", "end"]).select(F.col("mid").alias("a"), (F.col("m") - 1).alias("n"))
+    return ends.unionByName(middles).groupBy("a").agg(F.sum("n").alias("c4"))
+
+
 def orbits4(pairs: DataFrame) -> DataFrame:
     """``node_id, o0 .. o14``: how often a node stands in each orbit of the induced connected
     subgraphs of up to four nodes.
@@ -119,8 +133,7 @@ def orbits4(pairs: DataFrame) -> DataFrame:
     clique = fourth.join(o.select(F.col("p").alias("q"), F.col("q").alias("s")), ["q", "s"], "left_semi").join(o.select(F.col("p").alias("r"), F.col("q").alias("s")), ["r", "s"], "left_semi")
     k4 = clique.select(F.explode(F.array("p", "q", "r", "s")).alias("a")).groupBy("a").agg(F.count("*").alias("k"))
     tips = sides.join(on_edge, ["u", "v"]).groupBy(F.col("w").alias("a")).agg(F.sum(F.col("te") - 1).alias("d12"))
-    common = both.join(both.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").where("a <> c").groupBy("a", "c").agg(F.count("*").alias("m"))
-    cycles = common.groupBy("a").agg(F.sum(F.expr("m * (m - 1) div 2")).alias("c4"))
+    cycles = four_cycles(both, deg)
     node = deg.join(t, "a", "left").na.fill(0, ["t"])
     reach = both.join(node.select(F.col("a").alias("b"), F.col("d").alias("db")), "b").groupBy("a").agg(F.sum(F.col("db") - 1).alias("s"))
     node = node.join(reach, "a")

@@ -21,13 +21,21 @@ def topology(spark: SparkSession, depth: int, fanout: int) -> DataFrame:
 
 def sample_trees(edges: DataFrame, roots: DataFrame, depth: int, fanout: int, seed: int) -> DataFrame:
     """``root, pos, parent_pos, node_id``: up to ``fanout`` in-neighbours of each slot's node without
-    replacement, in hashed order; empty slots have a null node. One join for each level."""
-    adj = edges.select(F.col("dst").alias("node_id"), F.col("src").alias("nbr")).distinct()
+    replacement; empty slots have a null node. A node's neighbours are ranked once by a hash; a slot takes
+    neighbours in that order from a hashed place on, around the end. So each level is a join of
+    ``fanout`` rows for each slot on (node, rank), however many neighbours a hub has."""
+    near = edges.select(F.col("dst").alias("node_id"), F.col("src").alias("nbr")).distinct()
+    here = W.partitionBy("node_id")
+    ranked = near.select("node_id", "nbr", (F.row_number().over(here.orderBy(hashed(seed, "node_id", "nbr"), "nbr")) - 1).cast("long").alias("k"))
+    size = near.groupBy("node_id").agg(F.count("*").alias("n"))
     level = roots.select(F.col("node_id").alias("root"), F.lit(0).cast("long").alias("pos"), "node_id")
     found = level
     for _ in range(depth):
-        next_ = level.join(adj, "node_id").withColumn("r", F.row_number().over(W.partitionBy("root", "pos").orderBy(hashed(seed, "root", "pos", "nbr"), "nbr"))).where(F.col("r") <= fanout)
-        level = next_.select("root", (F.col("pos") * fanout + F.col("r")).alias("pos"), F.col("nbr").alias("node_id"))
+        start = F.conv(F.substring(hashed(seed, "root", "pos"), 1, 8), 16, 10).cast("long")
+        picks = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n"), F.lit(fanout)) - 1))
+        slots = level.join(size, "node_id").select("root", "pos", "node_id", "n", start.alias("s"), picks.alias("j"))
+        slots = slots.select("root", "node_id", (F.col("pos") * fanout + F.col("j") + 1).alias("pos"), ((F.col("s") + F.col("j")) % F.col("n")).alias("k"))
+        level = slots.join(ranked, ["node_id", "k"]).select("root", "pos", F.col("nbr").alias("node_id"))
         found = found.unionByName(level)
     slots = (fanout ** (depth + 1) - 1) // (fanout - 1) if fanout > 1 else depth + 1
     grid = roots.select(F.col("node_id").alias("root"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("pos"))
@@ -57,7 +65,6 @@ def paths(sequences: DataFrame, depth: int, fanout: int) -> DataFrame:
 
 def tree_features(trees: DataFrame, nodes: DataFrame) -> DataFrame:
     """Slots with features, zeros for empty ones."""
-    zero = F.transform(F.first("feature").over(W.partitionBy(F.lit(1))), lambda x: x * 0)
     dims = nodes.select(F.size("feature").alias("n")).limit(1).first()
     return trees.join(nodes.select("node_id", "feature"), "node_id", "left").withColumn("feature", F.coalesce("feature", F.array_repeat(F.lit(0.0).cast("float"), dims.n if dims else 0)))
 
@@ -75,7 +82,7 @@ def row_decisions(entries: DataFrame) -> DataFrame:
     """``row_id, depth, lo, hi, has_left, has_right`` of ``row_id, col_id`` (col below row): each row's
     columns [0, row) are halved until one is left; which halves hold an entry. One pass: an entry lists
     the ranges it falls in, and the ranges are grouped."""
-    walk = """aggregate(sequence(0, 62), named_struct('lo', 0L, 'hi', row_id, 's', cast(array() as array<struct<depth:bigint,lo:bigint,hi:bigint,l:int>>)),
+    walk = """aggregate(sequence(0, cast(ceil(log2(greatest(row_id, 1L))) as int)), named_struct('lo', 0L, 'hi', row_id, 's', cast(array() as array<struct<depth:bigint,lo:bigint,hi:bigint,l:int>>)),
       (a, d) -> if(a.hi - a.lo <= 1, a, named_struct('lo', if(col_id < (a.lo + a.hi) div 2, a.lo, (a.lo + a.hi) div 2), 'hi', if(col_id < (a.lo + a.hi) div 2, (a.lo + a.hi) div 2, a.hi),
         's', concat(a.s, array(named_struct('depth', cast(d as bigint), 'lo', a.lo, 'hi', a.hi, 'l', if(col_id < (a.lo + a.hi) div 2, 1, 0))))))).s"""
     steps = entries.select("row_id", F.explode(F.expr(walk)).alias("s")).select("row_id", "s.*")

@@ -236,10 +236,13 @@ def cg_topology(spark, d):
 
 
 def level_sql(name: str, of: str) -> str:
-    return f"{name} AS (SELECT root, pos * 3 + r AS pos, nbr AS node_id FROM (SELECT root, pos, src AS nbr, row_number() OVER (PARTITION BY root, pos ORDER BY md5(concat_ws(':', '3407', CAST(root AS VARCHAR), CAST(pos AS VARCHAR), CAST(src AS VARCHAR))), src) AS r FROM {of} JOIN edges ON dst = node_id) q WHERE r <= 3)"
+    start = "CAST('0x' || substr(md5(concat_ws(':', '3407', CAST(root AS VARCHAR), CAST(pos AS VARCHAR))), 1, 8) AS BIGINT)"
+    return f"""{name} AS (SELECT root, q.pos * 3 + j + 1 AS pos, nbr AS node_id FROM (SELECT root, pos, node_id, n, {start} AS s, unnest(range(least(n, 3))) AS j FROM {of} JOIN nsize USING (node_id)) q
+JOIN near ON near.node_id = q.node_id AND near.k = (q.s + q.j) % q.n)"""
 
 
-TREES = ", ".join(["t0 AS (SELECT node_id AS root, CAST(0 AS BIGINT) AS pos, node_id FROM nodes)", level_sql("t1", "t0"), level_sql("t2", "t1"),
+NEAR = "near AS (SELECT dst AS node_id, src AS nbr, row_number() OVER (PARTITION BY dst ORDER BY md5(concat_ws(':', '3407', CAST(dst AS VARCHAR), CAST(src AS VARCHAR))), src) - 1 AS k FROM edges), nsize AS (SELECT dst AS node_id, count(*) AS n FROM edges GROUP BY dst)"
+TREES = ", ".join([NEAR, "t0 AS (SELECT node_id AS root, CAST(0 AS BIGINT) AS pos, node_id FROM nodes)", level_sql("t1", "t0"), level_sql("t2", "t1"),
     "tree AS (SELECT g.root, g.pos, CASE WHEN g.pos > 0 THEN (g.pos - 1) // 3 END AS parent_pos, t.node_id FROM (SELECT node_id AS root, unnest(range(13)) AS pos FROM nodes) g LEFT JOIN (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2) t USING (root, pos))"])
 
 
