@@ -22,13 +22,15 @@ SENT = "shard int, unit int, n int, keys binary, extra array<binary>"
 TOLD = "unit int, shard int, answer binary"
 #: Ranges that a unit cuts its keys into at most.
 FAN = 1024
+#: Ranges at least, so that small inputs use more than one task.
+LEAST = 16
 
 
 class Ranges:
-    """How keys below ``2**bits`` are cut for a number of units: two units' keys meet in a task."""
+    """How keys below ``2**bits`` are cut for a number of units: those of two units meet in a task."""
 
     def __init__(self, units: int, bits: int, fan: int = FAN):
-        wanted = max(1, units // 2)
+        wanted = max(LEAST, units // 2)
         self.bits, self.shards = bits, min(wanted, fan)
         self.parts = -(-wanted // self.shards)
 
