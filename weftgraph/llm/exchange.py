@@ -107,7 +107,7 @@ def ask(pieces: DataFrame, ranges: Ranges, answer: Callable, facts: DataFrame |
     def merged(piece: pa.Table):
         piece = piece.sort_by("unit")
         keys, extra, sizes = entries(piece)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         return piece, order, keys[order], [x[order] for x in extra], sizes
 
     def once(piece: pa.Table, known: pa.Table | None = None) -> pa.Table:

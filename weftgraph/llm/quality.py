@@ -74,7 +74,7 @@ def unscrambled(key: np.ndarray, bits: int) -> np.ndarray:
 def _summed(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     gram = np.concatenate(grams) if grams else np.zeros(0, np.int64)
     count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    order = np.argsort(gram, kind="stable")
+    order = np.argsort(gram)
     gram, count = gram[order], count[order]
     at = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
     return gram[at], np.add.reduceat(count, at) if len(at) else count

@@ -31,17 +31,23 @@ def row_cells(items: np.ndarray, row: int, bits: int) -> np.ndarray:
 def _counted(items: np.ndarray, owner: np.ndarray, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The unit's cells, ascending, and which of them items of two owners reach. A cell that one
     owner reaches twice counts once: only repeats across owners matter."""
-    cells = row_cells(items, row, bits)
-    order = np.argsort(cells, kind="stable")
-    cells, owner = cells[order], owner[order]
-    new = np.ones(len(cells), bool)
-    new[1:] = cells[1:] != cells[:-1]
-    at = np.flatnonzero(new)
+    order, cells, at, _ = _runs(row_cells(items, row, bits))
     if not len(at):
         return cells, np.zeros(0, bool)
+    owner = owner[order]
     return cells[at], np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)
 
 
+def _runs(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts the cells, the sorted cells, where each distinct one starts, and how often it occurs."""
+    order = np.argsort(cells)
+    ranked = cells[order]
+    new = np.ones(len(ranked), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    return order, ranked, at, np.diff(np.append(at, len(ranked)))
+
+
 def send(unit: int, items: np.ndarray, owner: np.ndarray, depth: int, ranges: exchange.Ranges) -> pa.Table:
     """The unit's sketch, in pieces for each range of each row."""
     rows = []
@@ -55,29 +61,20 @@ def merge(pieces: DataFrame, ranges: exchange.Ranges) -> DataFrame:
     """Add the counters of all units, range by range; to each unit a bit for each of its cells."""
 
     def high(cells: np.ndarray, extra: list[np.ndarray]) -> np.ndarray:
-        every = np.sort(cells)
-        twice = every[1:][every[1:] == every[:-1]]
-        return _member(cells, np.unique(np.concatenate([twice, cells[extra[0]]])))
+        order, _, at, size = _runs(cells)
+        out = np.empty(len(cells), bool)
+        out[order] = np.repeat((size > 1) | np.logical_or.reduceat(extra[0][order], at), size)
+        return out
 
     return exchange.ask(pieces, ranges, high)
 
 
-def _member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
-    if not len(sorted_set):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(sorted_set, values)
-    at[at == len(sorted_set)] = 0
-    return sorted_set[at] == values
-
-
 def estimated_repeats(items: np.ndarray, told: pa.Table, depth: int, ranges: exchange.Ranges) -> np.ndarray:
     """Which of the unit's items (the same as were sent) all rows estimate at 2 or more."""
     found = np.ones(len(items), bool)
     if not len(items):
         return found
     for row in range(depth):
-        open_items = np.flatnonzero(found)
-        cells = np.unique(row_cells(items, row, ranges.bits))
-        high = exchange.told_values(told, cells, ranges, row, bool)
-        found[open_items] = _member(row_cells(items[open_items], row, ranges.bits), cells[high])
+        order, cells, at, size = _runs(row_cells(items, row, ranges.bits))
+        found[order] &= np.repeat(exchange.told_values(told, cells[at], ranges, row, bool), size)
     return found
