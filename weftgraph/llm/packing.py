@@ -14,13 +14,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from . import kernels as K
 from .memory import tidy
-from .units import plain_columns
+from .units import Chunk, plain_columns, raw_text
 
 #: Whether this machine lays out unsigned 32-bit numbers as the result asks.
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Words, and stems and runs of signs, that a worker keeps the ids of.
 CACHE_WORDS, CACHE_PARTS = 300_000, 400_000
+#: Bytes of text that are encoded at once; a longer document is encoded alone.
+ENCODED_BYTES = 4 << 20
 #: ASCII signs that stand behind words; the tokenizer cuts between a letter or digit and these.
 SIGNS = b".,;:!?*$%&#|()[]{}<>=+-/@^~`_\""
 _ENCODERS: dict[str, "WordEncoder"] = {}
@@ -40,7 +43,8 @@ BYTE_SIGNS = _byte_signs()
 class WordEncoder:
     """Token ids of texts by a tokenizer that drops white space and cuts letters, digits and signs
     apart: ids of a text are those of its words one after the other, and ids of a word those of its
-    stem and of the signs behind it. So each distinct stem is encoded once."""
+    stem and of the signs behind it. So each distinct stem is encoded once; words are told apart by
+    64-bit hashes, and a text's ids are gathered from those of its words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,8 +52,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ids: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
+        self.ids: dict[int, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
         #: A normalised lower-case word of letters is one unit of the merges, so it needs no cutting.
         self.merges = self.tokenizer.model if self._letters_are_units() else None
 
@@ -61,46 +65,85 @@ class WordEncoder:
     def _unit(self, word: str) -> list[int]:
         return [t.id for t in self.merges.tokenize(word if word.isascii() else "".join(map(BYTE_SIGNS.__getitem__, word.encode())))]
 
-    def _raw(self, words: list[bytes]) -> list[bytes]:
+    def _raw(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each word: by the merges alone where it is one unit, else by the whole tokenizer."""
-        found: dict[bytes, list[int]] = {}
+        found: dict[bytes, bytes] = {}
+        rest = words
         if self.merges is not None:
+            rest, tokenize, signs = [], self.merges.tokenize, BYTE_SIGNS.__getitem__
             for w in words:
                 s = w.decode()
-                if s.isalpha() and (s.isascii() or (s == s.lower() and unicodedata.is_normalized("NFC", s))):
-                    found[w] = self._unit(s)
-        rest = [w for w in words if w not in found]
+                if not s.isalpha():
+                    rest.append(w)
+                elif s.isascii():
+                    found[w] = _ids([t.id for t in tokenize(s)])
+                elif s == s.lower() and unicodedata.is_normalized("NFC", s):
+                    found[w] = _ids([t.id for t in tokenize("".join(map(signs, w)))])
+                else:
+                    rest.append(w)
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
-            found[w] = e.ids
-        return [array("I", found[w]).tobytes() if LITTLE else np.array(found[w], "<u4").tobytes() for w in words]
+            found[w] = _ids(e.ids)
+        return found
 
-    def _learn(self, words: set[bytes]) -> None:
-        cut = {}
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, from those of its parts."""
+        cut: list[tuple[bytes, bytes | None]] = []
+        parts = self.parts
+        if len(parts) > CACHE_PARTS:
+            parts.clear()
+        new = set()
         for w in words:
-            stem = w.rstrip(SIGNS)
-            if stem and stem != w and (stem[-1:].isalnum() if stem[-1] < 128 else stem.decode().lower()[-1].isalpha()):
-                cut[w] = stem, w[len(stem) :]
+            stem, tail = w.rstrip(SIGNS), None
+            if stem != w and stem and (stem[-1:].isalnum() if stem[-1] < 128 else stem.decode().lower()[-1].isalpha()):
+                tail = w[len(stem) :]
+                if tail not in parts:
+                    new.add(tail)
             else:
-                cut[w] = w, b""
-        parts = self.parts
-        new = list({p for pair in cut.values() for p in pair if p not in parts})
-        parts.update(zip(new, self._raw(new)))
-        self.ids.update({w: parts[stem] + parts[tail] for w, (stem, tail) in cut.items()})
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        split = [t.lower().split() for t in texts]
-        every = set().union(*split)
-        new = every.difference(self.ids)
-        if new:
-            if len(self.ids) + len(new) > CACHE_WORDS:
+                stem = w
+            if stem not in parts:
+                new.add(stem)
+            cut.append((stem, tail))
+        parts.update(self._raw(list(new)))
+        return [parts[stem] if tail is None else parts[stem] + parts[tail] for stem, tail in cut]
+
+    def encode(self, texts) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text of a column, or of a list of bytes."""
+        data, offsets = raw_text(pa.array(texts, pa.large_binary()) if isinstance(texts, list) else texts)
+        out: list[bytes] = []
+        for first, last in K.chunks(np.diff(offsets), ENCODED_BYTES):
+            out += self._chunk(Chunk(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], lower=True))
+        return out
+
+    def _chunk(self, chunk: Chunk) -> list[bytes]:
+        hashes = chunk.hashes()
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        new = np.ones(len(ranked), bool)
+        np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        names, example = ranked[new].tolist(), order[new]
+        found = list(map(self.ids.get, names))
+        open_ = [i for i, x in enumerate(found) if x is None]
+        if open_:
+            raw = chunk.data.tobytes()
+            places = example[open_]
+            learned = self._learn([raw[a:b] for a, b in zip(chunk.starts[places].tolist(), chunk.ends[places].tolist())])
+            if len(self.ids) > CACHE_WORDS:
                 self.ids.clear()
-                new = every
-            if len(self.parts) > CACHE_PARTS:
-                self.parts = {b"": b""}
-            self._learn(new)
-        known = self.ids.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+            for i, x in zip(open_, learned):
+                found[i] = self.ids[names[i]] = x
+        each = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        length = each[number]
+        ends = np.concatenate(([0], np.cumsum(length)))
+        ids = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(each) - each)[number] - ends[:-1], length)]
+        edges = ends[chunk.first]
+        return [ids[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+
+def _ids(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
 
 
 def encoder(path: str) -> WordEncoder:
@@ -291,10 +334,9 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, en
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder(tokenizer_path).encode(texts)):
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder(tokenizer_path).encode(part.column("text"))):
                     packer.add(doc, ids + end)
                 yield flush(packer)
         packer.finish()
