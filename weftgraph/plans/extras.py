@@ -17,15 +17,15 @@ from ..operators import trees as T
 from .basic import roles, rounded
 from .catalog import query
 from .common import ROLES, with_graph
-from .graphs import SPARSE, clusters, recursive, sparse
+from .graphs import BOTH, REACHED, clusters, links, recursive
 
 
-@query("activations", with_graph("""SELECT node_id, round(1 / (1 + exp(-v)), 6) AS sigmoid, round(greatest(v, 0), 6) AS relu, round(CASE WHEN v > 0 THEN v ELSE 0.01 * v END, 6) AS leaky, round(CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END, 6) AS elu,
-round(v / (1 + exp(-v)), 6) AS swish, round(0.5 * v * (1 + (exp(2 * t) - 1) / (exp(2 * t) + 1)), 6) AS gelu, round(greatest(least(v * 100, 2), -4), 6) AS clamped FROM (SELECT node_id, v, 0.7978845608028654 * (v + 0.044715 * v * v * v) AS t FROM x WHERE dim = 0) q"""))
+@query("activations", with_graph("""SELECT node_id, dim, round(1 / (1 + exp(-v)), 6) AS sigmoid, round(greatest(v, 0), 6) AS relu, round(CASE WHEN v > 0 THEN v ELSE 0.01 * v END, 6) AS leaky, round(CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END, 6) AS elu,
+round(v / (1 + exp(-v)), 6) AS swish, round(0.5 * v * (1 + (exp(2 * t) - 1) / (exp(2 * t) + 1)), 6) AS gelu, round(greatest(least(v * 100, 2), -4), 6) AS clamped FROM (SELECT node_id, dim, v, 0.7978845608028654 * (v + 0.044715 * v * v * v) AS t FROM x) q"""))
 def activations(spark, d):
-    x = P.long_form(test_graph(spark, d).nodes).where("dim = 0")
+    x = P.long_form(test_graph(spark, d).nodes)
     made = {"sigmoid": V.sigmoid("v"), "relu": V.relu("v"), "leaky": V.leaky_relu("v"), "elu": V.elu("v"), "swish": V.swish("v"), "gelu": V.gelu("v"), "clamped": V.log_variance(F.col("v") * 100)}
-    return x.select("node_id", *[F.round(c, 6).alias(n) for n, c in made.items()])
+    return x.select("node_id", "dim", *[F.round(c, 6).alias(n) for n, c in made.items()])
 
 
 @query("feature_softmax", with_graph("SELECT node_id, dim, round(exp(v) / sum(exp(v)) OVER (PARTITION BY node_id), 6) AS v FROM x"))
@@ -55,14 +55,14 @@ def fenwick(spark, d):
     return T.fenwick_parts(spark.range(200).select(F.col("id").alias("row_id")))
 
 
-@query("largest_component", recursive("SELECT src, dst FROM sparse JOIN lb ON a = src WHERE m = (SELECT m FROM lb GROUP BY m ORDER BY count(*) DESC, m LIMIT 1)", SPARSE, "bo AS (SELECT src AS a, dst AS b FROM sparse UNION SELECT dst, src FROM sparse)", "rc(a, b) AS (SELECT a, a FROM bo UNION SELECT rc.a, bo.b FROM rc JOIN bo ON bo.a = rc.b)", "lb AS (SELECT a, min(b) AS m FROM rc GROUP BY a)"))
+@query("largest_component", recursive("SELECT src, dst FROM edges JOIN lb ON a = src WHERE src <> dst AND m = (SELECT m FROM lb GROUP BY m ORDER BY count(*) DESC, m LIMIT 1)", BOTH, REACHED, "lb AS (SELECT a, min(b) AS m FROM rc GROUP BY a)"))
 def largest_component(spark, d):
-    return B.largest_component(sparse(spark, d))
+    return B.largest_component(links(spark, d))
 
 
-@query("component_sizes", recursive("SELECT m AS component, count(*) AS n FROM (SELECT a, min(b) AS m FROM rc GROUP BY a) q GROUP BY m", SPARSE, "bo AS (SELECT src AS a, dst AS b FROM sparse UNION SELECT dst, src FROM sparse)", "rc(a, b) AS (SELECT a, a FROM bo UNION SELECT rc.a, bo.b FROM rc JOIN bo ON bo.a = rc.b)"))
+@query("component_sizes", recursive("SELECT m AS component, count(*) AS n FROM (SELECT a, min(b) AS m FROM rc GROUP BY a) q GROUP BY m", BOTH, REACHED))
 def component_sizes(spark, d):
-    return B.connected_components(sparse(spark, d)).groupBy("component").agg(F.count("*").alias("n"))
+    return B.connected_components(links(spark, d)).groupBy("component").agg(F.count("*").alias("n"))
 
 
 @query("bfs_relabel")
@@ -92,8 +92,8 @@ def induced_train_val(spark, d):
     return E.induced(test_graph(spark, d).edges, roles(spark, d).where("role <> 'test'"))
 
 
-@query("edge_distances", with_graph("SELECT src, dst, round(sum(abs(a.v - b.v)), 5) AS l1, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 5) AS l2 FROM edges JOIN x a ON a.node_id = src JOIN x b ON b.node_id = dst AND b.dim = a.dim WHERE src < 50 GROUP BY src, dst"))
+@query("edge_distances", with_graph("SELECT src, dst, round(sum(abs(a.v - b.v)), 5) AS l1, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 5) AS l2 FROM edges JOIN x a ON a.node_id = src JOIN x b ON b.node_id = dst AND b.dim = a.dim GROUP BY src, dst"))
 def edge_distances(spark, d):
     g = test_graph(spark, d)
-    rows = E.with_ends(g.edges.where("src < 50"), g.nodes, "feature")
+    rows = E.with_ends(g.edges, g.nodes, "feature")
     return rows.select("src", "dst", F.round(V.l1_distance("src_feature", "dst_feature"), 5).alias("l1"), F.round(F.sqrt(V.squared_l2_distance("src_feature", "dst_feature")), 5).alias("l2"))

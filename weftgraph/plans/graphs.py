@@ -90,33 +90,33 @@ def kanon(spark, d):
     return N.anonymity(clusters(spark, d), 50)
 
 
-SPARSE = "sparse AS (SELECT src, dst FROM edges WHERE (src * 31 + dst) % 40 = 0 AND src <> dst)"
-REACH = "RECURSIVE "
+BOTH = "bo AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)"
+REACHED = "rc(a, b) AS (SELECT a, a FROM bo UNION SELECT rc.a, bo.b FROM rc JOIN bo ON bo.a = rc.b)"
 
 
-def sparse(spark, d):
-    return test_graph(spark, d).edges.where("(src * 31 + dst) % 40 = 0 and src <> dst")
+def links(spark, d):
+    return E.without_loops(test_graph(spark, d).edges)
 
 
 def recursive(body: str, *parts: str) -> str:
     return with_graph(body, *parts).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("components", recursive("SELECT a AS node, min(b) AS component FROM rc GROUP BY a", SPARSE, "bo AS (SELECT src AS a, dst AS b FROM sparse UNION SELECT dst, src FROM sparse)", "rc(a, b) AS (SELECT a, a FROM bo UNION SELECT rc.a, bo.b FROM rc JOIN bo ON bo.a = rc.b)"))
+@query("components", recursive("SELECT a AS node, min(b) AS component FROM rc GROUP BY a", BOTH, REACHED))
 def components(spark, d):
-    return connected_components(sparse(spark, d))
+    return connected_components(links(spark, d))
 
 
-@query("bfs_depth", recursive("SELECT node_id, min(depth) AS depth FROM bf GROUP BY node_id", SPARSE, "bo AS (SELECT src AS a, dst AS b FROM sparse UNION SELECT dst, src FROM sparse)", "bf(node_id, depth) AS (SELECT a, CAST(0 AS BIGINT) FROM (SELECT a, count(*) AS n FROM bo GROUP BY a ORDER BY n DESC, a LIMIT 1) r UNION SELECT bo.b, depth + 1 FROM bf JOIN bo ON bo.a = bf.node_id WHERE depth < 30)"))
+@query("bfs_depth", recursive("SELECT node_id, min(depth) AS depth FROM bf GROUP BY node_id", BOTH, "bf(node_id, depth) AS (SELECT a, CAST(0 AS BIGINT) FROM (SELECT a, count(*) AS n FROM bo GROUP BY a ORDER BY n DESC, a LIMIT 1) r UNION SELECT bo.b, depth + 1 FROM bf JOIN bo ON bo.a = bf.node_id WHERE depth < 600)"))
 def bfs_depth(spark, d):
-    e = sparse(spark, d)
+    e = links(spark, d)
     root = S.both_ways(E.canonical(e)).groupBy(F.col("a").alias("node_id")).count().orderBy(F.desc("count"), "node_id").limit(1).select("node_id")
     return S.bfs(e, root).select("node_id", "depth")
 
 
-@query("spanning_forest_size", recursive("SELECT (SELECT count(DISTINCT a) FROM bo) - (SELECT count(DISTINCT m) FROM (SELECT a, min(b) AS m FROM rc GROUP BY a) q) AS tree_edges", SPARSE, "bo AS (SELECT src AS a, dst AS b FROM sparse UNION SELECT dst, src FROM sparse)", "rc(a, b) AS (SELECT a, a FROM bo UNION SELECT rc.a, bo.b FROM rc JOIN bo ON bo.a = rc.b)"))
+@query("spanning_forest_size", recursive("SELECT (SELECT count(DISTINCT a) FROM bo) - (SELECT count(DISTINCT m) FROM (SELECT a, min(b) AS m FROM rc GROUP BY a) q) AS tree_edges", BOTH, REACHED))
 def forest_size(spark, d):
-    return S.spanning_forest(sparse(spark, d)).agg(F.count("*").alias("tree_edges"))
+    return S.spanning_forest(links(spark, d)).agg(F.count("*").alias("tree_edges"))
 
 
 @query("link_split")
@@ -138,23 +138,10 @@ def clustering(spark, d):
     return rounded(S.clustering(E.canonical(test_graph(spark, d).edges)), "cc")
 
 
-#: Brute force over induced subgraphs: each connected set of four nodes by its degree sequence.
-ORBITS = """SELECT CAST(b1.a AS BIGINT) AS node_id, b1.o0, b1.o1, b1.o2, b1.o3, coalesce(f.o4, 0) AS o4, coalesce(f.o5, 0) AS o5, coalesce(f.o6, 0) AS o6, coalesce(f.o7, 0) AS o7, coalesce(f.o8, 0) AS o8, coalesce(f.o9, 0) AS o9,
- coalesce(f.o10, 0) AS o10, coalesce(f.o11, 0) AS o11, coalesce(f.o12, 0) AS o12, coalesce(f.o13, 0) AS o13, coalesce(f.o14, 0) AS o14
-FROM (SELECT a, d AS o0, (SELECT count(*) FROM bo x1 JOIN bo x2 ON x2.a = x1.b WHERE x1.a = dg.a AND x2.b <> dg.a AND NOT EXISTS (SELECT 1 FROM bo z WHERE z.a = dg.a AND z.b = x2.b)) AS o1,
- d * (d - 1) // 2 - coalesce((SELECT t FROM tn WHERE tn.a = dg.a), 0) AS o2, coalesce((SELECT t FROM tn WHERE tn.a = dg.a), 0) AS o3 FROM dg) b1
-LEFT JOIN (SELECT a, count(*) FILTER (m = 3 AND mx = 2 AND dv = 1) AS o4, count(*) FILTER (m = 3 AND mx = 2 AND dv = 2) AS o5, count(*) FILTER (m = 3 AND mx = 3 AND dv = 1) AS o6, count(*) FILTER (m = 3 AND mx = 3 AND dv = 3) AS o7,
- count(*) FILTER (m = 4 AND mx = 2) AS o8, count(*) FILTER (m = 4 AND mx = 3 AND dv = 1) AS o9, count(*) FILTER (m = 4 AND mx = 3 AND dv = 2) AS o10, count(*) FILTER (m = 4 AND mx = 3 AND dv = 3) AS o11,
- count(*) FILTER (m = 5 AND dv = 2) AS o12, count(*) FILTER (m = 5 AND dv = 3) AS o13, count(*) FILTER (m = 6) AS o14
- FROM (SELECT s.a, s.k, s.dv, max(s.dv) OVER (PARTITION BY s.k) AS mx, sum(s.dv) OVER (PARTITION BY s.k) // 2 AS m FROM
-  (SELECT e.k, e.a, count(bo.b) AS dv FROM (SELECT k, unnest(k) AS a FROM sets) e LEFT JOIN bo ON bo.a = e.a AND list_contains(e.k, bo.b) GROUP BY e.k, e.a) s) t GROUP BY a) f ON f.a = b1.a"""
-SETS = "sets AS (SELECT DISTINCT list_sort([t.p, t.q, t.r, bo.b]) AS k FROM (SELECT DISTINCT k3[1] AS p, k3[2] AS q, k3[3] AS r FROM (SELECT list_sort([x1.a, x1.b, x2.b]) AS k3 FROM bo x1 JOIN bo x2 ON x2.a = x1.b WHERE x1.a <> x2.b) w) t JOIN bo ON bo.a IN (t.p, t.q, t.r) WHERE bo.b NOT IN (t.p, t.q, t.r))"
-MEDIUM = "pairs AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM edges WHERE src <> dst AND src < 60 AND dst < 60)"
-
-
-@query("orbits4", with_graph(ORBITS, MEDIUM, TRI, SETS))
+@query("orbits4")
 def orbits4(spark, d):
-    return S.orbits4(E.canonical(test_graph(spark, d).edges.where("src < 60 and dst < 60")))
+    """Without SQL, as four-node sets of the whole graph are too many to list; tested against brute force on small graphs."""
+    return S.orbits4(E.canonical(test_graph(spark, d).edges))
 
 
 @query("orbit_totals", with_graph("SELECT count(*) AS triangles FROM tr", PAIRS, TRI))
@@ -212,10 +199,17 @@ def mmd_clustering(spark, d):
     return rounded(D.mmd(v.where("graph_id < 12"), v.where("graph_id >= 12"), lambda a, b: D.gaussian_tv(a, b, 0.1)), "mmd")
 
 
-@query("emd_degree", with_graph("SELECT round(sum(abs(c)), 6) AS emd FROM (SELECT b, sum(p) OVER (ORDER BY b) AS c FROM (SELECT i.b, coalesce(max(CASE WHEN graph_id = 0 THEN p END), 0) - coalesce(max(CASE WHEN graph_id = 1 THEN p END), 0) AS p FROM (SELECT unnest(range((SELECT max(b) FROM pm) + 1)) AS b) i LEFT JOIN pm ON pm.b = i.b GROUP BY i.b) q) r", COLLECTION, GPAIRS, GDEG, PMF.format(b="d", t="gd")))
+EMD = """SELECT ga, gb, round(sum(abs(c)), 6) AS emd FROM (SELECT ga, gb, sum(p) OVER (PARTITION BY ga, gb ORDER BY b) AS c FROM
+(SELECT x.graph_id AS ga, y.graph_id AS gb, i.b, coalesce(pa.p, 0) - coalesce(pb.p, 0) AS p FROM (SELECT DISTINCT graph_id FROM pm) x JOIN (SELECT DISTINCT graph_id FROM pm) y ON x.graph_id < y.graph_id CROSS JOIN (SELECT unnest(range((SELECT max(b) FROM pm) + 1)) AS b) i
+LEFT JOIN pm pa ON pa.graph_id = x.graph_id AND pa.b = i.b LEFT JOIN pm pb ON pb.graph_id = y.graph_id AND pb.b = i.b) q) r GROUP BY ga, gb"""
+
+
+@query("emd_degree", with_graph(EMD, COLLECTION, GPAIRS, GDEG, PMF.format(b="d", t="gd")))
 def emd_degree(spark, d):
+    """Each pair of graphs of the collection, once."""
     v = degree_vectors(spark, d)
-    return v.where("graph_id = 0").select(F.col("h").alias("a"), F.lit(1).alias("k")).join(v.where("graph_id = 1").select(F.col("h").alias("b"), F.lit(1).alias("k")), "k").select(F.round(D.emd("a", "b"), 6).alias("emd"))
+    a, b = v.select(F.col("graph_id").alias("ga"), F.col("h").alias("a")), v.select(F.col("graph_id").alias("gb"), F.col("h").alias("b"))
+    return a.join(b, F.col("ga") < F.col("gb")).select("ga", "gb", F.round(D.emd("a", "b"), 6).alias("emd"))
 
 
 @query("nearest_size_match", with_graph("SELECT ref_id, pred_id FROM (SELECT a.graph_id AS ref_id, b.graph_id AS pred_id, row_number() OVER (PARTITION BY a.graph_id ORDER BY abs(a.n - b.n), b.graph_id) AS r FROM gs a JOIN gs b ON a.graph_id < 12 AND b.graph_id >= 12) q WHERE r = 1", COLLECTION, GPAIRS, GDEG, "gs AS (SELECT graph_id, count(*) AS n FROM gd GROUP BY graph_id)"))
@@ -280,9 +274,9 @@ def rowtree(spark, d):
     return T.row_decisions(E.canonical(test_graph(spark, d).edges).select(F.col("v").alias("row_id"), F.col("u").alias("col_id")))
 
 
-@query("cnf_export", "SELECT clause_id, string_agg(CASE WHEN k < 30 THEN CAST(k + 1 AS VARCHAR) ELSE CAST(-(k - 29) AS VARCHAR) END, ' ' ORDER BY k) || ' 0' AS clause FROM (SELECT DISTINCT l_partkey % 97 AS clause_id, l_suppkey % 60 AS k FROM lineitem WHERE l_linenumber = 1) q GROUP BY clause_id")
+@query("cnf_export", "SELECT clause_id, string_agg(CASE WHEN k < 30 THEN CAST(k + 1 AS VARCHAR) ELSE CAST(-(k - 29) AS VARCHAR) END, ' ' ORDER BY k) || ' 0' AS clause FROM (SELECT DISTINCT l_partkey % 97 AS clause_id, l_suppkey % 60 AS k FROM lineitem) q GROUP BY clause_id")
 def cnf(spark, d):
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_partkey") % 97).alias("clause_id"), (F.col("l_suppkey") % 60).alias("literal_id"))
+    rows = table(spark, d, "lineitem").select((F.col("l_partkey") % 97).alias("clause_id"), (F.col("l_suppkey") % 60).alias("literal_id"))
     return T.cnf_clauses(rows, 30)
 
 
