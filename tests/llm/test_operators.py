@@ -496,7 +496,7 @@ def test_grammar():
     vocab = ["rotter", "foul", "beast", "of", "the", "you", "not", "said", "i", "kill", "killing", "tree", "walks", "schlagen", "him", "will"]
     for _ in range(3000):
         words = [rng.choice(vocab) for _ in range(rng.randint(1, 14))]
-        got = [(s, w) if s >= toxicity.INSULT else None for s, w in machine.run(words)]
+        got = [(s, w) if s >= toxicity.INSULT else None for s, w in machine.run([toxicity.symbols(patterns).get(x, toxicity.OTHER) for x in words])]
         assert got == marks_by_hand(words, patterns), words
     scorer = toxicity.Scorer(patterns, np.zeros(toxicity.FEATURES + 1))
     far = " ".join(["said"] + ["tree"] * 500 + ["rotter"])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .memory import tidy
 from .units import plain_columns
 
 #: Closed word classes of the four languages. Insults are learned, not listed.
@@ -40,42 +41,49 @@ FEATURES = 6
 
 
 class Transducer:
-    """A deterministic transducer whose weights multiply. ``arcs(state, symbol)`` gives the next state,
-    the symbol written and the weight; each arc is worked out when first taken, and kept."""
+    """A deterministic transducer whose weights multiply. ``arcs(state, symbol)`` gives the next state, the
+    symbol written and the weight; each arc is worked out when ``run`` first takes it, and kept."""
 
     def __init__(self, start, arcs):
-        self.start, self.arcs, self.taken = start, arcs, {}
-
-    def step(self, state, symbol):
-        found = self.taken.get((state, symbol))
-        if found is None:
-            found = self.taken[state, symbol] = self.arcs(state, symbol)
-        return found
+        self.start, self.arcs = start, arcs
+        self.states, self.number, self.taken = [start], {start: 0}, [{}]
 
     def compose(self, other: "Transducer") -> "Transducer":
         """Feed what this one writes to ``other``."""
 
         def both(state, symbol):
-            a, middle, first = self.step(state[0], symbol)
-            b, out, second = other.step(state[1], middle)
+            a, middle, first = self.arcs(state[0], symbol)
+            b, out, second = other.arcs(state[1], middle)
             return (a, b), out, first * second
 
         return Transducer((self.start, other.start), both)
 
+    def _take(self, at: int, symbol) -> tuple[int, int, float]:
+        state, out, weight = self.arcs(self.states[at], symbol)
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+            self.taken.append({})
+        found = self.taken[at][symbol] = (self.number[state], out, weight)
+        return found
+
     def run(self, symbols) -> list[tuple[int, float]]:
-        state, out = self.start, []
+        at, out, taken = 0, [], self.taken
         for s in symbols:
-            state, symbol, weight = self.step(state, s)
+            at, symbol, weight = taken[at].get(s) or self._take(at, s)
             out.append((symbol, weight))
         return out
 
 
 def insults(patterns: dict[tuple[str, ...], float]) -> Transducer:
-    """Reads words; writes INSULT with the pattern's strength where a sequence of words that is a pattern
-    ends (the strongest, if several end there), else the word's class."""
+    """Reads the words of patterns, and all others by their classes; writes INSULT with the pattern's
+    strength where a sequence of words that is a pattern ends (the strongest, if several end there),
+    else the word's class."""
     heads = {p[:k] for p in patterns for k in range(1, len(p) + 1)}
 
     def arc(state, word):
+        if isinstance(word, int):
+            return (), word, 1.0
         tail = (*state, word)
         strength = max((patterns[tail[k:]] for k in range(len(tail)) if tail[k:] in patterns), default=None)
         kept = next((tail[k:] for k in range(len(tail)) if tail[k:] in heads), ())
@@ -124,17 +132,22 @@ def reported(factor: float) -> Transducer:
 
 
 def grammar(patterns: dict[tuple[str, ...], float], reach: int = 3) -> Transducer:
-    """Insult, threat, negation, reported speech and target, composed; it reads the words of one clause."""
+    """Insult, threat, negation, reported speech and target, composed; it reads the ``symbols`` of one clause."""
     return insults(patterns).compose(threats(reach)).compose(near(NEGATION, DENIED, 0.25, reach)).compose(reported(0.5)).compose(near(TARGET, AIMED, 1.5, reach))
 
 
+def symbols(patterns: dict[tuple[str, ...], float]) -> dict[str, str | int]:
+    """The symbol of each word that is not OTHER: words of patterns stand for themselves."""
+    return CLASSES | {w: w for p in patterns for w in p}
+
+
 class Scorer:
     """Counts of matched clauses of a text, and their logistic score."""
 
     def __init__(self, patterns: dict[tuple[str, ...], float], weights: np.ndarray):
         self.patterns, self.weights = patterns, weights
         self.cues = FORMS | {p[-1] for p in patterns}
-        self.machine = None
+        self.symbols, self.machine = symbols(patterns), None
 
     def __getstate__(self):
         return {**self.__dict__, "machine": None}  # arcs hold functions; each worker builds its own
@@ -167,7 +180,7 @@ class Scorer:
         sums, matched, words = {INSULT: 0.0, THREAT: 0.0}, 0, set()
         for clause in clauses:
             hit = False
-            for word, (symbol, weight) in zip(clause, self.machine.run(clause)):
+            for word, (symbol, weight) in zip(clause, self.machine.run([self.symbols.get(w, OTHER) for w in clause])):
                 if symbol >= INSULT:
                     hit = True
                     sums[symbol // 10 * 10] += weight
@@ -196,25 +209,41 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) ->
     return w
 
 
-def terms(text: str, words: int) -> set[str]:
-    """The runs of up to ``words`` words inside clauses, joined by spaces."""
+def terms(text: str, words: int, only: frozenset[str] | None = None, heads: frozenset[str] | None = None) -> set[str]:
+    """The runs of up to ``words`` words inside clauses, joined by spaces; if given, only those of a set,
+    whose longer runs begin with one of ``heads``."""
     tokens = WORD.findall(text.lower())
+    if only is not None:
+        out = set(only.intersection(tokens))
+        for i in [i for i, t in enumerate(tokens) if t in heads] if heads else ():
+            out.update(run for n in range(2, words + 1) if (run := " ".join(tokens[i : i + n])) in only)
+        return out
     out = {t for t in tokens if t not in BORDERS}
     for n in range(2, words + 1):
         out.update(" ".join(run) for run in zip(*(tokens[k:] for k in range(n))) if BORDERS.isdisjoint(run))
     return out
 
 
+def sliced(batches, *columns: str):
+    """The columns of batches as lists, some rows at a time, so that few texts are unpacked at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            yield [part.column(c).to_pylist() for c in columns]
+
+
 def _counted(sample: DataFrame, label: int, words: int, only: frozenset[str] | None = None) -> DataFrame:
     """``term, n``: in how many texts of the label each term occurs."""
+    heads = frozenset(t.split(" ", 1)[0] for t in only if " " in t) if only is not None else None
 
+    @tidy
     def count(batches):
         seen, size = Counter(), 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update(terms(text, words) if only is None else only.intersection(terms(text, words)))
+        for (texts,) in sliced(batches, "text"):
+            for text in texts:
+                seen.update(terms(text, words, only, heads))
                 size += len(text)
-                if size > 1 << 20:
+                if size > 1 << 19:
                     yield rows(seen)
                     seen, size = Counter(), 0
         yield rows(seen)
@@ -261,10 +290,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, words:
     patterns = {p: s for p, s in strength.items() if not any(p[i:j] in strength for i in range(len(p)) for j in range(i + 1, len(p) + 1) if j - i < len(p))}
     plain = Scorer(patterns, np.zeros(FEATURES + 1))
 
+    @tidy
     def measure(batches):
-        for batch in batches:
-            x = [plain.features(t).tolist() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+        for y, texts in sliced(batches, "y", "text"):
+            x = [plain.features(t).tolist() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
     measured = sample.select("y", "text").mapInArrow(measure, "y int, x array<double>").collect()
     return Scorer(patterns, _fit(np.array([r.x for r in measured]), np.array([r.y for r in measured], float)))
@@ -281,13 +311,14 @@ def score_toxicity(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
+    @tidy
     def judge(batches):
         own = shared.value
-        for batch in batches:
-            x = [own.features(t or "") for t in batch.column("text").to_pylist()]
+        for ids, texts in sliced(batches, "doc_id", "text"):
+            x = [own.features(t or "") for t in texts]
             scores = [own.score(f) for f in x]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([round(math.expm1(f[3])) for f in x], pa.int32())],
+                [pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([round(math.expm1(f[3])) for f in x], pa.int32())],
                 ["doc_id", "score", "predicted", "clauses"],
             )
 
