@@ -17,7 +17,7 @@ from .memory import tidy
 from .units import deal, load, prepared, text_bytes, text_chunks, unit_count, unit_of
 
 SEGMENT = "frag int, doc long, tag long, size int, have int, tokens binary"
-LINK = "a long, atag long, asize int, b long, btag long, bsize int, k int, partial int"
+LINK = "a long, atag long, asize int, b long, btag long, bsize int, partial int"
 
 
 def shingle_sets(column: pa.Array | pa.ChunkedArray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,31 +79,33 @@ class _Fragment:
         self.starts = np.cumsum(self.counts) - self.counts
         self.group = np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def links(self, a: np.ndarray, b: np.ndarray, partial: np.ndarray, k: int, percent: int) -> pa.Table:
+    def links(self, a: np.ndarray, b: np.ndarray, partial: np.ndarray, percent: int) -> pa.Table:
         """Pairs of records that can still reach the threshold with all that lies outside this fragment."""
         rest = np.minimum(self.have[a] - self.length[a], self.have[b] - self.length[b])
         open_pairs = _reaches(partial + rest, self.size[a], self.size[b], percent)
         a, b, partial = a[open_pairs], b[open_pairs], partial[open_pairs]
-        arrays = [self.doc[a], self.tag[a], self.size[a].astype(np.int32), self.doc[b], self.tag[b], self.size[b].astype(np.int32), np.full(len(a), k, np.int32), partial.astype(np.int32)]
-        return pa.table([pa.array(x) for x in arrays], ["a", "atag", "asize", "b", "btag", "bsize", "k", "partial"])
+        arrays = [self.doc[a], self.tag[a], self.size[a].astype(np.int32), self.doc[b], self.tag[b], self.size[b].astype(np.int32), partial.astype(np.int32)]
+        return pa.table([pa.array(x) for x in arrays], ["a", "atag", "asize", "b", "btag", "bsize", "partial"])
 
 
 def _no_links() -> pa.Table:
-    return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())], ["a", "atag", "asize", "b", "btag", "bsize", "k", "partial"])
+    return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())], ["a", "atag", "asize", "b", "btag", "bsize", "partial"])
 
 
 def _hub_links(segments: DataFrame, seeds: tuple[int, ...], percent: int) -> DataFrame:
     """Links between records and hubs of other components. For each seed a token's hub is its holder
-    of highest priority; a record counts the tokens it shares with each of its hubs. Those counts
-    never exceed the overlap, so what reaches the threshold is a link; one row for each incidence at most."""
+    of highest priority; a record counts the tokens it shares with each of its hubs, a token once
+    however many seeds give it the same hub. Those counts never exceed the overlap, so what reaches the
+    threshold is a link; a row for each record and hub."""
 
     @tidy
     def star(piece: pa.Table) -> pa.Table:
         part = _Fragment(piece)
         if not len(part.rec):
             return _no_links()
-        n, out = len(part.doc), []
+        n = len(part.doc)
         comp = part.comp[part.rec]
+        pairs, counts, before = np.zeros(0, np.int64), np.zeros(0, np.int64), []
         for k in seeds:
             own = K.mix64((part.doc ^ part.tag).view(K.U64) ^ K.seeded(700 + k, 1)[0])
             if k == 0:  # the least edited text first: the largest share of tokens that others have
@@ -115,11 +117,18 @@ def _hub_links(segments: DataFrame, seeds: tuple[int, ...], percent: int) -> Dat
             other = _top(part, np.where(same, K.U64(0), priority))
             chosen = np.where(same, other[part.group], hub[part.group])
             ok = part.comp[chosen] != comp
-            pairs = np.sort(part.rec[ok].astype(np.int64) * n + chosen[ok])
+            for earlier in before:
+                ok &= chosen != earlier
+            before.append(chosen.astype(np.int32))
+            new = np.sort(part.rec[ok].astype(np.int64) * n + chosen[ok])
+            at = np.flatnonzero(np.concatenate(([True], new[1:] != new[:-1]))) if len(new) else np.zeros(0, np.int64)
+            pairs = np.concatenate((pairs, new[at]))
+            counts = np.concatenate((counts, np.diff(np.append(at, len(new)))))
+            order = np.argsort(pairs)
+            pairs, counts = pairs[order], counts[order]
             at = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
-            counts = np.diff(np.concatenate((at, [len(pairs)])))
-            out.append(part.links(pairs[at] // n, pairs[at] % n, counts, k, percent))
-        return pa.concat_tables(out)
+            pairs, counts = pairs[at], np.add.reduceat(counts, at) if len(at) else counts
+        return part.links(pairs // n, pairs % n, counts, percent)
 
     return _summed(segments.groupBy("frag").applyInArrow(star, LINK), percent)
 
@@ -162,7 +171,7 @@ def _all_links(segments: DataFrame, percent: int) -> DataFrame:
             if len(b):
                 # ranks differ between fragments: the ends of a pair stand by (doc, tag), the same in all
                 ahead = (part.doc[b] > part.doc[a]) | ((part.doc[b] == part.doc[a]) & (part.tag[b] > part.tag[a]))
-                out.append(part.links(np.where(ahead, a, b), np.where(ahead, b, a), seen[b], 0, percent))
+                out.append(part.links(np.where(ahead, a, b), np.where(ahead, b, a), seen[b], percent))
         return pa.concat_tables(out) if out else _no_links()
 
     return _summed(segments.groupBy("frag").applyInArrow(count, LINK), percent)
@@ -170,7 +179,7 @@ def _all_links(segments: DataFrame, percent: int) -> DataFrame:
 
 def _summed(partial: DataFrame, percent: int) -> DataFrame:
     """Sum the partial overlaps of each pair; pairs that reach the threshold."""
-    total = partial.groupBy("a", "atag", "asize", "b", "btag", "bsize", "k").agg(F.sum("partial").alias("overlap"))
+    total = partial.groupBy("a", "atag", "asize", "b", "btag", "bsize").agg(F.sum("partial").alias("overlap"))
     return total.where(_reaches(F.col("overlap"), F.col("asize"), F.col("bsize"), percent)).select(F.col("a").alias("src"), "atag", F.col("b").alias("dst"), "btag").distinct()
 
 
