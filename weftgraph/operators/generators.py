@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .neighbors import anonymity, nearest_centre
+from ..functions.vectors import hashed
+from ..storage import materialize
+from .neighbors import anonymity, nearest_centre, repair_anonymity
+from .order import running_sums
 
 
 def uniform(seed: int, *columns: str):
@@ -113,30 +118,49 @@ def row_tree_model(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy(F.floor(F.log2(F.col("hi") - F.col("lo"))).cast("int").alias("size_class")).agg(F.avg("has_left").alias("p_left"), (F.sum(F.expr("has_left * has_right")) / F.greatest(F.sum("has_left"), F.lit(1))).alias("p_right"))
 
 
-def generate_rows(model: DataFrame, rows: DataFrame, seed: int, max_depth: int = 40) -> DataFrame:
+def generate_rows(model: DataFrame, rows: DataFrame, seed: int, bounds: DataFrame | None = None) -> DataFrame:
     """``row_id, col_id``: each row with entries halves its columns and draws which halves have any
-    (the right one must if the left has none), until single columns are left."""
+    (the right one must if the left has none), until single columns are left, however wide rows are.
+
+    ``bounds(row_id, lb, ub)`` keeps each row's number of entries between its bounds: the left half gets
+    what the right cannot hold at least and the upper bound at most, a draw decides how many, and the
+    right half gets the rest; a half without room is empty, one with a least number is not."""
     table = F.broadcast(model)
-    widest = rows.agg(F.max("row_id")).first()[0] or 0
-    live = rows.where("row_id > 0").select("row_id", F.lit(0).cast("long").alias("lo"), F.col("row_id").alias("hi"))
-    done = None
-    for depth in range(max_depth):
+    limited = bounds is not None
+    start = rows.where("row_id > 0").select("row_id", F.lit(0).cast("long").alias("lo"), F.col("row_id").alias("hi"))
+    if limited:
+        ub = F.least(F.coalesce("ub", F.col("hi")), F.col("hi"))
+        start = start.join(bounds, "row_id", "left").select("row_id", "lo", "hi", F.least(F.coalesce("lb", F.lit(0)), ub).cast("long").alias("lb"), ub.cast("long").alias("ub"))
+        # how many entries a row has, fixed at the top, so that no half needs to know what another drew
+        spread = (F.col("ub") - F.greatest("lb", F.lit(1)) + 1).cast("double")
+        start = start.where("ub > 0").withColumn("want", (F.greatest("lb", F.lit(1)) + F.floor(uniform(seed, "row_id") * spread)).cast("long")).drop("lb", "ub")
+    live, done, depth = materialize(start, "rows"), None, 0
+    while not live.isEmpty():
         one = live.where("hi - lo = 1").select("row_id", F.col("lo").alias("col_id"))
         done = one if done is None else done.unionByName(one)
         big = live.where("hi - lo > 1").withColumn("size_class", F.floor(F.log2(F.col("hi") - F.col("lo"))).cast("int")).join(table, "size_class", "left").na.fill(0.5, ["p_left", "p_right"])
         left = uniform(seed + depth, "row_id", "lo", "hi") < F.col("p_left")
         right = (uniform(seed + depth + 1000, "row_id", "lo", "hi") < F.col("p_right")) | ~left
         mid = F.expr("(lo + hi) div 2")
-        halves = F.filter(F.array(F.when(left, F.struct(F.col("lo").alias("lo"), mid.alias("hi"))), F.when(right, F.struct(mid.alias("lo"), F.col("hi").alias("hi")))), lambda x: x.isNotNull())
-        live = big.select("row_id", F.explode(halves).alias("h")).select("row_id", "h.lo", "h.hi")
-        if 2**depth > 2 * widest:
-            break
-    return done.unionByName(live.where("hi - lo = 1").select("row_id", F.col("lo").alias("col_id")))
+        if limited:
+            room_left, room_right = mid - F.col("lo"), F.col("hi") - mid
+            least, most = F.greatest(F.col("want") - room_right, F.lit(0)), F.least(F.col("want"), room_left)
+            share = least + F.floor(uniform(seed + depth + 2000, "row_id", "lo", "hi") * (most - least + 1).cast("double")).cast("long")
+            sole = F.when(left & ~right, most).when(~left, least).otherwise(share)
+            big = big.withColumn("__l", sole.cast("long"))
+            halves = F.filter(F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi"), F.col("__l").alias("want")), F.struct(mid.alias("lo"), F.col("hi").alias("hi"), (F.col("want") - F.col("__l")).alias("want"))), lambda x: x["want"] > 0)
+            live = materialize(big.select("row_id", F.explode(halves).alias("h")).select("row_id", "h.lo", "h.hi", "h.want"), "rows")
+        else:
+            halves = F.filter(F.array(F.when(left, F.struct(F.col("lo").alias("lo"), mid.alias("hi"))), F.when(right, F.struct(mid.alias("lo"), F.col("hi").alias("hi")))), lambda x: x.isNotNull())
+            live = materialize(big.select("row_id", F.explode(halves).alias("h")).select("row_id", "h.lo", "h.hi"), "rows")
+        depth += 1
+    return done if done is not None else rows.select("row_id", F.col("row_id").alias("col_id")).limit(0)
 
 
 def quantize(nodes: DataFrame, clusters: int, components: int, k: int, sample: int = 5000, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Centres, assignment and group sizes: principal components of a bounded sample (centred first),
-    k-means there, centres taken back, all nodes assigned to the nearest."""
+    k-means there, centres taken back, all nodes assigned to the nearest; centres with fewer than ``k``
+    nodes are dropped and their nodes assigned anew, so that every group has ``k``."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector
@@ -149,15 +173,66 @@ def quantize(nodes: DataFrame, clusters: int, components: int, k: int, sample: i
     basis, mean = pca.pc.toArray(), centred.mean.toArray()
     rows = [(i, [float(x) for x in basis @ z + mean]) for i, z in enumerate(means.clusterCenters())]
     centres = nodes.sparkSession.createDataFrame(rows, "cid int, feature array<double>")
-    assigned = nearest_centre(nodes, centres)
-    return centres, assigned, anonymity(assigned, k)
-
-
-def private_means(assigned: DataFrame, nodes: DataFrame, epsilon: float, seed: int, bound: float = 1.0) -> DataFrame:
-    """``cid, feature``: centres of noisy sums and counts (Laplace noise of the stated budget, features clipped to ``bound``)."""
-    rows = assigned.join(nodes.select("node_id", "feature"), "node_id").select("cid", F.posexplode("feature").alias("dim", "v"))
-    sums = rows.groupBy("cid", "dim").agg(F.sum(F.greatest(F.least(F.col("v").cast("double"), F.lit(bound)), F.lit(-bound))).alias("s"), F.count("*").alias("n"))
-    u = uniform(seed, "cid", "dim") - 0.5
-    noise = -F.signum(u) * F.log1p(-2 * F.abs(u) + 1e-12) * (2 * bound / epsilon)
-    v = sums.withColumn("v", (F.col("s") + noise) / F.greatest(F.col("n"), F.lit(1)))
-    return v.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("feature"))
+    assigned = repair_anonymity(nearest_centre(nodes, centres), nodes, centres, k)
+    return centres.join(assigned.select("cid").distinct(), "cid", "left_semi"), assigned, anonymity(assigned, k)
+
+
+def private_means(assigned: DataFrame, nodes: DataFrame, epsilon: float, secret: str | None = None, bound: float = 1.0) -> DataFrame:
+    """``cid, feature``: centres of noisy sums over noisy counts, features clipped to ``bound``. Half of the
+    budget goes to the counts and half to the sums, which it is split among by their number, as one
+    node changes each of them by ``2 * bound`` at most. The Laplace noise is drawn from a hash of a
+    ``secret`` (a new random one by default), so who does not know it cannot take the noise off."""
+    secret = secret or token_hex(32)
+    width = nodes.select(F.size("feature")).first()[0]
+    rows = assigned.join(nodes.select("node_id", "feature"), "node_id")
+    draw = lambda scale, *columns: _laplace(F.sha2(F.concat_ws(":", F.lit(secret), *[c.cast("string") for c in columns]), 256), scale)
+    counts = rows.groupBy("cid").agg(F.count("*").alias("n")).select("cid", F.greatest(F.col("n") + draw(2 / epsilon, F.col("cid"), F.lit("n")), F.lit(1.0)).alias("n"))
+    clipped = F.greatest(F.least(F.col("v").cast("double"), F.lit(bound)), F.lit(-bound))
+    sums = rows.select("cid", F.posexplode("feature").alias("dim", "v")).groupBy("cid", "dim").agg(F.sum(clipped).alias("s"))
+    noisy = sums.withColumn("s", F.col("s") + draw(2 * width * 2 * bound / epsilon, F.col("cid"), F.col("dim"))).join(counts, "cid")
+    return noisy.withColumn("v", F.col("s") / F.col("n")).groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("feature"))
+
+
+def _laplace(digest, scale: float):
+    """Laplace noise from the first 52 bits of a hexadecimal digest."""
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52) - 0.5
+    return -F.signum(u) * F.log1p(-2 * F.abs(u)) * scale
+
+
+def as_graph(pairs: DataFrame, n_nodes: int, width: int, features: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``nodes(node_id, feature, label)`` and ``edges(src, dst)`` of generated ``u, v``: both directions, isolated
+    nodes too; features (``node_id, feature, label``) where given, else zeros."""
+    ids = pairs.sparkSession.range(n_nodes).withColumnRenamed("id", "node_id")
+    zeros = F.array_repeat(F.lit(0.0), width)
+    if features is None:
+        nodes = ids.select("node_id", zeros.alias("feature"), F.lit(0).alias("label"))
+    else:
+        nodes = ids.join(features, "node_id", "left").select("node_id", F.coalesce(F.col("feature").cast("array<double>"), zeros).alias("feature"), F.coalesce("label", F.lit(0)).alias("label"))
+    both = pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(pairs.select(F.col("v").alias("src"), F.col("u").alias("dst")))
+    return nodes, both.where("src <> dst").distinct()
+
+
+def drawn_sizes(sizes: DataFrame, draws: int, seed: int) -> DataFrame:
+    """``draw, n``: node counts drawn from those of ``graph_id, n``: the size at a hashed place in their order."""
+    counted = sizes.groupBy("n").agg(F.count("*").alias("c"))
+    run = running_sums(counted, ["n"], hi=F.col("c"))
+    total = sizes.count()
+    place = F.conv(F.substring(hashed(seed, "id"), 1, 8), 16, 10).cast("long") % max(total, 1)
+    picks = sizes.sparkSession.range(draws).select(F.col("id").alias("draw"), place.alias("k"))
+    return picks.join(F.broadcast(run), (F.col("k") < F.col("hi")) & (F.col("k") >= F.col("hi") - F.col("c"))).select("draw", "n")
+
+
+def tempered(weights: DataFrame, temperature: float, seed: int, *keys: str) -> DataFrame:
+    """``<keys>, item``: one item for each key, drawn by the softmax of ``w`` over the temperature: the greatest
+    of ``w / t`` plus a hashed Gumbel number."""
+    u = (F.conv(F.substring(hashed(seed, *keys, "item"), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    score = F.round(F.col("w") / temperature - F.log(-F.log(u)), 9)
+    return weights.groupBy(*keys).agg(F.max_by("item", F.struct(score, F.col("item"))).alias("item"))
+
+
+def scattered(base: DataFrame, *parts: DataFrame) -> DataFrame:
+    """``node_id, feature`` with the rows of each part in place of those before it."""
+    out = base.select("node_id", "feature")
+    for part in parts:
+        out = out.join(part.select("node_id", F.col("feature").alias("__p")), "node_id", "left").select("node_id", F.coalesce("__p", "feature").alias("feature"))
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import vectors as V
+from ..storage import materialize
 from .edges import with_ends
 from .propagate import both_weights
 
@@ -72,15 +73,20 @@ def anonymity(assigned: DataFrame, k: int) -> DataFrame:
     return assigned.groupBy("cid").agg(F.count("*").alias("n")).withColumn("ok", (F.col("n") >= k).cast("int"))
 
 
-def repair_anonymity(assigned: DataFrame, nodes: DataFrame, centres: DataFrame, k: int, rounds: int = 20) -> DataFrame:
-    """Drop the centres of groups below ``k`` and assign their members anew until every group has ``k``."""
-    for _ in range(rounds):
-        small = anonymity(assigned, k).where("ok = 0").select("cid")
-        if small.isEmpty():
+def repair_anonymity(assigned: DataFrame, nodes: DataFrame, centres: DataFrame, k: int) -> DataFrame:
+    """Drop the centres of groups below ``k`` and assign their members anew until every group has ``k``. Each
+    round drops a centre, so there is an end; fewer than ``k`` nodes in all are an error."""
+    if nodes.count() < k:
+        raise ValueError(f"fewer than {k} nodes")
+    while True:
+        assigned = materialize(assigned, "assigned")
+        kept = anonymity(assigned, k).where("ok = 1").select("cid")
+        if anonymity(assigned, k).where("ok = 0").isEmpty():
             return assigned
-        centres = centres.join(anonymity(assigned, k).where("ok = 1"), "cid", "left_semi")
+        if kept.isEmpty():  # every group is too small: keep the largest
+            kept = anonymity(assigned, k).orderBy(F.desc("n"), "cid").limit(1).select("cid")
+        centres = materialize(centres.join(kept, "cid", "left_semi"), "centres")
         assigned = nearest_centre(nodes, centres)
-    return assigned
 
 
 def prune_dissimilar(edges: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -100,7 +106,7 @@ def prune_laplacian(edges: DataFrame, nodes: DataFrame, share: tuple[int, int])
     high = nodes.join(s, "node_id").select("node_id", V.difference("feature", "s").alias("h"))
     d = with_ends(edges, high, "h").select("src", "dst", F.round(V.dot("src_h", "dst_h"), 9).alias("d"))
     k = edges.count() * share[0] // share[1]
-    return edges.join(d.orderBy("d", "src", "dst").limit(k), ["src", "dst"], "left_anti")
+    return edges.join(materialize(d.orderBy("d", "src", "dst").limit(k), "pruned"), ["src", "dst"], "left_anti")
 
 
 def top_share(edges: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ REGISTRY: dict[str, Callable] = {
     "rf": lambda seed=1: RandomForestClassifier(featuresCol="vec", labelCol="y", weightCol="w", numTrees=50, maxDepth=6, seed=seed),
     "gbt": lambda seed=1: GBTClassifier(featuresCol="vec", labelCol="y", weightCol="w", maxIter=15, maxDepth=4, seed=seed),
     "lr": lambda seed=1: LogisticRegression(featuresCol="vec", labelCol="y", weightCol="w", maxIter=50, regParam=1e-3),
+    "mlp": lambda seed=1: MultilayerPerceptronClassifier(featuresCol="vec", labelCol="y", layers=[0, 16, 2], maxIter=60, seed=seed),
     "svm": lambda seed=1: LinearSVC(featuresCol="vec", labelCol="y", weightCol="w", maxIter=30, regParam=1e-3),
 }
 
@@ -35,8 +36,14 @@ def as_vectors(rows: DataFrame, column: str = "feature") -> DataFrame:
 
 
 def fit_predict(name: str, train: DataFrame, test: DataFrame, column: str = "feature", seed: int = 1) -> DataFrame:
-    """``test`` with a score ``p``: the probability of 1, or the margin where there is none."""
-    model = REGISTRY[name](seed).fit(as_vectors(weighted(train), column))
+    """``test`` with a score ``p``: the probability of 1, or the margin where there is none. A network has as
+    many inputs as the feature has components; where rows cannot be weighed, positives are repeated."""
+    estimator, rows = REGISTRY[name](seed), weighted(train)
+    if name == "mlp":
+        width = rows.select(F.size(column)).first()[0]
+        estimator = estimator.setLayers([width, *estimator.getLayers()[1:]])
+        rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round("w").cast("int")))).alias("__copy")).drop("__copy")
+    model = estimator.fit(as_vectors(rows, column))
     out = model.transform(as_vectors(test, column))
     score = vector_to_array("probability")[1] if "probability" in out.columns else vector_to_array("rawPrediction")[1]
     return out.withColumn("p", score).drop("vec", "rawPrediction", "probability", "prediction")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.vectors import hashed
+from .order import numbered_within
 
 
 def topology(spark: SparkSession, depth: int, fanout: int) -> DataFrame:
@@ -89,6 +90,16 @@ def row_decisions(entries: DataFrame) -> DataFrame:
     return steps.groupBy("row_id", "depth", "lo", "hi").agg(F.max("l").alias("has_left"), F.max(1 - F.col("l")).alias("has_right"))
 
 
+def row_children(decisions: DataFrame) -> DataFrame:
+    """``depth, k, row_id, lo, hi, side``: the halves that hold entries of ``row_decisions``, numbered from 0 in
+    each depth, by row and then left before right."""
+    mid = F.expr("(lo + hi) div 2")
+    halves = F.filter(F.array(F.when(F.col("has_left") == 1, F.struct(F.lit(0).alias("side"), F.col("lo").alias("a"), mid.alias("b"))), F.when(F.col("has_right") == 1, F.struct(F.lit(1).alias("side"), mid.alias("a"), F.col("hi").alias("b")))), lambda x: x.isNotNull())
+    rows = decisions.select("depth", "row_id", F.explode(halves).alias("h")).select("depth", "row_id", F.col("h.a").alias("lo"), F.col("h.b").alias("hi"), F.col("h.side").alias("side"))
+    ranked = numbered_within(rows, "depth", "row_id", "lo")
+    return ranked.select("depth", (F.col("r") - 1).alias("k"), "row_id", "lo", "hi", "side")
+
+
 def cnf_clauses(literals: DataFrame, n_var: int) -> DataFrame:
     """``clause_id, clause``: the literals of ``clause_id, literal_id`` as signed numbers and a closing 0;
     ids below ``n_var`` are positive. Clauses without literals do not occur."""

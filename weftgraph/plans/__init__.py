@@ -3,6 +3,6 @@
 
 def load_catalog():
     """The catalog with every module of plans registered."""
-    from . import basic, catalog, extras, graphs, models, streams
+    from . import basic, catalog, extras, graphs, models, more, streams
 
     return catalog

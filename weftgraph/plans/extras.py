@@ -84,7 +84,7 @@ def knn_bucketed(spark, d):
 
 @query("private_centres")
 def private_centres(spark, d):
-    return G.private_means(clusters(spark, d), test_graph(spark, d).nodes, 1.0, 3)
+    return G.private_means(clusters(spark, d), test_graph(spark, d).nodes, 1.0)
 
 
 @query("induced_train_val", with_graph("SELECT src, dst FROM edges JOIN roles a ON a.node_id = src JOIN roles b ON b.node_id = dst WHERE a.role <> 'test' AND b.role <> 'test'", ROLES))

@@ -8,7 +8,9 @@ from pyspark.sql import Window as W
 
 from ..functions.vectors import l2_normalized
 from ..model import GraphTables
-from ..operators.edges import symmetrize
+from ..operators.edges import reset_loops, symmetrize, without_loops
+from ..operators.order import numbered
+from ..storage import materialize
 
 
 def read_graph(spark: SparkSession, path: str) -> GraphTables:
@@ -31,7 +33,7 @@ def read_for_trees(spark: SparkSession, path: str) -> GraphTables:
 
 def dictionary(ids: DataFrame, column: str) -> DataFrame:
     """``<column>, node_id``: dense ids in the column's order."""
-    return ids.select(column).distinct().select(column, (F.row_number().over(W.orderBy(column)) - 1).cast("long").alias("node_id"))
+    return numbered(ids.select(column).distinct(), column).select(column, (F.col("r") - 1).alias("node_id"))
 
 
 def encoded(pairs: DataFrame, names: DataFrame, column: str) -> DataFrame:
@@ -92,8 +94,14 @@ def read_index_archive(spark: SparkSession, path: str) -> tuple[GraphTables, Dat
 
 
 def _numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Lines of a text file with their numbers from 1, in file order."""
-    return spark.read.text(path).select(F.col("value").alias(name), (F.monotonically_increasing_id() + 1).alias("i")).withColumn("i", F.row_number().over(W.orderBy("i")).cast("long"))
+    """Lines of text files with their numbers from 1, files in the order of their paths. Lines are counted in
+    each stretch of a file that is read at once; what lies before it is a sum over one row for each."""
+    lines = spark.read.text(path).select(F.col("value").alias(name), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("at"), F.monotonically_increasing_id().alias("k"))
+    lines = materialize(lines, "lines")
+    sizes = lines.groupBy("at").agg(F.count("*").alias("n"))
+    before = sizes.select("at", (F.sum("n").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("base"))
+    placed = lines.withColumn("r", F.row_number().over(W.partitionBy("at").orderBy("k"))).join(F.broadcast(before), "at")
+    return placed.select(name, (F.col("base") + F.col("r")).alias("i"))
 
 
 def read_text_collection(spark: SparkSession, prefix: str, min_nodes: int = 0, max_nodes: int = 1 << 31) -> tuple[DataFrame, DataFrame]:
@@ -127,3 +135,49 @@ def read_clause_graphs(spark: SparkSession, folder: str, stats: str) -> DataFram
     known = F.broadcast(spark.read.csv(stats, header=True).select("name", F.col("n_var").cast("long").alias("n_var")))
     named = pairs.join(known, F.contains("file", "name"))
     return named.select("name", (F.least("u", "v") - 1).alias("left_id"), (F.greatest("u", "v") - 1 - 2 * F.col("n_var")).alias("right_id"))
+
+
+def read_relational(spark: SparkSession, path: str, homogeneous: bool = False) -> GraphTables:
+    """A folder with ``nodes`` and one Parquet table of edges for each type under ``relations/etype=..``; the
+    types side by side, or as one set of edges. ``mark`` says whether a node is in any of the three roles."""
+    nodes = spark.read.parquet(f"{path}/nodes")
+    if {"train_mask", "val_mask", "test_mask"} <= set(nodes.columns):
+        nodes = nodes.withColumn("mark", F.col("train_mask") | F.col("val_mask") | F.col("test_mask"))
+    typed = spark.read.option("basePath", f"{path}/relations").parquet(f"{path}/relations/etype=*").select("src", "dst", F.col("etype").cast("string").alias("etype"))
+    edges = typed.select("src", "dst").distinct()
+    return GraphTables(nodes, edges, None if homogeneous else typed).validate()
+
+
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """``graph_id, src, dst`` of a collection in Parquet, without loops."""
+    return without_loops(spark.read.parquet(path)).select("graph_id", "src", "dst")
+
+
+#: Reader of each kind of source; all take a session and a path.
+READERS = {
+    "graph": read_graph, "trees": read_for_trees, "archive": read_archive, "index_archive": lambda spark, path: read_index_archive(spark, path)[0],
+    "tabular": read_tabular, "relational": read_relational,
+}
+
+
+def load_graph(spark: SparkSession, path: str, kind: str = "graph", loops: bool = False, both_ways: bool = False) -> GraphTables:
+    """Read a graph of any kind of ``READERS``; a loop at each node and both directions of edges on demand."""
+    if kind not in READERS:
+        raise ValueError(f"no reader for {kind!r}, only for {sorted(READERS)}")
+    g = READERS[kind](spark, path)
+    edges = symmetrize(g.edges) if both_ways else g.edges
+    return GraphTables(g.nodes, reset_loops(edges, g.nodes) if loops else edges, g.typed)
+
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` and what it says (``generator, dataset, task, variant``) of the variants under ``root``, by listing folders."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    names = ["generator", "dataset", "task", "variant"]
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root + "/" + "/".join(f"{n}=*" for n in names))
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place) or []
+    rows = []
+    for status in found:
+        path = status.getPath().toString()
+        rows.append((path, *[part.split("=", 1)[1] for part in path.split("/")[-4:]]))
+    return spark.createDataFrame(rows, StructType([StructField(n, StringType()) for n in ["path", *names]]))

@@ -49,3 +49,25 @@ def write_cnf(literals: DataFrame, n_var: int, path: str, mode: str = "errorifex
     clauses = cnf_clauses(literals, n_var)
     head = clauses.agg(F.format_string(f"p cnf {n_var} %d", F.count("*")).alias("value"), F.lit(-1).cast("long").alias("k"))
     head.unionByName(clauses.select(F.col("clause").alias("value"), F.col("clause_id").cast("long").alias("k"))).orderBy("k").select("value").write.mode(mode).text(path)
+
+
+def write_splits(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Rows with a ``role`` as a folder for each role."""
+    rows.write.mode(mode).partitionBy("role").parquet(path)
+
+
+def save_model(model, config: dict, path: str) -> None:
+    """A fitted model of ``pyspark.ml`` beside the settings it was fitted with, as JSON."""
+    import json
+
+    from pyspark.sql import SparkSession
+
+    model.write().overwrite().save(f"{path}/model")
+    text = json.dumps(config, sort_keys=True)
+    SparkSession.active().createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def load_config(spark, path: str) -> dict:
+    import json
+
+    return json.loads(spark.read.text(f"{path}/config").first().value)
