@@ -16,6 +16,8 @@ from .joins import spread_join
 from .memory import tidy
 from .units import deal, load, prepared, text_bytes, text_chunks, unit_count, unit_of
 
+#: Seeds whose hubs a task keeps for each incidence.
+SEEDS_AT_ONCE = 4
 SEGMENT = "frag int, doc long, tag long, size int, have int, tokens binary"
 LINK = "a long, atag long, asize int, b long, btag long, bsize int, partial int"
 
@@ -95,8 +97,8 @@ def _no_links() -> pa.Table:
 def _hub_links(segments: DataFrame, seeds: tuple[int, ...], percent: int) -> DataFrame:
     """Links between records and hubs of other components. For each seed a token's hub is its holder
     of highest priority; a record counts the tokens it shares with each of its hubs, a token once
-    however many seeds give it the same hub. Those counts never exceed the overlap, so what reaches the
-    threshold is a link; a row for each record and hub."""
+    however many of a few seeds give it the same hub. Those counts never exceed the overlap, so what
+    reaches the threshold is a link; a row for each record and hub."""
 
     @tidy
     def star(piece: pa.Table) -> pa.Table:
@@ -105,34 +107,41 @@ def _hub_links(segments: DataFrame, seeds: tuple[int, ...], percent: int) -> Dat
             return _no_links()
         n = len(part.doc)
         comp = part.comp[part.rec]
-        pairs, counts, before = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        for k in seeds:
-            own = K.mix64((part.doc ^ part.tag).view(K.U64) ^ K.seeded(700 + k, 1)[0])
-            if k == 0:  # the least edited text first: the largest share of tokens that others have
-                own = ((part.have * 65535 // np.maximum(part.size, 1)).astype(K.U64) << K.U64(47)) | (own >> K.U64(17))
-            own |= K.U64(1)
-            priority = own[part.rec]
-            hub = _top(part, priority)
-            same = comp == part.comp[hub][part.group]
-            other = _top(part, np.where(same, K.U64(0), priority))
-            chosen = np.where(same, other[part.group], hub[part.group])
-            ok = part.comp[chosen] != comp
-            for earlier in before:
-                ok &= chosen != earlier
-            before.append(chosen.astype(np.int32))
-            new = np.sort(part.rec[ok].astype(np.int64) * n + chosen[ok])
-            at = np.flatnonzero(np.concatenate(([True], new[1:] != new[:-1]))) if len(new) else np.zeros(0, np.int64)
-            pairs = np.concatenate((pairs, new[at]))
-            counts = np.concatenate((counts, np.diff(np.append(at, len(new)))))
-            order = np.argsort(pairs)
-            pairs, counts = pairs[order], counts[order]
-            at = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
-            pairs, counts = pairs[at], np.add.reduceat(counts, at) if len(at) else counts
+        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for block in range(0, len(seeds), SEEDS_AT_ONCE):
+            before, found = [], []
+            for k in seeds[block : block + SEEDS_AT_ONCE]:
+                own = K.mix64((part.doc ^ part.tag).view(K.U64) ^ K.seeded(700 + k, 1)[0])
+                if k == 0:  # the least edited text first: the largest share of tokens that others have
+                    own = ((part.have * 65535 // np.maximum(part.size, 1)).astype(K.U64) << K.U64(47)) | (own >> K.U64(17))
+                own |= K.U64(1)
+                priority = own[part.rec]
+                hub = _top(part, priority)
+                same = comp == part.comp[hub][part.group]
+                other = _top(part, np.where(same, K.U64(0), priority))
+                chosen = np.where(same, other[part.group], hub[part.group])
+                ok = part.comp[chosen] != comp
+                for earlier in before:
+                    ok &= chosen != earlier
+                before.append(chosen.astype(np.int32))
+                found.append(_tallied(part.rec[ok].astype(np.int64) * n + chosen[ok], None, np.add))
+            shared = _tallied(*(np.concatenate(x) for x in zip(*found)), np.add)
+            pairs, counts = _tallied(np.concatenate((pairs, shared[0])), np.concatenate((counts, shared[1])), np.maximum)
         return part.links(pairs // n, pairs % n, counts, percent)
 
     return _summed(segments.groupBy("frag").applyInArrow(star, LINK), percent)
 
 
+def _tallied(pairs: np.ndarray, counts: np.ndarray | None, how: np.ufunc) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, ascending, and their counts put together; without counts, how often each occurs."""
+    order = np.argsort(pairs)
+    pairs = pairs[order]
+    at = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
+    if counts is None:
+        return pairs[at], np.diff(np.append(at, len(pairs)))
+    return pairs[at], how.reduceat(counts[order], at) if len(at) else counts
+
+
 def _top(part: _Fragment, priority: np.ndarray) -> np.ndarray:
     """Record of the highest priority among each token's holders."""
     best = np.maximum.reduceat(priority, part.starts)
