@@ -20,7 +20,7 @@ from .memory import tidy
 #: Place of a null doc_id in the order of ids: that of the greatest one. ``null_id`` tells it from a real one.
 NO_ID = 2**63 - 1
 #: Text of one unit.
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 5 << 20
 #: Raw bytes of one packed block at most, if it holds more than one document.
 BLOCK_BYTES = 4 << 20
 
@@ -31,7 +31,7 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def unit_count(total_bytes: int, unit_bytes: int | None = None) -> int:
-    """Units of 8 MB of text, at every size."""
+    """Units of 5 MB of text, at every size."""
     return max(1, -(-total_bytes // (unit_bytes or UNIT_BYTES)))
 
 
