@@ -21,9 +21,9 @@ from .units import Chunk, plain_columns, raw_text
 #: Whether this machine lays out unsigned 32-bit numbers as the result asks.
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Words, and stems and runs of signs, that a worker keeps the ids of.
-CACHE_WORDS, CACHE_PARTS = 300_000, 400_000
+CACHE_WORDS, CACHE_PARTS = 100_000, 150_000
 #: Bytes of text that are encoded at once; a longer document is encoded alone.
-ENCODED_BYTES = 4 << 20
+ENCODED_BYTES = 1 << 20
 #: ASCII signs that stand behind words; the tokenizer cuts between a letter or digit and these.
 SIGNS = b".,;:!?*$%&#|()[]{}<>=+-/@^~`_\""
 _ENCODERS: dict[str, "WordEncoder"] = {}
@@ -62,6 +62,11 @@ class WordEncoder:
         tried = ["a", "word", "ununterbrochen", "\u00e9t\u00e9", "\u03b1\u03b2\u03b3", "\u4e2d\u6587"]
         return all(self._unit(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in tried)
 
+    def forget(self) -> None:
+        """Drop the kept ids: a worker goes on to other stages' tasks with its memory."""
+        self.ids.clear()
+        self.parts.clear()
+
     def _unit(self, word: str) -> list[int]:
         return [t.id for t in self.merges.tokenize(word if word.isascii() else "".join(map(BYTE_SIGNS.__getitem__, word.encode())))]
 
@@ -334,13 +339,14 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, en
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encoder(tokenizer_path).encode(part.column("text"))):
                     packer.add(doc, ids + end)
                 yield flush(packer)
         packer.finish()
         yield flush(packer)
+        encoder(tokenizer_path).forget()
 
     def flush(packer):
         rows, packer.closed = packer.closed, []
