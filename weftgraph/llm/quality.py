@@ -217,7 +217,8 @@ def perplexities(
     types = materialize(types, "types")
     model = kneser_ney(types, order)
     placed = model.withColumn("k", scrambled_column(F.col("g"), ranges.bits))
-    told = exchange.ask(asked, ranges, answer, placed.select("g", "p", *ranges.place("k")))
+    unweighted = asked.withColumn("extra", F.array().cast("array<binary>"))  # an answer needs no counts
+    told = exchange.ask(unweighted, ranges, answer, placed.select("g", "p", *ranges.place("k")))
     side = good.unionByName(told.select("unit", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("boolean").alias("held"), "shard", "answer"))
     out = materialize(dealt.groupBy("unit").cogroup(side.groupBy("unit")).applyInArrow(total_up, TOTALS), "perplexities")
     discard(asked, types, model)
