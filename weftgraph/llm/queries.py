@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
+from .fill_middle import fill_in_middle, restored
 from .hilbert import hilbert_shards
 from .language_id import held_out, identify, learn_profiles
 from .media import media_columns
@@ -152,3 +153,10 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_columns(table(spark, sf_dir, "documents"))
     feature = F.format_string("png %dx%dx%d distinct=%d mean=%.3f", "width", "height", "bits", "distinct_bytes", F.col("mean_milli") / 1000)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "digest", "shard", "offset", "length")
+
+
+@query("op12_fill_in_middle")
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, seed 7, every text, half of them suffix first. Tested by brute force and round trip."""
+    found = fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_rate=50)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
