@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import folder_for
+
 from .decontaminate import find_contamination
 from .fill_middle import fill_in_middle, restored
 from .hilbert import hilbert_shards
+from .late_rows import DailyTable, describe_files, micros, overwrite_days
 from .language_id import held_out, identify, learn_profiles
 from .media import media_columns
 from .ngram_join import near_duplicates
@@ -160,3 +163,29 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, seed 7, every text, half of them suffix first. Tested by brute force and round trip."""
     found = fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_rate=50)
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def sales_with_copies(sales: DataFrame) -> DataFrame:
+    """The contract's rows: all sales, and later copies of a third of those of every seventh day."""
+    h = F.crc32(F.col("sale_id").cast("string").cast("binary"))
+    day = F.coalesce(F.floor(micros(sales, "sold_at") / F.lit(86_400_000_000)), F.lit(-1))
+    later = lambda c, days: F.col(c) + F.make_dt_interval(days.cast("int"))
+    moved = {"total": F.col("total") + 1, "sold_at": later("sold_at", h % 2), "arrived_at": later("arrived_at", 1 + h % 97)}
+    copies = sales.where((h % 3 == 0) & (day % 7 == 0)).select(*[moved[c].cast(sales.schema[c].dataType).alias(c) if c in moved else F.col(c) for c in sales.columns])
+    return sales.unionByName(copies)
+
+
+@query("op13_late_rows")
+def op13_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sales as daily files, then the late rows brought in. Writes files, so it is tested against brute force."""
+    sales = table(spark, sf_dir, "sales")
+    at = DailyTable(folder_for(spark, "late-rows"), sales.schema, 1 + sales.count() // 700)
+    rows = sales_with_copies(sales)
+    early = micros(rows, "arrived_at") < 1_712_707_200_000_000  # 2024-04-10 00:00 UTC
+    overwrite_days(at, rows.where(early))
+    changed = overwrite_days(at, rows.where(~F.coalesce(early, F.lit(False))))
+    stored = at.stored(spark)
+    files = describe_files(at, spark, [F.col("sale_id"), micros(stored, "sold_at"), micros(stored, "arrived_at")], F.coalesce(F.floor(100 * F.col("total") + 0.5), F.lit(0)))
+    told = files.join(changed.withColumn("changed", F.lit(True)), "day", "left").withColumn("rewritten", F.coalesce("changed", F.lit(False)))
+    local = F.regexp_replace("path", "^file:/+", "/")  # as any reader of this machine takes it; other stores keep their scheme
+    return told.select("day", "file_no", "n_rows", "cents", "rows_crc", local.alias("path"), "columns", "ids_sha256", "rewritten")
