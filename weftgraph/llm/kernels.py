@@ -105,6 +105,27 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
         return mix64((sums[ends] - sums[starts]) * powers.down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+class Spans:
+    """Hashes of byte ranges of a text, by sums over its prefixes."""
+
+    def __init__(self, data: np.ndarray, seed: int):
+        table, powers = _tables(seed)
+        powers.to(len(data) + 1)
+        self.down = powers.down
+        self.sums = np.zeros(len(data) + 1, U64)
+        with np.errstate(over="ignore"):
+            np.cumsum(table[data] * powers.up[: len(data)], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+    def runs(self, n: int) -> np.ndarray:
+        """Of all runs of n bytes, in order."""
+        with np.errstate(over="ignore"):
+            return mix64((self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n])
+
+
 def ngrams(hashes: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     """A 64-bit hash of each run of n word hashes (multilinear, then mixed); shorter by n - 1."""
     if len(hashes) < n:

@@ -19,6 +19,7 @@ from .ngram_join import near_duplicates
 from .packing import harmonic_pack
 from .quality import classify_quality
 from .substring_dedup import remove_repeats
+from .suffix_dedup import remove_repeated_bytes
 from .toxicity import learn, score_toxicity
 from .url_filter import filter_urls
 
@@ -189,3 +190,10 @@ def op13_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = files.join(changed.withColumn("changed", F.lit(True)), "day", "left").withColumn("rewritten", F.coalesce("changed", F.lit(False)))
     local = F.regexp_replace("path", "^file:/+", "/")  # as any reader of this machine takes it; other stores keep their scheme
     return told.select("day", "file_no", "n_rows", "cents", "rows_crc", local.alias("path"), "columns", "ids_sha256", "rewritten")
+
+
+@query("op11_suffix_array_dedup")
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes over all documents. Tested by brute force."""
+    found = remove_repeated_bytes(table(spark, sf_dir, "documents"), n=200)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
