@@ -106,9 +106,7 @@ def four_cycles(both: DataFrame, deg: DataFrame) -> DataFrame:
     """``a, c4``: 4-cycles through each node, of neighbours ``a, b`` and degrees ``a, d``. A cycle is found at
     its node of highest (degree, id): paths from there over a lower node to another lower one. So no
     hub's neighbours are paired, and paths stay below edges times the square root of edges."""
-    near = both.join(deg.select("a", F.struct(F.col("d"), F.col("a").alias("id")).alias("ra")), "a").join(deg.select(F.col("a").alias("b"), F.struct(F.col("d"), F.col("a").alias("id")).alias("rb")), "b")
-    up = near.where("rb > ra").select(F.col("a").alias("mid"), F.col("b").alias("top"), F.col("rb").alias("rt"))
-    path = up.join(near.select(F.col("a").alias("mid"), F.col("b").alias("end"), F.col("rb").alias("re")), "mid").where("re < rt").select("top", "mid", "end")
+    path = _low_paths(both, deg)
     both_ends = path.groupBy("top", "end").agg(F.count("*").alias("m")).where("m > 1")
     ends = both_ends.select(F.explode(F.array("top", "end")).alias("a"), F.expr("m * (m - 1) div 2").alias("n"))
     middles = path.join(both_ends, ["top", "end"]).select(F.col("mid").alias("a"), (F.col("m") - 1).alias("n"))
@@ -157,6 +155,70 @@ def orbits4(pairs: DataFrame) -> DataFrame:
     return all_.select(F.col("a").alias("node_id"), *[F.col(f"o{k}").cast("long").alias(f"o{k}") for k in range(15)])
 
 
+def edge_orbits4(pairs: DataFrame) -> DataFrame:
+    """``u, v, o0 .. o11``: how often an edge stands in each edge orbit of the induced connected subgraphs of three and
+    four nodes: path, triangle; end and middle of a path, claw, 4-cycle, a paw's tail, its side away from the tail,
+    its sides at the tail; outer side and chord of a diamond; 4-clique.
+
+    What an edge knows by itself (degrees, triangles at it and at its ends, wedges beyond its ends) gives subgraphs that need not
+    be induced; what denser ones contribute is then taken off. Triangles, 4-cliques and 4-cycles are found along
+    (degree, id), so no hub's neighbours are paired.
+    """
+    both = materialize(both_ways(pairs), "both")
+    deg = both.groupBy("a").agg(F.count("*").alias("d"))
+    tri = materialize(triangles(pairs), "triangles")
+    corner = tri.select(F.explode(F.array("p", "q", "r")).alias("a")).groupBy("a").agg(F.count("*").alias("t"))
+    side = lambda x, y: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
+    sides = tri.select(F.explode(F.array(*[F.struct(side(x, y).alias("e"), F.col(z).alias("w")) for x, y, z in (("p", "q", "r"), ("p", "r", "q"), ("q", "r", "p"))])).alias("s")).select("s.e.u", "s.e.v", "s.w")
+    on_edge = materialize(sides.groupBy("u", "v").agg(F.count("*").alias("te")), "edge-triangles")
+    # a triangle side learns the degree of the third node, and how many triangles the other two sides have
+    other = lambda a: on_edge.select(F.col("u").alias(f"u{a}"), F.col("v").alias(f"v{a}"), F.col("te").alias(f"t{a}"))
+    known = sides.join(deg.select(F.col("a").alias("w"), F.col("d").alias("dw")), "w")
+    for end in ("u", "v"):
+        known = known.withColumns({f"u{end}x": F.least(end, "w"), f"v{end}x": F.greatest(end, "w")}).join(other(f"{end}x"), [f"u{end}x", f"v{end}x"])
+    third = known.groupBy("u", "v").agg(F.sum("tux").alias("a"), F.sum("tvx").alias("b"), F.sum("dw").alias("dw"))
+    o = oriented(pairs)
+    fourth = tri.join(o.select("p", F.col("q").alias("s")), "p").where("s <> q and s <> r")
+    clique = fourth.join(o.select(F.col("p").alias("q"), F.col("q").alias("s")), ["q", "s"], "left_semi").join(o.select(F.col("p").alias("r"), F.col("q").alias("s")), ["r", "s"], "left_semi")
+    six = [("p", "q"), ("p", "r"), ("p", "s"), ("q", "r"), ("q", "s"), ("r", "s")]
+    k4 = clique.select(F.explode(F.array(*[side(x, y) for x, y in six])).alias("e")).groupBy("e.u", "e.v").agg(F.count("*").alias("k"))
+    c4 = cycles_on_edges(both, deg)
+    node = deg.join(corner, "a", "left").na.fill(0, ["t"])
+    reach = both.join(deg.select(F.col("a").alias("b"), F.col("d").alias("db")), "b").groupBy("a").agg(F.sum(F.col("db") - 1).alias("s"))
+    node = materialize(node.join(reach, "a"), "ends")
+    rows = pairs.select("u", "v")
+    for end in ("u", "v"):
+        rows = rows.join(node.select(F.col("a").alias(end), F.col("d").alias(f"d{end}"), F.col("t").alias(f"t{end}"), F.col("s").alias(f"s{end}")), end)
+    for part in (on_edge, third, k4, c4):
+        rows = rows.join(part, ["u", "v"], "left")
+    rows = rows.na.fill(0)
+    steps = [
+        ("o1", "te"), ("o0", "du + dv - 2 - 2 * te"), ("o11", "k"), ("o10", "te * (te - 1) div 2 - o11"), ("o9", "a + b - 2 * te - 4 * o11"),
+        ("o8", "te * (du + dv - 4) - 4 * o10 - o9 - 4 * o11"), ("o7", "dw - 2 * te - o9 - 2 * o11"), ("o6", "tu + tv - 2 * te - o9 - 2 * o11"), ("o5", "c4 - o9 - 2 * o11"),
+        ("o4", "(du - 1) * (du - 2) div 2 + (dv - 1) * (dv - 2) div 2 - o6 - o8 - o9 - 2 * o10 - 2 * o11"), ("o3", "(du - 1) * (dv - 1) - te - o5 - o8 - o9 - 2 * o10 - 2 * o11"),
+        ("o2", "su + sv - du - dv + 2 - 2 * te - 2 * o5 - 2 * o6 - 2 * o7 - 3 * o9 - 4 * o11"),
+    ]
+    for name, code in steps:
+        rows = rows.withColumn(name, F.expr(code))
+    return rows.select("u", "v", *[F.col(f"o{k}").cast("long").alias(f"o{k}") for k in range(12)])
+
+
+def cycles_on_edges(both: DataFrame, deg: DataFrame) -> DataFrame:
+    """``u, v, c4``: 4-cycles through each edge, by the paths of ``four_cycles``: each of the ``m`` paths between two nodes closes a
+    cycle with each other one."""
+    path = _low_paths(both, deg)
+    ends = path.groupBy("top", "end").agg(F.count("*").alias("m")).where("m > 1")
+    found = path.join(ends, ["top", "end"]).select((F.col("m") - 1).alias("n"), F.explode(F.array(F.struct(F.col("top").alias("x"), F.col("mid").alias("y")), F.struct(F.col("mid").alias("x"), F.col("end").alias("y")))).alias("e"))
+    return found.groupBy(F.least("e.x", "e.y").alias("u"), F.greatest("e.x", "e.y").alias("v")).agg(F.sum("n").alias("c4"))
+
+
+def _low_paths(both: DataFrame, deg: DataFrame) -> DataFrame:
+    """``top, mid, end``: paths from a node over one of lower (degree, id) to another lower one."""
+    near = both.join(deg.select("a", F.struct(F.col("d"), F.col("a").alias("id")).alias("ra")), "a").join(deg.select(F.col("a").alias("b"), F.struct(F.col("d"), F.col("a").alias("id")).alias("rb")), "b")
+    up = near.where("rb > ra").select(F.col("a").alias("mid"), F.col("b").alias("top"), F.col("rb").alias("rt"))
+    return up.join(near.select(F.col("a").alias("mid"), F.col("b").alias("end"), F.col("rb").alias("re")), "mid").where("re < rt").select("top", "mid", "end")
+
+
 def validate_orbit_input(edges: DataFrame, n: int) -> None:
     """Raise on ids outside 0..n-1, loops or repeated edges."""
     bad = edges.where(f"src < 0 or dst < 0 or src >= {n} or dst >= {n} or src = dst").limit(1).count()
@@ -165,16 +227,19 @@ def validate_orbit_input(edges: DataFrame, n: int) -> None:
 
 
 def lobsters(pairs: DataFrame) -> DataFrame:
-    """``graph_id, is_lobster`` of ``graph_id, u, v``: a tree of which a path is left after taking off all leaves twice."""
-    label = connected_components(pairs.select((F.col("u") * 1_000_003 + F.col("graph_id")).alias("src"), (F.col("v") * 1_000_003 + F.col("graph_id")).alias("dst")))
-    parts = label.groupBy((F.col("component") % 1_000_003).alias("graph_id")).agg(F.countDistinct("component").alias("parts"), F.count("*").alias("n"))
+    """``graph_id, is_lobster`` of ``graph_id, u, v``: a tree of which a path is left after taking off all leaves twice. Any
+    graph ids not below 0."""
+    from .collections import graph_components
+
+    parts = graph_components(pairs).groupBy("graph_id").agg(F.countDistinct("component").alias("parts"), F.count("*").alias("n"))
     size = pairs.groupBy("graph_id").agg(F.count("*").alias("m")).join(parts, "graph_id")
     rest = pairs
     for _ in range(2):
         leaf = both_ways(rest, "graph_id").groupBy("graph_id", "a").agg(F.count("*").alias("d")).where("d = 1").select("graph_id", "a")
         rest = rest.join(leaf.withColumnRenamed("a", "u"), ["graph_id", "u"], "left_anti").join(leaf.withColumnRenamed("a", "v"), ["graph_id", "v"], "left_anti").select("graph_id", "u", "v")
     top = both_ways(rest, "graph_id").groupBy("graph_id", "a").agg(F.count("*").alias("d")).groupBy("graph_id").agg(F.max("d").alias("top"))
-    return size.join(top, "graph_id", "left").select("graph_id", ((F.col("parts") == 1) & (F.col("m") == F.col("n") - 1) & (F.coalesce("top", F.lit(0)) <= 2)).cast("int").alias("is_lobster"))
+    tree = (F.col("parts") == 1) & (F.col("m") == F.col("n") - 1)
+    return size.join(top, "graph_id", "left").select("graph_id", (tree & (F.coalesce("top", F.lit(0)) <= 2)).cast("int").alias("is_lobster"))
 
 
 def spectra(pairs: DataFrame, bins: int = 200) -> DataFrame:
