@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 
 from ..functions.vectors import hashed
 from ..storage import materialize
-from .neighbors import anonymity, nearest_centre, repair_anonymity
+from .clustering import constrained_kmeans
+from .neighbors import anonymity
 from .order import running_sums
 
 
@@ -158,23 +159,25 @@ def generate_rows(model: DataFrame, rows: DataFrame, seed: int, bounds: DataFram
 
 
 def quantize(nodes: DataFrame, clusters: int, components: int, k: int, sample: int = 5000, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Centres, assignment and group sizes: principal components of a bounded sample (centred first),
-    k-means there, centres taken back, all nodes assigned to the nearest; centres with fewer than ``k``
-    nodes are dropped and their nodes assigned anew, so that every group has ``k``."""
-    from pyspark.ml.clustering import KMeans
+    """Centres, assignment and group sizes: principal components of a bounded sample (centred first), then k-means of all
+    nodes there in which each of exactly ``clusters`` groups (or as many as the nodes suffice for) has ``k`` nodes or more, and
+    centres taken back. Fewer than ``k`` nodes are an error."""
     from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector
-
-    data = nodes.select("node_id", array_to_vector(F.col("feature").cast("array<double>")).alias("vec")).orderBy(F.xxhash64("node_id"), "node_id").limit(sample)
-    centred = StandardScaler(inputCol="vec", outputCol="c", withMean=True, withStd=False).fit(data)
-    moved = centred.transform(data)
-    pca = PCA(k=components, inputCol="c", outputCol="z").fit(moved)
-    means = KMeans(k=clusters, featuresCol="z", seed=seed).fit(pca.transform(moved))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    data = nodes.select("node_id", array_to_vector(F.col("feature").cast("array<double>")).alias("vec"))
+    part = data.orderBy(F.xxhash64("node_id"), "node_id").limit(sample)
+    centred = StandardScaler(inputCol="vec", outputCol="c", withMean=True, withStd=False).fit(part)
+    pca = PCA(k=components, inputCol="c", outputCol="z").fit(centred.transform(part))
+    clusters = min(clusters, nodes.count() // k)
+    if not clusters:
+        raise ValueError(f"fewer than {k} nodes")
+    low = materialize(pca.transform(centred.transform(data)).select("node_id", vector_to_array("z").alias("feature")), "components")
+    found, assigned = constrained_kmeans(low, clusters, k, seed=seed)
     basis, mean = pca.pc.toArray(), centred.mean.toArray()
-    rows = [(i, [float(x) for x in basis @ z + mean]) for i, z in enumerate(means.clusterCenters())]
+    rows = [(r.cid, [float(x) for x in basis @ r.feature + mean]) for r in found.collect()]  # a row for each centre
     centres = nodes.sparkSession.createDataFrame(rows, "cid int, feature array<double>")
-    assigned = repair_anonymity(nearest_centre(nodes, centres), nodes, centres, k)
-    return centres.join(assigned.select("cid").distinct(), "cid", "left_semi"), assigned, anonymity(assigned, k)
+    return centres, assigned.select("node_id", "cid"), anonymity(assigned, k)
 
 
 def private_means(assigned: DataFrame, nodes: DataFrame, epsilon: float, secret: str | None = None, bound: float = 1.0) -> DataFrame:
