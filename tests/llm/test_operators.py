@@ -454,6 +454,12 @@ def test_quality_by_hand(spark, options):
     assert sorted(got, key=repr) == near(sorted(want, key=repr))
 
 
+def is_reported(cls, i):
+    """Whether the last verb of reporting before place i still reaches it: up to the second quotation mark after it."""
+    verbs = [j for j in range(i) if cls[j] == toxicity.REPORT]
+    return bool(verbs) and sum(cls[j] == toxicity.QUOTE for j in range(verbs[-1], i)) < 2
+
+
 def marks_by_hand(words, patterns, reach=3):
     """What the grammar should write, by looking back from each word of a clause: (kind, status, weight)."""
     out = []
@@ -482,7 +488,7 @@ def marks_by_hand(words, patterns, reach=3):
         back = range(max(0, i - reach), i)
         if any(cls[j] == toxicity.NEGATION for j in back):
             m[0], m[1] = m[0] + toxicity.DENIED, m[1] * 0.25
-        elif any(cls[j] == toxicity.REPORT for j in range(i)):
+        elif is_reported(cls, i) or is_reported(cls[::-1], len(cls) - 1 - i):
             m[0], m[1] = m[0] + toxicity.REPORTED, m[1] * 0.5
         elif any(cls[j] == toxicity.TARGET and j not in used for j in back):
             m[0], m[1] = m[0] + toxicity.AIMED, m[1] * 1.5
@@ -493,7 +499,7 @@ def test_grammar():
     """The composed machine against a look back from each word."""
     patterns = {("rotter",): 1.2, ("foul", "beast"): 2.0, ("beast", "of", "the"): 0.7}
     machine, rng = toxicity.grammar(patterns), random.Random(12)
-    vocab = ["rotter", "foul", "beast", "of", "the", "you", "not", "said", "i", "kill", "killing", "tree", "walks", "schlagen", "him", "will"]
+    vocab = ["rotter", "foul", "beast", "of", "the", "you", "not", "said", "i", "kill", "killing", "tree", "walks", "schlagen", "him", "will", '"', "“"]
     for _ in range(3000):
         words = [rng.choice(vocab) for _ in range(rng.randint(1, 14))]
         got = [(s, w) if s >= toxicity.INSULT else None for s, w in machine.run([toxicity.symbols(patterns).get(x, toxicity.OTHER) for x in words])]
@@ -501,6 +507,9 @@ def test_grammar():
     scorer = toxicity.Scorer(patterns, np.zeros(toxicity.FEATURES + 1))
     far = " ".join(["said"] + ["tree"] * 500 + ["rotter"])
     assert scorer.features(far)[0] == pytest.approx(np.log1p(0.6)) and len(scorer.clauses("x " * 9000 + "rotter")[0][0]) == 9001
+    mark = lambda text: [s % 10 for s, _ in toxicity.grammar(patterns).run([scorer.symbols.get(w, toxicity.OTHER) for w in toxicity.WORD.findall(text)]) if s >= toxicity.INSULT]
+    assert mark("a rotter walks said him") == mark("him said a rotter walks") == mark('"a rotter walks" said him') == [toxicity.REPORTED]
+    assert mark('he said "a tree walks" a rotter') == [toxicity.PLAIN] and mark('a rotter walks "a tree" he said') == [toxicity.PLAIN] and mark("a rotter walks") == [toxicity.PLAIN]
     assert [len(c) for c in scorer.clauses("a rotter. b c! the foul beast; tree\nrotter rotter")[0]] == [2, 3, 2]
 
 
@@ -540,3 +549,16 @@ def test_language_id(spark, none):
     assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[None].lang_pred == "de" and 0 <= got[903].score <= 1
     assert identify(none, learn_profiles(none)).count() == 0
     assert {r.lang_pred for r in identify(docs, learn_profiles(none)).collect()} == {"und"}
+
+
+def test_hilbert_rows_alike(spark):
+    """Many rows without id and with one text: buckets stay small, slots gapless, counts at most one apart."""
+    rows = spark.createDataFrame([(None, "same", "en", "s", 4)] * 400 + [(i, f"t{i}", "de", "r", 2) for i in range(37)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = hilbert_shards(rows, 8, bucket_rows=10).collect()
+    shards = defaultdict(list)
+    for r in got:
+        shards[r.shard].append(r.slot)
+    assert len(got) == 437 and sorted(len(x) for x in shards.values()) == [54] * 3 + [55] * 5
+    assert all(sorted(x) == list(range(len(x))) for x in shards.values())
+    cells = hilbert.materialize(rows.select(F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("h")), "salted")
+    assert cells.distinct().count() == 437

@@ -89,8 +89,8 @@ def hilbert_shards(
     Each dimension is quantised at ``2**bits - 1`` quantiles, of whole strings where it is one (see
     ``string_borders``); only those reach the driver. A cell is a point of the grid, of which there are
     ``2**(bits * len(dims))`` at most (4,096 by default, 32,768 allowed, so the table of cells is
-    broadcast); a cell with more than ``bucket_rows`` rows is cut by a hash of the id into buckets of
-    about that many. Ranks come from the running sum over bucket counts (one row for each cell and each
+    broadcast); a cell with more than ``bucket_rows`` rows is cut by a hash of the row into buckets of
+    about that many, rows alike in id and text too. Ranks come from the running sum over bucket counts (one row for each cell and each
     ``bucket_rows`` rows) and from row numbers inside buckets, so neither a hot cell nor the whole
     table is ever in one task, and texts are never shuffled.
 
@@ -115,7 +115,9 @@ def hilbert_shards(
             axis = axis + F.coalesce((F.lit(border) < F.col(f"__d{i}")).cast("int"), F.lit(0))
         axes.append(f"__a{i}")
         rows = rows.withColumn(f"__a{i}", axis.cast("int"))
-    rows = rows.drop(*[f"__d{i}" for i in range(len(dims))]).withColumn("__h", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 << 31)))
+    # the row's place in its input tells rows alike in id and text apart; as that may change when rows are computed anew, they are written
+    salted = F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id())
+    rows = materialize(rows.drop(*[f"__d{i}" for i in range(len(dims))]).withColumn("__h", F.pmod(salted, F.lit(1 << 31))), "cells")
     if bits * len(dims) > 15:
         raise ValueError("the grid may have 32,768 cells at most")
     cells = rows.groupBy(*axes).agg(F.count("*").alias("__n")).withColumn("curve", curve_column(axes, bits)).withColumn("__parts", F.ceil(F.col("__n") / bucket_rows))

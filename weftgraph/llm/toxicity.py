@@ -29,13 +29,13 @@ VIOLENCE = {
 }
 IRREGULAR = "stabbed stabbing beat beats beating shoot shoots shooting shot umbringen détruire détruirai destruir destruiré".split()
 FORMS = frozenset(IRREGULAR) | {stem + end for stems, ends in VIOLENCE.items() for stem in stems.split() for end in ends.split(" ")}
-WORD = re.compile(r"[^\W\d_]+|[.!?;:\n]")
-BORDERS = frozenset(".!?;:\n")
+WORD = re.compile(r"[^\W\d_]+|[.!?;:\n\"“”„«»]")
+BORDERS, QUOTES = frozenset(".!?;:\n"), frozenset('"“”„«»')
 #: Classes of words that the small transducers read, and the marks they write. A mark's status is added to its kind.
-OTHER, TARGET, NEGATION, REPORT, INTENT, VERB = range(6)
+OTHER, TARGET, NEGATION, REPORT, INTENT, VERB, QUOTE = range(7)
 INSULT, THREAT = 10, 20
 PLAIN, DENIED, REPORTED, AIMED = range(4)
-CLASSES = dict.fromkeys(FORMS, VERB) | dict.fromkeys(INTENTS, INTENT) | dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT)
+CLASSES = dict.fromkeys(FORMS, VERB) | dict.fromkeys(INTENTS, INTENT) | dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT) | dict.fromkeys(QUOTES, QUOTE)
 #: What a text is scored by; see ``Scorer.features``.
 FEATURES = 6
 
@@ -122,18 +122,39 @@ def near(cue: int, status: int, factor: float, reach: int) -> Transducer:
 
 
 def reported(factor: float) -> Transducer:
-    """A verb of reporting marks all that follows in its clause."""
+    """A verb of reporting marks what follows in its clause: all of it, or, once a quotation mark opens, what lies up to the
+    one that closes. Read backwards it marks what stands before the verb."""
 
-    def arc(seen, s):
-        marked = seen and s in (INSULT, THREAT)
-        return seen or s == REPORT, s + REPORTED if marked else s, factor if marked else 1.0
+    def arc(scope, s):
+        if s == REPORT:
+            return 1, s, 1.0
+        if s == QUOTE and scope:
+            return (2 if scope == 1 else 0), s, 1.0
+        marked = scope and s in (INSULT, THREAT)
+        return scope, s + REPORTED if marked else s, factor if marked else 1.0
 
-    return Transducer(False, arc)
+    return Transducer(0, arc)
+
+
+class Cascade:
+    """Transducers that read what the one before wrote, each in its direction."""
+
+    def __init__(self, *machines: tuple[Transducer, int]):
+        self.machines = machines
+
+    def run(self, symbols) -> list[tuple[int, float]]:
+        symbols, weights = list(symbols), [1.0] * len(symbols)
+        for machine, step in self.machines:
+            told = machine.run(symbols[::step])[::step]
+            symbols, weights = [s for s, _ in told], [a * b for a, (_, b) in zip(weights, told)]
+        return list(zip(symbols, weights))
 
 
-def grammar(patterns: dict[tuple[str, ...], float], reach: int = 3) -> Transducer:
-    """Insult, threat, negation, reported speech and target, composed; it reads the ``symbols`` of one clause."""
-    return insults(patterns).compose(threats(reach)).compose(near(NEGATION, DENIED, 0.25, reach)).compose(reported(0.5)).compose(near(TARGET, AIMED, 1.5, reach))
+def grammar(patterns: dict[tuple[str, ...], float], reach: int = 3) -> Cascade:
+    """Insult, threat, negation and speech reported before it, composed; then, from right to left, speech reported after it;
+    then target. It reads the ``symbols`` of one clause."""
+    first = insults(patterns).compose(threats(reach)).compose(near(NEGATION, DENIED, 0.25, reach)).compose(reported(0.5))
+    return Cascade((first, 1), (reported(0.5), -1), (near(TARGET, AIMED, 1.5, reach), 1))
 
 
 def symbols(patterns: dict[tuple[str, ...], float]) -> dict[str, str | int]:
@@ -218,9 +239,10 @@ def terms(text: str, words: int, only: frozenset[str] | None = None, heads: froz
         for i in [i for i, t in enumerate(tokens) if t in heads] if heads else ():
             out.update(run for n in range(2, words + 1) if (run := " ".join(tokens[i : i + n])) in only)
         return out
-    out = {t for t in tokens if t not in BORDERS}
+    apart = BORDERS | QUOTES
+    out = {t for t in tokens if t not in apart}
     for n in range(2, words + 1):
-        out.update(" ".join(run) for run in zip(*(tokens[k:] for k in range(n))) if BORDERS.isdisjoint(run))
+        out.update(" ".join(run) for run in zip(*(tokens[k:] for k in range(n))) if apart.isdisjoint(run))
     return out
 
 
@@ -260,7 +282,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, words:
 
     A run of up to ``words`` words is a pattern if its share among toxic documents is ``lift`` times that
     among others and the difference cannot well be chance (log-likelihood ratio over 15), and no
-    shorter pattern is part of it. All that qualify are kept. Terms of toxic texts are counted in the
+    shorter pattern is part of it. Terms in fewer than two toxic texts, or than one of 400, are not looked at. All that qualify are
+    kept. A null label or id teaches nothing; ties of a shared id go to the greater label and the least text. Terms of toxic texts are counted in the
     others in blocks of ``block_terms``, so what a task holds is bounded.
 
     Without labels of both kinds nothing is matched and each score is 0.
@@ -305,7 +328,7 @@ def score_toxicity(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text
     to which its matched clauses speak for toxicity, 1 where that is a half or more, and the number
     of clauses. A clause reaches from border to border, however long. One scan, no shuffle.
 
-    Null or empty text: the score of a text without a match. Null id: returned as null. Repeated
+    Null or empty text: the score of a text without a match. A score of exactly a half counts as toxic. Null id: returned as null. Repeated
     rows are scored each, and alike. Empty table: no rows. Columns other than the two read are
     ignored, whatever their names.
     """
