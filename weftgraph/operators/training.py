@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialize
@@ -172,32 +172,65 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def judged(z: np.ndarray, batch: pa.RecordBatch, positive: float, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the weighted cross-entropy of training rows by the logits ``z``, and the summed loss and weight of both parts."""
+    y = np.nan_to_num(batch.column("y").to_numpy(zero_copy_only=False).astype(float))
+    part = np.array(batch.column("part").to_pylist(), object)
+    p, w = _sigmoid(z), np.where(y == 1, positive, 1.0)
+    cost = -w * (y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12))
+    loss = np.array([x for name in ("train", "val") for x in (cost[part == name].sum(), w[part == name].sum())])
+    return (w * (p - y) * (part == "train") / total)[:, None], loss
+
+
+def gradient_rows(rows: list[tuple[int, np.ndarray]]) -> list[pa.Array]:
+    """Rows without node: which block they are about, and the numbers."""
+    return [pa.nulls(len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))]
+
+
+def summed(rows: DataFrame) -> dict[int, np.ndarray]:
+    """The sums of ``d`` over rows ``about, d``, by tree."""
+    add = lambda df, *keys: df.groupBy(*keys).agg(Summarizer.sum(F.col("v")).alias("v"))
+    tree = add(rows.select("about", P.as_vector("d").alias("v"), F.pmod(F.spark_partition_id(), F.lit(TREE)).alias("part")), "about", "part")
+    return {r.about: np.array(r.d) for r in add(tree, "about").select("about", vector_to_array("v").alias("d")).collect()}
+
+
 @dataclass
 class Network:
     """Blocks over ``nodes(node_id, feature, y, part)``: part is train, val or else; y may be null outside those.
 
     ``nodes`` is held by node in as many parts as ``spark.sql.shuffle.partitions`` and recomputed from its written table
-    where an executor is lost. Rows of positives weigh negatives over positives."""
+    where an executor is lost. Rows of positives weigh negatives over positives. Features are brought to mean 0 and deviation 1
+    unless ``scaled`` is false."""
 
     nodes: DataFrame
     blocks: list[Block]
     banks: dict[str, object]
     seed: int = 1
+    scaled: bool = True
     history: list[tuple[float, float]] = field(default_factory=list)
 
     def __post_init__(self):
-        spark = self.nodes.sparkSession
+        plain = self._prepared()
+        self._keep(self._gathered(0, plain, self.width).join(self.labels, "node_id"))
+        self.weights = initial(self.blocks, self.banks, self.width, self.seed)
+
+    def _keep(self, rows: DataFrame) -> None:
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.first = materialize(rows, "block-0").repartition(parts, "node_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _prepared(self) -> DataFrame:
+        """``node_id, feature`` with components of mean 0 and deviation 1; labels and their weights are kept."""
         scale = self.nodes.select(Summarizer.metrics("mean", "std").summary(P.as_vector("feature")).alias("s")).select(vector_to_array("s.mean").alias("m"), vector_to_array("s.std").alias("d")).first()
         self.width = len(scale.m or [])
+        if not self.scaled:
+            scale = Row(m=[0.0] * self.width, d=[1.0] * self.width)
         mean, std = (F.array(*[F.lit(float(x)) for x in v]) for v in (scale.m or [], [max(x, 1e-8) for x in scale.d or []]))
         plain = self.nodes.withColumn("feature", F.zip_with(F.zip_with(F.col("feature").cast("array<double>"), mean, lambda x, m: x - m), std, lambda x, s: x / s))
         self.labels = plain.select("node_id", F.col("y").cast("double").alias("y"), "part")
         count = {r.y: r.n for r in self.labels.where("part = 'train'").groupBy("y").agg(F.count("*").alias("n")).collect()}
         self.positive = count.get(0.0, 0) / max(count.get(1.0, 0), 1)
         self.rows = max(1.0, count.get(0.0, 0) + self.positive * count.get(1.0, 0))
-        first = materialize(self._gathered(0, plain.select("node_id", "feature"), self.width).join(self.labels, "node_id"), "block-0")
-        self.first = first.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node_id").persist(StorageLevel.MEMORY_AND_DISK)
-        self.weights = initial(self.blocks, self.banks, self.width, self.seed)
+        return plain.select("node_id", "feature")
 
     def _gathered(self, at: int, vectors: DataFrame, width: int) -> DataFrame:
         """``node_id, x``: a block's banks side by side, zeros where nothing comes in."""
@@ -229,11 +262,11 @@ class Network:
             states.append(materialize(found.join(self.labels, "node_id"), f"block-{at}"))
         return states
 
-    def _backward(self, rows: DataFrame, at: int, weights: Weights) -> DataFrame:
+    def _backward(self, rows: DataFrame, at: int, weights: Weights, inputs: bool = False) -> DataFrame:
         """``node_id, d`` by what the block gathered, and rows without node: a batch's gradient by the block's weights, and of
         the last block the summed loss of both parts. ``rows`` has ``back``, the gradient by the block's output, for
         all blocks but the last."""
-        layers, last, positive, total, first = weights[at], at == len(self.blocks) - 1, self.positive, self.rows, at == 0
+        layers, last, positive, total, first = weights[at], at == len(self.blocks) - 1, self.positive, self.rows, at == 0 and not inputs
 
         def run(batches):
             sums, loss = None, np.zeros(4)
@@ -242,15 +275,8 @@ class Network:
                     continue
                 states = forward(_matrix(batch.column("x")), layers, last)
                 if last:
-                    y = batch.column("y").to_numpy(zero_copy_only=False)
-                    y = np.nan_to_num(y.astype(float))
-                    part = np.array(batch.column("part").to_pylist(), object)
-                    p, w = _sigmoid(states[-1][:, 0]), np.where(y == 1, positive, 1.0)
-                    cost = -w * (y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12))
-                    for k, name in enumerate(("train", "val")):
-                        loss[2 * k] += cost[part == name].sum()
-                        loss[2 * k + 1] += w[part == name].sum()
-                    d = (w * (p - y) * (part == "train") / total)[:, None]
+                    d, cost = judged(states[-1][:, 0], batch, positive, total)
+                    loss += cost
                 else:
                     d = _matrix(batch.column("back"))
                 d, grad = backward(states, layers, d, last)
@@ -259,7 +285,7 @@ class Network:
                     yield pa.RecordBatch.from_arrays([batch.column("node_id"), pa.nulls(len(d), pa.int32()), _lists(d)], ["node_id", "about", "d"])
             rows = [(at, sums)] * (sums is not None) + [(-1, loss)] * last
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["node_id", "about", "d"])
+                yield pa.RecordBatch.from_arrays(gradient_rows(rows), ["node_id", "about", "d"])
 
         columns = ["node_id", "x", "y", "part"] if last else ["node_id", "x", "back"]
         return rows.select(*columns).mapInArrow(run, "node_id long, about int, d array<double>")
@@ -273,26 +299,37 @@ class Network:
             if at:
                 back = materialize(back, "back")
                 written.append(back)
-                width = self.blocks[at - 1].widths[-1]
-                total, first = None, 1
-                for bank in [self.banks[b] for b in self.blocks[at].banks]:
-                    piece = back.where("node_id is not null").select("node_id", F.slice("d", first, width * bank.parts).alias("feature"))
-                    first += width * bank.parts
-                    came = bank.adjoint(piece).select("node_id", P.as_vector("feature").alias("v"))
-                    total = came if total is None else total.unionByName(came)
-                came = total.groupBy("node_id").agg(Summarizer.sum(F.col("v")).alias("v")).select("node_id", vector_to_array("v").alias("__b"))
-                rows = states[at - 1].join(came, "node_id", "left").withColumn("back", F.coalesce("__b", F.array_repeat(F.lit(0.0), width)))
+                rows = self._sent_back(back, at, states[at - 1], self.blocks[at - 1].widths[-1])
             found.append(back.where("about is not null").select("about", "d"))
         all_ = found[0]
         for f in found[1:]:
             all_ = all_.unionByName(f)
-        add = lambda df, *keys: df.groupBy(*keys).agg(Summarizer.sum(F.col("v")).alias("v"))
-        tree = add(all_.select("about", P.as_vector("d").alias("v"), F.pmod(F.spark_partition_id(), F.lit(TREE)).alias("part")), "about", "part")
-        sums = {r.about: np.array(r.d) for r in add(tree, "about").select("about", vector_to_array("v").alias("d")).collect()}
+        sums = summed(all_)
         discard(*states[1:], *written)
         loss = sums.get(-1, np.zeros(4))
         return [sums.get(k, np.zeros(flat(w).size)) for k, w in enumerate(weights)], loss[0] / max(loss[1], 1e-12), loss[2] / max(loss[3], 1e-12)
 
+    def _sent_back(self, back: DataFrame, at: int, to: DataFrame, width: int) -> DataFrame:
+        """Rows of ``to`` with ``back``: what a block's banks send back to the nodes, zeros where nothing comes."""
+        total, first = None, 1
+        for bank in [self.banks[b] for b in self.blocks[at].banks]:
+            piece = back.where("node_id is not null").select("node_id", F.slice("d", first, width * bank.parts).alias("feature"))
+            first += width * bank.parts
+            came = bank.adjoint(piece).select("node_id", P.as_vector("feature").alias("v"))
+            total = came if total is None else total.unionByName(came)
+        came = total.groupBy("node_id").agg(Summarizer.sum(F.col("v")).alias("v")).select("node_id", vector_to_array("v").alias("__b"))
+        return to.join(came, "node_id", "left").withColumn("back", F.coalesce("__b", F.array_repeat(F.lit(0.0), width)))
+
+    def input_gradient(self) -> DataFrame:
+        """``node_id, back``: the gradient of the training loss by each node's own feature."""
+        states = self._states(self.weights)
+        rows = states[-1]
+        for at in range(len(self.blocks) - 1, 0, -1):
+            back = materialize(self._backward(rows, at, self.weights), "back")
+            rows = self._sent_back(back, at, states[at - 1], self.blocks[at - 1].widths[-1])
+        back = materialize(self._backward(rows, 0, self.weights, inputs=True), "back")
+        return self._sent_back(back, 0, self.labels, self.width).select("node_id", "back")
+
     def fit(self, epochs: int = 20, rate: float = 0.05, patience: int = 8) -> "Network":
         """Adam over all rows; the weights of the least validation loss are kept (of training, without validation rows)."""
         rows = [flat(w) for w in self.weights]

@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..model import test_collection, test_graph
+from ..operators import attention as A
 from ..operators import collections as C
 from ..operators import edges as E
 from ..operators import generators as G
 from ..operators import layers as L
 from ..operators import neighbors as N
+from ..operators import outliers as O
 from ..operators import predictors as M
 from ..operators import propagate as P
+from ..operators import relational as B
 from ..operators import splits as U
 from ..operators import training as R
 from ..operators import trees as T
@@ -241,15 +244,6 @@ def agreement(g, r):
     return found.select("src", "dst", F.when(F.col("p") >= 0, 1).otherwise(-1).alias("sign"))
 
 
-def boosted_rounds(g, r, rounds=2):
-    """Boosted trees and propagation in turn: the trees' score joins the feature, is smoothed, and the next trees learn from both."""
-    now = g.nodes.withColumn("feature", F.col("feature").cast("array<double>"))
-    for _ in range(rounds - 1):
-        found = M.fit_predict("gbt", now.join(r.where("role = 'train'"), "node_id"), now).select("node_id", F.array("p").alias("feature"))
-        now = L.joined(now, found, P.smoothed(P.normalized_edges(g.edges), found))
-    return now
-
-
 def clustered(g, r, k=8):
     """Smoothed features beside squared distances to k-means centres of all nodes, found without labels."""
     from pyspark.ml.clustering import KMeans
@@ -267,10 +261,10 @@ def with_parts(g, r):
     return g.nodes.join(r.withColumnRenamed("role", "part"), "node_id")
 
 
-def trained(name, build):
+def trained(name, fit):
     def run(spark, d):
         g, r = test_graph(spark, d), roles(spark, d)
-        net = build(g, with_parts(g, r)).fit(EPOCHS, 0.05)
+        net = fit(g, with_parts(g, r))
         found = materialize(net.scores(), "scores")
         net.close()
         return r.where("role = 'test'").select("node_id").join(g.nodes, "node_id").select("node_id", "y").join(found, "node_id")
@@ -287,32 +281,58 @@ NETWORKS = {
     "sage": lambda g, nodes: R.sage_network(g.edges, nodes),
     "rgcn": lambda g, nodes: R.rgcn_network(g.typed, nodes, ETYPES),
     "bwgnn": lambda g, nodes: R.wavelet_network(g.edges, nodes),
+    "gat": lambda g, nodes: A.gat_network(g.edges, nodes),
+    "gat_sep": lambda g, nodes: A.gat_network(g.edges, nodes, separate=True),
+    "gt": lambda g, nodes: A.gat_network(g.edges, nodes, kind="dot"),
+    "gt_sep": lambda g, nodes: A.gat_network(g.edges, nodes, separate=True, kind="dot"),
+    "hgt": lambda g, nodes: A.typed_attention_network(g.typed, nodes, ETYPES),
 }
 for _name, _build in NETWORKS.items():
-    trained(_name, _build)
+    trained(_name, lambda g, nodes, build=_build: build(g, nodes).fit(EPOCHS, 0.05))
+trained("caregnn", lambda g, nodes: B.chosen_neighbours(g.typed, nodes, ETYPES, rounds=4, epochs=2)[0])
+trained("bgnn", lambda g, nodes: B.boosted_network(g.edges, nodes, rounds=2, epochs=4)[0])
+
+def with_outlier_scores(nodes):
+    """Nodes with the scores of five detectors without labels behind their features."""
+    near = materialize(N.knn(nodes, nodes, 10, "l2"), "near")
+    scores = [found.select("node_id", F.array("p").alias("feature")) for found in (O.isolation_scores(nodes), O.local_outlier_factor(near))]
+    return L.joined(nodes, L.outlier_scores(nodes, near), *scores)
+
 
 DETECTORS = {
     "pna": ("lr", lambda g, r: L.pna(g.edges, g.nodes)),
-    "gat": ("mlp", lambda g, r: L.gat(g.edges, g.nodes, False)),
-    "gat_sep": ("mlp", lambda g, r: L.gat(g.edges, g.nodes)),
     "bernstein": ("lr", lambda g, r: L.bernstein_bank(g.edges, g.nodes)),
     "amnet": ("lr", lambda g, r: L.two_filters(g.edges, g.nodes)),
     "chebnet": ("lr", lambda g, r: L.chebyshev_bank(g.edges, g.nodes)),
-    "hgt": ("lr", lambda g, r: L.hgt(g.typed, g.nodes, ETYPES)),
-    "caregnn": ("lr", lambda g, r: L.filtered_relations(g.typed, g.nodes, alike_scores(g, r), r.where("role = 'train'"), ETYPES)[0]),
     "h2fd": ("svm", lambda g, r: balanced_prototypes(L.signed_attention(g.edges, g.nodes, agreement(g, r)), r.where("role = 'train'"))),
     "gas": ("lr", lambda g, r: L.nearest_gcn(g.edges, g.nodes)),
     "ghrn": ("lr", lambda g, r: L.bernstein_bank(N.prune_laplacian(g.edges, g.nodes, (5, 100)), g.nodes)),
     "pcgnn": ("lr", lambda g, r: L.chebyshev_bank(L.with_nearest(L.alike_edges(g.edges, g.nodes), g.nodes, 5, g.nodes.join(r.where("role = 'train'"), "node_id", "left_semi").where("y = 1")), g.nodes)),
     "dci": ("lr", clustered),
-    "bgnn": ("gbt", boosted_rounds),
-    "xgbod": ("gbt", lambda g, r: L.joined(g.nodes, L.outlier_scores(g.nodes, N.knn(g.nodes, g.nodes, 10, "l2")))),
+    "xgbod": ("gbt", lambda g, r: with_outlier_scores(g.nodes)),
     "tree": ("lr", lambda g, r: L.tree_features(T.sample_trees(g.edges, g.nodes, 2, 3, 3407), g.nodes).join(g.nodes.select("node_id", "y"), "node_id")),
 }
 for _name, (_head, _build) in DETECTORS.items():
     detect(_name, _head, _build)
 
 
+@query("isolation_forest")
+def isolation_forest(spark, d):
+    """Trees drawn at random: tested on planted outliers."""
+    g = test_graph(spark, d)
+    return O.isolation_scores(g.nodes).join(g.nodes.select("node_id", "y"), "node_id").select("node_id", "y", "p")
+
+
+@query("local_outliers", with_graph("""SELECT node_id, round(a / l, 6) AS p FROM (SELECT nn.dst AS node_id, avg(lr.l) AS a FROM nn JOIN lr ON lr.node_id = nn.src GROUP BY nn.dst) q JOIN lr USING (node_id)""",
+    "dd AS (SELECT a.node_id AS dst, b.node_id AS src, round(sum((a.v - b.v) * (a.v - b.v)), 9) AS d FROM x a JOIN x b ON a.dim = b.dim AND a.node_id <> b.node_id GROUP BY 1, 2)",
+    "nn AS (SELECT dst, src, sqrt(d) AS d FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY d, src) AS r FROM dd) q WHERE r <= 10)",
+    "kd AS (SELECT dst AS src, max(d) AS kd FROM nn GROUP BY dst)",
+    "lr AS (SELECT dst AS node_id, 1 / greatest(avg(greatest(d, kd)), 1e-10) AS l FROM nn JOIN kd USING (src) GROUP BY dst)"))
+def local_outliers(spark, d):
+    g = test_graph(spark, d)
+    return rounded(O.local_outlier_factor(N.knn(g.nodes, g.nodes, 10, "l2")), "p")
+
+
 @query("det_nagnn")
 def nagnn(spark, d):
     """Scores of a filter bank plus the mean score of the nearest nodes."""
