@@ -66,17 +66,28 @@ def grown_graphs(spark: SparkSession, sizes: list[int], kind: str, seed: int) ->
         else:
             spine = max(1, n // 3)
             edges = [(i, i + 1) for i in range(spine - 1)]
-            depth = {i: 0 for i in range(spine)}
+            depth, near = [0] * spine, list(range(spine))
             for v in range(spine, n):
-                near = [u for u, k in depth.items() if k < 2]
                 u = near[rng.integers(len(near))]
                 edges.append((u, v))
-                depth[v] = depth[u] + 1
+                depth.append(depth[u] + 1)
+                if depth[v] < 2:
+                    near.append(v)
         return pd.DataFrame({"graph_id": g, "u": [a for a, _ in edges], "v": [b for _, b in edges]})
 
     return spark.createDataFrame(list(enumerate(sizes)), "graph_id long, n long").groupBy("graph_id").applyInPandas(one, "graph_id long, u long, v long")
 
 
+def lobster_graphs(sizes: DataFrame, seed: int) -> DataFrame:
+    """``graph_id, u, v`` for ``graph_id, n``: a spine of a third of the nodes, half of the others hanging from it at a hashed place, and the
+    rest from those. Every edge is worked out by itself, so a graph may have any size."""
+    spine, near = F.greatest(F.lit(1), F.expr("n div 3")), F.expr("(n - greatest(1, n div 3) + 1) div 2")
+    rows = sizes.where("n > 1").select("graph_id", spine.alias("s"), near.alias("k"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - 1)).alias("v"))
+    draw = F.conv(F.substring(hashed(seed, "graph_id", "v"), 1, 8), 16, 10).cast("long")
+    parent = F.when(F.col("v") < F.col("s"), F.col("v") - 1).when(F.col("v") < F.col("s") + F.col("k"), draw % F.col("s")).otherwise(F.col("s") + draw % F.col("k"))
+    return rows.select("graph_id", parent.cast("long").alias("u"), "v")
+
+
 def class_gaussian(nodes: DataFrame, wanted: DataFrame, seed: int, low: float = -4.0, high: float = 2.0) -> DataFrame:
     """``node_id, dim, v`` for ``wanted(node_id, label)``: drawn from each label's mean and variance of
     each component, the logarithm of the variance clamped."""

@@ -3,6 +3,7 @@ and a small network trained by trials."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..storage import materialize
 from . import propagate as P
 
 #: Name of a predictor to what builds its estimator.
@@ -49,6 +51,30 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, column: str = "fea
     return out.withColumn("p", score).drop("vec", "rawPrediction", "probability", "prediction")
 
 
+def random_search(rows: DataFrame, space: dict[str, dict[str, list]], trials: int, seed: int) -> DataFrame:
+    """``model, config, score, best, test_score`` of ``trials`` drawn settings for each model: fitted on the training rows of ``node_id,
+    feature, y, role``, compared by the area under the curve on validation rows; the best one is scored on test rows."""
+    from .metrics import rank_metrics
+
+    area = lambda found: rank_metrics(found.select(F.col("node_id").alias("id"), "y", "p")).first().auroc
+    part = {r: materialize(weighted(rows.where(F.col("role") == r)) if r == "train" else rows.where(F.col("role") == r), r) for r in ("train", "val", "test")}
+    rng, out = np.random.default_rng(seed), []
+    for name, values in space.items():
+        best = None
+        for _ in range(trials):
+            config = {p: v[int(rng.integers(len(v)))] for p, v in values.items()}
+            estimator = REGISTRY[name](seed % 1000)
+            model = estimator.copy({estimator.getParam(p): v for p, v in config.items()}).fit(as_vectors(part["train"]))
+            judged = lambda t, m=model: m.transform(as_vectors(t)).withColumn("p", vector_to_array("probability")[1])
+            score = area(judged(part["val"]))
+            row = [name, json.dumps(config, sort_keys=True), float(score), 0, None]
+            out.append(row)
+            if best is None or score > best[0]:
+                best = (score, row, judged)
+        best[1][3], best[1][4] = 1, float(area(best[2](part["test"])))
+    return rows.sparkSession.createDataFrame(out, "model string, config string, score double, best int, test_score double")
+
+
 def hop_features(edges: DataFrame, nodes: DataFrame, k: int, normalized: bool = False) -> DataFrame:
     """Nodes whose feature is x followed by its propagations, as tree ensembles on graphs use them."""
     if normalized:

@@ -39,9 +39,10 @@ def row_normalized(spark, d):
     return rounded(P.long_form(wide.select("node_id", V.row_normalized("f").alias("feature"))), "v", digits=5)
 
 
-@query("position_encoding", "SELECT pos, i, round(sin(pos / power(10000.0, (i - i % 2) / 8.0) + CASE WHEN i % 2 = 1 THEN 1.5707963267948966 ELSE 0 END), 6) AS v FROM (SELECT unnest(range(50)) AS pos) a CROSS JOIN (SELECT unnest(range(8)) AS i) b")
+@query("position_encoding", "SELECT vec_id AS pos, i, round(sin(vec_id / power(10000.0, (i - i % 2) / 8.0) + CASE WHEN i % 2 = 1 THEN 1.5707963267948966 ELSE 0 END), 6) AS v FROM embeddings CROSS JOIN (SELECT unnest(range(8)) AS i) b")
 def position_encoding(spark, d):
-    rows = spark.range(50).select(F.col("id").alias("pos"), F.posexplode(V.position_encoding("id", 8)).alias("i", "v"))
+    """Encodings of every node's place in the order of ids."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.posexplode(V.position_encoding("vec_id", 8)).alias("i", "v"))
     return rows.select("pos", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
 
 
@@ -50,9 +51,10 @@ def best_config(spark, d):
     return M.best_config(table(spark, d, "orders").select(F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("model"), F.col("o_orderkey").alias("config"), F.col("o_totalprice").alias("score")))
 
 
-@query("fenwick_parts", "SELECT row_id, (row_id >> (b + 1)) << (b + 1) AS part_lo, ((row_id >> (b + 1)) << (b + 1)) + (CAST(1 AS BIGINT) << b) AS part_hi FROM (SELECT unnest(range(200)) AS row_id) a CROSS JOIN (SELECT unnest(range(10)) AS b) q WHERE (row_id >> b) % 2 = 1")
+@query("fenwick_parts", "SELECT row_id, (row_id >> (b + 1)) << (b + 1) AS part_lo, ((row_id >> (b + 1)) << (b + 1)) + (CAST(1 AS BIGINT) << b) AS part_hi FROM (SELECT vec_id AS row_id FROM embeddings) a CROSS JOIN (SELECT unnest(range(40)) AS b) q WHERE (row_id >> b) % 2 = 1")
 def fenwick(spark, d):
-    return T.fenwick_parts(spark.range(200).select(F.col("id").alias("row_id")))
+    """The blocks before every node's row."""
+    return T.fenwick_parts(table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id")))
 
 
 @query("largest_component", recursive("SELECT src, dst FROM edges JOIN lb ON a = src WHERE src <> dst AND m = (SELECT m FROM lb GROUP BY m ORDER BY count(*) DESC, m LIMIT 1)", BOTH, REACHED, "lb AS (SELECT a, min(b) AS m FROM rc GROUP BY a)"))

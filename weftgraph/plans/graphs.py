@@ -251,9 +251,10 @@ def collection_sizes(spark, d):
     return s.groupBy("n").agg(F.count("*").alias("c")).select("n", (F.col("c") / s.count()).alias("share"))
 
 
-@query("cg_topology", "SELECT pos, CASE WHEN pos > 0 THEN (pos - 1) // 3 END AS parent_pos, CAST(CASE WHEN pos = 0 THEN 0 WHEN pos < 4 THEN 1 ELSE 2 END AS BIGINT) AS depth FROM (SELECT unnest(range(13)) AS pos) q")
+@query("cg_topology", "SELECT vec_id AS root, pos, CASE WHEN pos > 0 THEN (pos - 1) // 3 END AS parent_pos, CAST(CASE WHEN pos = 0 THEN 0 WHEN pos < 4 THEN 1 ELSE 2 END AS BIGINT) AS depth FROM embeddings CROSS JOIN (SELECT unnest(range(13)) AS pos) q")
 def cg_topology(spark, d):
-    return T.topology(spark, 2, 3)
+    """The slots of every node's tree; the shape is a row for each slot."""
+    return test_graph(spark, d).nodes.select(F.col("node_id").alias("root")).crossJoin(F.broadcast(T.topology(spark, 2, 3)))
 
 
 def level_sql(name: str, of: str) -> str:
@@ -318,7 +319,10 @@ def edge_overlap(spark, d):
 SPACE = [("SGC", "hops", "1,2,3,4"), ("RF", "trees", "50,100,200"), ("RF", "depth", "5,10,20"), ("GBT", "trees", "20,50"), ("KNN", "k", "5,10,20,50"), ("KNN", "weights", "uniform,distance")]
 
 
-@query("param_draw", "SELECT model, param, value FROM (SELECT model, param, value, row_number() OVER (PARTITION BY model, param ORDER BY md5(concat_ws(':', '7', model, param, value)), value) AS r FROM (SELECT model, param, unnest(string_split(v, ',')) AS value FROM (VALUES " + ", ".join(map(str, SPACE)) + ") s(model, param, v)) q) t WHERE r = 1")
+@query("param_draw", "SELECT dataset, model, param, value FROM (SELECT r_regionkey AS dataset, model, param, value, row_number() OVER (PARTITION BY r_regionkey, model, param ORDER BY md5(concat_ws(':', '7', CAST(r_regionkey AS VARCHAR), model, param, value)), value) AS r FROM region CROSS JOIN (SELECT model, param, unnest(string_split(v, ',')) AS value FROM (VALUES " + ", ".join(map(str, SPACE)) + ") s(model, param, v)) q) t WHERE r = 1")
 def param_draw(spark, d):
-    rows = spark.createDataFrame(SPACE, "model string, param string, v string").select("model", "param", F.explode(F.split("v", ",")).alias("value"))
-    return rows.groupBy("model", "param").agg(F.min(F.struct(hashed(7, "model", "param", "value").alias("h"), "value")).alias("m")).select("model", "param", "m.value")
+    """A draw of each model's parameters for each data set, which the regions stand for."""
+    space = spark.createDataFrame(SPACE, "model string, param string, v string").select("model", "param", F.explode(F.split("v", ",")).alias("value"))
+    rows = table(spark, d, "region").select(F.col("r_regionkey").alias("dataset")).crossJoin(F.broadcast(space))
+    drawn = rows.groupBy("dataset", "model", "param").agg(F.min(F.struct(hashed(7, "dataset", "model", "param", "value").alias("h"), "value")).alias("m"))
+    return drawn.select("dataset", "model", "param", "m.value")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import SEEDS, test_graph
+from ..model import SEEDS, node_count, table, test_graph
 from ..operators import edges as E
 from ..operators import generators as G
 from ..operators import metrics as M
@@ -76,14 +76,14 @@ def cross_graph_rf(spark, d):
 @query("mlp_trials")
 def mlp_trials(spark, d):
     g = test_graph(spark, d)
-    splits = U.trials(U.stratified_split, g.nodes, SEEDS[:3])
+    splits = U.trials(U.stratified_split, g.nodes, SEEDS)
     rows = splits.join(L.hop_features(g.edges, g.nodes, 1).select("node_id", "feature", "y"), "node_id").select(F.col("trial").cast("int").alias("trial"), "node_id", "feature", "y", "role")
     return L.train_trials(rows)
 
 
 @query("trial_benchmark")
 def trial_benchmark(spark, d):
-    """Mean and deviation of the ranking metrics over three trials."""
+    """Mean and deviation of the ranking metrics over ten trials."""
     scored = mlp_trials(spark, d).select("trial", F.col("node_id").alias("id"), "y", "p")
     found = M.rank_metrics(scored, ("trial",)).withColumn("dataset", F.lit("test")).withColumn("model", F.lit("mlp"))
     return M.trial_report(found)
@@ -109,17 +109,40 @@ def rowtree_generator(spark, d):
 
 @query("random_graph")
 def random_graph(spark, d):
-    return G.random_graph(spark, 300, 0.02, 4)
+    """As many nodes as the graph has, four neighbours each on average."""
+    n = node_count(spark, d)
+    return G.random_graph(spark, n, 4 / n, 4)
 
 
-@query("grid_graph", "SELECT u, v FROM (SELECT a AS u, a + 1 AS v, a % 7 < 6 AS ok FROM (SELECT unnest(range(35)) AS a) q UNION ALL SELECT a, a + 7, a < 28 FROM (SELECT unnest(range(35)) AS a) q) r WHERE ok")
+SIDE = "(SELECT count(*) // 20 FROM embeddings)"
+
+
+@query("grid_graph", f"SELECT u, v FROM (SELECT a AS u, a + 1 AS v, a % 20 < 19 AS ok FROM (SELECT unnest(range(20 * {SIDE})) AS a) q UNION ALL SELECT a, a + 20, a < 20 * ({SIDE} - 1) FROM (SELECT unnest(range(20 * {SIDE})) AS a) q) r WHERE ok")
 def grid_graph(spark, d):
-    return G.grid_graph(spark, 5, 7)
+    """Twenty columns, and rows for the graph's nodes."""
+    return G.grid_graph(spark, node_count(spark, d) // 20, 20)
 
 
-@query("grown_lobsters", "SELECT CAST(g AS BIGINT) AS graph_id, 1 AS is_lobster FROM (SELECT unnest(range(4)) AS g) q")
+@query("grown_lobsters", "SELECT c_nationkey AS graph_id, CASE WHEN c_nationkey % 2 = 1 THEN 0 ELSE 1 END AS is_lobster FROM customer GROUP BY c_nationkey HAVING count(*) > 8")
 def grown_lobsters(spark, d):
-    return S.lobsters(G.grown_graphs(spark, [12, 20, 30, 45], "lobster", 2))
+    """For each nation a lobster of as many nodes as it has customers; every other one with a cycle."""
+    sizes = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("graph_id")).agg(F.count("*").alias("n")).where("n > 8")
+    pairs = G.lobster_graphs(sizes, 2)
+    closing = sizes.where("graph_id % 2 = 1").select("graph_id", F.lit(0).cast("long").alias("u"), (F.expr("n div 3") - 1).cast("long").alias("v")).where("v > 1")
+    short = sizes.where("graph_id % 2 = 1 and n div 3 <= 2").select("graph_id", F.lit(0).cast("long").alias("u"), (F.col("n") - 1).cast("long").alias("v"))
+    return S.lobsters(pairs.unionByName(closing).unionByName(short).distinct()).select(F.col("graph_id").cast("int").alias("graph_id"), "is_lobster")
+
+
+#: Values that the search draws from, for each model.
+SEARCHED = {"lr": {"regParam": [1e-4, 1e-3, 1e-2, 1e-1], "elasticNetParam": [0.0, 0.5, 1.0]}, "rf": {"maxDepth": [3, 5, 7], "numTrees": [10, 20, 40]}}
+
+
+@query("random_search")
+def random_search(spark, d):
+    """Three draws a model on smoothed features, fitted on training nodes, the best by validation, scored on test nodes."""
+    g = test_graph(spark, d)
+    rows = L.sgc(g.edges, g.nodes, 1).join(roles(spark, d), "node_id")
+    return L.random_search(rows, SEARCHED, 3, 11)
 
 
 @query("class_gaussian")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..model import test_collection, test_graph
+from ..model import table, test_collection, test_graph
 from ..operators import attention as A
 from ..operators import collections as C
 from ..operators import edges as E
@@ -409,16 +409,19 @@ def flat_table(spark, d):
     return rows.select("node_id", "label", "role", *[F.round(F.col("feature")[k].cast("double"), 6).alias(f"f{k}") for k in range(64)])
 
 
-RULES = [("caregnn", "homogeneous"), ("h2fd", "homogeneous")]
+MODELS = [("gcn", 0), ("gin", 0), ("caregnn", 1), ("h2fd", 1)]
 
 
-@query("model_rules", "SELECT m.model, g.data, CASE WHEN g.data = 'large' THEN 16 ELSE 32 END AS hidden FROM (VALUES ('gcn'), ('gin'), ('caregnn'), ('h2fd')) m(model) CROSS JOIN (VALUES ('relational', 'relational'), ('homogeneous', 'homogeneous'), ('large', 'homogeneous')) g(data, kind) WHERE NOT (m.model IN ('caregnn', 'h2fd') AND g.kind = 'homogeneous')")
+@query("model_rules", with_graph("""SELECT model, graph_id, CASE WHEN m > (SELECT avg(m) FROM sz) THEN 16 ELSE 32 END AS hidden FROM sz CROSS JOIN (VALUES ('gcn', 0), ('gin', 0), ('caregnn', 1), ('h2fd', 1)) q(model, typed) WHERE typed = 0 OR kinds = 5""",
+    "sz AS (SELECT CAST(c_nationkey AS BIGINT) AS graph_id, count(*) AS m, count(DISTINCT o_orderpriority) AS kinds FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey)"))
 def model_rules(spark, d):
-    """Which model runs on which data set: two of them need typed edges; the largest gets narrower layers."""
-    models = spark.createDataFrame([("gcn",), ("gin",), ("caregnn",), ("h2fd",)], "model string")
-    data = spark.createDataFrame([("relational", "relational"), ("homogeneous", "homogeneous"), ("large", "homogeneous")], "data string, kind string")
-    out = spark.createDataFrame(RULES, "model string, kind string")
-    return models.crossJoin(data).join(out, ["model", "kind"], "left_anti").select("model", "data", F.when(F.col("data") == "large", 16).otherwise(32).alias("hidden"))
+    """Which model runs on which nation's graph: two of them need all kinds of edges; graphs larger than the mean get narrower layers."""
+    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
+    sizes = orders.join(customer, orders.o_custkey == customer.c_custkey).groupBy(F.col("c_nationkey").cast("long").alias("graph_id")).agg(F.count("*").alias("m"), F.count_distinct("o_orderpriority").alias("kinds"))
+    mean = sizes.agg(F.avg("m").alias("mean"))
+    models = spark.createDataFrame(MODELS, "model string, typed int")
+    every = sizes.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(models)).where("typed = 0 or kinds = 5")
+    return every.select("model", "graph_id", F.when(F.col("m") > F.col("mean"), 16).otherwise(32).alias("hidden"))
 
 
 @query("edge_keys", with_graph("SELECT src, dst, src * (SELECT count(*) FROM nodes) + dst AS key FROM edges"))
