@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import exchange, hilbert, kernels, media, packing, quality, toxicity
+from weftgraph.llm import exchange, hilbert, kernels, language_id, media, packing, quality, toxicity
 from weftgraph.llm.decontaminate import find_contamination
 from weftgraph.llm.hilbert import hilbert_shards, shard_ranges
 from weftgraph.llm.language_id import identify, learn_profiles
@@ -562,3 +562,55 @@ def test_hilbert_rows_alike(spark):
     assert all(sorted(x) == list(range(len(x))) for x in shards.values())
     cells = hilbert.materialize(rows.select(F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("h")), "salted")
     assert cells.distinct().count() == 437
+
+
+def test_language_id_against_brute_force(spark):
+    """Out-of-place distances worked out one by one, with repeated rows, ties, a very long text and clashing columns."""
+    rng = random.Random(16)
+    rows = [(i, prose(rng, lang, rng.randint(2, 40)), lang) for i in range(60) for lang in [rng.choice(["en", "de"])]]
+    rows += [(100, prose(rng, "en", 20_000), "en"), (101, "aaaa bbbb", "de"), (101, "aaaa bbbb", "de"), (102, None, "en"), (103, "x y z", None)]
+    docs = spark.createDataFrame([(*r, "r", 1, 0.5, "p") for r in rows], "doc_id long, text string, lang string, gram string, rank int, score double, lang_pred string")
+    depth = 40
+    profiles = learn_profiles(docs, depth)
+    best: dict = {}
+    for lang in ("en", "de"):
+        total: dict = {}
+        for _, text, own in rows:
+            if own == lang and text:
+                for g, n in zip(*(x.tolist() for x in language_id.counted(language_id.grams(text)))):
+                    total[g] = total.get(g, 0) + n
+        best[lang] = {g: k for k, (g, _) in enumerate(sorted(total.items(), key=lambda t: (-t[1], t[0]))[:depth])}
+    # the profiles are learned from joined texts, of which the grams are those of the texts
+    assert {(r.lang, r["rank"], r.gram) for r in profiles.collect()} == {(lang, k, g) for lang, p in best.items() for g, k in p.items()}
+    want = []
+    for i, text, _ in rows:
+        if not text:
+            want.append((i, "und", 0.0))
+            continue
+        keys, sizes = language_id.counted(language_id.grams(text))
+        top = [g for _, g in sorted(zip((-sizes).tolist(), keys.tolist()))][:depth]
+        apart = {lang: sum(min(abs(p[g] - k), depth) if g in p else depth for k, g in enumerate(top)) for lang, p in best.items()}
+        lang = min(apart, key=lambda x: (apart[x], x))
+        want.append((i, lang, round(1 - apart[lang] / (depth * len(top)), 9)))
+    got = [(r.doc_id, r.lang_pred, round(r.score, 9)) for r in identify(docs, profiles, depth).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_long_urls_and_clashing_columns(spark):
+    rows = [(i, u, "h", "r", "v", "d") for i, u in enumerate(["http://a.example.net/en/" + "x/" * 50_000, "http://" + "a." * 2_000 + "net/" + "y" * 100_000, "http://b.org/fr/" + "?" + "z" * 100_000])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string, verdict string, digest string")
+    got = {r.page_id: (r.rule, r.verdict, len(r.path)) for r in filter_urls(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string")).collect()}
+    assert got == {0: ("example.net/en/", "allow", 100_004), 1: ("net/", "block", 100_001), 2: ("org/fr/", "allow", 4)}
+
+
+def test_toxicity_odd_columns(spark):
+    """Clashing columns, and labels without id or label, change nothing."""
+    rng = random.Random(25)
+    rows = [(i, prose(rng, "en", 30) + (" you rotter" if i % 4 == 0 else "")) for i in range(200)]
+    docs = spark.createDataFrame([(*r, 1, 0.5, "c") for r in rows], "doc_id long, text string, toxic int, score double, clauses string")
+    labels = [(i, int(i % 4 == 0)) for i in range(200)]
+    plain = learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    odd = learn(docs, spark.createDataFrame([(*r, "t") for r in labels + [(None, 1), (3, None), (7, 5)]], "doc_id long, toxic int, text string"))
+    assert plain.patterns == odd.patterns and ("rotter",) in plain.patterns
+    got = {r.doc_id: r.predicted for r in score_toxicity(docs, odd).collect()}
+    assert got == dict(labels)

@@ -62,7 +62,8 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 def learn_profiles(docs: DataFrame, depth: int = 300, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows ``lang, rank, gram``: the ``depth`` most frequent n-grams of each non-null language over
-    all its texts. Counts are summed in each partition before the shuffle."""
+    all its texts, ties by the n-gram's number. Counts are summed in each partition before the shuffle. Null texts teach nothing,
+    repeated rows count each, a row without id teaches like any other (``held_out`` takes the CRC of an empty id, 0)."""
 
     def count(batches):
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -112,7 +113,8 @@ def identify(docs: DataFrame, profiles: DataFrame, depth: int = 300, max_languag
     score is 1 minus the distance's share of the greatest possible. Whole texts are counted.
     ``profiles`` reach all tasks: ``max_languages * depth`` rows at most, else an error.
 
-    Null text, no letter, or no profiles: ``und`` and 0. Null id: returned as null. Empty table: no rows.
+    Null text, no letter, or no profiles: ``und`` and 0. Null id: returned as null. Repeated rows are judged each, and
+    alike. Empty table: no rows. Other columns are ignored, whatever their names.
     """
     rows = profiles.limit(max_languages * depth + 1).collect()
     if len(rows) > max_languages * depth:

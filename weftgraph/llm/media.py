@@ -199,7 +199,8 @@ def read_contents(located: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``doc_id, n_bytes, digest, shard, offset, length`` of ``store_media`` with the columns of
     ``read_headers`` and ``read_contents``. Each content is read once and joined to its documents by
-    digest, without moving the rows of a digest that many documents share. Equal texts get equal values."""
+    digest, without moving the rows of a digest that many documents share. Equal texts get equal values: of the places that tie
+    as one content's the least (shard, offset) is named for all. Other columns are ignored, whatever their names."""
     rows = store_media(docs, folder or folder_for(docs.sparkSession, "media"), id_col, text_col)
     where = materialize(locations(rows), "media-places")
     facts = materialize(where.join(read_headers(where), "digest").join(read_contents(where), "digest"), "media-facts")

@@ -33,8 +33,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     table is joined, not broadcast by hand: Spark broadcasts it below its size threshold and
     otherwise splits skewed keys. Each distinct (host, path) is judged once.
 
-    Null url, or one without ``://``: empty host and path, no rule. Pages that occur twice are
-    returned twice. Empty rules or pages: no matches, or no rows. The rule table's shapes (distinct
+    Null url, or one without ``://``: empty host and path, no rule. A url of any length is read whole; only the
+    lengths that rules have are expanded. Null id: returned as null. Pages that occur twice are returned twice. Rules that
+    tie in all are one. Other columns of either table are ignored, whatever their names. Empty rules or pages: no matches, or no rows. The rule table's shapes (distinct
     label count and path length) are read by the driver; there must be at most 10,000.
     """
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("rhost"), F.col("path").alias("rpath"), F.col("verdict").alias("rverdict"))
