@@ -91,3 +91,50 @@ def test_training_beats_propagate_then_head(spark):
     head = area(predictors.fit_predict("mlp", rows.where("part = 'train'"), rows.where("part = 'test'")))
     assert trained > 0.8 and trained > head + 0.2, (trained, head)
     net.close()
+
+
+def features_by_label(spark, n=900, seed=7):
+    """Each label and share of neighbours' labels has means and deviations of its own."""
+    rng = np.random.default_rng(seed)
+    label = rng.integers(0, 3, n)
+    edges = [(int(s), i) for i in range(n) for s in rng.choice(n, 4, replace=False) if s != i]
+    share = np.zeros(n)
+    for s, i in edges:
+        share[i] += label[s] == 1
+    share /= np.maximum(np.bincount([i for _, i in edges], minlength=n), 1)
+    scale = np.array([0.3, 1.0, 2.0])[label]
+    x = np.column_stack([label + rng.normal(size=n) * scale, 2 * share - label + rng.normal(size=n) * 0.5])
+    part = np.array(["train", "train", "train", "val"])[np.arange(n) % 4]
+    nodes = spark.createDataFrame([(i, [float(v) for v in x[i]], int(label[i]), str(part[i])) for i in range(n)], "node_id long, feature array<double>, label int, part string")
+    return nodes, spark.createDataFrame(edges, "src long, dst long"), x, label
+
+
+def test_normal_loss(spark):
+    nodes, edges, x, label = features_by_label(spark)
+    net = R.feature_network(edges, nodes, 3, 6, seed=2)
+    part = np.array([r.part for r in nodes.orderBy("node_id").collect()])
+    grads, train, _ = net.gradient(net.weights)
+    rows = {r.node_id: r.x for r in net.first.select("node_id", "x").collect()}
+    inputs = np.array([rows[i] for i in range(len(x))])
+
+    def value(weights):
+        z = R.forward(inputs, weights[0], True)[-1]
+        log = np.clip(z[:, 2:], R.LEAST_LOG, R.MOST_LOG)
+        return 0.5 * (log + (x - z[:, :2]) ** 2 * np.exp(-log)).sum(1)[part == "train"].mean()
+
+    assert abs(train - value(net.weights)) < 1e-9
+    row = R.flat(net.weights[0])
+    for i in range(0, row.size, 7):
+        step = np.zeros(row.size)
+        step[i] = 1e-6
+        hi, lo = (value([R.shaped(row + s * step, net.weights[0])]) for s in (1, -1))
+        assert abs((hi - lo) / 2e-6 - grads[0][i]) < 1e-5
+    net.fit(40, 0.05, 40)
+    made = {r.node_id: r.feature for r in R.drawn_features(net.outputs(), 5).collect()}
+    made = np.array([made[i] for i in range(len(x))])
+    for k in range(3):
+        for c in range(2):
+            a, b = made[label == k, c], x[label == k, c]
+            assert abs(a.mean() - b.mean()) < 0.35 * b.std() + 0.1 and 0.75 < a.std() / b.std() < 1.33, (k, c)
+    assert abs(made[:, 0].std() / x[:, 0].std() - 1) < 0.15
+    net.close()

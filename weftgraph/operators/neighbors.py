@@ -14,20 +14,64 @@ from .propagate import both_weights
 DISTANCES = {"cosine": V.cosine_distance, "l2": V.squared_l2_distance, "l1": V.l1_distance}
 
 
+#: Points up to which all pairs are compared; centres of cells at most; known points for each neighbour that bound a query's search.
+ALL_PAIRS, MOST_CELLS, SEEDS = 20_000, 4_096, 4
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, distance: str = "cosine", digits: int = 9) -> DataFrame:
-    """``dst, src, rnk, d``: each query's ``k`` nearest points, itself left out, ties by id. Exact: all
-    points go to each task in blocks of the join's broadcast or shuffle; the k best of each
-    partition are kept before the shuffle. For point sets too large for that use ``knn_by_bucket``."""
+    """``dst, src, rnk, d``: each query's ``k`` nearest points, itself left out, ties by id. Exact. Up to ``ALL_PAIRS`` points are sent to all
+    tasks and compared with every query; more are looked for in cells (``knn_in_cells``)."""
+    if points.limit(ALL_PAIRS + 1).count() > ALL_PAIRS:
+        return knn_in_cells(queries, points, k, distance, digits)
     a = queries.select(F.col("node_id").alias("dst"), F.col("feature").alias("fd"))
     b = points.select(F.col("node_id").alias("src"), F.col("feature").alias("fs"))
     pairs = a.join(b, F.col("dst") != F.col("src")).select("dst", "src", F.round(DISTANCES[distance]("fd", "fs"), digits).alias("d"))
+    return _ranked(pairs, k)
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     best = pairs.withColumn("rnk", F.row_number().over(W.partitionBy("dst").orderBy("d", "src")))
     return best.where(F.col("rnk") <= k).select("dst", "src", F.col("rnk").cast("long").alias("rnk"), "d")
 
 
+def knn_in_cells(queries: DataFrame, points: DataFrame, k: int, distance: str = "l2", digits: int = 9, cells: int | None = None, seed: int = 7) -> DataFrame:
+    """``knn`` by inverted lists, exact: points lie in the cell of their nearest centre. Known points of a query's nearest cells
+    bound how far its ``k`` neighbours can be; by the triangle inequality that leaves out cells that begin beyond the bound, and
+    points that lie nearer to or farther from their centre than the bound allows. Joins are by cell; what goes to all
+    tasks are the centres (random points), ``MOST_CELLS`` at most, and a row for each cell.
+
+    Distances are metrics or follow from one: squared L2, L1, and cosine, half of the squared L2 distance of unit vectors."""
+    f = F.col("feature").cast("array<double>")
+    zero = (V.dot("feature", "feature") == 0).cast("double")
+    space = F.concat(V.l2_normalized(f), F.array(zero)) if distance == "cosine" else f
+    metric = (lambda a, b: V.l1_distance(a, b)) if distance == "l1" else (lambda a, b: F.sqrt(V.squared_l2_distance(a, b)))
+    own = {"l1": lambda m: m, "l2": lambda m: m * m, "cosine": lambda m: m * m / 2}[distance]
+    low = lambda m: own(F.greatest(m - 1e-7, F.lit(0.0)))  # noqa: E731 - the least distance of points whose metric is m or more
+    cells = min(cells or max(1, int(points.count() ** 0.5)), MOST_CELLS)
+    centres = points.orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id").limit(cells).select(space.alias("c"))
+    table = F.broadcast(materialize(centres.agg(F.collect_list("c").alias("centres")), "centres"))
+    to_centres = F.transform("centres", lambda c: metric("v", c))
+    nearest = lambda rows: rows.crossJoin(table).withColumn("far", to_centres).drop("centres").withColumn("cell", F.array_position("far", F.array_min("far")).cast("int") - 1)
+    placed = nearest(points.select(F.col("node_id").alias("src"), F.col("feature").alias("fs"), space.alias("v"))).select("src", "fs", "cell", F.element_at("far", F.col("cell") + 1).alias("r"))
+    placed = materialize(placed, "placed")
+    asked = materialize(nearest(queries.select(F.col("node_id").alias("dst"), F.col("feature").alias("fd"), space.alias("v"))).drop("v"), "asked")
+    exact = F.round(DISTANCES[distance]("fd", "fs"), digits)
+    seeds = placed.withColumn("__k", F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("src"), "src"))).where(F.col("__k") <= SEEDS * k).drop("__k")
+    first = F.slice(F.array_sort(F.transform("far", lambda x, i: F.struct(x.alias("far"), i.alias("cell")))), 1, 3)
+    known = asked.select("dst", "fd", F.explode(first).alias("n")).select("dst", "fd", "n.cell").join(seeds.select("src", "fs", "cell"), "cell").where("dst <> src")
+    bound = known.groupBy("dst").agg(F.sort_array(F.collect_list(exact)).alias("ds")).select("dst", F.when(F.size("ds") >= k, F.element_at("ds", F.lit(k))).otherwise(F.lit(float("inf"))).alias("most"))
+    radius = placed.groupBy("cell").agg(F.max("r").alias("radius")).agg(F.map_from_entries(F.collect_list(F.struct("cell", "radius"))).alias("radii"))
+    entry = F.transform("far", lambda x, i: F.struct(i.alias("cell"), x.alias("far"), low(x - F.element_at("radii", i)).alias("low")))
+    open_cells = asked.join(bound, "dst", "left").withColumn("most", F.coalesce("most", F.lit(float("inf")))).crossJoin(F.broadcast(radius))
+    visits = open_cells.select("dst", "fd", "most", F.explode(F.filter(entry, lambda e: e["low"] <= F.col("most"))).alias("e")).select("dst", "fd", "most", "e.cell", "e.far")
+    near = visits.join(placed, "cell").where((F.col("dst") != F.col("src")) & (low(F.abs(F.col("far") - F.col("r"))) <= F.col("most")))
+    return _ranked(near.select("dst", "src", exact.alias("d"), "most").where("d <= most").drop("most"), k)
+
+
 def knn_by_bucket(nodes: DataFrame, k: int, bucket_length: float = 0.5, tables: int = 4, seed: int = 7) -> DataFrame:
     """Approximate neighbours: candidates share a random-projection bucket in some table, then exact
-    squared distances decide. Joins on buckets, so work follows bucket sizes and not all pairs."""
+    squared distances decide. Joins on buckets, so work follows bucket sizes and not all pairs. How many of the true neighbours are found
+    hangs on ``bucket_length``, which should be some times the distance of near neighbours: see ``recall``."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -42,6 +86,12 @@ def knn_by_bucket(nodes: DataFrame, k: int, bucket_length: float = 0.5, tables:
     return pairs.withColumn("rnk", F.row_number().over(W.partitionBy("dst").orderBy("d", "src"))).where(F.col("rnk") <= k)
 
 
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """The share of the exact neighbours ``dst, src`` that were found."""
+    hit = exact.select("dst", "src").join(found.select("dst", "src"), ["dst", "src"], "left_semi").count()
+    return hit / max(exact.count(), 1)
+
+
 def knn_classify(test: DataFrame, train: DataFrame, k: int = 5, weighted: bool = False, distance: str = "l2") -> DataFrame:
     """``node_id, p``: the share of positives among the nearest training nodes, or weighted by 1/d."""
     near = knn(test, train, k, distance).join(train.select(F.col("node_id").alias("src"), "y"), "src")

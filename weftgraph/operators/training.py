@@ -182,6 +182,25 @@ def judged(z: np.ndarray, batch: pa.RecordBatch, positive: float, total: float)
     return (w * (p - y) * (part == "train") / total)[:, None], loss
 
 
+#: Bounds of a learned logarithm of a variance.
+LEAST_LOG, MOST_LOG = -4.0, 2.0
+
+
+def fitted(z: np.ndarray, batch: pa.RecordBatch, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a normal distribution: ``z`` holds means and logarithms of variances of the components of ``target``."""
+    t = _matrix(batch.column("target"))
+    d = t.shape[1]
+    raw, apart = z[:, d:], t - z[:, :d]
+    log = np.clip(raw, LEAST_LOG, MOST_LOG)
+    square = apart**2 * np.exp(-log)
+    part = np.array(batch.column("part").to_pylist(), object)
+    cost = 0.5 * (log + square).sum(axis=1)
+    loss = np.array([x for name in ("train", "val") for x in (cost[part == name].sum(), float((part == name).sum()))])
+    free = (raw > LEAST_LOG) & (raw < MOST_LOG)
+    grad = np.concatenate([-apart * np.exp(-log), 0.5 * (1 - square) * free], axis=1)
+    return grad * (part == "train")[:, None] / total, loss
+
+
 def gradient_rows(rows: list[tuple[int, np.ndarray]]) -> list[pa.Array]:
     """Rows without node: which block they are about, and the numbers."""
     return [pa.nulls(len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))]
@@ -200,13 +219,15 @@ class Network:
 
     ``nodes`` is held by node in as many parts as ``spark.sql.shuffle.partitions`` and recomputed from its written table
     where an executor is lost. Rows of positives weigh negatives over positives. Features are brought to mean 0 and deviation 1
-    unless ``scaled`` is false."""
+    unless ``scaled`` is false. With ``loss="normal"`` the network learns mean and variance of each component of ``nodes.target``
+    instead of ``y``; the last layer has two outputs for each."""
 
     nodes: DataFrame
     blocks: list[Block]
     banks: dict[str, object]
     seed: int = 1
     scaled: bool = True
+    loss: str = "label"
     history: list[tuple[float, float]] = field(default_factory=list)
 
     def __post_init__(self):
@@ -226,10 +247,11 @@ class Network:
             scale = Row(m=[0.0] * self.width, d=[1.0] * self.width)
         mean, std = (F.array(*[F.lit(float(x)) for x in v]) for v in (scale.m or [], [max(x, 1e-8) for x in scale.d or []]))
         plain = self.nodes.withColumn("feature", F.zip_with(F.zip_with(F.col("feature").cast("array<double>"), mean, lambda x, m: x - m), std, lambda x, s: x / s))
-        self.labels = plain.select("node_id", F.col("y").cast("double").alias("y"), "part")
+        told = ["target"] if self.loss == "normal" else []
+        self.labels = plain.select("node_id", F.col("y").cast("double").alias("y"), "part", *told)
         count = {r.y: r.n for r in self.labels.where("part = 'train'").groupBy("y").agg(F.count("*").alias("n")).collect()}
         self.positive = count.get(0.0, 0) / max(count.get(1.0, 0), 1)
-        self.rows = max(1.0, count.get(0.0, 0) + self.positive * count.get(1.0, 0))
+        self.rows = max(1.0, float(sum(count.values())) if told else count.get(0.0, 0) + self.positive * count.get(1.0, 0))
         return plain.select("node_id", "feature")
 
     def _gathered(self, at: int, vectors: DataFrame, width: int) -> DataFrame:
@@ -266,6 +288,7 @@ class Network:
         """``node_id, d`` by what the block gathered, and rows without node: a batch's gradient by the block's weights, and of
         the last block the summed loss of both parts. ``rows`` has ``back``, the gradient by the block's output, for
         all blocks but the last."""
+        normal = self.loss == "normal"
         layers, last, positive, total, first = weights[at], at == len(self.blocks) - 1, self.positive, self.rows, at == 0 and not inputs
 
         def run(batches):
@@ -275,7 +298,7 @@ class Network:
                     continue
                 states = forward(_matrix(batch.column("x")), layers, last)
                 if last:
-                    d, cost = judged(states[-1][:, 0], batch, positive, total)
+                    d, cost = fitted(states[-1], batch, total) if normal else judged(states[-1][:, 0], batch, positive, total)
                     loss += cost
                 else:
                     d = _matrix(batch.column("back"))
@@ -287,7 +310,7 @@ class Network:
             if rows:
                 yield pa.RecordBatch.from_arrays(gradient_rows(rows), ["node_id", "about", "d"])
 
-        columns = ["node_id", "x", "y", "part"] if last else ["node_id", "x", "back"]
+        columns = ["node_id", "x", "y", "part", *["target"] * normal] if last else ["node_id", "x", "back"]
         return rows.select(*columns).mapInArrow(run, "node_id long, about int, d array<double>")
 
     def gradient(self, weights: Weights) -> tuple[list[np.ndarray], float, float]:
@@ -351,9 +374,13 @@ class Network:
         self.weights = [shaped(r, w) for r, w in zip(kept, self.weights)]
         return self
 
+    def outputs(self) -> DataFrame:
+        """``node_id, feature``: what the last layer says of all nodes."""
+        return self._forward(self._states(self.weights)[-1], len(self.blocks) - 1, self.weights)
+
     def scores(self) -> DataFrame:
         """``node_id, p`` of all nodes."""
-        out = self._forward(self._states(self.weights)[-1], len(self.blocks) - 1, self.weights)
+        out = self.outputs()
         return out.select("node_id", (1 / (1 + F.exp(-F.col("feature")[0]))).alias("p"))
 
     def close(self) -> None:
@@ -397,3 +424,24 @@ def wavelet_network(edges: DataFrame, nodes: DataFrame, hidden: int = 16, degree
     weights = materialize(P.normalized_edges(edges), "weights")
     banks: dict = {"own": Same()} | {f"band-{k}": Filter(weights, theta) for k, theta in enumerate(bernstein_theta(degree))}
     return Network(nodes, [Block(("own",), (hidden, hidden)), Block(tuple(b for b in banks if b != "own"), (hidden, 1))], banks, seed)
+
+
+def feature_network(edges: DataFrame, nodes: DataFrame, labels: int, hidden: int = 16, seed: int = 1) -> Network:
+    """Features given labels: a node's own label and the shares of labels among its neighbours tell mean and variance of each
+    component. ``nodes(node_id, feature, label, part)``, labels from 0."""
+    one_hot = F.array(*[(F.col("label") == k).cast("double") for k in range(labels)])
+    width = nodes.select(F.size("feature")).first()[0]
+    rows = nodes.select("node_id", one_hot.alias("feature"), F.lit(0).alias("y"), "part", F.col("feature").cast("array<double>").alias("target"))
+    banks = {"own": Same(), "mean": Edges(materialize(mean_weights(edges), "weights"))}
+    return Network(rows, [Block(("own", "mean"), (hidden, 2 * width))], banks, seed, scaled=False, loss="normal")
+
+
+def drawn_features(told: DataFrame, seed: int) -> DataFrame:
+    """``node_id, feature``: a draw from each node's means and clamped logarithms of variances, the first and second half of
+    ``told(node_id, feature)``. Normal numbers come from hashes, so draws repeat."""
+    d = F.expr("size(feature) div 2").cast("int")
+    u = lambda salt, i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "node_id", i), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    normal = lambda i: F.sqrt(-2 * F.log(u(1, i))) * F.cos(6.283185307179586 * u(2, i))
+    log = lambda i: F.greatest(F.least(F.element_at("feature", i + d + 1), F.lit(MOST_LOG)), F.lit(LEAST_LOG))
+    value = lambda i: F.element_at("feature", i + 1) + F.exp(log(i) / 2) * normal(i)
+    return told.select("node_id", F.transform(F.sequence(F.lit(0), d - 1), value).alias("feature"))

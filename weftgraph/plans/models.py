@@ -11,6 +11,7 @@ from ..operators import metrics as M
 from ..operators import predictors as L
 from ..operators import splits as U
 from ..operators import structure as S
+from ..operators import training as R
 from ..operators import trees as T
 from .basic import roles
 from .catalog import query
@@ -149,3 +150,14 @@ def random_search(spark, d):
 def class_gaussian(spark, d):
     n = test_graph(spark, d).nodes
     return G.class_gaussian(n, n.select("node_id", "label"), 11)
+
+
+@query("feature_heads")
+def feature_heads(spark, d):
+    """Features drawn from means and variances learned for each node's label and its neighbours' labels; tested by their deviations."""
+    g = test_graph(spark, d)
+    nodes = g.nodes.join(roles(spark, d).withColumnRenamed("role", "part"), "node_id")
+    labels = g.nodes.agg(F.max("label")).first()[0] + 1
+    net = R.feature_network(g.edges, nodes, labels).fit(10, 0.05)
+    made = R.drawn_features(net.outputs(), 11)
+    return made.select("node_id", F.posexplode("feature").alias("dim", "v")).select("node_id", F.col("dim").cast("long").alias("dim"), F.round("v", 6).alias("v"))
