@@ -17,7 +17,7 @@ IS_SPACE[list(WHITESPACE)] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 #: Bytes of text that one call of a kernel takes; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 256 << 10
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

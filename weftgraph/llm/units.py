@@ -69,8 +69,8 @@ def deal(docs: DataFrame, units: int) -> DataFrame:
             ranked, sizes = unit[order], np.cumsum(lengths[order] + 64)
             cut = np.flatnonzero((np.diff(ranked) != 0) | (np.diff(sizes // BLOCK_BYTES) != 0)) + 1
             edges = [0, *cut.tolist(), len(order)]
-            table = table.drop(["unit"]).take(pa.array(order))
-            blobs = [_dump(table.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:])]
+            table = table.drop(["unit"])
+            blobs = [_dump(table.take(pa.array(order[a:b]))) for a, b in zip(edges[:-1], edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(ranked[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["unit", "blob"])
 
     return docs.withColumn("unit", unit_of(F.col("doc_id"), units)).mapInArrow(pack, "unit int, blob binary")
