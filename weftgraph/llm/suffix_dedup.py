@@ -78,7 +78,8 @@ class Anchors:
             context = K.Spans(part, 2).of(p0, p1 + n)
             with np.errstate(over="ignore"):
                 context = K.mix64(context + (at - p0).astype(K.U64) * K.U64(0x9E3779B97F4A7C15))
-            found.append((at + base, p0 + base, p1 + base, hashes[at], context))
+            run = K.mix64(hashes[at] ^ K.seeded(97, 1)[0])  # hashes of anchors are small, as least ones; as keys they are to be spread
+            found.append((at + base, p0 + base, p1 + base, run, context))
         kinds = (np.int64, np.int64, np.int64, K.U64, K.U64)
         self.at, self.p0, self.p1, self.run, self.context = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, t) for t in kinds)
         # the distinct (run, context), ascending, and which of them each anchor is
