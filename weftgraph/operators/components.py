@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import discard, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     smallest node id. Nodes without edges do not occur; self-loops make a component of one.
 
     Large-star and small-star in turn: every round at least halves long chains, no node's
-    neighbour list is ever gathered, and each round's edge set is written to the shared folder.
+    neighbour list is ever gathered, and each round's edge set is written to the shared folder, the last round's deleted.
     Skewed hubs are left to adaptive skew joins, which apply as both sides are plain exchanges.
     """
     pairs = edges.select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v")).where("u is not null and v is not null")
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v").distinct()
         )
         small = small.unionByName(current.where("u = v").select("u", "v"))
-        current = materialize(small, "cc")
+        before, current = current, materialize(small, "cc")
+        discard(before)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
