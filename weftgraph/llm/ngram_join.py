@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import materialize
+from ..operators.order import numbered
+from ..storage import discard, materialize
 from . import exchange, sketch
 from . import kernels as K
 from .joins import spread_join
@@ -64,7 +65,9 @@ class _Fragment:
     """The segments of one fragment: incidences by token, tokens of one component left out."""
 
     def __init__(self, table: pa.Table):
-        self.doc, self.tag, self.comp = (table.column(c).to_numpy() for c in ("doc", "tag", "comp"))
+        self.doc, self.tag = (table.column(c).to_numpy() for c in ("doc", "tag"))
+        alone = pa.array(-1 - np.arange(len(self.doc)))  # a record that is linked with none is its own component
+        self.comp = pc.coalesce(table.column("comp").combine_chunks(), alone).to_numpy(zero_copy_only=False)
         self.size, self.have = (table.column(c).to_numpy().astype(np.int64) for c in ("size", "have"))
         parts = [np.frombuffer(x, K.U64) for x in table.column("tokens").to_pylist()]
         self.length = np.array([len(x) for x in parts], np.int64)
@@ -192,19 +195,22 @@ def _summed(partial: DataFrame, percent: int) -> DataFrame:
     return total.where(_reaches(F.col("overlap"), F.col("asize"), F.col("bsize"), percent)).select(F.col("a").alias("src"), "atag", F.col("b").alias("dst"), "btag").distinct()
 
 
-def _node(doc: str, tag: str):
-    """A record as a node: rows that share an id, or have none, are one node only if their shingle sets are equal."""
-    return F.xxhash64(doc, tag)
-
-
 def _joined(links: DataFrame) -> DataFrame:
-    return connected_components(links.select(_node("src", "atag").alias("src"), _node("dst", "btag").alias("dst")))
+    """``doc, tag, component`` of all records that a link names. Rows that share an id, or have none, are one record only if their
+    shingle sets are equal. Records are numbered in their order, so no two of them can meet in one number."""
+    both = links.select(F.explode(F.array(F.struct(F.col("src").alias("doc"), F.col("atag").alias("tag")), F.struct(F.col("dst").alias("doc"), F.col("btag").alias("tag")))).alias("r"))
+    ids = materialize(numbered(both.select("r.doc", "r.tag").distinct(), "doc", "tag", name="node"), "records")
+    end = lambda doc, tag, name: ids.select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("node").alias(name))
+    pairs = links.join(end("src", "atag", "a"), ["src", "atag"]).join(end("dst", "btag", "b"), ["dst", "btag"]).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    found = connected_components(pairs).select("node", "component")
+    return ids.join(found, "node").select("doc", "tag", "component")
 
 
 def _in_components(segments: DataFrame, components: DataFrame | None) -> DataFrame:
+    """Segments with ``comp``, null for records without a link."""
     if components is None:
-        return segments.withColumn("comp", _node("doc", "tag"))
-    return segments.withColumn("node", _node("doc", "tag")).join(components, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component", "node")
+        return segments.withColumn("comp", F.lit(None).cast("long"))
+    return segments.join(components, ["doc", "tag"], "left").withColumnRenamed("component", "comp")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int | None = None, fragments: int | None = None, fan: int = exchange.FAN) -> DataFrame:
@@ -299,10 +305,10 @@ def representatives_of_rows(docs: DataFrame, n: int = 5, percent: int = 75, id_c
     side = chosen.unionByName(told.select("unit", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("c1"), "shard", "answer"))
     segments = materialize(dealt.groupBy("unit").cogroup(side.groupBy("unit")).applyInArrow(second_pass, SEGMENT), "segments")
 
-    links = materialize(_hub_links(_in_components(segments, None), tuple(range(8)), percent), "links")
-    components = materialize(_joined(links), "components")
-    more = materialize(_hub_links(_in_components(segments, components), tuple(range(8, 24)), percent), "links")
-    links = links.unionByName(more)
+    first = materialize(_hub_links(_in_components(segments, None), tuple(range(8)), percent), "links")
+    few = materialize(_joined(first), "components")
+    more = materialize(_hub_links(_in_components(segments, few), tuple(range(8, 24)), percent), "links")
+    links = first.unionByName(more)
     components = materialize(_joined(links), "components")
 
     @tidy
@@ -313,14 +319,15 @@ def representatives_of_rows(docs: DataFrame, n: int = 5, percent: int = 75, id_c
     placed = _in_components(segments, components)
     open_docs = placed.groupBy("frag").applyInArrow(crossing, "doc long, tag long, size int, cross int").groupBy("doc", "tag", "size").agg(F.sum("cross").alias("cross")).where(f"100 * cross >= {percent} * size")
     rest = materialize(_all_links(placed.join(open_docs.select("doc", "tag"), ["doc", "tag"], "left_semi"), percent), "links")
-    components = materialize(_joined(links.unionByName(rest)), "components")
-    nodes = classes.withColumn("node", _node("rep", "c1"))
-    linked = components.join(nodes.select("node", "least"), "node")
-    heads = materialize(linked.join(linked.groupBy("component").agg(F.min("least").alias("head")), "component").select("node", "head"), "heads")
-    named = nodes.join(heads, "node", "left").select("n", "c1", "c2", F.coalesce("head", "least").alias("head"))
+    final = materialize(_joined(links.unionByName(rest)), "components")
+    records = classes.withColumnsRenamed({"rep": "doc", "c1": "tag"})
+    linked = final.join(records.select("doc", "tag", "least"), ["doc", "tag"])
+    heads = linked.join(linked.groupBy("component").agg(F.min("least").alias("head")), "component").select("doc", "tag", "head")
+    named = materialize(records.join(heads, ["doc", "tag"], "left").select("n", F.col("tag").alias("c1"), "c2", F.coalesce("head", "least").alias("head")), "named")
+    discard(segments, first, few, more, components, rest, final)
     own = F.struct("doc", "null_id", "mark")
     alone = measured.where("n = 0").withColumn("head", own)
-    joined = spread_join(measured.where("n > 0"), materialize(named, "named"), ["n", "c1", "c2"])
+    joined = spread_join(measured.where("n > 0"), named, ["n", "c1", "c2"])
     real = lambda c, null: F.when(~null, c)
     return joined.unionByName(alone).select(
         real(F.col("doc"), F.col("null_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.col("head.doc"), F.col("head.null_id")).alias("component_id"), "mark", (F.col("head") == own).alias("first")
