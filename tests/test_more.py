@@ -83,6 +83,9 @@ def test_private_means(spark):
     assigned = nodes.select("node_id", F.lit(0).alias("cid"))
     a, b = (np.array(G.private_means(assigned, nodes, 5.0).first().feature) for _ in range(2))
     assert np.abs(a - [0.5, -0.25]).max() < 0.05 and (a != b).all()
+    centres = spark.createDataFrame([(0,), (1,)], "cid int")
+    found = {r.cid: r.feature for r in G.private_means(assigned, nodes, 5.0, centres=centres).collect()}
+    assert set(found) == {0, 1} and len(found[1]) == 2  # a group without nodes has a row of noise
 
 
 def test_sources(spark, tmp_path):

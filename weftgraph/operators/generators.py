@@ -191,18 +191,22 @@ def quantize(nodes: DataFrame, clusters: int, components: int, k: int, sample: i
     return centres, assigned.select("node_id", "cid"), anonymity(assigned, k)
 
 
-def private_means(assigned: DataFrame, nodes: DataFrame, epsilon: float, secret: str | None = None, bound: float = 1.0) -> DataFrame:
+def private_means(assigned: DataFrame, nodes: DataFrame, epsilon: float, secret: str | None = None, bound: float = 1.0, centres: DataFrame | None = None) -> DataFrame:
     """``cid, feature``: centres of noisy sums over noisy counts, features clipped to ``bound``. Half of the
     budget goes to the counts and half to the sums, which it is split among by their number, as one
     node changes each of them by ``2 * bound`` at most. The Laplace noise is drawn from a hash of a
-    ``secret`` (a new random one by default), so who does not know it cannot take the noise off."""
+    ``secret`` (a new random one by default), so who does not know it cannot take the noise off. Every group of
+    ``centres(cid)``, by default those with nodes, gets a row: one without nodes is noise only, so that its absence tells nothing."""
     secret = secret or token_hex(32)
     width = nodes.select(F.size("feature")).first()[0]
     rows = assigned.join(nodes.select("node_id", "feature"), "node_id")
+    every = (assigned if centres is None else centres).select("cid").distinct()
     draw = lambda scale, *columns: _laplace(F.sha2(F.concat_ws(":", F.lit(secret), *[c.cast("string") for c in columns]), 256), scale)
-    counts = rows.groupBy("cid").agg(F.count("*").alias("n")).select("cid", F.greatest(F.col("n") + draw(2 / epsilon, F.col("cid"), F.lit("n")), F.lit(1.0)).alias("n"))
+    counts = every.join(rows.groupBy("cid").agg(F.count("*").alias("n")), "cid", "left").na.fill(0, ["n"]).select("cid", F.greatest(F.col("n") + draw(2 / epsilon, F.col("cid"), F.lit("n")), F.lit(1.0)).alias("n"))
     clipped = F.greatest(F.least(F.col("v").cast("double"), F.lit(bound)), F.lit(-bound))
     sums = rows.select("cid", F.posexplode("feature").alias("dim", "v")).groupBy("cid", "dim").agg(F.sum(clipped).alias("s"))
+    slots = every.select("cid", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("dim"))
+    sums = slots.join(sums, ["cid", "dim"], "left").na.fill(0.0, ["s"])
     noisy = sums.withColumn("s", F.col("s") + draw(2 * width * 2 * bound / epsilon, F.col("cid"), F.col("dim"))).join(counts, "cid")
     return noisy.withColumn("v", F.col("s") / F.col("n")).groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("feature"))
 

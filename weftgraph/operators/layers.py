@@ -119,36 +119,6 @@ def signed_attention(edges: DataFrame, nodes: DataFrame, agree: DataFrame) -> Da
     return joined(nodes, P.attention_arrays(edges.join(agree, ["src", "dst"]), nodes, "sign"))
 
 
-def filtered_relations(typed: DataFrame, nodes: DataFrame, scores: DataFrame, idx: DataFrame, etypes: list[str], rounds: int = 12, step: float = 0.02) -> tuple[DataFrame, dict[str, float]]:
-    """Relations with only their most alike neighbours. Of each node's incoming edges of a type the share p
-    of least distance between both ends' ``scores(node_id, s)`` counts. p starts at a half and takes a
-    ``step`` up or down in each round, down when the mean distance of the edges into ``idx`` grew; a
-    type settles once its last ten steps nearly cancel. Each type's mean, weighted by p, is added to x.
-    The distances do not change from round to round here, so the rounds are a few numbers for each type."""
-    d = typed.join(scores.select(F.col("node_id").alias("src"), F.col("s").alias("a")), "src").join(scores.select(F.col("node_id").alias("dst"), F.col("s").alias("b")), "dst")
-    d = d.select("src", "dst", "etype", F.round(F.abs(F.col("a") - F.col("b")), 9).alias("d"))
-    means = {r.etype: r.d for r in d.join(idx.select(F.col("node_id").alias("dst")), "dst", "left_semi").groupBy("etype").agg(F.avg("d").alias("d")).collect()}
-    share = {}
-    for e in etypes:
-        p, last, moves = 0.5, 0.0, []
-        for _ in range(rounds):
-            if len(moves) >= 10 and abs(sum(moves[-10:])) <= 2:
-                break
-            down = last < means.get(e, 0.0)
-            p = p - step if down and p - step > 0 else p + step if not down and p + step <= 1 else p
-            moves.append(-1 if down else 1)
-            last = means.get(e, 0.0)
-        share[e] = p
-    from pyspark.sql import Window as W
-
-    here = W.partitionBy("dst", "etype")
-    ranked = d.withColumn("r", F.row_number().over(here.orderBy("d", "src"))).withColumn("n", F.count("*").over(here))
-    wanted = F.create_map(*[x for e, p in share.items() for x in (F.lit(e), F.lit(p))])[F.col("etype")]
-    kept = ranked.where(F.col("r") <= F.ceil(F.round(F.col("n") * wanted, 9))).select("src", "dst", "etype")
-    mixed = P.relation_mean(kept, nodes, share)
-    return nodes.drop("feature").join(P.gathered(mixed), "node_id"), share
-
-
 def outlier_scores(nodes: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Three outlier scores as a feature: distance to the farthest and mean of the nearest neighbours
     (``dst, rnk, d``), and the squared length of the standardised vector."""

@@ -97,11 +97,12 @@ def random_negatives(edges: DataFrame, n_nodes: int, count: int, seed: int, spar
     hash. Where too few candidates are free, twice as many are drawn; once they are as many as there
     are pairs, all free pairs are ranked instead, and if those are too few it is an error."""
     spark, taken = edges.sparkSession, edges.select("src", "dst").distinct()
-    part = lambda h, a: F.conv(F.substring(h, a, 8), 16, 10).cast("long") % n_nodes
+    digits = 8 if n_nodes <= 1 << 31 else 15  # of an end's half of the hash; fewer would leave ids out
+    part = lambda h, a: F.conv(F.substring(h, a, digits), 16, 10).cast("long") % n_nodes
     drawn = count * spare + 100
     while drawn < n_nodes * n_nodes:
         h = hashed(seed, "id")
-        pool = spark.range(drawn).select(part(h, 1).alias("src"), part(h, 9).alias("dst"), h.alias("h")).where("src <> dst")
+        pool = spark.range(drawn).select(part(h, 1).alias("src"), part(h, 1 + digits).alias("dst"), h.alias("h")).where("src <> dst")
         pool = pool.groupBy("src", "dst").agg(F.min("h").alias("h")).join(taken, ["src", "dst"], "left_anti")
         found = materialize(pool.orderBy("h", "src", "dst").limit(count).select("src", "dst"), "negatives")
         if found.count() == count:

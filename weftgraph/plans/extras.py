@@ -17,7 +17,7 @@ from ..operators import trees as T
 from .basic import roles, rounded
 from .catalog import query
 from .common import ROLES, with_graph
-from .graphs import BOTH, REACHED, clusters, links, recursive
+from .graphs import BOTH, REACHED, centres, clusters, links, recursive
 
 
 @query("activations", with_graph("""SELECT node_id, dim, round(1 / (1 + exp(-v)), 6) AS sigmoid, round(greatest(v, 0), 6) AS relu, round(CASE WHEN v > 0 THEN v ELSE 0.01 * v END, 6) AS leaky, round(CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END, 6) AS elu,
@@ -86,7 +86,7 @@ def knn_bucketed(spark, d):
 
 @query("private_centres")
 def private_centres(spark, d):
-    return G.private_means(clusters(spark, d), test_graph(spark, d).nodes, 1.0)
+    return G.private_means(clusters(spark, d), test_graph(spark, d).nodes, 1.0, centres=centres(test_graph(spark, d)))
 
 
 @query("induced_train_val", with_graph("SELECT src, dst FROM edges JOIN roles a ON a.node_id = src JOIN roles b ON b.node_id = dst WHERE a.role <> 'test' AND b.role <> 'test'", ROLES))

@@ -205,12 +205,14 @@ def multigraph_merge(spark, d):
     return L.with_nearest(g.edges, g.nodes, 5, g.nodes.where("y = 1")).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-@query("filtered_relations")
+@query("filtered_relations", with_graph("""SELECT src, dst, etype, d FROM (SELECT src, dst, etype, d, row_number() OVER (PARTITION BY dst, etype ORDER BY d, src) AS r, count(*) OVER (PARTITION BY dst, etype) AS n
+FROM (SELECT t.src, t.dst, t.etype, round(abs(a.s - b.s), 9) AS d FROM typed t JOIN sc a ON a.node_id = t.src JOIN sc b ON b.node_id = t.dst) q) z WHERE r <= ceil(n * 0.5)""", ROLES, TYPED,
+    "pm AS (SELECT x.dim, avg(x.v) AS m FROM x JOIN nodes n ON n.node_id = x.node_id AND n.y = 1 JOIN roles r ON r.node_id = x.node_id AND r.role = 'train' GROUP BY x.dim)",
+    "sc AS (SELECT x.node_id, tanh(sum(x.v * pm.m)) AS s FROM x JOIN pm ON pm.dim = x.dim GROUP BY x.node_id)"))
 def filtered_relations(spark, d):
-    """Relations with their most alike neighbours; alike by the distance to the positive class's mean."""
+    """Of each node's incoming edges of a type the nearer half, by the similarity to the positive class's mean."""
     g = test_graph(spark, d)
-    found, _ = L.filtered_relations(g.typed, g.nodes, alike_scores(g, roles(spark, d)), roles(spark, d).where("role = 'train'"), ETYPES)
-    return long_rounded(found)
+    return B.nearest_share(g.typed, alike_scores(g, roles(spark, d)), {e: 0.5 for e in ETYPES})
 
 
 def alike_scores(g, r):
