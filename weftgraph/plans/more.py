@@ -8,6 +8,7 @@ from ..functions import vectors as V
 from ..model import table, test_collection, test_graph
 from ..operators import attention as A
 from ..operators import collections as C
+from ..operators import contrast as X
 from ..operators import edges as E
 from ..operators import generators as G
 from ..operators import layers as L
@@ -246,16 +247,9 @@ def agreement(g, r):
     return found.select("src", "dst", F.when(F.col("p") >= 0, 1).otherwise(-1).alias("sign"))
 
 
-def clustered(g, r, k=8):
-    """Smoothed features beside squared distances to k-means centres of all nodes, found without labels."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    base = L.gcn(g.edges, g.nodes)
-    model = KMeans(k=k, featuresCol="vec", seed=7).fit(base.select(array_to_vector("feature").alias("vec")))
-    rows = g.nodes.sparkSession.createDataFrame([([float(x) for x in c],) for c in model.clusterCenters()], "c array<double>")
-    d = base.select("node_id", "feature").join(F.broadcast(rows.agg(F.collect_list("c").alias("cs"))), F.lit(True))
-    return L.joined(base, d.select("node_id", F.transform("cs", lambda c: V.squared_l2_distance("feature", c)).alias("feature")))
+def contrasted(g, r):
+    """What an encoder learns without labels, by contrast with shuffled features, beside the features."""
+    return L.joined(g.nodes, X.Contrast(g.edges, g.nodes).fit(epochs=8, every=4).encoded())
 
 
 def with_parts(g, r):
@@ -310,7 +304,7 @@ DETECTORS = {
     "gas": ("lr", lambda g, r: L.nearest_gcn(g.edges, g.nodes)),
     "ghrn": ("lr", lambda g, r: L.bernstein_bank(N.prune_laplacian(g.edges, g.nodes, (5, 100)), g.nodes)),
     "pcgnn": ("lr", lambda g, r: L.chebyshev_bank(L.with_nearest(L.alike_edges(g.edges, g.nodes), g.nodes, 5, g.nodes.join(r.where("role = 'train'"), "node_id", "left_semi").where("y = 1")), g.nodes)),
-    "dci": ("lr", clustered),
+    "dci": ("lr", contrasted),
     "xgbod": ("gbt", lambda g, r: with_outlier_scores(g.nodes)),
     "tree": ("lr", lambda g, r: L.tree_features(T.sample_trees(g.edges, g.nodes, 2, 3, 3407), g.nodes).join(g.nodes.select("node_id", "y"), "node_id")),
 }
