@@ -1,5 +1,6 @@
 """Repeated strings of bytes against brute force, in the suffix array and beyond its cap."""
 
+import hashlib
 import itertools
 import random
 from collections import Counter
@@ -94,3 +95,27 @@ def test_least_of_neighbours():
     for size, width in ((5, 5), (17, 4), (100, 7), (8, 1)):
         v = rng.integers(0, 50, size).astype(np.uint64)
         assert (S._least(v, width) == np.lib.stride_tricks.sliding_window_view(v, width).min(axis=1)).all()
+
+
+@pytest.mark.parametrize("unit_bytes", [None, 4_000])
+def test_groups_list_all_occurrences(spark, unit_bytes):
+    rows = [(i, t) for i, t in corpus(4) if i is not None]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    n = 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got: dict = {}
+    for r in S.repeat_groups(docs, n=n, k=16, unit_bytes=unit_bytes).collect():
+        got.setdefault((r.group, r.n_bytes), set()).add((r.doc_id, r.first))
+    texts = {i: (t or "").encode() for i, t in rows}
+    assert len(got) > 50
+    for (name, size), places in got.items():
+        doc, first = min(places)
+        text = texts[doc][first : first + size]
+        assert size >= n and len(text) == size and hashlib.sha256(text).hexdigest() == name
+        assert places == {(i, p) for i, t in texts.items() for p in range(len(t) - size + 1) if t.startswith(text, p)} and len(places) > 1
+    # what the groups cover is what is removed
+    cover = {i: bytearray(len(t)) for i, t in texts.items()}
+    for (_, size), places in got.items():
+        for i, p in places:
+            cover[i][p : p + size] = b"\1" * size
+    assert {i: sum(c) for i, c in cover.items()} == {i: removed for i, _, removed, _, _ in brute(rows, n)}

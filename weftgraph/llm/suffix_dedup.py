@@ -11,6 +11,7 @@ with all its members, not just neighbours.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,9 +97,10 @@ class Anchors:
         return self.run[self.shown], self.context[self.shown], self.many
 
 
-def verdicts(keys: np.ndarray, extra: list[np.ndarray], most: int = MOST_CONTEXTS) -> np.ndarray:
+def verdicts(keys: np.ndarray, extra: list[np.ndarray], most: int = MOST_CONTEXTS, every: bool = False) -> np.ndarray:
     """For each entry: its context occurs twice (all its windows repeat); it is to be compared with other contexts of its
-    run, as the first of those alike, in the suffix array or, if they are too many for a task, by windows."""
+    run, as the first of those alike, in the suffix array or, if they are too many for a task, by windows. ``every``: also where
+    all contexts occur twice."""
     context, many, unit = extra
     order = np.lexsort((unit, context, keys))
     run, context, many = keys[order], context[order], many[order]
@@ -111,7 +113,7 @@ def verdicts(keys: np.ndarray, extra: list[np.ndarray], most: int = MOST_CONTEXT
     group_of_kind = np.cumsum(group[at]) - 1
     kinds = np.bincount(group_of_kind)
     open_ones = np.bincount(group_of_kind, weights=~twice)
-    compare = (kinds > 1) & (open_ones > 0)
+    compare = (kinds > 1) & ((open_ones > 0) | every)
     mark = np.where(compare, np.where(kinds > most, HOT, SHIP), 0)[group_of_kind][kind_no]
     out = np.empty(len(order), np.uint8)
     out[order] = np.where(twice[kind_no], RESOLVED, 0) | np.where(kind, mark, 0)
@@ -243,13 +245,13 @@ class Shape:
 class Plan:
     """The passes over dealt texts that come before bytes are removed."""
 
-    def __init__(self, docs: DataFrame, n: int, k: int, id_col: str, text_col: str, unit_bytes: int | None, fan: int, most: int, slice_bytes: int):
+    def __init__(self, docs: DataFrame, n: int, k: int, id_col: str, text_col: str, unit_bytes: int | None, fan: int, most: int, slice_bytes: int, every: bool = False):
         if not 8 <= k < n:
             raise ValueError("k must lie between 8 and n - 1")
         units = unit_count(text_bytes(docs, text_col), unit_bytes)
         self.shape = Shape(n, k, slice_bytes, exchange.Ranges(units, 64, fan), max(exchange.LEAST, units // 2))
         self.dealt = deal(prepared(docs, id_col, text_col), units)
-        answers = exchange.ask(self._entries(), self.shape.ranges, lambda keys, extra: verdicts(keys, extra, most))
+        answers = exchange.ask(self._entries(), self.shape.ranges, lambda keys, extra: verdicts(keys, extra, most, every))
         self.told = answers.select("unit", F.lit(ENTRY).alias("kind"), "shard", "answer")
 
     def _entries(self) -> DataFrame:
@@ -294,6 +296,51 @@ class Plan:
 
         return self.contexts().groupBy("shard").applyInArrow(scan, TOLD)
 
+    def groups(self) -> DataFrame:
+        """Each maximal repeat that the suffix array finds, and the contexts that hold it: ``group`` (SHA-256 of its bytes), its length, the
+        context's two hashes, and how many bytes before the anchor it begins."""
+        n, k = self.shape.n, self.shape.k
+
+        @tidy
+        def scan(piece: pa.Table) -> pa.Table:
+            contexts = _unpacked(piece)
+            lefts, rights = _split(contexts)
+            run, context = (contexts.column(c).to_numpy().view(np.int64).tolist() for c in ("run", "context"))
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            for back, length, members in maximal_repeats(lefts, rights, n, k):
+                text = lefts[members[0]][:back][::-1] + rights[members[0]][:length]
+                name = hashlib.sha256(text).hexdigest()
+                for m in members:
+                    for store, value in zip(rows, (name, back + length, run[m], context[m], back)):
+                        store.append(value)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            return pa.table([pa.array(x, t) for x, t in zip(rows, kinds)], ["group", "n_bytes", "run", "context", "back"])
+
+        return self.contexts().groupBy("shard").applyInArrow(scan, "group string, n_bytes long, run long, context long, back long")
+
+    def occurrences(self) -> DataFrame:
+        """The anchors of runs that occur more than once: ``doc_id``, the context's two hashes, where the anchor lies (``at``), and of a
+        context that occurs twice its own ``group``, length and first byte."""
+        shape = self.shape
+
+        @tidy
+        def list_all(key: tuple[pa.Scalar, ...], unit: pa.Table, told: pa.Table) -> pa.Table:
+            table, data, offsets, anchors = shape.look(unit)
+            answer = shape.answers(anchors, told)
+            chosen = np.flatnonzero((answer[anchors.entry] & (SHIP | RESOLVED)) > 0)
+            own = np.searchsorted(offsets, anchors.at[chosen], side="right") - 1
+            solved = (answer[anchors.entry[chosen]] & RESOLVED) > 0
+            names = [hashlib.sha256(data[a : b + shape.n]).hexdigest() if s else None for a, b, s in zip(anchors.p0[chosen].tolist(), anchors.p1[chosen].tolist(), solved.tolist())]
+            doc, null = table.column("doc_id").to_numpy()[own], table.column("null_id").to_numpy(zero_copy_only=False)[own]
+            start = offsets[own]
+            return pa.table({
+                "doc_id": pa.array(doc, mask=null), "run": pa.array(anchors.run[chosen].view(np.int64)), "context": pa.array(anchors.context[chosen].view(np.int64)), "at": pa.array(anchors.at[chosen] - start),
+                "group": pa.array(names, pa.string()), "n_bytes": pa.array(anchors.p1[chosen] - anchors.p0[chosen] + shape.n), "first": pa.array(anchors.p0[chosen] - start),
+            })
+
+        schema = "doc_id long, run long, context long, at long, group string, n_bytes long, first long"
+        return self.dealt.groupBy("unit").cogroup(self.told.groupBy("unit")).applyInArrow(list_all, schema)
+
     def windows(self) -> DataFrame:
         """To each unit which of its hot windows occur twice."""
         shape = self.shape
@@ -387,3 +434,19 @@ def remove_repeated_bytes(
 
     told = plan.told.unionByName(plan.stretches()).unionByName(plan.windows())
     return plan.dealt.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<first:bigint,bytes:bigint>>")
+
+
+def repeat_groups(
+    docs: DataFrame, n: int = 200, k: int = 64, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int | None = None, fan: int = exchange.FAN,
+    most: int = MOST_CONTEXTS, slice_bytes: int = SLICE_BYTES,
+) -> DataFrame:
+    """Rows ``group, n_bytes, doc_id, first``: all occurrences of each maximal repeat of ``n`` bytes or more, by first byte in the text's
+    UTF-8; ``group`` is the SHA-256 of its bytes. A repeat is looked at within the context of one anchor: one longer than that is listed
+    as the contexts it runs through. The suffix array takes one of each context; occurrences are joined to what it finds, so a group
+    of any size is never in one task. Contexts of runs that have more than ``most`` of them are listed as far as they occur twice
+    whole. Nulls, ties and other columns as in ``remove_repeated_bytes``."""
+    plan = Plan(docs, n, k, id_col, text_col, unit_bytes, fan, most, slice_bytes, every=True)
+    all_ = plan.occurrences()
+    whole = all_.where("group is not null").select("group", "n_bytes", "doc_id", "first")
+    found = plan.groups().join(all_.select("run", "context", "doc_id", "at"), ["run", "context"]).select("group", "n_bytes", "doc_id", (F.col("at") - F.col("back")).alias("first"))
+    return whole.unionByName(found).distinct()
