@@ -120,14 +120,19 @@ def initial(blocks: list[Block], banks: dict, width: int, seed: int) -> Weights:
     rng, out = np.random.default_rng(seed), []
     for block in blocks:
         width *= sum(banks[b].parts for b in block.banks)
-        layers = []
-        for wide in block.widths:
-            layers.append((rng.normal(0, np.sqrt(2 / width), (width, wide)), np.zeros(wide)))
-            width = wide
-        out.append(layers)
+        out.append(initial_layers(rng, width, block.widths))
+        width = block.widths[-1]
     return out
 
 
+def initial_layers(rng: np.random.Generator, width: int, widths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    layers = []
+    for wide in widths:
+        layers.append((rng.normal(0, np.sqrt(2 / max(width, 1)), (width, wide)), np.zeros(wide)))
+        width = wide
+    return layers
+
+
 def forward(x: np.ndarray, layers, last: bool) -> list[np.ndarray]:
     """The input and what each dense layer makes of it; all but a network's last layer are rectified."""
     out = [x]

@@ -17,6 +17,7 @@ from ..operators import outliers as O
 from ..operators import predictors as M
 from ..operators import propagate as P
 from ..operators import relational as B
+from ..operators import signed as S
 from ..operators import splits as U
 from ..operators import training as R
 from ..operators import trees as T
@@ -221,14 +222,6 @@ def alike_scores(g, r):
     return g.nodes.withColumn("k", F.lit(1)).join(F.broadcast(mean), "k").select("node_id", F.tanh(V.dot("feature", "mean")).alias("s"))
 
 
-def balanced_prototypes(nodes, train):
-    """Nodes with their distances to both classes' training means as two further components."""
-    out = nodes.withColumn("feature", F.col("feature").cast("array<double>"))
-    means = P._stats(out.join(train.select("node_id"), "node_id", "left_semi").select("y", P.as_vector("feature").alias("__f")), ["mean"], "y").withColumnRenamed("mean", "m")
-    d = out.select("node_id", "feature").join(F.broadcast(means), F.lit(True)).groupBy("node_id").agg(F.array(*[F.max(F.when(F.col("y") == k, V.squared_l2_distance("feature", "m"))) for k in (0, 1)]).alias("feature"))
-    return L.joined(out, d)
-
-
 def detect(name, head, build):
     def run(spark, d):
         g, r = test_graph(spark, d), roles(spark, d)
@@ -239,14 +232,6 @@ def detect(name, head, build):
     query(f"det_{name}")(run)
 
 
-def agreement(g, r):
-    """Edge signs from a trained edge classifier: whether its margin says that both ends are of one class."""
-    lab = E.homophily(g.edges, g.nodes, r.where("role = 'train'"))
-    rows = M.pair_features(lab.select("src", "dst", "in_train", ((F.col("lab") + 1) / 2).cast("int").alias("y")), g.nodes)
-    found = M.fit_predict("svm", rows.where("in_train = 1"), rows)
-    return found.select("src", "dst", F.when(F.col("p") >= 0, 1).otherwise(-1).alias("sign"))
-
-
 def contrasted(g, r):
     """What an encoder learns without labels, by contrast with shuffled features, beside the features."""
     return L.joined(g.nodes, X.Contrast(g.edges, g.nodes).fit(epochs=8, every=4).encoded())
@@ -286,6 +271,7 @@ NETWORKS = {
 for _name, _build in NETWORKS.items():
     trained(_name, lambda g, nodes, build=_build: build(g, nodes).fit(EPOCHS, 0.05))
 trained("caregnn", lambda g, nodes: B.chosen_neighbours(g.typed, nodes, ETYPES, rounds=4, epochs=2)[0])
+trained("h2fd", lambda g, nodes: S.SignedNetwork(nodes, [], {}, edges=g.edges).fit(EPOCHS, 0.05))
 trained("bgnn", lambda g, nodes: B.boosted_network(g.edges, nodes, rounds=2, epochs=4)[0])
 
 def with_outlier_scores(nodes):
@@ -300,7 +286,6 @@ DETECTORS = {
     "bernstein": ("lr", lambda g, r: L.bernstein_bank(g.edges, g.nodes)),
     "amnet": ("lr", lambda g, r: L.two_filters(g.edges, g.nodes)),
     "chebnet": ("lr", lambda g, r: L.chebyshev_bank(g.edges, g.nodes)),
-    "h2fd": ("svm", lambda g, r: balanced_prototypes(L.signed_attention(g.edges, g.nodes, agreement(g, r)), r.where("role = 'train'"))),
     "gas": ("lr", lambda g, r: L.nearest_gcn(g.edges, g.nodes)),
     "ghrn": ("lr", lambda g, r: L.bernstein_bank(N.prune_laplacian(g.edges, g.nodes, (5, 100)), g.nodes)),
     "pcgnn": ("lr", lambda g, r: L.chebyshev_bank(L.with_nearest(L.alike_edges(g.edges, g.nodes), g.nodes, 5, g.nodes.join(r.where("role = 'train'"), "node_id", "left_semi").where("y = 1")), g.nodes)),
