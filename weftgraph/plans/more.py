@@ -10,6 +10,7 @@ from ..operators import attention as A
 from ..operators import collections as C
 from ..operators import contrast as X
 from ..operators import edges as E
+from ..operators import forests as Q
 from ..operators import generators as G
 from ..operators import layers as L
 from ..operators import neighbors as N
@@ -272,6 +273,8 @@ for _name, _build in NETWORKS.items():
     trained(_name, lambda g, nodes, build=_build: build(g, nodes).fit(EPOCHS, 0.05))
 trained("caregnn", lambda g, nodes: B.chosen_neighbours(g.typed, nodes, ETYPES, rounds=4, epochs=2)[0])
 trained("h2fd", lambda g, nodes: S.SignedNetwork(nodes, [], {}, edges=g.edges).fit(EPOCHS, 0.05))
+for _kind in ("sgc", "gcn", "gin", "gat"):
+    trained(f"tree_{_kind}", lambda g, nodes, kind=_kind: Q.tree_network(T.sample_trees(g.edges, g.nodes, 2, 3, 3407), nodes, kind, 2, 3).fit(EPOCHS, 0.05))
 trained("bgnn", lambda g, nodes: B.boosted_network(g.edges, nodes, rounds=2, epochs=4)[0])
 
 def with_outlier_scores(nodes):
