@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..model import SEEDS, node_count, table, test_graph
 from ..operators import edges as E
 from ..operators import generators as G
+from ..operators import growth as Y
 from ..operators import metrics as M
 from ..operators import predictors as L
 from ..operators import splits as U
@@ -108,6 +109,13 @@ def rowtree_generator(spark, d):
     return G.generate_rows(G.row_tree_model(T.row_decisions(pairs)), pairs.select("row_id").distinct(), 3)
 
 
+@query("rowtree_conditioned")
+def rowtree_conditioned(spark, d):
+    """Rows that know what earlier rows drew, fitted to the test graph."""
+    pairs = E.canonical(test_graph(spark, d).edges).select(F.col("v").alias("row_id"), F.col("u").alias("col_id"))
+    return Y.RowModel.fit(pairs).generate(pairs.select("row_id"), 3)
+
+
 @query("random_graph")
 def random_graph(spark, d):
     """As many nodes as the graph has, four neighbours each on average."""
