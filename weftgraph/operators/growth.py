@@ -23,7 +23,7 @@ from .trees import row_decisions
 #: Observations that a size's mean counts for beside a fullness's own.
 PRIOR = 5.0
 #: Levels of halving between written tables.
-LEVELS = 8
+LEVELS = 3
 
 
 def starts_until(last: int, growth: float) -> list[int]:
