@@ -47,3 +47,46 @@ def test_products_of_pairs(spark, few, monkeypatch):
     assert sorted((r.src, r.dst, r.y, *np.round(r.feature, 9)) for r in L.pair_features(pairs, nodes).collect()) == want
     p = {(r.src, r.dst): r.p for r in L.dot_scores(pairs, nodes).collect()}
     assert all(abs(p[s, d] - 1 / (1 + np.exp(-x[s] @ x[d]))) < 1e-12 for s, d, *_ in want)
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_sums(spark, few, back):
+    """Weighted sums over several tiles; ends without a vector do not count."""
+    nodes, edges, x, rows = graph(spark)
+    tiles = I.Tiles(edges)
+    assert tiles.blocks == I.BLOCKS and tiles.packed.count() == I.BLOCKS**2
+    want, kinds = {}, {}
+    for s, d, w, k in rows:
+        a, b = (d, s) if back else (s, d)
+        if a < 60:
+            want[b] = want.get(b, 0) + w * x[a]
+            if not back:
+                kinds.setdefault(b, np.zeros((2, 3)))[k] += w * x[a]
+    found = {r.node_id: r.feature for r in tiles.sums(nodes, back).collect()}
+    assert found.keys() == want.keys() and all(np.allclose(found[i], want[i]) for i in want)
+    if not back:
+        found = {r.node_id: r.feature for r in tiles.sums_by_kind(nodes, 2).collect()}
+        assert found.keys() == kinds.keys() and all(np.allclose(found[i], kinds[i].ravel()) for i in kinds)
+
+
+def test_groups_need_no_partial_sums(spark, few):
+    edges = spark.createDataFrame([(10 * g + i, 10 * g) for g in range(30) for i in range(1, 10)], "src long, dst long")
+    nodes = spark.range(300).select(F.col("id").alias("node_id"), F.array(F.col("id").cast("double")).alias("feature"))
+    tiles = I.Tiles(edges, stride=10)
+    assert tiles.packed.where("i <> j").count() == 0
+    assert {r.node_id: r.feature[0] for r in tiles.sums(nodes).collect()} == {10 * g: sum(10 * g + i for i in range(1, 10)) for g in range(30)}
+
+
+def test_attention_of_large_products(spark, few):
+    """A softmax over tiles whose greatest products are far apart."""
+    from weftgraph.operators import propagate as P
+
+    nodes, edges, x, rows = graph(spark)
+    x = x * 30
+    big = nodes.select("node_id", F.transform("feature", lambda v: v * 30).alias("feature"))
+    found = {r.node_id: r.feature for r in P.attention_arrays(edges.select("src", "dst"), big).collect()}
+    for d in range(60):
+        near = [s for s, b, *_ in rows if b == d and s < 60]
+        e = np.array([x[s] @ x[d] for s in near])
+        soft = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        assert np.allclose(found[d], soft @ x[near], atol=1e-9)
