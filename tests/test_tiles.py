@@ -90,3 +90,29 @@ def test_attention_of_large_products(spark, few):
         e = np.array([x[s] @ x[d] for s in near])
         soft = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
         assert np.allclose(found[d], soft @ x[near], atol=1e-9)
+
+
+def test_row_model_is_that_of_the_decisions(spark):
+    """Counted beside the entries, also where a row spans batches, the model is that of the listed decisions."""
+    from weftgraph.operators import generators as G
+    from weftgraph.operators import trees as T
+
+    rng = np.random.default_rng(2)
+    entries = spark.createDataFrame(sorted({(int(r), int(c)) for r in rng.integers(1, 200, 900) for c in rng.integers(0, r, 1)}), "row_id long, col_id long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = sorted(map(tuple, G.row_tree_model_of(entries).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == sorted(map(tuple, G.row_tree_model(T.row_decisions(entries)).collect()))
+
+
+def test_rows_are_drawn_without_a_table_for_each_level(spark, monkeypatch):
+    from weftgraph.operators import generators as G
+
+    written = []
+    monkeypatch.setattr(G, "materialize", lambda df, name, real=G.materialize: written.append(name) or real(df, name))
+    model = spark.createDataFrame([(k, 0.6, 0.5) for k in range(8)], "size_class int, p_left double, p_right double")
+    found = G.generate_rows(model, spark.range(1, 200).withColumnRenamed("id", "row_id"), 3)
+    assert found.count() == found.distinct().count() and found.where("col_id >= row_id").isEmpty()
+    assert found.select("row_id").distinct().count() == 199 and len(written) == 2

@@ -6,12 +6,13 @@ from secrets import token_hex
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.vectors import hashed
-from ..storage import materialize
+from ..storage import discard, materialize
 from .clustering import constrained_kmeans
 from .neighbors import anonymity
 from .order import running_sums
@@ -130,14 +131,56 @@ def row_tree_model(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy(F.floor(F.log2(F.col("hi") - F.col("lo"))).cast("int").alias("size_class")).agg(F.avg("has_left").alias("p_left"), (F.sum(F.expr("has_left * has_right")) / F.greatest(F.sum("has_left"), F.lit(1))).alias("p_right"))
 
 
+def row_tree_model_of(entries: DataFrame) -> DataFrame:
+    """``row_tree_model`` of the decisions of ``row_id, col_id`` (column below row), which are counted where a row's entries lie
+    side by side and are not sent themselves."""
+
+    def counted(row: np.ndarray, col: np.ndarray) -> pa.RecordBatch:
+        lo, hi, found = np.zeros(len(row), np.int64), row.copy(), []
+        while len(row):
+            open_ = hi - lo > 1
+            row, col, lo, hi = row[open_], col[open_], lo[open_], hi[open_]
+            if not len(row):
+                break
+            mid = (lo + hi) // 2
+            left = col < mid
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (lo[1:] != lo[:-1])))
+            has_left, has_right = np.logical_or.reduceat(left, first), np.logical_or.reduceat(~left, first)
+            found.append(np.column_stack([(hi - lo)[first], has_left, has_left & has_right]))
+            lo, hi = np.where(left, lo, mid), np.where(left, mid, hi)
+        found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        size, at = np.unique(found[:, 0], return_inverse=True)
+        sums = [np.bincount(at, found[:, c], len(size)).astype(np.int64) for c in (1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(size), pa.array(np.bincount(at, minlength=len(size)).astype(np.int64)), *map(pa.array, sums)], ["size", "n", "l", "b"])
+
+    def walk(batches):
+        row, col = np.zeros(0, np.int64), np.zeros(0, np.int64)  # entries of a row that may go on in the next batch
+        for batch in batches:
+            if batch.num_rows:
+                row, col = (np.append(x, batch.column(k).to_numpy()) for k, x in ((0, row), (1, col)))
+                whole = np.searchsorted(row, row[-1])
+                yield counted(row[:whole], col[:whole])
+                row, col = row[whole:], col[whole:]
+        yield counted(row, col)
+
+    rows = entries.select(F.col("row_id").cast("long"), F.col("col_id").cast("long")).where("row_id is not null and col_id is not null")
+    told = rows.repartition("row_id").sortWithinPartitions("row_id", "col_id").mapInArrow(walk, "size long, n long, l long, b long")
+    sums = told.groupBy(F.floor(F.log2("size")).cast("int").alias("size_class")).agg(*[F.sum(c).alias(c) for c in "nlb"])
+    return sums.select("size_class", (F.col("l") / F.col("n")).alias("p_left"), (F.col("b") / F.greatest("l", F.lit(1))).alias("p_right"))
+
+
+#: Levels of halving between written tables.
+LEVELS = 6
+
+
 def generate_rows(model: DataFrame, rows: DataFrame, seed: int, bounds: DataFrame | None = None) -> DataFrame:
     """``row_id, col_id``: each row with entries halves its columns and draws which halves have any
-    (the right one must if the left has none), until single columns are left, however wide rows are.
+    (the right one must if the left has none), until single columns are left, however wide rows are. The model, a row for each
+    power of two, is part of the plan, so halving sends nothing.
 
     ``bounds(row_id, lb, ub)`` keeps each row's number of entries between its bounds: the left half gets
     what the right cannot hold at least and the upper bound at most, a draw decides how many, and the
     right half gets the rest; a half without room is empty, one with a least number is not."""
-    table = F.broadcast(model)
     limited = bounds is not None
     start = rows.where("row_id > 0").select("row_id", F.lit(0).cast("long").alias("lo"), F.col("row_id").alias("hi"))
     if limited:
@@ -146,27 +189,30 @@ def generate_rows(model: DataFrame, rows: DataFrame, seed: int, bounds: DataFram
         # how many entries a row has, fixed at the top, so that no half needs to know what another drew
         spread = (F.col("ub") - F.greatest("lb", F.lit(1)) + 1).cast("double")
         start = start.where("ub > 0").withColumn("want", (F.greatest("lb", F.lit(1)) + F.floor(uniform(seed, "row_id") * spread)).cast("long")).drop("lb", "ub")
-    live, done, depth = materialize(start, "rows"), None, 0
-    while not live.isEmpty():
-        one = live.where("hi - lo = 1").select("row_id", F.col("lo").alias("col_id"))
-        done = one if done is None else done.unionByName(one)
-        big = live.where("hi - lo > 1").withColumn("size_class", F.floor(F.log2(F.col("hi") - F.col("lo"))).cast("int")).join(table, "size_class", "left").na.fill(0.5, ["p_left", "p_right"])
-        left = uniform(seed + depth, "row_id", "lo", "hi") < F.col("p_left")
-        right = (uniform(seed + depth + 1000, "row_id", "lo", "hi") < F.col("p_right")) | ~left
+    shares = {r.size_class: (r.p_left, r.p_right) for r in model.collect()}
+    share = lambda k: F.coalesce(F.element_at(F.array(*[F.lit(float(x if (x := shares.get(c, (None, None))[k]) is not None else 0.5)) for c in range(64)]), F.floor(F.log2(F.col("hi") - F.col("lo"))).cast("int") + 1), F.lit(0.5))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    live, before = materialize(start.repartition(parts, "row_id"), "rows"), None
+    last = live.agg(F.max("hi")).first()[0] or 1
+    for depth in range((last - 1).bit_length()):
+        left = uniform(seed + depth, "row_id", "lo", "hi") < share(0)
+        right = (uniform(seed + depth + 1000, "row_id", "lo", "hi") < share(1)) | ~left
         mid = F.expr("(lo + hi) div 2")
+        whole = F.array(F.struct("lo", "hi", *["want"] * limited))
         if limited:
             room_left, room_right = mid - F.col("lo"), F.col("hi") - mid
             least, most = F.greatest(F.col("want") - room_right, F.lit(0)), F.least(F.col("want"), room_left)
-            share = least + F.floor(uniform(seed + depth + 2000, "row_id", "lo", "hi") * (most - least + 1).cast("double")).cast("long")
-            sole = F.when(left & ~right, most).when(~left, least).otherwise(share)
-            big = big.withColumn("__l", sole.cast("long"))
-            halves = F.filter(F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi"), F.col("__l").alias("want")), F.struct(mid.alias("lo"), F.col("hi").alias("hi"), (F.col("want") - F.col("__l")).alias("want"))), lambda x: x["want"] > 0)
-            live = materialize(big.select("row_id", F.explode(halves).alias("h")).select("row_id", "h.lo", "h.hi", "h.want"), "rows")
+            drawn = least + F.floor(uniform(seed + depth + 2000, "row_id", "lo", "hi") * (most - least + 1).cast("double")).cast("long")
+            own = F.when(left & ~right, most).when(~left, least).otherwise(drawn).cast("long")
+            halves = F.filter(F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi"), own.alias("want")), F.struct(mid.alias("lo"), F.col("hi").alias("hi"), (F.col("want") - own).alias("want"))), lambda x: x["want"] > 0)
         else:
             halves = F.filter(F.array(F.when(left, F.struct(F.col("lo").alias("lo"), mid.alias("hi"))), F.when(right, F.struct(mid.alias("lo"), F.col("hi").alias("hi")))), lambda x: x.isNotNull())
-            live = materialize(big.select("row_id", F.explode(halves).alias("h")).select("row_id", "h.lo", "h.hi"), "rows")
-        depth += 1
-    return done if done is not None else rows.select("row_id", F.col("row_id").alias("col_id")).limit(0)
+        live = live.select("row_id", F.explode(F.when(F.col("hi") - F.col("lo") > 1, halves).otherwise(whole)).alias("h")).select("row_id", "h.*")
+        if depth % LEVELS == LEVELS - 1:
+            live = materialize(live.repartition(parts, "row_id", "lo"), "rows")
+            discard(before)
+            before = live
+    return live.select("row_id", F.col("lo").alias("col_id"))
 
 
 def quantize(nodes: DataFrame, clusters: int, components: int, k: int, sample: int = 5000, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
