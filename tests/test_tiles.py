@@ -116,3 +116,34 @@ def test_rows_are_drawn_without_a_table_for_each_level(spark, monkeypatch):
     found = G.generate_rows(model, spark.range(1, 200).withColumnRenamed("id", "row_id"), 3)
     assert found.count() == found.distinct().count() and found.where("col_id >= row_id").isEmpty()
     assert found.select("row_id").distinct().count() == 199 and len(written) == 2
+
+
+def test_trials_lie_in_many_tasks(spark):
+    """Full-batch Adam over all tasks gives what one task's NumPy gave; no group holds a trial."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(120, 2)), rng.integers(0, 2, 120)
+    role = np.array(["train", "val", "test", "train"])[np.arange(120) % 4]
+    rows = spark.createDataFrame([(t, i, [float(v) for v in x[i]], int(y[i]), str(role[i])) for t in range(2) for i in range(120)], "trial int, node_id long, feature array<double>, y int, role string")
+    found = L.train_trials(rows, hidden=3, epochs=4, patience=9)
+    got = {(r.trial, r.node_id): r.p for r in found.collect()}
+    assert len(found.inputFiles()) > 2
+    tr, va, te = (role == r for r in ("train", "val", "test"))
+    z = (x - x[tr].mean(0)) / (x[tr].std(0) + 1e-8)
+    w = np.where(y == 1, (1 - y[tr]).sum() / y[tr].sum(), 1.0)
+    for t in range(2):
+        g = np.random.default_rng(3407 + t)
+        par = [g.normal(0, 1, (2, 3)), np.zeros(3), g.normal(0, np.sqrt(1 / 3), 3), np.zeros(1)]
+        m, v, best = [np.zeros_like(a) for a in par], [np.zeros_like(a) for a in par], (np.inf, None)
+        run = lambda p, at: ((h := np.maximum(z[at] @ p[0] + p[1], 0)), 1 / (1 + np.exp(-(h @ p[2] + p[3]))))
+        for k in range(1, 5):
+            h, q = run(par, tr)
+            e = (q - y[tr]) * w[tr] / tr.sum()
+            back = np.outer(e, par[2]) * (h > 0)
+            for i, d in enumerate((z[tr].T @ back, back.sum(0), h.T @ e, np.array([e.sum()]))):
+                m[i], v[i] = 0.9 * m[i] + 0.1 * d, 0.999 * v[i] + 0.001 * d * d
+                par[i] = par[i] - 0.05 * (m[i] / (1 - 0.9**k)) / (np.sqrt(v[i] / (1 - 0.999**k)) + 1e-8)
+            q = run(par, va)[1]
+            loss = -np.mean(w[va] * (y[va] * np.log(q + 1e-12) + (1 - y[va]) * np.log(1 - q + 1e-12)))
+            best = min(best, (loss, [a.copy() for a in par]), key=lambda b: b[0])
+        want = run(best[1], te)[1]
+        assert all(abs(got[t, i] - p) < 1e-8 for i, p in zip(np.flatnonzero(te), want))
