@@ -147,3 +147,30 @@ def test_trials_lie_in_many_tasks(spark):
             best = min(best, (loss, [a.copy() for a in par]), key=lambda b: b[0])
         want = run(best[1], te)[1]
         assert all(abs(got[t, i] - p) < 1e-8 for i, p in zip(np.flatnonzero(te), want))
+
+
+def random_pairs(spark, n=400, nodes=40, width=6):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(nodes, width)).astype(np.float32)
+    s, d = rng.integers(0, nodes, n), rng.integers(0, nodes, n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-2 * (x[s] * x[d])[:, :2].sum(axis=1)))).astype(int)
+    pairs = spark.createDataFrame([(int(a), int(b), int(c)) for a, b, c in zip(s, d, y)], "src long, dst long, y int")
+    return pairs, spark.createDataFrame([(k, x[k].tolist()) for k in range(nodes)], "node_id long, feature array<float>")
+
+
+def test_trainers_read_products_without_a_shuffle(spark):
+    pairs, nodes = random_pairs(spark)
+    found = L.pair_features(pairs, nodes)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == pairs.count()
+
+
+def test_logistic_pairs_equals_sparks(spark):
+    pairs, nodes = random_pairs(spark)
+    features = L.pair_features(pairs, nodes)
+    want = sorted((r.src, r.dst, r.y, r.p) for r in L.fit_predict("lr", features, features).collect())
+    got = sorted((r.src, r.dst, r.y, r.p) for r in L.logistic_pairs(pairs, nodes, pairs).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-3)
+    one = L.logistic_pairs(pairs.where("y = 1"), nodes, pairs)
+    assert {r.p for r in one.collect()} == {1.0}
