@@ -23,7 +23,7 @@ LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Words, and stems and runs of signs, that a worker keeps the ids of.
 CACHE_WORDS, CACHE_PARTS = 100_000, 150_000
 #: Bytes of text that are encoded at once; a longer document is encoded alone.
-ENCODED_BYTES = 1 << 20
+ENCODED_BYTES = 1 << 18
 #: ASCII signs that stand behind words; the tokenizer cuts between a letter or digit and these.
 SIGNS = b".,;:!?*$%&#|()[]{}<>=+-/@^~`_\""
 _ENCODERS: dict[str, "WordEncoder"] = {}

@@ -18,7 +18,7 @@ from .units import deal, load, prepared, raw_text, text_bytes, unit_count, unit_
 #: Order of the model: a byte given the four before it. Texts begin after four line feeds.
 ORDER = 5
 #: Bytes of text whose n-grams are taken at once, whatever documents they belong to.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 #: One in ``FOLDS`` trusted documents is not counted, so that limits are set by text the model has not seen.
 FOLDS = 5
 #: What a document is to the model.
