@@ -88,6 +88,17 @@ def test_query_against_brute_force(spark, tmp_path, rows, monkeypatch):
     assert {str(p) for p in root.rglob("*.parquet")} == {r.path for r in got}
 
 
+def test_first_layout_with_over_full_slices(spark, tmp_path, monkeypatch):
+    """Slices that are split in the first layout too, where nothing is stored yet."""
+    found = []
+    monkeypatch.setattr(late_rows, "fit_slices", lambda keys: found.append(fit_slices(keys, slice_rows=8, most_rows=12)) or found[-1])
+    rows = sales(700, 5)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/sales.parquet")
+    got = op13_late_rows(spark, str(tmp_path)).collect()
+    assert len(found) == 2 and all(len(s.splits) > 1 for s in found)
+    assert {(r.day, r.file_no): (r.n_rows, r.cents, r.rows_crc, r.ids_sha256, r.rewritten) for r in got} == brute(rows)
+
+
 def test_other_files_stay_as_they_are(spark, tmp_path):
     base = datetime(2024, 1, 1)
     rows = [(i, 1, "x", 1.0, base + timedelta(hours=i), base + timedelta(hours=i), 1) for i in range(24 * 6)]

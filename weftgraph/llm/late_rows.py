@@ -183,7 +183,8 @@ def overwrite_days(at: DailyTable, rows: DataFrame) -> DataFrame:
         old_files = materialize(stored.groupBy("day").agg((F.max("file_no") + 1).alias("old_files")), "old-files")
     else:
         changes, coming = None, fresh
-        leaving, stored = fresh.select("day", "t", "id").limit(0), fresh.limit(0)
+        # nothing is stored: empty tables of their own, as Spark would take two sides made of ``fresh`` for a self-join
+        leaving, stored = (spark.createDataFrame([], x.schema) for x in (fresh.select("day", "t", "id"), fresh))
         days = materialize(coming.select("day").distinct(), "changed-days")
         old_files = None
     if not days.isEmpty():
