@@ -1,6 +1,10 @@
 """Sums and pairs in tiles against joins, and a sorted cut against a limit."""
 
+import tracemalloc
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +178,41 @@ def test_logistic_pairs_equals_sparks(spark):
     assert np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-3)
     one = L.logistic_pairs(pairs.where("y = 1"), nodes, pairs)
     assert {r.p for r in one.collect()} == {1.0}
+
+
+def test_a_tile_holds_its_sums_once(monkeypatch):
+    """Sums of five kinds are the largest table of a task; they were copied before they left it."""
+    n, width, kinds = 20_000, 64, 5
+    rng, found = np.random.default_rng(1), []
+
+    class Caught:
+        def groupBy(self, *_):
+            return self
+
+        def cogroup(self, _):
+            return self
+
+        def applyInArrow(self, tile, _):
+            found.append(tile)
+
+        def select(self, *_):
+            return self
+
+    tiles = I.Tiles.__new__(I.Tiles)
+    tiles.packed, tiles.kept = Caught(), ["w", "k"]
+    monkeypatch.setattr(I.Tiles, "_sent", lambda *_: Caught())
+    monkeypatch.setattr(I.Tiles, "added", lambda self, rows, name="feature": rows)
+    tiles.sums_by_kind(Caught(), kinds)
+    src, dst, w, k = rng.integers(0, n, n), np.arange(n), rng.random(n), rng.integers(0, kinds, n).astype(np.int32)
+    cell = lambda x: pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())
+    left = pa.table({"n": pa.array([n]), "src": cell(np.diff(src, prepend=0)), "dst": cell(np.diff(dst, prepend=0)), "w": cell(w), "k": cell(k)})
+    ids, x = rng.permutation(n), rng.random((n, width))
+    right = pa.concat_tables([pa.table({"side": ["src"] * len(c), "node_id": c, "f": I.lists(x[c])}) for c in np.array_split(ids, 7)])
+    tracemalloc.start()
+    told = found[0](left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = told.column("s").combine_chunks().flatten().to_numpy().reshape(n, kinds, width)
+    want = np.zeros((n, kinds, width))
+    want[dst, k] = x[src] * w[:, None]
+    assert np.allclose(got, want) and peak < 2 * want.nbytes
